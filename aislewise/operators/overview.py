@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from aislewise.functions.scalars import half_up, money_mean, money_sum, ratio
 
-MARGIN = F.col("total_amount") - F.col("quantity") * F.col("cost_price")
+
+def margin() -> Column:
+    """Amount charged less what the goods cost."""
+    return F.col("total_amount") - F.col("quantity") * F.col("cost_price")
 
 
 def slice_filter(category: str | None = None, channel: str | None = None,
@@ -40,7 +43,7 @@ def estate(transactions: DataFrame, products: DataFrame, customers: DataFrame,
         F.count(F.lit(1)).alias("transactions"),
         F.coalesce(money_sum("total_amount"), F.lit(0.0)).alias("revenue"),
         F.coalesce(F.sum("quantity"), F.lit(0)).alias("units"),
-        F.coalesce(money_sum(MARGIN), F.lit(0.0)).alias("margin"),
+        F.coalesce(money_sum(margin()), F.lit(0.0)).alias("margin"),
         F.count_distinct("customer_id").alias("buyers"),
         F.count_distinct("product_id").alias("skus_sold"),
         F.min("transaction_date").alias("period_start"),
@@ -72,7 +75,7 @@ def revenue_trend(transactions: DataFrame, products: DataFrame, customers: DataF
                .where("transaction_date IS NOT NULL")
                .groupBy(F.date_format("transaction_date", "yyyy-MM").alias("month"))
                .agg(money_sum("total_amount").alias("revenue"),
-                    money_sum(MARGIN).alias("margin"), F.sum("quantity").alias("units"),
+                    money_sum(margin()).alias("margin"), F.sum("quantity").alias("units"),
                     F.count(F.lit(1)).alias("transactions"),
                     F.count_distinct("customer_id").alias("buyers"))
                .orderBy(F.desc("month")).limit(months))
@@ -113,7 +116,7 @@ def category_performance(transactions: DataFrame, products: DataFrame, customers
     amount = F.col("total_amount")
     rows = (sales.groupBy(F.col(label).alias("label")).agg(
         money_sum(amount).alias("revenue"), F.sum("quantity").alias("units"),
-        money_sum(MARGIN).alias("margin"), F.count_distinct("customer_id").alias("buyers"),
+        money_sum(margin()).alias("margin"), F.count_distinct("customer_id").alias("buyers"),
         F.count_distinct("product_id").alias("skus"),
         F.coalesce(money_sum(F.when(F.col("_year") == F.get("_years", F.lit(0)), amount)),
                    F.lit(0.0)).alias("_latest"),
@@ -154,7 +157,7 @@ def top_movers(transactions: DataFrame, products: DataFrame, customers: DataFram
     sales = joined_sales(transactions, products, customers, **filters)
     return (sales.groupBy("product_id", "product_name", "category", "brand")
             .agg(money_sum("total_amount").alias("revenue"), F.sum("quantity").alias("units"),
-                 money_sum(MARGIN).alias("margin"))
+                 money_sum(margin()).alias("margin"))
             .orderBy(F.desc("revenue"), "product_id").limit(limit)
             .select("product_id", "product_name", "category", "brand", "revenue", "units",
                     half_up(ratio("margin", "revenue", 0.0) * 100, 1).alias("margin_pct")))

@@ -41,9 +41,10 @@ def main():
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     q, o = queries(), oracle_sql()
     keys = sys.argv[2:] or list(q)
-    if keys[0].startswith("@"):
-        import importlib
-        keys = list(importlib.import_module(f"aislewise.plans.{keys[0][1:]}").QUERIES)
+    import importlib
+    keys = [k for arg in keys for k in (
+        importlib.import_module(f"aislewise.plans.{arg[1:]}").QUERIES if arg.startswith("@")
+        else [arg])]
     spark = build_session("local[8]", 8)
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()

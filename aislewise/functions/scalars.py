@@ -90,13 +90,30 @@ def haversine_km(lat1, lon1, lat2, lon2) -> Column:
     return F.lit(2 * EARTH_RADIUS_KM) * F.atan2(F.sqrt(a), F.sqrt(F.lit(1.0) - a))
 
 
+# Coefficients of P. Acklam's rational approximation of the inverse
+# normal distribution (relative error below 1.2e-9).
+_CENTRE_NUM = (-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02,
+               1.383577518672690e+02, -3.066479806614716e+01, 2.506628277459239e+00)
+_CENTRE_DEN = (-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02,
+               6.680131188771972e+01, -1.328068155288572e+01, 1.0)
+_TAIL_NUM = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00,
+             -2.549732539343734e+00, 4.374664141464968e+00, 2.938163982698783e+00)
+_TAIL_DEN = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00,
+             3.754408661907416e+00, 1.0)
+
+
+def _polynomial(coefficients: tuple[float, ...], x: Column) -> Column:
+    return reduce(lambda acc, k: acc * x + F.lit(k), coefficients[1:], F.lit(coefficients[0]))
+
+
 def normal_quantile(p) -> Column:
-    """Inverse normal CDF for 0.5 <= p < 1 by the published rational
-    approximation 26.2.23 of Abramowitz and Stegun (error below 4.5e-4)."""
-    t = F.sqrt(F.lit(-2.0) * F.ln(F.lit(1.0) - as_col(p)))
-    numerator = F.lit(2.515517) + t * (F.lit(0.802853) + t * F.lit(0.010328))
-    denominator = F.lit(1.0) + t * (F.lit(1.432788) + t * (F.lit(0.189269) + t * F.lit(0.001308)))
-    return t - numerator / denominator
+    """Inverse of the standard normal distribution for 0.02425 <= p < 1."""
+    p = as_col(p)
+    q = p - 0.5
+    centre = q * _polynomial(_CENTRE_NUM, q * q) / _polynomial(_CENTRE_DEN, q * q)
+    t = F.sqrt(F.lit(-2.0) * F.ln(F.lit(1.0) - p))
+    upper = -_polynomial(_TAIL_NUM, t) / _polynomial(_TAIL_DEN, t)
+    return F.when(p <= 1 - 0.02425, centre).otherwise(upper)
 
 
 def one_row(df: DataFrame, *columns: str) -> Column:
@@ -110,3 +127,13 @@ def one_row(df: DataFrame, *columns: str) -> Column:
 def not_null(df: DataFrame, *columns: str) -> DataFrame:
     """Drop rows with a null grouping key, as a pandas group-by does."""
     return df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns]))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` into exactly ``spark.sql.shuffle.partitions`` parts.
+
+    For small rows that are about to multiply in a join: sized by its input bytes,
+    such a stage would be coalesced into far too few tasks.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *keys)

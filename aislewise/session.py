@@ -23,6 +23,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):  # driver and executors are one JVM
+            builder = builder.config("spark.driver.memory", "14g")
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     if shuffle_partitions:

@@ -91,6 +91,13 @@ class DriverTables:
             F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("total_amount"),
             F.col("o_orderdate").cast("date").alias("order_date"))
 
+    @cached_property
+    def order_stores(self) -> DataFrame:
+        return self.raw("orders").select(
+            F.col("o_orderkey").alias("order_id"),
+            F.when(F.pmod("o_orderkey", F.lit(4)) != 0, F.pmod("o_orderkey", F.lit(25)))
+            .alias("store_id"))
+
     @cached_property
     def returns(self) -> DataFrame:
         return (self.sales_lines.where("return_flag = 'R'").select(

@@ -16,26 +16,30 @@ RANGES = 64          # key ranges per job
 SAMPLE = RANGES * 16  # keys looked at to choose the cut points
 
 
-def _with_range(df: DataFrame, key: Column) -> DataFrame:
+def _with_range(df: DataFrame, key: Column, value: str) -> DataFrame:
     """Add ``_range``, the number of the key range a row falls in.
 
     The cut points come from the SAMPLE keys with the smallest hash: a bounded
     top-k that any re-run repeats exactly. They only balance the work; the
-    result does not depend on them.
+    result does not depend on them. The value rides along so that this reads the
+    same columns as the main branch and can reuse its shuffle.
     """
-    picked = (df.select(key.alias("key"))
+    picked = (df.select(key.alias("key"), value)
               .orderBy(F.xxhash64("key"), "key").limit(SAMPLE)
-              .agg(F.sort_array(F.collect_list("key")).alias("keys")))
-    cuts = picked.select(
-        F.filter("keys", lambda k, i: i % (SAMPLE // RANGES) == SAMPLE // RANGES - 1)
-        .alias("cuts")).select(F.slice("cuts", 1, RANGES - 1).alias("cuts")).scalar()
+              .agg(F.sort_array(F.collect_list(F.struct("key", value))).alias("keys")))
+    step = SAMPLE // RANGES
+    cuts = picked.select(F.slice(F.transform(
+        F.filter("keys", lambda k, i: i % step == step - 1), lambda k: k["key"]),
+        1, RANGES - 1).alias("cuts")).scalar()
     # Binary search over the (at most RANGES - 1) cuts; past the end ``get`` is null.
-    position, step = F.lit(0), RANGES // 2
-    while step:
-        position = F.when(F.get("_cuts", position + (step - 1)) <= key,
-                          position + step).otherwise(position)
-        step //= 2
-    return df.withColumn("_cuts", cuts).withColumn("_range", position).drop("_cuts")
+    # The one-element inline keeps the subquery from being copied into every step.
+    position, width = F.lit(0), RANGES // 2
+    while width:
+        position = F.when(F.get("_cuts", position + (width - 1)) <= key,
+                          position + width).otherwise(position)
+        width //= 2
+    return (df.select("*", F.inline(F.array(F.struct(cuts.alias("_cuts")))))
+            .withColumn("_range", position).drop("_cuts"))
 
 
 def running_total(df: DataFrame, order: list[Column], value: str,
@@ -47,7 +51,7 @@ def running_total(df: DataFrame, order: list[Column], value: str,
     """
     key = F.struct(*[F.col(g) for g in group],
                    *[o.alias(f"o{i}") for i, o in enumerate(order)])
-    ranged = _with_range(df, key)
+    ranged = _with_range(df, key, value)
     by_range = Window.partitionBy(*group).orderBy("_range")
     offsets = (ranged.groupBy(*group, "_range").agg(F.sum(value).alias("_sum"))
                .withColumn("_offset", F.coalesce(

@@ -156,15 +156,24 @@ HOLIDAYS = [
     (9, 7, "Ganesh Chaturthi"), (11, 20, "Guru Nanak Jayanti")]
 
 
-def calendar_columns(days: DataFrame, holidays: Sequence[tuple[int, int, str]]) -> DataFrame:
-    """The calendar attributes of every value of ``date``."""
-    month, dom = F.month("date"), F.dayofmonth("date")
+def holiday_name(date: str, holidays: Sequence[tuple[int, int, str]]) -> Column:
     name = F.lit(None).cast("string")
     for m, d, label in reversed(holidays):
-        name = F.when((month == m) & (dom == d), label).otherwise(name)
-    weekend = F.weekday("date") >= 5
-    sale = (((month == 1) & (dom <= 10)) | ((month == 7) & dom.between(10, 20))
+        name = F.when((F.month(date) == m) & (F.dayofmonth(date) == d), label).otherwise(name)
+    return name
+
+
+def sale_season(date: str) -> Column:
+    month, dom = F.month(date), F.dayofmonth(date)
+    return (((month == 1) & (dom <= 10)) | ((month == 7) & dom.between(10, 20))
             | ((month == 10) & dom.between(15, 31)) | ((month == 12) & dom.between(20, 31)))
+
+
+def calendar_columns(days: DataFrame, holidays: Sequence[tuple[int, int, str]]) -> DataFrame:
+    """The calendar attributes of every value of ``date``."""
+    month = F.month("date")
+    name, sale = holiday_name("date", holidays), sale_season("date")
+    weekend = F.weekday("date") >= 5
     season = (F.when(month.between(3, 5), "Summer").when(month.between(6, 8), "Monsoon")
               .when(month.between(9, 11), "Festive").otherwise("Winter"))
     return days.select(

@@ -1,9 +1,297 @@
-"""Learned operators, trained with the distributed ML library."""
+"""Learned operators, trained with the distributed ML library.
+
+Only model coefficients and one-row aggregates come to the driver.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from pyspark import StorageLevel
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import (IDF, PCA, CountVectorizer, ElementwiseProduct, Normalizer,
+                                RegexTokenizer, StandardScaler, StopWordsRemover, StringIndexer,
+                                VectorAssembler)
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from aislewise.functions.distributed import exact_quantiles
+from aislewise.functions.scalars import contains_any, half_up
+from aislewise.operators.features import HOLIDAYS, holiday_name, sale_season
+from aislewise.operators.offers import month_bin
+from aislewise.operators.text import TOKEN, default_stop_words
+from aislewise.session import ensure_checkpoint_dir
+
+# ── demand forecasting ──────────────────────────────────────────────────────
+
+FEATURES = ["lag_7", "lag_14", "rolling_7_mean", "rolling_30_mean", "dow_num", "month",
+            "day_of_month", "week_number", "quarter", "is_holiday", "is_weekend",
+            "is_sale_season", "product_avg_qty", "category_avg_qty"]
+
+
+def forecast_training(daily_lags: DataFrame, products: DataFrame,
+                      train_share: float = 0.85) -> DataFrame:
+    """Model rows with both mean levels, split at a date: earlier days train."""
+    rows = daily_lags.join(products.select("product_id", "category"), "product_id", "left")
+
+    def flag(c: str) -> Column:
+        return F.coalesce(F.col(c).cast("int"), F.lit(0))
+
+    per_product = rows.groupBy("product_id").agg(
+        F.sum("daily_qty").alias("_q"), F.count(F.lit(1)).alias("_n"),
+        F.first("category").alias("category"))
+    per_category = per_product.groupBy("category").agg(
+        (F.sum("_q") / F.sum("_n")).alias("category_avg_qty"))
+    rows = (rows.join(per_product.select("product_id", (F.col("_q") / F.col("_n"))
+                                         .alias("product_avg_qty")), "product_id")
+            .join(per_category, "category", "left")
+            .withColumns({"dow_num": F.weekday("transaction_date"),
+                          **{c: flag(c) for c in ("is_holiday", "is_weekend", "is_sale_season")}})
+            .dropna(subset=[*FEATURES, "daily_qty"]))
+    cut = exact_quantiles(rows.select(F.unix_date("transaction_date").alias("d")), "d",
+                          {"cut": train_share}).scalar()
+    return rows.withColumn("is_train", F.unix_date("transaction_date") <= cut)
+
+
+def _assembled(rows: DataFrame) -> DataFrame:
+    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
+
+
+def fit_forecast_model(training: DataFrame, trees: int = 250, depth: int = 5,
+                       rate: float = 0.06, subsample: float = 0.8,
+                       seed: int = 42) -> GBTRegressionModel:
+    """One boosted-tree model over all products, on the training days only."""
+    ensure_checkpoint_dir(training.sparkSession)  # the trainer cuts its lineage there
+    booster = GBTRegressor(featuresCol="features", labelCol="daily_qty", maxIter=trees,
+                           maxDepth=depth, stepSize=rate, subsamplingRate=subsample, seed=seed)
+    rows = _assembled(training.where("is_train")).select("features", "daily_qty").persist(
+        StorageLevel.MEMORY_AND_DISK)  # the trainer passes over it several times
+    try:
+        return booster.fit(rows)
+    finally:
+        rows.unpersist()
+
+
+def forecast_errors(training: DataFrame, model: GBTRegressionModel,
+                    min_rows: int = 5) -> DataFrame:
+    """MAE and MAPE on the held-out days: overall (null id), and per product with enough rows."""
+    tested = model.transform(_assembled(training.where("NOT is_train"))).select(
+        "product_id", F.abs(F.col("daily_qty") - F.greatest("prediction", F.lit(0.0)))
+        .alias("miss"), F.greatest("daily_qty", F.lit(1)).alias("scale"))
+    return (tested.groupingSets([["product_id"], []], "product_id")
+            .agg(F.count(F.lit(1)).alias("test_rows"), F.avg("miss").alias("mae"),
+                 (F.avg(F.col("miss") / F.col("scale")) * 100).alias("mape"),
+                 F.grouping("product_id").alias("_all"))
+            .where((F.col("_all") == 1) | (F.col("test_rows") >= min_rows)).drop("_all"))
+
+
+def demand_forecast(training: DataFrame, daily: DataFrame, products: DataFrame,
+                    model: GBTRegressionModel, errors: DataFrame, horizon: int = 7,
+                    holidays: Sequence[tuple[int, int, str]] = HOLIDAYS,
+                    checkpoint_every: int = 10) -> DataFrame:
+    """Recursive forecast of every product: each predicted day feeds the next day's lags.
+
+    A product's last 30 selling days ride in its row as an array, so a step is one map
+    over the products. Products that never sold get their category's mean.
+    """
+    newest = Window.partitionBy("product_id").orderBy(F.desc("transaction_date"))
+    recent = (daily.select("product_id", "transaction_date", "daily_qty")
+              .withColumn("_n", F.row_number().over(newest)).where("_n <= 30")
+              .groupBy("product_id")
+              .agg(F.transform(F.array_sort(F.collect_list(F.struct(
+                  "transaction_date", F.col("daily_qty").cast("double").alias("q")))),
+                  lambda e: e["q"]).alias("recent"),
+                  F.max("transaction_date").alias("last_date")))
+    levels = daily.groupBy("product_id").agg(F.sum("daily_qty").alias("_q"),
+                                             F.count(F.lit(1)).alias("_n"))
+    described = products.select("product_id", "category").join(levels, "product_id", "left")
+    per_category = described.groupBy("category").agg(
+        (F.sum("_q") / F.sum("_n")).alias("category_avg_qty"))
+    overall = daily.agg(F.avg("daily_qty").alias("m")).scalar()
+    state = (described.join(per_category, "category", "left").join(recent, "product_id", "left")
+             .withColumn("_overall", overall)
+             .select("product_id", "last_date", "recent",
+                     (F.col("_q") / F.col("_n")).alias("product_avg_qty"),
+                     F.coalesce("category_avg_qty", "_overall").alias("category_avg_qty"),
+                     F.array().cast("array<double>").alias("forecast")))
+    sold = state.where("last_date IS NOT NULL")
+    size = F.size("recent")
+
+    def back(k: int) -> Column:
+        return F.when(size >= k, F.element_at("recent", -k)).otherwise(F.element_at("recent", -1))
+
+    def mean_of_last(k: int) -> Column:
+        tail = F.slice("recent", F.greatest(size - (k - 1), F.lit(1)), F.lit(k))
+        return F.aggregate(tail, F.lit(0.0), lambda a, x: a + x) / F.least(size, F.lit(k))
+
+    kept = sold.columns
+    for step in range(1, horizon + 1):
+        rows = sold.withColumn("_day", F.date_add("last_date", step)).withColumns({
+            "lag_7": back(7), "lag_14": back(14), "rolling_7_mean": mean_of_last(7),
+            "rolling_30_mean": mean_of_last(30), "dow_num": F.weekday("_day"),
+            "month": F.month("_day"), "day_of_month": F.dayofmonth("_day"),
+            "week_number": F.weekofyear("_day"), "quarter": F.quarter("_day"),
+            "is_holiday": holiday_name("_day", holidays).isNotNull().cast("int"),
+            "is_weekend": (F.weekday("_day") >= 5).cast("int"),
+            "is_sale_season": sale_season("_day").cast("int")})
+        predicted = model.transform(_assembled(rows)).withColumn(
+            "_p", F.greatest("prediction", F.lit(0.0)))
+        sold = predicted.withColumns({
+            "recent": F.concat(F.slice("recent", F.greatest(size - 28, F.lit(1)), F.lit(29)),
+                               F.array("_p")),
+            "forecast": F.concat("forecast", F.array("_p"))}).select(*kept)
+        if step % checkpoint_every == 0 and step < horizon:
+            ensure_checkpoint_dir(sold.sparkSession)
+            sold = sold.checkpoint()
+    unsold = state.where("last_date IS NULL").withColumn(
+        "forecast", F.array_repeat("category_avg_qty", horizon))
+    own = errors.where("product_id IS NOT NULL").select("product_id", F.col("mape").alias("own"))
+    general = errors.where("product_id IS NULL").select("mape").scalar()
+    days = sold.unionByName(unsold).select(
+        "product_id", "last_date", F.posexplode("forecast").alias("_i", "_q"))
+    return (days.join(own, "product_id", "left").withColumn("_general", general).select(
+        "product_id", (F.col("_i") + 1).alias("day"),
+        F.expr("date_add(last_date, _i + 1)").alias("date"),
+        half_up("_q", 1).alias("forecast_qty"),
+        half_up(F.when(F.col("last_date").isNull(), F.col("_general"))
+                .otherwise(F.coalesce("own", "_general")), 2).alias("mape"),
+        F.when(F.col("last_date").isNull(), "Category Baseline (no sales history)")
+        .otherwise("Boosted Trees (Global Multi-Product Regressor)").alias("model")))
+
+
+# ── offer weights ───────────────────────────────────────────────────────────
+
+DEFAULT_OFFER_WEIGHTS = (50.0, 15.0, 10.0)
+
+
+def offer_conversions(promotions: DataFrame, customers: DataFrame,
+                      transactions: DataFrame) -> DataFrame:
+    """(discount, ch_match, label, weight): every targeted customer of every promotion,
+    counted rather than listed. Buyers come from a range join on (product, 32-day bin)."""
+    match = ((F.col("channel") == F.col("preferred_channel")) | (F.col("channel") == "Both")
+             | (F.col("preferred_channel") == "Both")).cast("int")
+    people = customers.select("customer_id", "segment", "preferred_channel")
+    cells = people.groupBy("segment", "preferred_channel").agg(F.count(F.lit(1)).alias("n"))
+    everyone = cells.groupBy("preferred_channel").agg(F.sum("n").alias("n")).select(
+        F.lit("All").alias("segment"), "preferred_channel", "n")
+    promos = promotions.select("promo_id", "product_id", "discount_pct", "channel",
+                               "target_segment", "start_date", "end_date")
+    targeted = (promos.join(cells.unionByName(everyone), F.col("target_segment")
+                            == F.col("segment"))
+                .groupBy("discount_pct", match.alias("ch_match")).agg(F.sum("n").alias("people")))
+    bought = transactions.select("product_id", "customer_id",
+                                 F.col("transaction_date").alias("day")).distinct().withColumn(
+        "_bin", month_bin(F.col("day")))
+    spread = promos.withColumn("_bin", F.explode(F.sequence(
+        month_bin(F.col("start_date")), month_bin(F.col("end_date")))))
+    buyers = (spread.join(bought, ["product_id", "_bin"])
+              .where(F.col("day").between(F.col("start_date"), F.col("end_date")))
+              .select("promo_id", "discount_pct", "channel", "target_segment", "customer_id")
+              .distinct().join(people, "customer_id")
+              .where((F.col("target_segment") == F.col("segment"))
+                     | (F.col("target_segment") == "All"))
+              .groupBy("discount_pct", match.alias("ch_match"))
+              .agg(F.count(F.lit(1)).alias("buyers")))
+    both = targeted.join(buyers, ["discount_pct", "ch_match"], "left").fillna(0, ["buyers"])
+    return both.select("discount_pct", "ch_match", F.inline(F.array(
+        F.struct(F.lit(1.0).alias("label"), F.col("buyers").cast("double").alias("weight")),
+        F.struct(F.lit(0.0).alias("label"), (F.col("people") - F.col("buyers")).cast("double")
+                 .alias("weight"))))).where("weight > 0")
+
+
+def nbo_weights(promotions: DataFrame, customers: DataFrame,
+                transactions: DataFrame) -> DataFrame:
+    """Offer-score weights from a logistic regression of conversion; one row."""
+    spark = promotions.sparkSession
+    schema = "discount_w double, channel_w double, recency_w double, learned boolean"
+    cells = offer_conversions(promotions, customers, transactions).persist(
+        StorageLevel.MEMORY_AND_DISK)  # one row per discount depth, match and label
+    try:
+        w, d, c = F.col("weight"), F.col("discount_pct"), F.col("ch_match")
+        s = cells.agg(F.sum(w).alias("n"), F.sum(w * F.col("label")).alias("yes"),
+                      (F.sum(w * d) / F.sum(w)).alias("dm"), (F.sum(w * c) / F.sum(w)).alias("cm"),
+                      (F.sum(w * d * d) / F.sum(w)).alias("dd"),
+                      (F.sum(w * c * c) / F.sum(w)).alias("cc")).first()
+        if not s["n"] or s["n"] < 20 or s["yes"] < 3 or s["n"] - s["yes"] < 3:
+            return spark.createDataFrame([(*DEFAULT_OFFER_WEIGHTS, False)], schema)
+
+        def unit(square: float, mean: float) -> float:
+            return max(square - mean * mean, 0.0) ** 0.5 or 1.0
+
+        scaled = cells.select(
+            "label", "weight", ((d - s["dm"]) / unit(s["dd"], s["dm"])).alias("x1"),
+            ((c - s["cm"]) / unit(s["cc"], s["cm"])).alias("x2"))
+        vectors = VectorAssembler(inputCols=["x1", "x2"], outputCol="features").transform(scaled)
+        model = LogisticRegression(weightCol="weight", regParam=1.0 / s["n"], maxIter=200,
+                                   standardization=False).fit(vectors)
+        first, second = (abs(float(x)) for x in model.coefficients)
+        scale = 65.0 / (first + second + 1e-6)
+        return spark.createDataFrame([(first * scale, second * scale, 10.0, True)], schema)
+    finally:
+        cells.unpersist()
+
+
+# ── audience clusters ───────────────────────────────────────────────────────
+
+AUDIENCE_COLUMNS = ["recency_days", "frequency", "monetary", "avg_order_val", "total_browses",
+                    "wishlist_count", "cart_count"]
+
+
+def _scaled_audience(features: DataFrame, columns: Sequence[str]) -> DataFrame:
+    filled = features.select("customer_id", *[
+        F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
+    vectors = VectorAssembler(inputCols=list(columns), outputCol="_raw").transform(filled)
+    scaler = StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True)
+    return scaler.fit(vectors).transform(vectors).drop("_raw")
+
+
+def _elbow(costs: list[tuple[int, float]]) -> int:
+    """First k whose drop in cost is under 5 % of the whole range."""
+    spread = costs[0][1] - costs[-1][1]
+    if len(costs) < 2 or spread < 1e-6:
+        return 8
+    for (_, before), (k, after) in zip(costs, costs[1:]):
+        if (before - after) / spread < 0.05:
+            return k
+    return costs[-1][0]
+
+
+def audience_k(features: DataFrame, columns: Sequence[str] = AUDIENCE_COLUMNS, max_k: int = 12,
+               seed: int = 42) -> tuple[DataFrame, int]:
+    """Clustering cost for k = 3..max_k, and the elbow."""
+    spark = features.sparkSession
+    scaled = _scaled_audience(features, columns).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        people = scaled.count()
+        costs = []
+        for k in range(3, min(max_k + 1, people // 10 + 3)):
+            model = KMeans(k=k, seed=seed, maxIter=100).fit(scaled)
+            costs.append((k, float(model.summary.trainingCost)))
+    finally:
+        scaled.unpersist()
+    chosen = _elbow(costs) if costs and people >= 20 else 8
+    table = spark.createDataFrame([(k, cost, k == chosen) for k, cost in costs],
+                                  "k int, cost double, is_chosen boolean")
+    return table, chosen
+
+
+def audience_clusters(features: DataFrame, k: int, columns: Sequence[str] = AUDIENCE_COLUMNS,
+                      seed: int = 42) -> DataFrame:
+    """Cluster of every customer for a given k."""
+    scaled = _scaled_audience(features, columns)
+    return KMeans(k=k, seed=seed, maxIter=100).fit(scaled).transform(scaled).select(
+        "customer_id", F.col("prediction").alias("cluster_id"), *columns)
+
+
+def cluster_means(clusters: DataFrame) -> DataFrame:
+    return clusters.groupBy("cluster_id").agg(
+        F.count(F.lit(1)).alias("customers"), F.avg("recency_days").alias("avg_recency_days"),
+        F.avg("frequency").alias("avg_frequency"), F.avg("monetary").alias("avg_monetary"),
+        F.avg("total_browses").alias("avg_browse_count"))
+
 
 def cluster_labels(means: DataFrame) -> DataFrame:
     """Name each cluster from its means by ordered rules; a repeated name gets a suffix.
@@ -37,3 +325,138 @@ def cluster_labels(means: DataFrame) -> DataFrame:
         "label", F.when(F.col("_nth") == 1, F.col("_base"))
         .otherwise(F.concat_ws(" ", "_base", (F.col("_nth") - 1).cast("string")))).drop(
         "_base", "_nth")
+
+
+# ── inventory weights ───────────────────────────────────────────────────────
+
+def health_weights(features: DataFrame, products: DataFrame, suppliers: DataFrame) -> DataFrame:
+    """Composite weights: absolute loadings of the first principal component, one row."""
+    maker = products.select("product_id", "supplier_id").join(
+        suppliers.select("supplier_id", "reliability_score"), "supplier_id", "left")
+    columns = ["stockout_risk", "overstock_flag", "reliability_score"]
+    rows = features.join(maker, "product_id", "left").select(
+        F.coalesce(F.col(columns[0]).cast("double"), F.lit(0.0)).alias(columns[0]),
+        F.coalesce(F.col(columns[1]).cast("double"), F.lit(0.0)).alias(columns[1]),
+        F.coalesce(columns[2], F.lit(0.5)).alias(columns[2]))
+    vectors = VectorAssembler(inputCols=columns, outputCol="features").transform(rows)
+    loadings = [abs(float(x)) for x in
+                PCA(k=3, inputCol="features", outputCol="pc").fit(vectors).pc.toArray()[:, 0]]
+    total = sum(loadings)
+    return features.sparkSession.createDataFrame(
+        [tuple(x / total for x in loadings)],
+        "w_stockout double, w_overstock double, w_reliability double")
+
+
+# ── ticket triage ───────────────────────────────────────────────────────────
+
+# Responsible team by category, and for any other category.
+TEAMS = {
+    "Size Exchange": "Billing & Exchanges Team", "Wrong Item": "Order Fulfilment Team",
+    "Payment Problem": "Accounts & Billing Team", "Delivery Delay": "Logistics & Shipping Team",
+    "Product Quality": "Quality Assurance Team", "Return & Refund": "Returns Department",
+    "Account Issue": "IT Support Team", "Order Issue": "Customer Relations Team"}
+DEFAULT_TEAM = "Customer Relations Team"
+# Phrases that settle the category, tried in this order.
+CATEGORY_PHRASES = [
+    ("Wrong Item", ["wrong item", "different item", "package had someone else", "another order",
+                    "someone else's order"]),
+    ("Size Exchange", ["too small", "too large", "doesn't fit", "wrong size", "exchange"]),
+    ("Product Quality", ["damaged", "broken", "poor quality", "defect", "torn"]),
+    ("Delivery Delay", ["not arrived", "tracking", "stuck", "delay", "late"]),
+    ("Payment Problem", ["double charge", "payment failed", "deducted", "card declined",
+                         "charged"]),
+    ("Account Issue", ["login", "password", "account locked", "profile"])]
+
+
+class TicketModel:
+    """Category and priority classifiers over one TF-IDF representation."""
+
+    def __init__(self, tickets: DataFrame, max_features: int = 500, iterations: int = 300,
+                 stop_words: Sequence[str] | None = None):
+        stop_words = default_stop_words() if stop_words is None else list(stop_words)
+        self._tokenize = RegexTokenizer(inputCol="description", outputCol="_words",
+                                        pattern=TOKEN, gaps=False, toLowercase=True)
+        self._stop = StopWordsRemover(inputCol="_words", outputCol="_terms", stopWords=stop_words)
+        words = self._stop.transform(self._tokenize.transform(self._text(tickets)))
+        self._count = CountVectorizer(inputCol="_terms", outputCol="_tf",
+                                      vocabSize=max_features).fit(words)
+        counted = self._count.transform(words)
+        idf = IDF(inputCol="_tf", outputCol="_idf").fit(counted)
+        # The library's idf lacks the + 1 of the smoothed form.
+        self._weigh = ElementwiseProduct(inputCol="_tf", outputCol="_tfidf", scalingVec=
+                                         Vectors.dense([float(x) + 1.0 for x in
+                                                        idf.idf.toArray()]))
+        self._unit = Normalizer(inputCol="_tfidf", outputCol="features")
+        self.labels: dict[str, list[str]] = {}
+        self.models: dict[str, LogisticRegressionModel] = {}
+        rows = self.vectors(tickets).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            train = rows.where("is_train")
+            n = max(train.count(), 1)
+            for target in ("category", "priority"):
+                indexer = StringIndexer(inputCol=target, outputCol="label",
+                                        stringOrderType="alphabetAsc").fit(rows)
+                self.labels[target] = list(indexer.labels)
+                self.models[target] = LogisticRegression(
+                    family="multinomial", maxIter=iterations, regParam=1.0 / n,
+                    standardization=False).fit(indexer.transform(train))
+        finally:
+            rows.unpersist()
+
+    @staticmethod
+    def _text(tickets: DataFrame) -> DataFrame:
+        return tickets.withColumns({
+            "description": F.coalesce("description", F.lit("No description")),
+            "is_train": F.pmod(F.xxhash64("ticket_id"), F.lit(100)) < 85})
+
+    def vectors(self, tickets: DataFrame) -> DataFrame:
+        words = self._stop.transform(self._tokenize.transform(self._text(tickets)))
+        return self._unit.transform(self._weigh.transform(self._count.transform(words))).drop(
+            "_words", "_terms", "_tf", "_tfidf")
+
+    def predict(self, tickets: DataFrame) -> DataFrame:
+        """Add predicted label and its probabilities for both targets."""
+        rows = self.vectors(tickets)
+        for target, model in self.models.items():
+            names = F.array(*[F.lit(x) for x in self.labels[target]])
+            rows = model.transform(rows).withColumns({
+                f"predicted_{target}": F.get(names, F.col("prediction").cast("int")),
+                f"_{target}_p": vector_to_array("probability")}).drop(
+                "prediction", "probability", "rawPrediction")
+        return rows.drop("features")
+
+    def accuracy(self, tickets: DataFrame) -> DataFrame:
+        """Share of held-out tickets labelled right, per target."""
+        held_out = self.predict(tickets).where("NOT is_train")
+        row = held_out.agg(F.count(F.lit(1)).alias("n"), *[
+            F.avg((F.col(f"predicted_{x}") == F.col(x)).cast("double")).alias(x)
+            for x in self.models])
+        return row.select(F.inline(F.array(*[
+            F.struct(F.lit(x).alias("target"), F.col("n").alias("test_rows"),
+                     F.col(x).alias("accuracy")) for x in self.models])))
+
+    def triage(self, tickets: DataFrame,
+               phrases: Sequence[tuple[str, list[str]]] = CATEGORY_PHRASES) -> DataFrame:
+        """Category (settled by a phrase when one occurs), priority, team and confidence.
+
+        A settled category keeps the model's own probability of that class.
+        """
+        rows = self.predict(tickets)
+        low, known = F.lower("description"), self.labels["category"]
+        settled = F.lit(None).cast("string")
+        for label, words in reversed(list(phrases)):
+            if label in known:
+                settled = F.when(contains_any(low, words), F.lit(label)).otherwise(settled)
+        names = F.array(*[F.lit(x) for x in known])
+        team = F.lit(DEFAULT_TEAM)
+        for label, name in TEAMS.items():
+            team = F.when(F.col("_label") == label, name).otherwise(team)
+        rows = rows.withColumn("_label", F.coalesce(settled, "predicted_category"))
+        category_p = F.get("_category_p", (F.array_position(names, F.col("_label")) - 1)
+                           .cast("int"))
+        priority_p = F.array_max("_priority_p")
+        return rows.select(
+            "ticket_id", F.col("_label").alias("predicted_category"), "predicted_priority",
+            team.alias("recommended_team"), half_up(category_p, 3).alias("category_confidence"),
+            half_up(priority_p, 3).alias("priority_confidence"),
+            half_up((category_p + priority_p) / 2, 3).alias("overall_confidence"))

@@ -9,7 +9,7 @@ from aislewise.functions.scalars import clip, half_up, one_row
 BIN_DAYS = 32
 
 
-def _bin(day: Column) -> Column:
+def month_bin(day: Column) -> Column:
     return F.floor(F.unix_date(day) / BIN_DAYS)
 
 
@@ -29,8 +29,8 @@ def window_sums(windows: DataFrame, daily: DataFrame, key: str, row_id: str,
     keys spread one product over many tasks. ``measures`` are expressions of ``day``,
     ``cents``, ``sales`` and the row's own columns, summed per row; 0 without sales.
     """
-    spread = windows.withColumn("_bin", F.explode(F.sequence(_bin(first), _bin(last))))
-    binned = daily.withColumn("_bin", _bin(F.col("day")))
+    spread = windows.withColumn("_bin", F.explode(F.sequence(month_bin(first), month_bin(last))))
+    binned = daily.withColumn("_bin", month_bin(F.col("day")))
     sums = (spread.join(binned, [key, "_bin"]).groupBy(row_id)
             .agg(*[F.sum(m).alias(n) for n, m in measures.items()]))
     return windows.join(sums, row_id, "left").fillna(0, subset=list(measures))

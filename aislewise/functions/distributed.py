@@ -8,11 +8,14 @@ range totals are accumulated, and every range then adds its own offset.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from aislewise.functions.scalars import half_up
+from aislewise.functions.scalars import half_up, pinned
 
-RANGES = 64          # key ranges per job
+FAN = 8
+RANGES = FAN * FAN    # key ranges per job
 SAMPLE = RANGES * 16  # keys looked at to choose the cut points
 
 
@@ -31,15 +34,18 @@ def _with_range(df: DataFrame, key: Column, value: str) -> DataFrame:
     cuts = picked.select(F.slice(F.transform(
         F.filter("keys", lambda k, i: i % step == step - 1), lambda k: k["key"]),
         1, RANGES - 1).alias("cuts")).scalar()
-    # Binary search over the (at most RANGES - 1) cuts; past the end ``get`` is null.
-    # The one-element inline keeps the subquery from being copied into every step.
-    position, width = F.lit(0), RANGES // 2
-    while width:
-        position = F.when(F.get("_cuts", position + (width - 1)) <= key,
-                          position + width).otherwise(position)
-        width //= 2
-    return (df.select("*", F.inline(F.array(F.struct(cuts.alias("_cuts")))))
-            .withColumn("_range", position).drop("_cuts"))
+
+    def passed(first, every: int) -> Column:
+        """How many of FAN - 1 cuts the key has reached; past the end ``get`` is null."""
+        return reduce(lambda a, b: a + b, [
+            F.when(F.get("_cuts", first + every * n) <= F.col("_key"), 1).otherwise(0)
+            for n in range(FAN - 1)])
+
+    # Two levels of FAN: every FAN-th cut first, then the cuts in between.
+    searched = pinned(pinned(df, _cuts=cuts, _key=key), _coarse=passed(F.lit(FAN - 1), FAN))
+    fine = passed(F.col("_coarse") * FAN, 1)
+    return searched.withColumn("_range", F.col("_coarse") * FAN + fine).drop(
+        "_cuts", "_key", "_coarse")
 
 
 def running_total(df: DataFrame, order: list[Column], value: str,

@@ -137,3 +137,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(parts, *keys)
+
+
+def pinned(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add costly columns that are computed once, however often later steps read them.
+
+    A one-element ``inline`` is a step the optimizer does not merge into its readers.
+    """
+    return df.select("*", F.inline(F.array(F.struct(
+        *[c.alias(name) for name, c in columns.items()]))))

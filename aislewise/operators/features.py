@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from aislewise.functions.distributed import exact_quantiles
 from aislewise.functions.scalars import (clip, cut, half_up, money_mean, money_sum, not_null,
-                                         one_row, quantile_bin, ratio)
+                                         one_row, pinned, quantile_bin, ratio)
 
 
 def rfm(transactions: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def rfm_scores(rfm_table: DataFrame) -> DataFrame:
     edges = exact_quantiles(long, "value", dict(zip(names, (0.2, 0.4, 0.6, 0.8))), ("measure",))
     wide = edges.agg(*[F.max(F.when(F.col("measure") == m, F.array(*names))).alias(m)
                        for m in measures])
-    scored = rfm_table.withColumn("_edges", one_row(wide))
+    scored = pinned(rfm_table, _edges=one_row(wide))
 
     def score(measure: str) -> Column:
         return quantile_bin(measure, [F.col("_edges")[measure][i] for i in range(4)])
@@ -61,7 +61,7 @@ def label_encode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     vocabulary = one_row(df.select(*[text(c).alias(c) for c in columns]).agg(
         *[F.sort_array(F.collect_set(c)).alias(c) for c in columns],
         F.lit(0).alias("_unused")))
-    return (df.withColumn("_vocabulary", vocabulary)
+    return (pinned(df, _vocabulary=vocabulary)
             .withColumns({f"{c}_enc": F.array_position(F.col("_vocabulary")[c], text(c)) - 1
                           for c in columns}).drop("_vocabulary"))
 
@@ -132,7 +132,7 @@ def product_features(products: DataFrame, transactions: DataFrame, reviews: Data
 def velocity_class(features: DataFrame, column: str = "total_qty_sold") -> DataFrame:
     """A / B / C by the median and the 80th percentile of units sold."""
     edges = one_row(exact_quantiles(features, column, {"half": 0.5, "top": 0.8}))
-    return (features.withColumn("_edges", edges)
+    return (pinned(features, _edges=edges)
             .withColumn("velocity_class",
                         F.when(F.col(column) > F.col("_edges")["top"], "A")
                         .when(F.col(column) > F.col("_edges")["half"], "B").otherwise("C"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from aislewise.functions.distributed import exact_quantiles, running_total
 from aislewise.functions.scalars import (clip, half_up, money_mean, money_sum, not_null, one_row,
-                                         ratio)
+                                         pinned, ratio)
 from aislewise.operators.offers import daily_revenue, window_sums, with_length
 
 DEFAULT_ELASTICITY = -1.2
@@ -73,7 +73,7 @@ def dynamic_price(products: DataFrame, competitor_pricing: DataFrame, inventory:
     for part in (market, stock, pace, elasticity):
         wide = wide.join(part, "product_id", "left")
     now = F.col("price")
-    wide = (wide.withColumn("_ratio0", typical_ratio).withColumn("_demand0", typical_demand)
+    wide = (pinned(wide, _ratio0=typical_ratio, _demand0=typical_demand)
             .withColumns({
                 "_cost": F.coalesce(F.nullif(F.col("cost_price"), F.lit(0.0)), now * 0.6),
                 "_market": F.coalesce(F.col("comp_avg"), now),
@@ -208,7 +208,7 @@ def promo_curve(did: DataFrame) -> DataFrame:
 def promo_performance(did: DataFrame, products: DataFrame) -> DataFrame:
     """Blended revenue, incremental value, cannibalisation and confidence per promotion."""
     curve = one_row(promo_curve(did), "slope", "intercept", "cannibal_rate")
-    d = (did.drop("cannibal_rate").withColumn("_curve", curve)
+    d = (pinned(did.drop("cannibal_rate"), _curve=curve)
          .join(products.select("product_id", "product_name"), "product_id", "left"))
     days, sisters = F.col("days"), F.col("sisters")
     per_sister = F.when(F.col("sister_history") > 0, F.col("sister_history")

@@ -74,10 +74,11 @@ def next_best_offer(customers: DataFrame, promotions: DataFrame, products: DataF
                     weights: tuple[float, float, float] = (50.0, 15.0, 10.0)) -> DataFrame:
     """The best active promotion of every customer, with confidence and uplift.
 
-    Within one (category, segment, channel) cell the score grows with the discount
-    alone, so only a cell's deepest offer can win. The cells - the product of three
-    enumerations - travel as one array that each customer row is scored against;
-    customers are never joined with promotions to find the winner.
+    Within one (category, segment, channel) cell of the offers the score grows with the
+    discount alone, so only a cell's deepest offer can win; and customers with the same
+    category, segment and channel share the winner. Both sides are cells of three
+    enumerations: each profile is scored against the array of offer cells, and the
+    customers then join their profile. Customers never meet promotions.
     """
     discount_w, channel_w, recency_w = weights
     active = (promotions.where("is_active")
@@ -93,36 +94,37 @@ def next_best_offer(customers: DataFrame, promotions: DataFrame, products: DataF
         .alias("cells")).scalar()
     offers = active.agg(F.count(F.lit(1)).alias("n")).scalar()
 
+    profile = ["preferred_category", "segment", "preferred_channel"]
+    people = customers.select("customer_id", "loyalty_tier", *[
+        F.coalesce(c, F.lit("")).alias(c) for c in profile])
+    met = (people.select(*profile).distinct().withColumn("_cells", grid)
+           .select(*profile, F.inline("_cells")))
+    match = (F.col("channel") == "Both") | (F.col("channel") == F.col("preferred_channel"))
+    score = half_up(
+        F.when(F.col("category") == F.col("preferred_category"), 2.0).otherwise(0.0)
+        + F.when(F.col("target_segment") == F.col("segment"), 1.5)
+        .when(F.col("target_segment") == "All", 0.5).otherwise(0.0)
+        + F.col("depth") * discount_w + F.when(match, channel_w).otherwise(0.0), 9)
+    winners = (met.groupBy(*profile, score.alias("top"))
+               .agg(F.min("promo_id").alias("promo_id"), F.sum("offers").alias("ties"))
+               .groupBy(*profile)
+               .agg(F.max(F.struct("top", "promo_id", "ties")).alias("w"))
+               .select(*profile, "w.*").withColumn("_offers", offers))
+
     last = transactions.groupBy("customer_id").agg(F.max("transaction_date").alias("last_seen"))
     newest = transactions.agg(F.max("transaction_date").alias("d")).scalar()
-    base = (customers.join(last, "customer_id", "left").withColumn("_cells", grid)
-            .withColumn("_offers", offers).withColumn("_newest", newest))
-
-    def score(cell: Column) -> Column:
-        match = cell["channel"].isin("Both") | (cell["channel"] == F.col("preferred_channel"))
-        return half_up(
-            F.when(cell["category"] == F.col("preferred_category"), 2.0).otherwise(0.0)
-            + F.when(cell["target_segment"] == F.col("segment"), 1.5)
-            .when(cell["target_segment"] == "All", 0.5).otherwise(0.0)
-            + cell["depth"] * discount_w + F.when(match, channel_w).otherwise(0.0), 9)
-
-    scored = base.withColumn("_scored", F.transform("_cells", lambda c: F.struct(
-        score(c).alias("score"), c["promo_id"].alias("promo_id"), c["offers"].alias("offers"))))
-    winners = scored.withColumn("_top", F.array_max(F.transform("_scored", lambda s: s["score"])))
-    winners = winners.withColumn("_ties", F.filter(
-        "_scored", lambda s: s["score"] == F.col("_top")))
-    ties = F.aggregate("_ties", F.lit(0).cast("long"), lambda n, s: n + s["offers"])
+    scored = (people.join(last, "customer_id", "left").join(winners, profile)
+              .withColumn("_newest", newest))
     idle = F.coalesce(F.datediff("_newest", "last_seen"), F.lit(90))
     loyalty = (F.when(F.col("loyalty_tier") == "Bronze", 0.0)
                .when(F.col("loyalty_tier") == "Gold", 0.67)
                .when(F.col("loyalty_tier") == "Platinum", 1.0).otherwise(0.33))
     recency = F.lit(1.0) / (F.greatest(idle, F.lit(0)) / 30.0 + 1.0)
-    chosen = winners.where("_offers > 0").select(
-        "customer_id", F.array_min(F.transform("_ties", lambda s: s["promo_id"]))
-        .alias("promo_id"),
-        half_up(F.col("_top") + recency * recency_w + loyalty * 0.5, 4).alias("score"),
-        half_up(clip((F.col("_offers") - ties) / F.col("_offers") * 0.40 + 0.55, 0.55, 0.95), 2)
-        .alias("confidence"))
+    chosen = scored.select(
+        "customer_id", "promo_id",
+        half_up(F.col("top") + recency * recency_w + loyalty * 0.5, 4).alias("score"),
+        half_up(clip((F.col("_offers") - F.col("ties")) / F.col("_offers") * 0.40 + 0.55,
+                     0.55, 0.95), 2).alias("confidence"))
     uplift = promo_uplift(promotions, transactions)
     line = one_row(uplift_trend(uplift), "slope", "intercept")
     described = uplift.withColumn("_line", line).select(

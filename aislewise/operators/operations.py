@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from aislewise.functions.distributed import exact_quantiles, running_total
 from aislewise.functions.scalars import (clip, half_up, haversine_km, normal_quantile, not_null,
-                                         one_row, ratio)
+                                         one_row, pinned, ratio, spread)
 from aislewise.operators.features import recent_demand
 
 DEFAULT_WEIGHTS = (0.5, 0.3, 0.2)  # stockout, overstock, supplier reliability
@@ -320,11 +320,12 @@ def delivery_tours(lanes: DataFrame, warehouses: DataFrame, stores: DataFrame) -
         F.array_sort(F.collect_list(F.struct("store_id", F.col("slat").alias("lat"),
                                              F.col("slon").alias("lon"), "shipments")))
         .alias("stops"))
-    per = per.withColumn("n", F.size("stops")).join(F.broadcast(orders), "n")  # six rows
+    per = spread(per.withColumn("n", F.size("stops")), "warehouse_id").join(
+        F.broadcast(orders), "n")  # six rows of visiting orders
     points = F.concat(F.array(F.struct(F.col("wlat").alias("lat"), F.col("wlon").alias("lon"))),
                       F.transform("stops", lambda s: F.struct(s["lat"].alias("lat"),
                                                               s["lon"].alias("lon"))))
-    per = per.withColumn("points", points).withColumn("km", F.transform(
+    per = pinned(per.withColumn("points", points), km=F.transform(
         "points", lambda a: F.transform("points", lambda b: haversine_km(
             a["lat"], a["lon"], b["lat"], b["lon"]))))
 
@@ -341,7 +342,7 @@ def delivery_tours(lanes: DataFrame, warehouses: DataFrame, stores: DataFrame) -
     names = F.array_join(F.transform("best.order", lambda i: F.get(
         "stops", i - 1)["store_id"].cast("string")), " > ")
     items = F.aggregate("stops", F.lit(0).cast("long"), lambda n, s: n + s["shipments"])
-    tours = per.withColumn("best", best).select(
+    tours = pinned(per, best=best).select(
         "warehouse_id", F.col("n").alias("stops_count"), names.alias("route_order"),
         half_up("best.km", 2).alias("distance_km"),
         half_up(F.col("best.km") / 50.0, 1).alias("estimated_time_hrs"),

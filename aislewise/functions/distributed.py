@@ -13,27 +13,26 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from aislewise.functions.scalars import half_up, pinned
+from aislewise.session import stored
 
 FAN = 8
 RANGES = FAN * FAN    # key ranges per job
 SAMPLE = RANGES * 16  # keys looked at to choose the cut points
 
 
-def _with_range(df: DataFrame, key: Column, value: str) -> DataFrame:
+def _with_range(df: DataFrame, key: Column) -> DataFrame:
     """Add ``_range``, the number of the key range a row falls in.
 
     The cut points come from the SAMPLE keys with the smallest hash: a bounded
     top-k that any re-run repeats exactly. They only balance the work; the
-    result does not depend on them. The value rides along so that this reads the
-    same columns as the main branch and can reuse its shuffle.
+    result does not depend on them.
     """
-    picked = (df.select(key.alias("key"), value)
+    picked = (df.select(key.alias("key"))
               .orderBy(F.xxhash64("key"), "key").limit(SAMPLE)
-              .agg(F.sort_array(F.collect_list(F.struct("key", value))).alias("keys")))
+              .agg(F.sort_array(F.collect_list("key")).alias("keys")))
     step = SAMPLE // RANGES
-    cuts = picked.select(F.slice(F.transform(
-        F.filter("keys", lambda k, i: i % step == step - 1), lambda k: k["key"]),
-        1, RANGES - 1).alias("cuts")).scalar()
+    cuts = picked.select(F.slice(F.filter(
+        "keys", lambda k, i: i % step == step - 1), 1, RANGES - 1).alias("cuts")).scalar()
 
     def passed(first, every: int) -> Column:
         """How many of FAN - 1 cuts the key has reached; past the end ``get`` is null."""
@@ -53,11 +52,11 @@ def running_total(df: DataFrame, order: list[Column], value: str,
     """Add ``running`` (inclusive) and ``total`` of ``value`` per group.
 
     ``order`` must make every row of a group distinct. Group columns must not be
-    null.
+    null. The rows are read three times below, so they are written out first.
     """
     key = F.struct(*[F.col(g) for g in group],
                    *[o.alias(f"o{i}") for i, o in enumerate(order)])
-    ranged = _with_range(df, key, value)
+    ranged = _with_range(stored(df), key)
     by_range = Window.partitionBy(*group).orderBy("_range")
     offsets = (ranged.groupBy(*group, "_range").agg(F.sum(value).alias("_sum"))
                .withColumn("_offset", F.coalesce(

@@ -140,17 +140,21 @@ def next_best_offer(customers: DataFrame, promotions: DataFrame, products: DataF
 def segment_offers(customers: DataFrame, promotions: DataFrame, products: DataFrame,
                    n: int = 6) -> DataFrame:
     """The n offers with the highest modelled uplift for every customer segment."""
-    def mode(column: str) -> DataFrame:
-        counts = customers.where(F.col(column).isNotNull()).groupBy("segment", column).agg(
-            F.count(F.lit(1)).alias("n"))
-        rank = F.row_number().over(Window.partitionBy("segment").orderBy(F.desc("n"), column))
-        return counts.withColumn("_r", rank).where("_r = 1").select(
-            "segment", F.col(column).alias(f"modal_{column}"))
-
-    size = customers.where("segment IS NOT NULL").groupBy("segment").agg(
-        F.count(F.lit(1)).alias("segment_size"))
-    profile = size.join(mode("preferred_category"), "segment").join(
-        mode("preferred_channel"), "segment")
+    counted = (customers.where("segment IS NOT NULL")
+               .groupingSets([["segment"], ["segment", "preferred_category"],
+                              ["segment", "preferred_channel"]],
+                             "segment", "preferred_category", "preferred_channel")
+               .agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("g")))
+
+    def mode(level: int, column: str) -> Column:
+        """Most frequent value, the alphabetically first of equals."""
+        here = (F.col("g") == level) & F.col(column).isNotNull()
+        return F.min(F.when(here, F.struct((-F.col("n")).alias("n"), F.col(column)
+                                           .alias("v"))))["v"].alias(f"modal_{column}")
+
+    profile = counted.groupBy("segment").agg(
+        F.max(F.when(F.col("g") == 3, F.col("n"))).alias("segment_size"),
+        mode(1, "preferred_category"), mode(2, "preferred_channel"))
     # One array entry per segment, an enumeration: each promotion is scored for each.
     profiles = profile.agg(F.collect_list(F.struct(*profile.columns)).alias("p")).scalar()
     active = (promotions.where("is_active")

@@ -9,10 +9,12 @@ from aislewise.operators import customers as K, models, offers as P
 from aislewise.plans.features import sql
 from aislewise.plans.oracle_tables import MSUM, R
 from aislewise.plans.shape import plain
+from aislewise.session import stored
 
 
 def _signal(t):
-    return K.implicit_feedback(t.transactions, t.carts, t.wishlist)
+    """Three jobs, each written once and read by the next: signal, neighbours, candidates."""
+    return stored(K.implicit_feedback(t.transactions, t.carts, t.wishlist))
 
 
 def _similar(t):
@@ -21,11 +23,11 @@ def _similar(t):
 
 def _candidates(t, n):
     signal = _signal(t)
-    return K.cf_candidates(signal, K.similar_customers(signal), n)
+    return K.cf_candidates(signal, stored(K.similar_customers(signal)), n)
 
 
 def implicit_feedback(t):
-    return plain(_signal(t))
+    return plain(K.implicit_feedback(t.transactions, t.carts, t.wishlist))
 
 
 def similar_customers(t):

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     # AQE sizes the reducers, splits skewed join partitions and turns a join into
@@ -44,3 +45,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="aislewise-checkpoint-"))
     else:
         raise ValueError("spark.checkpoint.dir must name a folder all executors share")
+
+
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables: the one the cluster names, a local one in local mode."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    application = spark.sparkContext.applicationId
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder all executors share")
+    if application not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="aislewise-")
+    return _LOCAL_FOLDERS[application]
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write an intermediate result once and read it back.
+
+    For results that several later branches read: they are computed once, every branch
+    sees the same values, the lineage ends here, and a lost executor only costs a re-read.
+    """
+    spark = df.sparkSession
+    path = "/".join([shared_folder(spark), spark.sparkContext.applicationId, uuid4().hex])
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

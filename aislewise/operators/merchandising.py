@@ -10,6 +10,7 @@ from aislewise.functions.distributed import exact_quantiles, running_total
 from aislewise.functions.scalars import (clip, half_up, money_mean, money_sum, not_null, one_row,
                                          pinned, ratio)
 from aislewise.operators.offers import daily_revenue, window_sums, with_length
+from aislewise.session import stored
 
 DEFAULT_ELASTICITY = -1.2
 
@@ -259,9 +260,9 @@ def promo_performance(did: DataFrame, products: DataFrame) -> DataFrame:
 def competitor_gaps(products: DataFrame, competitor_pricing: DataFrame) -> DataFrame:
     """Gap to the mean competitor price as a z-score, with status and suggested price."""
     market = competitor_pricing.groupBy("product_id").agg(money_mean("price").alias("market"))
-    gaps = (products.select("product_id", "product_name", "category", "price")
-            .join(market, "product_id")
-            .withColumn("_gap", (F.col("price") - F.col("market")) / F.col("market") * 100))
+    gaps = stored(products.select("product_id", "product_name", "category", "price")
+                  .join(market, "product_id").withColumn(
+                      "_gap", (F.col("price") - F.col("market")) / F.col("market") * 100))
     spread = one_row(gaps.agg(F.avg("_gap").alias("mean"), F.stddev_samp("_gap").alias("std")))
     z = F.col("_z")
     gaps = gaps.withColumn("_s", spread).withColumn(
@@ -325,7 +326,7 @@ def regional_revenue(orders: DataFrame, stores: DataFrame) -> DataFrame:
 
 def assortment_pareto(orders: DataFrame, stores: DataFrame, products: DataFrame) -> DataFrame:
     """How few products earn the first 80 % of revenue, per region and overall."""
-    regional = regional_revenue(orders, stores)
+    regional = stored(regional_revenue(orders, stores))
     overall = (regional.groupBy("product_id")
                .agg(F.sum("cents").alias("cents"), F.sum("lines").alias("lines"))
                .select(F.lit("All").alias("region"), "product_id", "cents", "lines"))
@@ -344,7 +345,7 @@ def assortment_pareto(orders: DataFrame, stores: DataFrame, products: DataFrame)
 def assortment_candidates(orders: DataFrame, stores: DataFrame, products: DataFrame,
                           inventory: DataFrame, add_limit: int = 15) -> DataFrame:
     """Per region: products to add (strong elsewhere, absent here) and to drop."""
-    regional = regional_revenue(orders, stores)
+    regional = stored(regional_revenue(orders, stores))
     here = regional.where("region IS NOT NULL")
     # regions are an enumeration: each product meets every region once
     regions = here.agg(F.array_sort(F.collect_set("region")).alias("r")).scalar()

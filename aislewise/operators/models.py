@@ -88,7 +88,7 @@ def forecast_errors(training: DataFrame, model: GBTRegressionModel,
             .where((F.col("_all") == 1) | (F.col("test_rows") >= min_rows)).drop("_all"))
 
 
-def demand_forecast(training: DataFrame, daily: DataFrame, products: DataFrame,
+def demand_forecast(daily: DataFrame, products: DataFrame,
                     model: GBTRegressionModel, errors: DataFrame, horizon: int = 7,
                     holidays: Sequence[tuple[int, int, str]] = HOLIDAYS,
                     checkpoint_every: int = 10) -> DataFrame:

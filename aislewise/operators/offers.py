@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from aislewise.functions.scalars import clip, half_up, one_row
+from aislewise.session import stored
 
 BIN_DAYS = 32
 
@@ -125,7 +126,7 @@ def next_best_offer(customers: DataFrame, promotions: DataFrame, products: DataF
         half_up(F.col("top") + recency * recency_w + loyalty * 0.5, 4).alias("score"),
         half_up(clip((F.col("_offers") - F.col("ties")) / F.col("_offers") * 0.40 + 0.55,
                      0.55, 0.95), 2).alias("confidence"))
-    uplift = promo_uplift(promotions, transactions)
+    uplift = stored(promo_uplift(promotions, transactions))  # read by the line and the lookup
     line = one_row(uplift_trend(uplift), "slope", "intercept")
     described = uplift.withColumn("_line", line).select(
         "promo_id", "promo_type", "product_id",

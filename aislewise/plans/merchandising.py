@@ -9,6 +9,7 @@ from aislewise.operators import features as X, merchandising as M
 from aislewise.plans.features import sql
 from aislewise.plans.oracle_tables import MAVG, MSUM, R
 from aislewise.plans.shape import plain
+from aislewise.session import stored
 
 
 def _elasticity(t):
@@ -16,8 +17,9 @@ def _elasticity(t):
 
 
 def _dynamic(t):
-    return M.dynamic_price(t.products, t.competitor_pricing, t.inventory,
-                           X.inventory_features(t.inventory, t.transactions), _elasticity(t))
+    features = stored(X.inventory_features(t.inventory, t.transactions))
+    return M.dynamic_price(t.products, t.competitor_pricing, t.inventory, features,
+                           _elasticity(t))
 
 
 def _did(t):
@@ -63,7 +65,7 @@ def promo_curve(t):
 
 
 def promo_performance(t):
-    return plain(M.promo_performance(_did(t), t.products))
+    return plain(M.promo_performance(stored(_did(t)), t.products))
 
 
 def competitor_gaps(t):

@@ -9,6 +9,7 @@ from aislewise.operators import features as X, models as L
 from aislewise.plans.features import calendar, sql
 from aislewise.plans.oracle_tables import R
 from aislewise.plans.shape import plain
+from aislewise.session import stored
 from aislewise.functions.scalars import half_up
 
 TREES, RATE = 20, 0.3
@@ -19,8 +20,9 @@ def _daily(t):
     return X.daily_sales(t.transactions, calendar(t))
 
 
-def _training(t):
-    return L.forecast_training(X.daily_sales_lags(_daily(t)), t.products)
+def _training(t, daily=None):
+    """Written once: the trainer, the error table and the split all read it."""
+    return stored(L.forecast_training(X.daily_sales_lags(daily or _daily(t)), t.products))
 
 
 def _audience(t):
@@ -40,9 +42,10 @@ def forecast_model(t):
 
 
 def demand_forecast(t):
-    training = _training(t)
+    daily = stored(_daily(t))
+    training = _training(t, daily)
     model = L.fit_forecast_model(training, TREES, 5, RATE)
-    return plain(L.demand_forecast(training, _daily(t), t.products, model,
+    return plain(L.demand_forecast(daily, t.products, model,
                                    L.forecast_errors(training, model), horizon=7))
 
 
@@ -59,7 +62,7 @@ def audience_k(t):
 
 
 def audience_clusters(t):
-    audience = _audience(t)
+    audience = stored(_audience(t))
     _, k = L.audience_k(audience)
     return L.cluster_labels(L.cluster_means(L.audience_clusters(audience, k)))
 

@@ -34,7 +34,7 @@ def test_forecast_beats_the_mean_and_covers_unsold(spark, sales):
     naive = training.where("NOT is_train").agg(F.avg(F.abs(F.col("daily_qty") - mean))).first()[0]
     assert overall["mae"] < naive / 2
     assert errors.where("product_id IS NOT NULL").count() == 4
-    forecast = L.demand_forecast(training, daily, products, model, errors, horizon=5,
+    forecast = L.demand_forecast(daily, products, model, errors, horizon=5,
                                  checkpoint_every=2).collect()
     assert len(forecast) == 25 and all(r["forecast_qty"] >= 0 for r in forecast)
     unsold = [r for r in forecast if r["product_id"] == 4]

@@ -8,6 +8,7 @@ range totals are accumulated, and every range then adds its own offset.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -15,35 +16,41 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from aislewise.functions.scalars import half_up, pinned
 from aislewise.session import stored
 
-FAN = 8
-RANGES = FAN * FAN    # key ranges per job
-SAMPLE = RANGES * 16  # keys looked at to choose the cut points
+MIN_FAN, MAX_FAN = 8, 32  # FAN * FAN key ranges per job: 64 to 1024
+PER_RANGE = 16            # keys looked at per range to choose the cut points
+
+
+def _fan(df: DataFrame) -> int:
+    """Enough ranges to occupy the cluster's shuffle partitions."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(MAX_FAN, max(MIN_FAN, math.isqrt(parts) + 1))
 
 
 def _with_range(df: DataFrame, key: Column) -> DataFrame:
     """Add ``_range``, the number of the key range a row falls in.
 
-    The cut points come from the SAMPLE keys with the smallest hash: a bounded
-    top-k that any re-run repeats exactly. They only balance the work; the
+    The cut points come from the keys with the smallest hash: a bounded top-k that any re-run repeats exactly. They only balance the work; the
     result does not depend on them.
     """
+    fan = _fan(df)
+    ranges = fan * fan
     picked = (df.select(key.alias("key"))
-              .orderBy(F.xxhash64("key"), "key").limit(SAMPLE)
+              .orderBy(F.xxhash64("key"), "key").limit(ranges * PER_RANGE)
               .agg(F.sort_array(F.collect_list("key")).alias("keys")))
-    step = SAMPLE // RANGES
     cuts = picked.select(F.slice(F.filter(
-        "keys", lambda k, i: i % step == step - 1), 1, RANGES - 1).alias("cuts")).scalar()
+        "keys", lambda k, i: i % PER_RANGE == PER_RANGE - 1), 1, ranges - 1)
+        .alias("cuts")).scalar()
 
     def passed(first, every: int) -> Column:
-        """How many of FAN - 1 cuts the key has reached; past the end ``get`` is null."""
+        """How many of fan - 1 cuts the key has reached; past the end ``get`` is null."""
         return reduce(lambda a, b: a + b, [
             F.when(F.get("_cuts", first + every * n) <= F.col("_key"), 1).otherwise(0)
-            for n in range(FAN - 1)])
+            for n in range(fan - 1)])
 
-    # Two levels of FAN: every FAN-th cut first, then the cuts in between.
-    searched = pinned(pinned(df, _cuts=cuts, _key=key), _coarse=passed(F.lit(FAN - 1), FAN))
-    fine = passed(F.col("_coarse") * FAN, 1)
-    return searched.withColumn("_range", F.col("_coarse") * FAN + fine).drop(
+    # Two levels: every fan-th cut first, then the cuts in between.
+    searched = pinned(pinned(df, _cuts=cuts, _key=key), _coarse=passed(F.lit(fan - 1), fan))
+    fine = passed(F.col("_coarse") * fan, 1)
+    return searched.withColumn("_range", F.col("_coarse") * fan + fine).drop(
         "_cuts", "_key", "_coarse")
 
 

@@ -21,10 +21,12 @@ def price_elasticity(pricing_history: DataFrame, transactions: DataFrame) -> Dat
     """Mean of quantity change over price change between consecutive price periods.
 
     Sales find their period by a sorted pass over the two logs stacked (prices first on
-    a day), not by a range join. Both are per product and day before they are stacked.
+    a day), not by a range join. Both are per product and day before they are stacked,
+    several prices of one day as their mean, so a product's pass is bounded by its days.
     """
-    order = Window.partitionBy("product_id").orderBy("effective_date", "price")
-    prices = not_null(pricing_history, "product_id", "effective_date").select(
+    order = Window.partitionBy("product_id").orderBy("effective_date")
+    prices = not_null(pricing_history, "product_id", "effective_date", "price").groupBy(
+        "product_id", "effective_date").agg(money_mean("price").alias("price")).select(
         "product_id", "effective_date", "price",
         F.row_number().over(order).alias("period"),
         F.lead("effective_date").over(order).alias("until"))

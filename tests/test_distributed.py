@@ -116,7 +116,8 @@ def test_ranges_do_not_change_the_result(frame, monkeypatch):
     df = frame("g string, id long, v long", *rows)
     few = {r["id"]: r["running"] for r in
            running_total(df, [F.col("v"), F.col("id")], "v", ("g",)).collect()}
-    monkeypatch.setattr(distributed, "SAMPLE", distributed.RANGES)
+    monkeypatch.setattr(distributed, "PER_RANGE", 1)
+    monkeypatch.setattr(distributed, "MIN_FAN", 20)
     more = {r["id"]: r["running"] for r in
             running_total(df, [F.col("v"), F.col("id")], "v", ("g",)).collect()}
     assert few == more

@@ -202,9 +202,9 @@ ORACLES = {
         FROM cust c LEFT JOIN x_rfm r ON c.customer_id=r.customer_id
         LEFT JOIN x_scores s ON c.customer_id=s.customer_id
         LEFT JOIN (SELECT customer_id, COUNT(*) AS n, AVG(dwell_seconds) AS dwell,
-                     SUM(CAST(added_to_cart AS INT)) AS adds, AVG(CAST(purchased AS INT)) AS buy
+                     CAST(SUM(CAST(added_to_cart AS INT)) AS BIGINT) AS adds, AVG(CAST(purchased AS INT)) AS buy
                    FROM browse GROUP BY 1) b ON c.customer_id=b.customer_id
-        LEFT JOIN (SELECT customer_id, COUNT(*) AS n, SUM(CAST(is_purchased AS INT)) AS bought
+        LEFT JOIN (SELECT customer_id, COUNT(*) AS n, CAST(SUM(CAST(is_purchased AS INT)) AS BIGINT) AS bought
                    FROM wish GROUP BY 1) w ON c.customer_id=w.customer_id
         LEFT JOIN (SELECT customer_id, COUNT(*) AS n,
                      COUNT(*) FILTER (WHERE status='Abandoned') AS abandoned

@@ -125,6 +125,6 @@ ORACLES = {
           transaction_date - DATE '1970-01-01' AS DOUBLE), 0.85)''', 6)} FROM l_train) AS BIGINT)
           AS is_train FROM l_train""", EXTRA),
     "offer_conversions": sql("""
-      SELECT discount_pct, ch_match, CASE WHEN hit THEN 1.0 ELSE 0.0 END AS label,
-             COUNT(*) AS weight FROM l_people GROUP BY 1,2,3""", EXTRA),
+      SELECT discount_pct, ch_match, CASE WHEN hit THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label,
+             CAST(COUNT(*) AS DOUBLE) AS weight FROM l_people GROUP BY 1,2,3""", EXTRA),
 }

@@ -10,6 +10,7 @@ from aislewise.plans.catalogue import haversine_sql
 from aislewise.plans.features import sql
 from aislewise.plans.oracle_tables import MSUM, R
 from aislewise.plans.shape import plain
+from aislewise.session import stored
 
 
 def _health(t):
@@ -96,7 +97,7 @@ def route_baseline(t):
 
 
 def delivery_tours(t):
-    return plain(O.delivery_tours(_lanes(t), t.warehouses, t.stores))
+    return plain(O.delivery_tours(stored(_lanes(t)), t.warehouses, t.stores))
 
 
 def delivery_speed(t):

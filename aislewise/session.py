@@ -48,6 +48,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 _LOCAL_FOLDERS: dict[str, str] = {}
+_OWN_FOLDERS: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -63,13 +64,27 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[application]
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's folder in the shared one. It is deleted when the driver's process ends."""
+    folder = "/".join([shared_folder(spark), spark.sparkContext.applicationId])
+    if folder not in _OWN_FOLDERS:
+        _OWN_FOLDERS.add(folder)
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return folder
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write an intermediate result once and read it back.
 
     For results that several later branches read: they are computed once, every branch
     sees the same values, the lineage ends here, and a lost executor only costs a re-read.
+    The file lives in the application's own folder, which goes when the application ends.
     """
     spark = df.sparkSession
-    path = "/".join([shared_folder(spark), spark.sparkContext.applicationId, uuid4().hex])
+    path = "/".join([own_folder(spark), uuid4().hex])
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from aislewise.llm import chat, exact
+from aislewise.llm import chat, exact, simhash
 from aislewise.llm.common import table
 from aislewise.session import stored
 
 
+def op1_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"),
+                        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+                        "component_id")
+
+
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = exact.duplicates(table(spark, folder, "documents"))
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept",
@@ -25,6 +32,7 @@ def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash_dedup": op1_simhash_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op8_chat_formatting": op8_chat_formatting,
 }

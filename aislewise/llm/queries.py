@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from aislewise.llm import chat, exact, simhash
+from aislewise.llm import chat, exact, mixing, simhash
 from aislewise.llm.common import table
 from aislewise.session import stored
 
@@ -22,6 +22,12 @@ def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
                         F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, folder, "documents").select("doc_id", "text", "source"))
+    return mixed.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target",
+                        (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -34,6 +40,7 @@ def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_mixing": op5_mixing,
     "op8_chat_formatting": op8_chat_formatting,
 }
 

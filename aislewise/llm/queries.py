@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from aislewise.llm import chat, exact, mixing, simhash
+from aislewise.llm import chat, exact, mixing, packing, simhash
 from aislewise.llm.common import table
 from aislewise.session import stored
 
+TOKENIZER = "word_bpe_49k.json"  # a file of public_tokenizers
+
 
 def op1_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
@@ -37,11 +39,19 @@ def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(stored(chat.examples(rows.unionByName(probe))))
 
 
+def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    found = packing.packed(table(spark, folder, "documents"), TOKENIZER)
+    return found.select(F.col("id").alias("doc_id"), "start", "length",
+                        F.col("crc").alias("ids_crc32"), F.col("tokens").alias("doc_tokens"),
+                        "sequence_id", "offset")
+
+
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_mixing": op5_mixing,
     "op8_chat_formatting": op8_chat_formatting,
+    "op9_packing": op9_packing,
 }
 
 _ESCAPED = "regexp_replace({0}, '(<|\\[)(\\\\*)" + chat._REST + "', '\\1\\\\\\2\\3', 'g')"

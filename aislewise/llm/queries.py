@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from aislewise.llm import chat, exact, mixing, packing, simhash
+from aislewise.llm import chat, classifier, exact, mixing, packing, simhash
 from aislewise.llm.common import table
 from aislewise.session import stored
 
@@ -46,12 +46,18 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
                         "sequence_id", "offset")
 
 
+def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return classifier.assess(table(spark, folder, "documents"), table(spark, folder, "labels")
+                             ).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_mixing": op5_mixing,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_packing": op9_packing,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 _ESCAPED = "regexp_replace({0}, '(<|\\[)(\\\\*)" + chat._REST + "', '\\1\\\\\\2\\3', 'g')"

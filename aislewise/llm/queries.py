@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from aislewise.llm import chat, classifier, exact, mixing, packing, simhash
+from aislewise.llm import chat, classifier, exact, mixing, packing, rules, simhash, warc
 from aislewise.llm.common import table
 from aislewise.session import stored
 
@@ -24,12 +24,22 @@ def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
                         F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.captures(table(spark, folder, "pages"))
+
+
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(table(spark, folder, "documents").select("doc_id", "text", "source"))
     return mixed.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target",
                         (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.assess(table(spark, folder, "documents")).select(
+        F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
+        "n_repeat_words", "base_failed", "kept", "removed_words")
+
+
 def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -54,7 +64,9 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_warc": op4_warc,
     "op5_mixing": op5_mixing,
+    "op7_quality_rules": op7_quality_rules,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_packing": op9_packing,
     "op10_quality_classifier": op10_quality_classifier,
@@ -62,7 +74,52 @@ QUERIES = {
 
 _ESCAPED = "regexp_replace({0}, '(<|\\[)(\\\\*)" + chat._REST + "', '\\1\\\\\\2\\3', 'g')"
 
+_SPACE = "[\\x20\\x09-\\x0D]"
+
 ORACLES = {
+    "op4_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes,
+                          sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN
+                min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first <> page_id THEN first END AS refers_to FROM f""",
+    "op7_quality_rules": f"""
+        WITH d AS (SELECT row_number() OVER () AS k, doc_id, source,
+                          coalesce(text, '') AS text FROM documents),
+        w AS (SELECT k, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM (
+                SELECT k, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words FROM d)),
+        l AS (SELECT *, lead(w, 1) OVER o AS w1, lead(w, 2) OVER o AS w2 FROM w
+              WINDOW o AS (PARTITION BY k ORDER BY i)),
+        f AS (SELECT k, i, w2 IS NOT NULL AND count(*) OVER (PARTITION BY k, w, w1, w2) > 1 AS hit
+              FROM l),
+        c AS (SELECT k, count(*) AS n_words, count(*) FILTER (covered) AS n_repeat_words FROM (
+                SELECT k, hit OR coalesce(lag(hit, 1) OVER o, false)
+                       OR coalesce(lag(hit, 2) OVER o, false) AS covered
+                FROM f WINDOW o AS (PARTITION BY k ORDER BY i)) GROUP BY k),
+        raw AS (SELECT k, source, text, unnest(string_split(text, chr(10))) AS line FROM d),
+        lines AS (SELECT k, source, text, line, trim(regexp_replace(translate(line,
+                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '{_SPACE}+', ' ', 'g'), ' ') AS norm FROM raw
+                  WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+        dup AS (SELECT k, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY k),
+        hosts AS (SELECT source, count(DISTINCT text) AS total FROM lines GROUP BY source),
+        often AS (SELECT source, norm FROM (
+                    SELECT source, norm, count(DISTINCT text) AS n FROM lines GROUP BY ALL) q
+                  JOIN hosts USING (source) WHERE n > 20 AND n > total * 0.1),
+        gone AS (SELECT k, sum(len(string_split(norm, ' ')))::BIGINT AS removed_words
+                 FROM lines JOIN often USING (source, norm) GROUP BY k),
+        r AS (SELECT doc_id, coalesce(n_words, 0) AS n_words,
+                 length(regexp_replace(text, '{_SPACE}', '', 'g')) AS word_chars,
+                 length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+                 coalesce(n_dup_lines, 0) AS n_dup_lines,
+                 coalesce(n_repeat_words, 0) AS n_repeat_words,
+                 coalesce(removed_words, 0) AS removed_words
+              FROM d LEFT JOIN c USING (k) LEFT JOIN dup USING (k) LEFT JOIN gone USING (k))
+        SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+               NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
+               AND n_words - removed_words >= n_words * 0.5 AS kept FROM r""",
     "op3_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from aislewise.llm import chat, classifier, exact, mixing, packing, rules, simhash, warc
+from aislewise.llm import chat, classifier, exact, mixing, packing, paragraphs, rules, simhash, warc
 from aislewise.llm.common import table
 from aislewise.session import stored
 
@@ -34,6 +34,10 @@ def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
                         (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return paragraphs.repeated(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.assess(table(spark, folder, "documents")).select(
         F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
@@ -66,6 +70,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_warc": op4_warc,
     "op5_mixing": op5_mixing,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_packing": op9_packing,

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from aislewise.llm import chat, classifier, exact, mixing, packing, paragraphs, rules, simhash, warc
+from aislewise.llm import chat, classifier, exact, mixing, packing, paragraphs, pii, rules, simhash, warc
 from aislewise.llm.common import table
 from aislewise.session import stored
 
+PII_KEY = b"replace this key in production"
 TOKENIZER = "word_bpe_49k.json"  # a file of public_tokenizers
 
 
@@ -18,6 +19,11 @@ def op1_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
                         "component_id")
 
 
+def op2_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.pseudonymise(table(spark, folder, "documents"), PII_KEY)
+    return found.select(F.col("row.doc_id").alias("doc_id"), "text", "entities", "types")
+
+
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = exact.duplicates(table(spark, folder, "documents"))
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept",
@@ -67,6 +73,7 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
+    "op2_pii_surrogates": op2_pii_surrogates,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_warc": op4_warc,
     "op5_mixing": op5_mixing,

@@ -30,8 +30,13 @@ def _run_links(nodes: np.ndarray, sets: list[np.ndarray], similarity: float,
         fits = (np.minimum(size[:i], size[i]) >= similarity * np.maximum(size[:i], size[i]))
         if near is not None:
             fits &= np.bitwise_count(near[:i] ^ near[i]) <= radius
-        for j in np.nonzero(fits)[0]:
-            if label[j] != label[i] and jaccard(sets[j], sets[i]) >= similarity:
+        while True:
+            open_ = fits & (label[:i] != label[i])
+            j = int(open_.argmax())
+            if not open_[j]:
+                break
+            fits[j] = False
+            if jaccard(sets[j], sets[i]) >= similarity:
                 low, high = sorted((label[j], label[i]))
                 label[:i + 1][label[:i + 1] == high] = low
     return ((int(nodes[label[i]]), int(nodes[i])) for i in range(len(nodes)) if label[i] != i)

@@ -12,7 +12,7 @@ from __future__ import annotations
 import heapq
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,83 +31,73 @@ WORDS, PIECES = 300_000, 600_000      # entries of a worker's caches, at most
 
 #: Letters whose NFC form is themselves and whose lower case is one letter.
 _PLAIN = regex.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([^\s\p{L}\p{M}\p{N}]*)")
+_ASCII_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
+def _byte_letters() -> dict[int, int]:
+    """The character a byte-level tokenizer writes for each byte: printable ones stand for
+    themselves, the others for the characters from 256 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(rest)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
+class _Cache(dict):
+    """A dictionary that computes a missing value, and starts anew when it is full."""
+
+    def __init__(self, compute: Callable[[bytes], bytes], most: int):
+        super().__init__()
+        self.compute, self.most = compute, most
+
+    def __missing__(self, key: bytes) -> bytes:
+        value = self.compute(key)
+        if len(self) >= self.most:
+            self.clear()
+        self[key] = value
+        return value
+
+
 class WordTokenizer:
     """Token ids of a text, word by word, for a BPE with word ends that drops white space.
 
     Such a tokenizer never joins over white space, so a text's ids are those of its words. Words
     repeat, so their ids are kept, in two bounded caches: by word as written, and by its lower-case
-    letters or marks. A new entry is encoded by the ``tokenizers`` library.
+    letters or its marks. What is not known is encoded by the ``tokenizers`` library.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.encoder = Tokenizer.from_file(path)
-        vocabulary = self.encoder.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.encoder.encode_batch_fast([text], add_special_tokens=False)[0].ids,
-                        dtype="<u4")
-
-    def _learn_pieces(self, pieces: list[str]) -> None:
-        if len(self.pieces) + len(pieces) > PIECES:
-            self.pieces.clear()
-        for start in range(0, len(pieces), 1000):
-            part = pieces[start:start + 1000]
-            ids = self._encode(" ".join(part))
-            stops = np.nonzero(self.ends[ids])[0] + 1
-            if len(stops) != len(part):  # not one word end a piece: one by one
-                self.pieces.update((p, self._encode(p).tobytes()) for p in part)
-                continue
-            raw, begin = ids.tobytes(), 0
-            for piece, stop in zip(part, (stops * 4).tolist(), strict=True):
-                self.pieces[piece] = raw[begin:stop]
-                begin = stop
-
-    def learn(self, words: set[bytes]) -> None:
-        """Make sure that all these words are known."""
-        if len(self.words) + len(words) > WORDS:
-            self.words.clear()
-        split, other = {}, []
-        for word in words - self.words.keys():
-            match = _PLAIN.fullmatch(word.decode())
-            if match:
-                split[word] = (match[1].lower(), match[2])
-            else:
-                other.append(word)
-        fresh = {p for pair in split.values() for p in pair if p} - self.pieces.keys()
-        if fresh:
-            before = len(self.pieces)
-            self._learn_pieces(sorted(fresh))
-            if len(self.pieces) < before + len(fresh):  # the cache was emptied meanwhile
-                self._learn_pieces(sorted({p for pair in split.values() for p in pair if p}
-                                          - self.pieces.keys()))
-        for word, (letters, marks) in split.items():
-            self.words[word] = self.pieces[letters] + (self.pieces[marks] if marks else b"")
-        for word in other:
-            self.words[word] = self._encode(word.decode()).tobytes()
-
-    def encode_all(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Each UTF-8 text's ids as little-endian unsigned 32-bit numbers."""
-        chunk = 100_000  # words learnt at a time
-        for text in texts:
-            words = text.split()
-            parts = []
-            for start in range(0, len(words), chunk):
-                part = words[start:start + chunk]
-                try:
-                    parts.append(b"".join([self.words[w] for w in part]))
-                except KeyError:
-                    self.learn(set(part))
-                    parts.append(b"".join([self.words[w] for w in part]))
-            yield b"".join(parts)
+        self.model = self.encoder.model
+        self.pieces = _Cache(self._piece, PIECES)
+        self.words = _Cache(self._word, WORDS)
+
+    def _piece(self, piece: bytes) -> bytes:
+        """Ids of a lower-case run of letters, or of marks: one unit of the tokenizer's own split,
+        so its model alone is asked, with the bytes as the characters it stands for them with."""
+        found = self.model.tokenize(piece.decode("latin-1").translate(_BYTE_LETTERS))
+        return np.array([t.id for t in found], dtype="<u4").tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        letters = word.rstrip(_ASCII_MARKS)
+        if letters.isalpha():  # on bytes: A-Z and a-z only
+            marks, letters = word[len(letters):], letters.lower()
+        elif match := _PLAIN.fullmatch(word.decode()):
+            letters, marks = match[1].lower().encode(), match[2].encode()
+        else:
+            ids = self.encoder.encode(word.decode(), add_special_tokens=False).ids
+            return np.array(ids, dtype="<u4").tobytes()
+        return self.pieces[letters] + self.pieces[marks] if marks else self.pieces[letters]
+
+    def encode(self, text: bytes) -> bytes:
+        """A UTF-8 text's ids as little-endian unsigned 32-bit numbers."""
+        words = self.words
+        return b"".join([words[w] for w in text.split()])
 
 
 def _tokenizer(name: str) -> WordTokenizer:
@@ -132,8 +122,9 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
         texts = batch.column(1).to_pylist()
         row, start, size, crc, total = [], [], [], [], []
         end = np.array([END_ID], dtype="<u4").tobytes()
-        for k, raw in enumerate(_tokenizer(tokenizer).encode_all(texts)):
-            data = memoryview(raw + end)
+        encode = _tokenizer(tokenizer).encode
+        for k, text in enumerate(texts):
+            data = memoryview(encode(text) + end)
             count = len(data) // 4
             for begin in range(0, count, length):
                 part = data[begin * 4:(begin + length) * 4]

@@ -1,0 +1,415 @@
+"""Each operator's method against brute force, a round trip, or held-out labels."""
+
+import re
+import zlib
+from hashlib import sha256
+
+import numpy as np
+import pytest
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from aislewise.llm import (bitslice, chat, classifier, components, jaccard, mixing, packing,
+                           paragraphs, pii, rules, shingles, simhash, warc)
+from aislewise.llm.common import table
+
+FOLDER = "/root/testdata/sf0.001"
+TOKENIZER = "word_bpe_49k.json"
+
+
+def closed(nodes, links):
+    """Smallest node of each node's component."""
+    parent = {n: n for n in nodes}
+
+    def find(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 5, 7])
+def test_bit_sliced_links_span_all_pairs(radius):
+    rng = np.random.default_rng(radius)
+    sizes = [*rng.integers(1, 70, 12).tolist(), 1, 2, 63, 64, 65, 200]
+    fps = []
+    for size in sizes:
+        centres = rng.integers(0, 2 ** 63, 3, dtype=np.uint64)
+        for _ in range(size):
+            value = int(centres[rng.integers(3)])
+            for bit in rng.integers(0, 64, rng.integers(0, 9)):
+                value ^= 1 << int(bit)
+            fps.append(value)
+    fps, starts = np.array(fps, dtype=np.uint64), np.r_[0, np.cumsum(sizes)]
+    wanted = [(i, j) for a, b in zip(starts, starts[1:], strict=False) for i in range(a, b)
+              for j in range(i + 1, b) if int(fps[i] ^ fps[j]).bit_count() <= radius]
+    a, b = bitslice.spanning_links(starts, fps, radius)
+    nodes = range(len(fps))
+    assert closed(nodes, zip(a, b, strict=True)) == closed(nodes, wanted)
+
+
+def brute_fingerprint(text):
+    import xxhash
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    grams = [" ".join(words[k:k + 3]) for k in range(len(words) - 2)] or (
+        [" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64(g.encode(), seed=42).intdigest() for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+@pytest.mark.parametrize("limit", [simhash.LIMIT, 1])
+def test_simhash_against_all_pairs(spark, limit):
+    docs = table(spark, FOLDER, "documents")
+    found = {r.id: (r.fp & (2 ** 64 - 1), r.component_id)
+             for r in simhash.near_duplicates(docs, limit=limit).collect()}
+    fps = {r.doc_id: brute_fingerprint(r.text) for r in docs.collect()}
+    links = [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 3]
+    roots = closed(fps, links)
+    assert found == {i: (fps[i], roots[i]) for i in fps}
+
+
+def test_xxhash_is_sparks(spark):
+    import xxhash
+    spark_side = spark.sql("SELECT xxhash64('one two three')").first()[0]
+    assert spark_side & (2 ** 64 - 1) == xxhash.xxh64_intdigest(b"one two three", 42)
+
+
+@pytest.mark.parametrize("limit", [simhash.LIMIT, 2])
+def test_similar_documents_against_all_pairs(spark, limit):
+    rng = np.random.default_rng(5)
+    docs = {}
+    for k in range(12):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 120)]
+        docs[10 * k] = words
+        for copy in range(1, 6):
+            changed = list(words)
+            for place in rng.integers(0, 120, copy):
+                changed[place] = "new"
+            docs[10 * k + copy] = changed
+    sets = {i: {tuple(w[k:k + 5]) for k in range(116)} for i, w in docs.items()}
+    links = [(a, b) for a in sets for b in sets if a < b
+             and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()],
+                                  "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.deduplicate(frame, limit=limit).collect()}
+    assert kept == set(closed(sets, links).values())
+
+
+def test_components_against_union_find(spark):
+    rng = np.random.default_rng(2)
+    links = [tuple(map(int, x)) for x in rng.integers(0, 400, (250, 2))]
+    links += [(k, k + 1) for k in range(1000, 1060)] + [(5000, k) for k in range(5001, 5100)]
+    found = {r.node: r.root for r in components.components(
+        spark.createDataFrame(links, "a long, b long")).collect()}
+    nodes = {n for a, b in links if a != b for n in (a, b)}
+    assert found == closed(nodes, links)
+
+
+def test_jaccard():
+    a, b = np.array([1, 2, 3, 4]), np.array([2, 3, 4, 9])
+    assert jaccard.jaccard(a, b) == 3 / 5 and jaccard.jaccard(a, a) == 1
+    assert jaccard.jaccard(a[:0], a[:0]) == 1 and jaccard.jaccard(a, a[:0]) == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="aé \n\t.　", max_size=60))
+def test_word_hashes_depend_on_the_word_alone(text):
+    raw = text.encode()
+    starts, ends = shingles.word_spans(raw)
+    assert [raw[a:b] for a, b in zip(starts, ends, strict=True)] == raw.split()
+    for value, word in zip(shingles.word_hashes(raw, starts, ends), raw.split(), strict=True):
+        assert value == shingles.word_hashes(word, np.array([0]), np.array([len(word)]))[0]
+
+
+def test_mixing_targets_and_sizes(spark):
+    docs = table(spark, FOLDER, "documents")
+    rows = mixing.mix(docs).select("row.doc_id", "row.text", "source", "size", "source_size",
+                                   "target", "copies").collect()
+    words = {}
+    for r in rows:
+        assert r["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+        words[r["source"]] = words.get(r["source"], 0) + r["size"]
+    names = sorted(words)
+    weight = {n: (3, 1, 2)[k % 3] for k, n in enumerate(names)}
+    full, left = set(), 1.5 * sum(words.values())
+    while True:
+        level = (left - sum(2 * words[n] for n in full)) / sum(
+            weight[n] for n in names if n not in full)
+        more = {n for n in names if n not in full and weight[n] * level > 2 * words[n]}
+        if not more:
+            break
+        full |= more
+    for name in names:
+        mine = [r for r in rows if r["source"] == name]
+        target = 2 * words[name] if name in full else weight[name] * level
+        assert mine[0]["target"] == pytest.approx(target)
+        taken, smallest = sum(r["size"] * r["copies"] for r in mine), min(r["size"] for r in mine)
+        assert abs(taken - target) <= max(smallest, 0.02 * target)
+        assert all(0 <= r["copies"] <= 2 for r in mine)
+
+
+def test_mixing_solves_the_dual(spark):
+    """The multipliers meet every open source's target."""
+    cells = spark.createDataFrame([("a", 10, 5), ("a", 500, 3), ("b", 7, 100), ("b", 90, 2)],
+                                  "source string, size long, n long")
+    targets = spark.createDataFrame([("a", 1550, 900.0), ("b", 880, 1500.0)],
+                                    "source string, source_size long, target double")
+    for r in mixing.multipliers(cells, targets).collect():
+        mine = [c for c in cells.collect() if c.source == r.source]
+        words = sum(c.n * c["size"] * 2 / (1 + np.exp(-r.multiplier * c["size"] / r["mean"]))
+                    for c in mine)
+        assert words == pytest.approx({"a": 900, "b": 1500}[r.source], rel=1e-6)
+
+
+def test_hot_cell_is_dealt_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET", 16)
+    docs = spark.createDataFrame([(k, "a b c", "s" if k % 3 else "t") for k in range(600)],
+                                 "doc_id long, text string, source string")
+    rows = mixing.mix(docs).collect()
+    for source in "st":
+        mine = [r for r in rows if r.source == source]
+        assert abs(sum(3 * r.copies for r in mine) - mine[0].target) <= 3
+
+
+def test_packing_round_trip(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    reader = Tokenizer.from_file(str(public_tokenizers.path(TOKENIZER)))
+    docs = table(spark, FOLDER, "documents")
+    rows = packing.packed(docs, TOKENIZER).collect()
+    pieces, sequences = {}, {}
+    for r in rows:
+        pieces.setdefault(r.id, []).append(r)
+        sequences.setdefault(r.sequence_id, []).append(r)
+    for d in docs.collect():
+        ids = np.array([*reader.encode(d.text or "", add_special_tokens=False).ids, 1], dtype="<u4")
+        at = 0
+        for r in sorted(pieces[d.doc_id], key=lambda r: r.start):
+            assert (r.start, r.tokens) == (at, len(ids))
+            assert r.crc == zlib.crc32(ids[at:at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+    used = 0
+    for mine in sequences.values():
+        at = 0
+        for r in sorted(mine, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 2048
+        used += at
+    assert used > 0.9 * 2048 * len(sequences)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=40) | st.text(alphabet="aBé'sİŉΣ1½.!<|>endoftx \x1c\x85", max_size=40))
+def test_word_tokenizer_is_the_tokenizer(text):
+    text = text.encode("utf-8", "ignore").decode()
+    mine = packing._tokenizer(TOKENIZER)
+    wanted = mine.encoder.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(mine.encode(text.encode()), "<u4").tolist() == wanted
+
+
+def test_packing_takes_the_cheapest_sequence_with_room():
+    rng = np.random.default_rng(1)
+    lengths = sorted(rng.integers(1, 99, 300).tolist(), reverse=True)
+    where, offsets = packing.pack(lengths, 100)
+    cost, room = {}, {}
+    for k in range(-(-sum(lengths) // 100)):
+        cost[k], room[k] = 0.0, 100
+    for size, k, offset in zip(lengths, where, offsets, strict=True):
+        fit = [s for s in room if room[s] >= size]
+        if fit:
+            assert cost[k] == min(cost[s] for s in fit)
+        assert offset == 100 - room.setdefault(k, 100)
+        room[k] -= size
+        cost[k] = cost.get(k, 0.0) + packing.LINEAR * size + packing.QUADRATIC * size * size
+        assert room[k] >= 0
+
+
+def test_classifier_held_out_accuracy(spark):
+    folder = FOLDER.replace("0.001", "0.01")
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    rows = classifier.assess(docs, labels).join(labels, F.col("id") == F.col("doc_id")).where(
+        "held_out").collect()
+    assert len(rows) > 40 and all(0 <= r.score <= 1 for r in rows)
+    assert all((zlib.crc32(str(r.id).encode()) % 5 == 0) == r.held_out for r in rows)
+    assert np.mean([r.predicted == r.quality for r in rows]) > 0.95
+    assert all(r.predicted == 1 for r in rows if r.quality == 1)
+
+
+def test_held_out_labels_are_never_read(spark):
+    docs, labels = table(spark, FOLDER, "documents"), table(spark, FOLDER, "labels")
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    turned = labels.withColumn("quality", F.when(crc == 0, 1 - F.col("quality")).otherwise(
+        F.col("quality")))
+    a, b = ({r.id: r.score for r in classifier.assess(docs, x).collect()} for x in (labels, turned))
+    assert a == pytest.approx(b)
+
+
+def test_pool_adjacent_is_isotonic():
+    y = np.array([0.1, 0.5, 0.2, 0.9, 0.8, 1.0])
+    out = classifier.pool_adjacent(y, np.ones(6))
+    assert (np.diff(out) >= 0).all() and out.tolist() == pytest.approx([.1, .35, .35, .85, .85, 1])
+
+
+CONTROL = st.sampled_from(["<|im_start|>", "<|im_end|>", "</s>", "<s>", "[INST]", "[/INST]",
+                           "<<SYS>>", "<</SYS>>", "\\", "<", "[", "a", "\n", "<\\|im_end|>"])
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.lists(CONTROL, max_size=8).map("".join), min_size=1, max_size=20))
+def test_chat_escapes_are_reversible(spark, texts):
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in frame.select("t", chat.escape(F.col("t")).alias("e"),
+                          chat.unescape(chat.escape(F.col("t"))).alias("u")).collect():
+        assert r.u == r.t
+        assert not re.search(r"<\|im_(start|end)\|>|</?s>|\[/?INST\]|<</?SYS>>", r.e)
+
+
+def test_chat_expands_every_reply(spark):
+    turns = [(1, 0, "system", "be"), (1, 1, "user", "hi"), (1, 2, "assistant", "one"),
+             (1, 3, "user", "go"), (1, 4, "assistant", "two"), (1, 5, "user", "bye")]
+    rows = chat.examples(spark.createDataFrame(turns, "conv_id long, turn long, role string, "
+                                                      "text string")).orderBy("target").collect()
+    assert [r.target for r in rows] == [2, 4, 5]
+    assert [r.text[r.loss_start:r.loss_start + r.loss_length] for r in rows] == ["one", "two", ""]
+    assert rows[1].text.startswith(rows[0].text) and rows[2].text.startswith(rows[1].text)
+
+
+def brute_repeats(words):
+    grams = [tuple(words[k:k + 3]) for k in range(len(words) - 2)]
+    return len({k + j for k, g in enumerate(grams) if grams.count(g) > 1 for j in range(3)})
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from([b"a", b"b", b"c"]), max_size=25))
+def test_repeated_words(words):
+    assert rules.repeated_words(words) == brute_repeats(words)
+
+
+def test_line_frequency_rejects_depleted_documents(spark):
+    own = [" ".join(f"w{k}x{j}" for j in range(60)) for k in range(40)]
+    menu = " ".join(f"menu{j}" for j in range(50))
+    rows = [(k, own[k] + "\n" + menu.upper(), "h") for k in range(30)]
+    rows += [(50, " ".join(f"few{j}" for j in range(10)) + "\n" + menu, "h"),
+             (51, " ".join(f"few{j}" for j in range(10)) + "\n" + menu, "other"),
+             *((60 + k, own[35] + "\n" + own[36], "copies") for k in range(40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r.id: r for r in rules.assess(docs).collect()}
+    assert all(found[k].kept and found[k].removed_words == 50 for k in range(30))
+    assert not found[50].kept and not found[50].base_failed
+    assert found[51].kept and found[51].removed_words == 0
+    assert all(found[60 + k].kept for k in range(40))  # copies are one document
+    cleaned = {r.doc_id: r.text for r in rules.clean(docs).collect()}
+    assert cleaned[0] == own[0] and cleaned[51] == rows[31][1] and 50 not in cleaned
+
+
+def test_shared_passages_are_found_wherever_they_stand(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), rng.integers(2, 8)))
+
+    def prose(sentences):
+        return " ".join(" ".join(word() for _ in range(rng.integers(6, 12))) + "."
+                        for _ in range(sentences))
+
+    passages = [prose(9) for _ in range(30)]
+    rows = []
+    for k, passage in enumerate(passages):
+        for copy in range(3):
+            words = prose(12).split()
+            cut = int(rng.integers(5, len(words) - 5))
+            rows.append((10 * k + copy, " ".join([*words[:cut], passage, *words[cut:]])))
+    rows += [(1000 + k, prose(15)) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = paragraphs.repeated(docs).collect()
+    assert all(r.id < 1000 and r.id % 10 in (1, 2) and r.kept_ids == [r.id - r.id % 10]
+               for r in found)
+    assert len({r.id for r in found}) >= 0.9 * 60
+    texts = dict(rows)
+    for r in found:
+        assert texts[r.id][r.begin:r.end] in passages[r.id // 10]
+    shorter = {r.doc_id: r.text for r in paragraphs.remove(docs).collect()}
+    for r in found:
+        assert texts[r.id][r.begin:r.end] not in shorter[r.id]
+    assert all(shorter[i] == t for i, t in rows if i >= 1000 or i % 10 == 0)
+
+
+def test_near_paragraphs_against_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    base = [[f"v{x}" for x in rng.integers(0, 10_000, 60)] for _ in range(10)]
+    rows = []
+    for k, words in enumerate(base):
+        for copy in range(4):
+            changed = list(words)
+            for place in rng.integers(0, 60, copy):
+                changed[place] = "other"
+            rows.append((10 * k + copy, " ".join(changed) + "."))
+    sets = {i: {tuple(t.split()[j:j + 5]) for j in range(56)} for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b
+             and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    roots = closed(sets, links)
+    found = {r.id for r in paragraphs.repeated(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found <= {i for i in roots if roots[i] != i}
+    assert len(found) >= 0.9 * sum(roots[i] != i for i in roots)
+
+
+PERSONAL = ("Write to Anna.Lee@mail.example.com or ANNA.LEE@mail.example.com, call "
+            "+1 (017) 555-7713 or +1 017 555 7713. Mrs Anna Lee met Mr. Lee; LEE paid with "
+            "4485 2757 4230 8327 from 10.20.30.40, IBAN DE89 3704 0044 0532 0130 00, "
+            'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962". Господин Иван Петров.')
+
+
+def test_pii_surrogates_keep_format_and_coreference(spark):
+    docs = spark.createDataFrame([(1, PERSONAL), (2, PERSONAL.replace("Write", "Send")),
+                                  (3, "nothing here, 3.5 of 20 parts")], "doc_id long, text string")
+    rows = {r.row.doc_id: r for r in pii.pseudonymise(docs, b"key").collect()}
+    text = rows[1].text
+    for begin, end, *_ in pii.find(PERSONAL):
+        assert PERSONAL[begin:end] not in text
+    assert rows[2].text == text.replace("Write", "Send") and rows[3].text.startswith("nothing")
+    assert rows[3].entities == 0
+    mails = re.findall(r"\S+@\S+", text)
+    assert mails[0].lower().rstrip(",") == mails[1].lower().rstrip(",") and mails[1].isupper() is False
+    phones = re.findall(r"\+1[ ()\d-]+\d", text)
+    assert len({re.sub(r"\D", "", p) for p in phones}) == 1 and phones[0][3] == "("
+    given, family = re.search(r"Mrs (\w+) (\w+) met", text).groups()
+    assert f"Mr. {family};" in text and f"{family.upper()} paid" in text and given.endswith("a")
+    card = re.sub(r"\D", "", re.search(r"paid with ([\d ]+) from", text)[1])
+    assert pii._luhn(card) % 10 == 0 and card[0] == "4"
+    iban = re.search(r"IBAN ([A-Z\d ]+),", text)[1].replace(" ", "")
+    assert iban[:2] == "DE" and pii._iban_rest(iban) == 1
+    assert re.fullmatch(r"[0-9a-f]{40}", re.search(r'"(\w+)"', text)[1])
+    assert re.search(r"Господин [а-яА-Я]+ [а-яА-Я]+\.", text)
+    other = pii.pseudonymise(docs, b"another").where("row.doc_id = 1").first().text
+    assert other != text
+
+
+def test_surrogates_stay_distinct_in_small_formats(spark):
+    """Addresses of one digit a part leave many collisions to be drawn again."""
+    names = [f"{a}.{b}.1.1" for a in range(1, 10) for b in range(1, 10)]
+    entities = spark.createDataFrame([("ip", n) for n in names], "type string, canonical string")
+    rows = pii.surrogates(entities, b"k").collect()
+    made = [r.replacement for r in rows]
+    assert len(set(made)) == len(names) and not set(made) & set(names)
+
+
+def test_warc_records_assemble(spark):
+    rows = spark.createDataFrame([(1, "http://a/x", "<p>é</p>" * 30), (2, "http://b/", "tiny")],
+                                 "page_id long, url string, html string")
+    import uuid
+
+    from aislewise.session import own_folder
+    path = f"{own_folder(spark)}/{uuid.uuid4().hex}"
+    warc.write(rows, path)
+    found = warc.assemble(warc.read(spark, path)).collect()
+    assert len(found) == 2
+    for r in found:
+        page = int(re.search(r"page-id: (\d+)", r.metadata.fields)[1])
+        html = {1: "<p>é</p>" * 30, 2: "tiny"}[page].encode()
+        assert bytes(r.response.payload) == html and r.request.uri == r.response.uri
+        assert r.response.digest == sha256(html).hexdigest()

@@ -345,8 +345,9 @@ def assortment_pareto(orders: DataFrame, stores: DataFrame, products: DataFrame)
 
 
 def assortment_candidates(orders: DataFrame, stores: DataFrame, products: DataFrame,
-                          inventory: DataFrame, add_limit: int = 15) -> DataFrame:
-    """Per region: products to add (strong elsewhere, absent here) and to drop."""
+                          inventory: DataFrame) -> DataFrame:
+    """Per region: all products to add (strong elsewhere, absent here) and to drop, with their
+    value; a caller ranks and limits."""
     regional = stored(regional_revenue(orders, stores))
     here = regional.where("region IS NOT NULL")
     # regions are an enumeration: each product meets every region once
@@ -361,8 +362,7 @@ def assortment_candidates(orders: DataFrame, stores: DataFrame, products: DataFr
     peer = exact_quantiles(elsewhere, "other_cents", {"median": 0.5}, ("region",))
     missing = (elsewhere.where("NOT sold_here").join(peer, "region")
                .where(F.col("other_cents") > F.col("median")))
-    first = F.row_number().over(Window.partitionBy("region").orderBy("product_id"))
-    adds = missing.withColumn("_n", first).where(F.col("_n") <= add_limit).select(
+    adds = missing.select(
         "region", "product_id", F.lit("add").alias("kind"),
         half_up(F.col("other_cents") / 100.0 * 0.15, 2).alias("value"),
         F.lit("Not stocked in target region").alias("status"))

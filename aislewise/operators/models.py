@@ -171,7 +171,7 @@ def offer_conversions(promotions: DataFrame, customers: DataFrame,
                       transactions: DataFrame) -> DataFrame:
     """(discount, ch_match, label, weight): every targeted customer of every promotion,
     counted rather than listed. Buyers come from a range join on (product, 32-day bin)."""
-    match = ((F.col("channel") == F.col("preferred_channel")) | (F.col("channel") == "Both")
+    match = ((F.col("channel") == F.col("preferred_channel"))
              | (F.col("preferred_channel") == "Both")).cast("int")
     people = customers.select("customer_id", "segment", "preferred_channel")
     cells = people.groupBy("segment", "preferred_channel").agg(F.count(F.lit(1)).alias("n"))

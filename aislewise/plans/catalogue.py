@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 from pyspark.sql.types import (DateType, DoubleType, LongType, StringType, StructField,
                                StructType)
@@ -11,6 +13,7 @@ from aislewise.operators import features
 from aislewise.operators.naming import annotate_names, location_label
 from aislewise.plans.oracle_tables import with_tables
 from aislewise.plans.shape import plain
+from aislewise.session import own_folder
 from aislewise.sources import tables as S
 
 _RAW = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -99,9 +102,7 @@ def listings(t):
 
 def save_table(t):
     """Write the monthly sales log partitioned by year, then read it back."""
-    import tempfile
-    folder = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(
-        prefix="aislewise-")
+    folder = f"{own_folder(t.spark)}/{uuid4().hex}"
     log = (t.transactions.groupBy(F.year("transaction_date").alias("year"),
                                   F.month("transaction_date").alias("month"))
            .agg(F.sum("quantity").alias("units")))

@@ -21,9 +21,9 @@ def _similar(t):
     return K.similar_customers(_signal(t))
 
 
-def _candidates(t, n):
+def _candidates(t):
     signal = _signal(t)
-    return K.cf_candidates(signal, stored(K.similar_customers(signal)), n)
+    return K.cf_candidates(signal, stored(K.similar_customers(signal)))
 
 
 def implicit_feedback(t):
@@ -41,7 +41,7 @@ def category_boost(t):
 
 def cf_recommendations(t):
     boost = K.category_boost(t.transactions, t.browsing, t.products)
-    return plain(K.cf_recommendations(_candidates(t, 5), t.products, t.customers, boost, 5))
+    return plain(K.cf_recommendations(_candidates(t), t.products, t.customers, boost, 5))
 
 
 def bestseller_fallback(t):
@@ -51,7 +51,7 @@ def bestseller_fallback(t):
 
 
 def recommendation_reasons(t):
-    return plain(K.recommendation_reasons(_candidates(t, 10), t.products, t.customers, t.reviews,
+    return plain(K.recommendation_reasons(_candidates(t), t.products, t.customers, t.reviews,
                                           10))
 
 
@@ -153,9 +153,7 @@ EXTRA = {
         ON g.customer_id=t.customer_id
       WHERE NOT EXISTS (SELECT 1 FROM c_signal o WHERE o.customer_id=g.customer_id
                         AND o.product_id=g.product_id)""",
-    "c_ranked": """
-      SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY raw_score DESC, product_id)
-        AS rr FROM c_raw WHERE raw_score > 0""",
+    "c_ranked": "SELECT * FROM c_raw WHERE raw_score > 0",
     "c_fallback": f"""
       SELECT (SELECT CAST(trunc(median(hour(timestamp))) AS BIGINT) FROM browse) AS fallback_hour,
              (SELECT CASE WHEN m < 0.05 THEN 0.05::DOUBLE WHEN m > 0.8 THEN 0.8::DOUBLE ELSE m END
@@ -243,21 +241,19 @@ ORACLES = {
                 c.preferred_category
               FROM c_ranked r JOIN prod p ON r.product_id=p.product_id
               LEFT JOIN c_boost b ON p.category=b.category
-              LEFT JOIN cust c ON r.customer_id=c.customer_id WHERE r.rr <= 15))
+              LEFT JOIN cust c ON r.customer_id=c.customer_id))
       WHERE position <= 5"""),
     "bestseller_fallback": csql("""
       SELECT customer_id, product_id, product_name, category, price, units AS score, position,
         CASE WHEN category=wish THEN 'Popular in ' || wish ELSE 'Trending bestseller' END AS reason
       FROM (SELECT k.customer_id, l.* FROM cust k JOIN (
-          SELECT *, row_number() OVER (PARTITION BY wish ORDER BY units DESC, product_id)
-            AS position
-          FROM (SELECT w.wish, p.product_id, p.product_name, p.category, p.price, u.units,
-                  row_number() OVER (PARTITION BY w.wish
-                    ORDER BY CASE WHEN p.category=w.wish THEN 0 ELSE 1 END, p.product_id) AS r
-                FROM prod p JOIN (SELECT product_id, CAST(SUM(quantity) AS BIGINT) AS units
-                                  FROM txn GROUP BY 1) u ON p.product_id=u.product_id
-                CROSS JOIN (SELECT DISTINCT preferred_category AS wish FROM cust) w)
-          WHERE r <= 15) l ON k.preferred_category=l.wish
+          SELECT w.wish, p.product_id, p.product_name, p.category, p.price, u.units,
+                 row_number() OVER (PARTITION BY w.wish
+                   ORDER BY CASE WHEN p.category=w.wish THEN 0 ELSE 1 END, u.units DESC,
+                            p.product_id) AS position
+          FROM prod p JOIN (SELECT product_id, CAST(SUM(quantity) AS BIGINT) AS units
+                            FROM txn GROUP BY 1) u ON p.product_id=u.product_id
+          CROSS JOIN (SELECT DISTINCT preferred_category AS wish FROM cust) w) l ON k.preferred_category=l.wish
         WHERE l.position <= 5 AND NOT EXISTS (SELECT 1 FROM cart a
                 WHERE a.customer_id=k.customer_id)
           AND NOT EXISTS (SELECT 1 FROM wish b WHERE b.customer_id=k.customer_id))"""),
@@ -278,7 +274,7 @@ ORACLES = {
               FROM c_ranked r JOIN prod p ON r.product_id=p.product_id
               LEFT JOIN (SELECT product_id, {R('AVG(rating)', 1)} AS a, COUNT(rating) AS n
                          FROM rev GROUP BY 1) v ON r.product_id=v.product_id
-              LEFT JOIN cust c ON r.customer_id=c.customer_id WHERE r.rr <= 30))
+              LEFT JOIN cust c ON r.customer_id=c.customer_id))
       WHERE position <= 10"""),
     "category_affinity": csql(f"""
       SELECT customer_id, category, units_purchased,

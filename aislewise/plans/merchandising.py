@@ -353,10 +353,10 @@ ORACLES = {
       SELECT c.*, p.product_name, p.category FROM (
         SELECT region, product_id, 'add' AS kind, {R('other_cents/100*0.15::DOUBLE')} AS value,
                'Not stocked in target region' AS status
-        FROM (SELECT e.*, row_number() OVER (PARTITION BY e.region ORDER BY e.product_id) AS n
-              FROM m_else e JOIN (SELECT region, {R('quantile_cont(other_cents,0.5)', 6)} AS m
-                                  FROM m_else GROUP BY 1) k ON e.region=k.region
-              WHERE NOT sold_here AND other_cents > m) WHERE n <= 15
+        FROM (SELECT e.* FROM m_else e JOIN (
+                SELECT region, {R('quantile_cont(other_cents,0.5)', 6)} AS m
+                FROM m_else GROUP BY 1) k ON e.region=k.region
+              WHERE NOT sold_here AND other_cents > m)
         UNION ALL
         SELECT h.region, h.product_id, 'drop',
                {R('COALESCE(i.stock,0)*COALESCE(q.price,0)')}, 'Below 25% of median SKU revenue'

@@ -73,11 +73,11 @@ def health_weights(t):
 
 
 def ticket_model(t):
-    return L.TicketModel(t.tickets, iterations=50, stop_words=STOP).accuracy(t.tickets)
+    return L.TicketModel(t.tickets, stop_words=STOP).accuracy(t.tickets)
 
 
 def ticket_triage(t):
-    return L.TicketModel(t.tickets, iterations=50, stop_words=STOP).triage(t.tickets)
+    return L.TicketModel(t.tickets, stop_words=STOP).triage(t.tickets)
 
 
 QUERIES = {
@@ -107,8 +107,8 @@ EXTRA = {
       LEFT JOIN x_calendar c ON d.transaction_date=c.date WHERE d.lag_14 IS NOT NULL""",
     "l_people": """
       SELECT m.promo_id, m.discount_pct, c.customer_id,
-        CASE WHEN m.channel=c.preferred_channel OR m.channel='Both'
-               OR c.preferred_channel='Both' THEN 1 ELSE 0 END AS ch_match,
+        CASE WHEN m.channel=c.preferred_channel OR c.preferred_channel='Both'
+             THEN 1 ELSE 0 END AS ch_match,
         EXISTS (SELECT 1 FROM txn t WHERE t.product_id=m.product_id
                 AND t.customer_id=c.customer_id
                 AND t.transaction_date BETWEEN m.start_date AND m.end_date) AS hit

@@ -26,7 +26,9 @@ def _lanes(t):
 
 
 def _plan(t):
-    return O.replenishment(t.transactions, t.products, t.suppliers)
+    """With the z-score that the stock at risk implies."""
+    z = O.service_level(t.inventory).select("z").scalar()
+    return O.replenishment(t.transactions, t.products, t.suppliers, z)
 
 
 def sales_velocity(t):
@@ -151,7 +153,7 @@ EXTRA = {
         CAST(trunc(demand/365*lead + safety) AS BIGINT) AS reorder_point,
         CAST(trunc(sqrt(demand*2*150.0::DOUBLE/holding)) AS BIGINT)
           AS recommended_order_quantity, {R('lead', 1)} AS lead_time_days
-      FROM (SELECT *, std*sqrt(lead)*1.645::DOUBLE AS safety FROM (
+      FROM (SELECT *, std*sqrt(lead)*(SELECT z FROM o_service) AS safety FROM (
         SELECT v.product_id, greatest(1.0::DOUBLE, v.q*(365.0::DOUBLE/(SELECT
             MAX(transaction_date)-MIN(transaction_date) FROM txn))) AS demand,
           COALESCE(v.std, 1) AS std, CAST(s.lead_time_days AS DOUBLE) AS lead,
@@ -242,6 +244,14 @@ _UPPER = ("(-(((((-7.784894002430293e-03*t-3.223964580411365e-01)*t-2.4007582771
           "/((((7.784695709041462e-03*t+3.224671290700398e-01)*t+2.445134137142996e+00)"
           "*t+3.754408661907416e+00)*t+1))")
 
+EXTRA["o_service"] = f"""
+      SELECT {R('at_risk', 6)} AS at_risk, {R('p', 6)} AS target,
+             {R(f'CASE WHEN p <= 0.97575 THEN {_CENTRE} ELSE {_UPPER} END', 3)} AS z
+      FROM (SELECT *, {_Q}*{_Q} AS r, sqrt(-2.0::DOUBLE*ln(1.0::DOUBLE-p)) AS t FROM (
+        SELECT at_risk, least(0.99::DOUBLE, greatest(0.80::DOUBLE, 1.0::DOUBLE-at_risk)) AS p
+        FROM (SELECT CAST(COUNT(*) FILTER (WHERE stockout_risk > 0.7) AS DOUBLE)/COUNT(*)
+                AS at_risk FROM inv)))"""
+
 ORACLES = {
     "sales_velocity": osql(f"SELECT product_id, units AS quantity, {R('units/30.0::DOUBLE', 6)} "
                            "AS daily_velocity FROM x_demand"),
@@ -253,13 +263,7 @@ ORACLES = {
       FROM o_health GROUP BY 1,2"""),
     "inventory_weakest": osql("SELECT * FROM o_health ORDER BY health_score, stockout_risk DESC, "
                               "inventory_id LIMIT 8"),
-    "service_level": osql(f"""
-      SELECT {R('at_risk', 6)} AS at_risk, {R('p', 6)} AS target,
-             {R(f'CASE WHEN p <= 0.97575 THEN {_CENTRE} ELSE {_UPPER} END', 3)} AS z
-      FROM (SELECT *, {_Q}*{_Q} AS r, sqrt(-2.0::DOUBLE*ln(1.0::DOUBLE-p)) AS t FROM (
-        SELECT at_risk, least(0.99::DOUBLE, greatest(0.80::DOUBLE, 1.0::DOUBLE-at_risk)) AS p
-        FROM (SELECT CAST(COUNT(*) FILTER (WHERE stockout_risk > 0.7) AS DOUBLE)/COUNT(*)
-                AS at_risk FROM inv)))"""),
+    "service_level": osql("SELECT * FROM o_service"),
     "abc_cutoffs": osql(f"""
       SELECT {R('a', 6)} AS a_fraction,
              {R('CASE WHEN b < a+0.05::DOUBLE THEN a+0.05::DOUBLE WHEN b > 0.7 THEN 0.7::DOUBLE ELSE b END', 6)}

@@ -61,14 +61,21 @@ def _assembled(rows: DataFrame) -> DataFrame:
 
 
 def fit_forecast_model(training: DataFrame, trees: int = 250, depth: int = 5,
-                       rate: float = 0.06, subsample: float = 0.8,
+                       rate: float = 0.06, subsample: float = 0.8, columns: float = 0.8,
                        seed: int = 42) -> GBTRegressionModel:
-    """One boosted-tree model over all products, on the training days only."""
+    """One boosted-tree model over all products, on the training days only.
+
+    Rows are dealt by product and sorted, so that the sampled rows are the same at every run with
+    the same number of shuffle partitions. ``columns`` is the share of features tried at a split.
+    """
     ensure_checkpoint_dir(training.sparkSession)  # the trainer cuts its lineage there
     booster = GBTRegressor(featuresCol="features", labelCol="daily_qty", maxIter=trees,
-                           maxDepth=depth, stepSize=rate, subsamplingRate=subsample, seed=seed)
-    rows = _assembled(training.where("is_train")).select("features", "daily_qty").persist(
-        StorageLevel.MEMORY_AND_DISK)  # the trainer passes over it several times
+                           maxDepth=depth, stepSize=rate, subsamplingRate=subsample,
+                           featureSubsetStrategy=str(columns), seed=seed)
+    parts = int(training.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = (_assembled(training.where("is_train")).repartition(parts, "product_id")
+            .sortWithinPartitions("product_id", "transaction_date").select("features", "daily_qty")
+            .persist(StorageLevel.MEMORY_AND_DISK))  # the trainer passes over it several times
     try:
         return booster.fit(rows)
     finally:

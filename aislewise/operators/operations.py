@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from itertools import permutations
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from aislewise.functions.distributed import exact_quantiles, running_total
 from aislewise.functions.scalars import (clip, half_up, haversine_km, normal_quantile, not_null,
                                          one_row, pinned, ratio, spread)
 from aislewise.operators.features import recent_demand
+from aislewise.session import ship
 
 DEFAULT_WEIGHTS = (0.5, 0.3, 0.2)  # stockout, overstock, supplier reliability
 DEFAULT_Z = 1.645
-MAX_STOPS = 6
+STOPS = 6  # stores of a warehouse's lanes, unless a caller asks for more
 
 
 # ── inventory ───────────────────────────────────────────────────────────────
@@ -264,7 +264,7 @@ def slotting_summary(slotting: DataFrame) -> DataFrame:
 # ── delivery ────────────────────────────────────────────────────────────────
 
 def warehouse_lanes(shipments: DataFrame, orders: DataFrame, warehouses: DataFrame,
-                    stores: DataFrame, stops: int = MAX_STOPS) -> DataFrame:
+                    stores: DataFrame, stops: int = STOPS) -> DataFrame:
     """The busiest stores per warehouse, ties by store id; a warehouse that ships
     nowhere gets the first stores of the table."""
     counts = (shipments.select("order_id", "warehouse_id")
@@ -294,7 +294,7 @@ def _located(lanes: DataFrame, warehouses: DataFrame, stores: DataFrame) -> Data
 
 def route_baseline(lanes: DataFrame, warehouses: DataFrame, stores: DataFrame) -> DataFrame:
     """Length of the tour that visits a warehouse's stores in id order."""
-    order = Window.partitionBy("warehouse_id").orderBy("store_id")  # six rows at most
+    order = Window.partitionBy("warehouse_id").orderBy("store_id")  # a warehouse's lanes
     legs = _located(lanes, warehouses, stores).select(
         "warehouse_id",
         haversine_km(F.coalesce(F.lag("slat").over(order), "wlat"),
@@ -306,28 +306,81 @@ def route_baseline(lanes: DataFrame, warehouses: DataFrame, stores: DataFrame) -
         F.count(F.lit(1)).alias("stops"))
 
 
-def delivery_tours(lanes: DataFrame, warehouses: DataFrame, stores: DataFrame) -> DataFrame:
-    """Shortest round trip of every warehouse over its stores (six at most).
+EXACT_STOPS = 12
+
+
+def visiting_order(km: list[list[float]], exact_stops: int = EXACT_STOPS) -> list[int]:
+    """Order of the stops 1..n of the shortest round trip from place 0 over a distance table.
 
-    One row per warehouse holds its distance table; every visiting order is tried inside
-    the row, so nothing is multiplied out into rows. Ties go to the smallest order.
+    Up to ``exact_stops`` by dynamic programming over sets of stops, which is exact; ties, to
+    half a millimetre, go to the smallest order. Beyond, the nearest unvisited stop each time,
+    then reversals of a stretch while one shortens the trip.
     """
-    spark = lanes.sparkSession
-    orders = spark.createDataFrame(
-        [(n, [list(p) for p in permutations(range(1, n + 1))]) for n in range(1, MAX_STOPS + 1)],
-        "n int, orders array<array<int>>")
+    table = np.array([list(row) for row in km], dtype=float)
+    n = len(table) - 1
+    if n < 2:
+        return list(range(1, n + 1))
+    if n > exact_stops:
+        order, left = [0], set(range(1, n + 1))
+        while left:
+            order.append(min(left, key=lambda stop: (table[order[-1], stop], stop)))
+            left.remove(order[-1])
+        order, better = [*order, 0], True
+        while better:
+            better = False
+            for i in range(1, n):
+                for j in range(i + 1, n + 1):
+                    before = table[order[i - 1], order[i]] + table[order[j], order[j + 1]]
+                    after = table[order[i - 1], order[j]] + table[order[i], order[j + 1]]
+                    if after < before - 1e-9:
+                        order[i:j + 1] = order[i:j + 1][::-1]
+                        better = True
+        return order[1:-1]
+    # home[left][at]: shortest way from ``at`` through all of ``left`` back to place 0.
+    home = np.full((1 << n, n + 1), np.inf)
+    home[0] = table[:, 0]
+    for left in range(1, 1 << n):
+        stops = [k for k in range(n) if left >> k & 1]
+        ways = [table[:, k + 1] + home[left & ~(1 << k), k + 1] for k in stops]
+        home[left] = np.min(ways, axis=0)
+    order, at, left = [], 0, (1 << n) - 1
+    slack = home[left, 0] + 5e-7
+    while left:
+        for k in range(n):
+            way = table[at, k + 1] + home[left & ~(1 << k), k + 1] if left >> k & 1 else np.inf
+            if way <= slack:
+                order.append(k + 1)
+                slack -= table[at, k + 1]
+                at, left = k + 1, left & ~(1 << k)
+                break
+    return order
+
+
+def delivery_tours(lanes: DataFrame, warehouses: DataFrame, stores: DataFrame,
+                   exact_stops: int = EXACT_STOPS) -> DataFrame:
+    """Short round trip of every warehouse over all its stores, however many.
+
+    One row per warehouse holds its distance table, and its order is found inside the row; see
+    ``visiting_order``. A warehouse with one store goes there and back.
+    """
+    ship(lanes.sparkSession)
+
+    def search(tables):
+        import pandas as pd
+        return pd.Series([visiting_order(t, exact_stops) for t in tables])
+
     per = _located(lanes, warehouses, stores).groupBy("warehouse_id", "wlat", "wlon").agg(
         F.array_sort(F.collect_list(F.struct("store_id", F.col("slat").alias("lat"),
                                              F.col("slon").alias("lon"), "shipments")))
         .alias("stops"))
-    per = spread(per.withColumn("n", F.size("stops")), "warehouse_id").join(
-        F.broadcast(orders), "n")  # six rows of visiting orders
+    per = spread(per.withColumn("n", F.size("stops")), "warehouse_id")
     points = F.concat(F.array(F.struct(F.col("wlat").alias("lat"), F.col("wlon").alias("lon"))),
                       F.transform("stops", lambda s: F.struct(s["lat"].alias("lat"),
                                                               s["lon"].alias("lon"))))
     per = pinned(per.withColumn("points", points), km=F.transform(
         "points", lambda a: F.transform("points", lambda b: haversine_km(
             a["lat"], a["lon"], b["lat"], b["lon"]))))
+    per = per.withColumn("order", F.pandas_udf(search, "array<int>")("km"))
 
     def length(order: Column) -> Column:
         trip = F.aggregate(
@@ -337,8 +390,7 @@ def delivery_tours(lanes: DataFrame, warehouses: DataFrame, stores: DataFrame) -
                 stop.alias("at")))
         return half_up(trip["sum"] + F.get(F.get("km", trip["at"]), F.lit(0)), 6)
 
-    best = F.array_min(F.transform("orders", lambda o: F.struct(
-        length(o).alias("km"), o.alias("order"))))
+    best = F.struct(length(F.col("order")).alias("km"), F.col("order").alias("order"))
     names = F.array_join(F.transform("best.order", lambda i: F.get(
         "stops", i - 1)["store_id"].cast("string")), " > ")
     items = F.aggregate("stops", F.lit(0).cast("long"), lambda n, s: n + s["shipments"])

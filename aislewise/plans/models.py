@@ -1,6 +1,7 @@
-"""Learned operators over the given tables.
+"""Learned operators over the given tables, at the operators' own settings but for the trees.
 
-Training sizes are parameters; the values here keep a local run short.
+The operator's 250 trees at a rate of 0.06 take three minutes here; the queries grow fewer, larger
+steps.
 """
 
 from __future__ import annotations

@@ -169,6 +169,27 @@ def test_tours_are_never_longer_than_id_order(frame):
     assert got["idle"]["total_orders"] == 75 and got["idle"]["stops_count"] == 4
 
 
+@pytest.mark.parametrize("stops", [7, 8, 14])
+def test_no_warehouse_is_lost_whatever_its_stops(frame, stops):
+    stores = frame("store_id int, latitude double, longitude double",
+                   *[(i, 10.0 + (i * 37 % 11), 70.0 + (i * 53 % 13)) for i in range(1, stops + 1)])
+    depots = frame("warehouse_id string, latitude double, longitude double", ("w", 9.0, 69.0))
+    ships = frame("order_id int, warehouse_id string", *[(i, "w") for i in range(1, stops + 1)])
+    orders = frame("order_id int, store_id int", *[(i, i) for i in range(1, stops + 1)])
+    lanes = O.warehouse_lanes(ships, orders, depots, stores, stops)
+    (tour,) = O.delivery_tours(lanes, depots, stores).collect()
+    assert tour["stops_count"] == stops
+    assert sorted(map(int, tour["route_order"].split(" > "))) == list(range(1, stops + 1))
+    assert tour["distance_km"] <= tour["baseline_distance_km"]
+
+
+def test_tour_is_the_best_of_all_orders():
+    table = [[abs(a * a % 7 - b * b % 7) + abs(a - b) * 1.5 for b in range(8)] for a in range(8)]
+    length = lambda o: round(sum(table[a][b] for a, b in zip((0, *o), (*o, 0))), 6)
+    assert O.visiting_order(table) == list(min(
+        (length(o), o) for o in itertools.permutations(range(1, 8)))[1])
+
+
 def test_demand_series_fills_quiet_days(frame):
     tx = frame("product_id string, transaction_date date, quantity int",
                ("p", day("2024-01-10"), 7), ("p", day("2024-01-08"), 3))

@@ -27,8 +27,11 @@ def sales_velocity(transactions: DataFrame) -> DataFrame:
 
 def inventory_health(inventory: DataFrame, transactions: DataFrame, products: DataFrame,
                      suppliers: DataFrame,
-                     weights: tuple[float, float, float] = DEFAULT_WEIGHTS) -> DataFrame:
-    """Cover, stockout risk and a 0-1 composite score for every stock position."""
+                     weights: tuple[float | Column, ...] = DEFAULT_WEIGHTS) -> DataFrame:
+    """Cover, stockout risk and a 0-1 composite score for every stock position.
+
+    ``weights`` of stockout, overstock and reliability: numbers or scalar columns.
+    """
     typical = exact_quantiles(suppliers, "reliability_score", {"m": 0.5}).scalar()
     maker = products.select("product_id", "supplier_id").join(
         suppliers.select("supplier_id", "reliability_score"), "supplier_id", "left").drop(
@@ -37,13 +40,15 @@ def inventory_health(inventory: DataFrame, transactions: DataFrame, products: Da
             .join(sales_velocity(transactions).drop("quantity"), "product_id", "left")
             .join(maker, "product_id", "left")
             .withColumn("_typical", typical)
+            .withColumns({f"_w{k}": w if isinstance(w, Column) else F.lit(w)
+                          for k, w in enumerate(weights)})
             .withColumn("reliability", F.coalesce("reliability_score", "_typical"))
             .withColumn("cover", F.col("stock_qty") / F.coalesce("daily_velocity", F.lit(0.1))))
     rows = rows.withColumns({
         "risk": F.lit(1.0) / (F.exp((F.col("cover") - F.col("reorder_point")) * 0.2) + 1.0),
         "overstock_flag": (F.col("stock_qty") > F.coalesce("max_stock", F.lit(9999.0)))
         .cast("int")})
-    stockout, overstock, reliability = weights
+    stockout, overstock, reliability = (F.col(f"_w{k}") for k in range(3))
     rows = rows.withColumn("score", clip(
         (F.lit(1.0) - F.col("risk")) * stockout + (1 - F.col("overstock_flag")) * overstock
         + F.col("reliability") * reliability, 0.0, 1.0))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from aislewise.operators import features as X, models as L
 from aislewise.plans.features import calendar, sql
+from aislewise.plans.operations import WEIGHTS
 from aislewise.plans.oracle_tables import R
 from aislewise.plans.shape import plain
 from aislewise.session import stored
@@ -69,8 +70,9 @@ def audience_clusters(t):
 
 
 def health_weights(t):
-    return L.health_weights(X.inventory_features(t.inventory, t.transactions), t.products,
-                            t.suppliers)
+    learnt = L.health_weights(X.inventory_features(t.inventory, t.transactions), t.products,
+                              t.suppliers)
+    return learnt.select(*[half_up(c, 6).alias(c) for c in learnt.columns])
 
 
 def ticket_model(t):
@@ -117,6 +119,8 @@ EXTRA = {
 }
 
 ORACLES = {
+    "health_weights": sql("SELECT " + ", ".join(f"{R(c, 6)} AS {c}" for c in (
+        "w_stockout", "w_overstock", "w_reliability")) + " FROM h_weights", WEIGHTS),
     "forecast_training": sql(f"""
       SELECT product_id, strftime(transaction_date,'%Y-%m-%d') AS transaction_date, daily_qty,
         lag_7, lag_14, {R('r7', 6)} AS rolling_7_mean, {R('r30', 6)} AS rolling_30_mean, dow_num,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from aislewise.functions.scalars import half_up
-from aislewise.operators import features as X, operations as O
+from aislewise.operators import features as X, models, operations as O
 from aislewise.plans.catalogue import haversine_sql
 from aislewise.plans.features import sql
 from aislewise.plans.oracle_tables import MSUM, R
@@ -14,7 +14,10 @@ from aislewise.session import stored
 
 
 def _health(t):
-    return O.inventory_health(t.inventory, t.transactions, t.products, t.suppliers)
+    """Scored with the weights learnt from the positions themselves."""
+    learnt = models.health_weights(_features(t), t.products, t.suppliers)
+    return O.inventory_health(t.inventory, t.transactions, t.products, t.suppliers, tuple(
+        learnt.select(c).scalar() for c in ("w_stockout", "w_overstock", "w_reliability")))
 
 
 def _features(t):
@@ -120,6 +123,29 @@ QUERIES = {
 _KM = haversine_sql("a.lat", "a.lon", "b.lat", "b.lon")
 _SALE_KM = haversine_sql("w.latitude", "w.longitude", "s.latitude", "s.longitude")
 
+def _squared(table: str) -> str:
+    """The square of a symmetric 3 x 3 matrix, over its trace so that it stays in range."""
+    cells = {f"{i}{j}": "+".join(f"{min(i, k)}{max(i, k)}*{min(k, j)}{max(k, j)}" for k in "abc")
+             for i, j in ("aa", "ab", "ac", "bb", "bc", "cc")}
+    return (f"SELECT {', '.join(f'{c}/(aa+bb+cc) AS {c}' for c in cells)} FROM (SELECT "
+            f"{', '.join(f'{v} AS {c}' for c, v in cells.items())} FROM {table})")
+
+
+#: First principal component: the covariance matrix squared ten times is its projection.
+WEIGHTS = {
+    "h_rows": """
+      SELECT COALESCE(i.stockout_risk, 0)::DOUBLE AS a, COALESCE(i.overstock_flag, 0)::DOUBLE AS b,
+             COALESCE(s.reliability_score, 0.5::DOUBLE) AS c
+      FROM x_invfeat i LEFT JOIN prod p ON i.product_id=p.product_id
+      LEFT JOIN sup s ON p.supplier_id=s.supplier_id""",
+    "h_0": "SELECT " + ", ".join(f"covar_samp({x}, {y}) AS {x}{y}"
+                                 for x, y in ("aa", "ab", "ac", "bb", "bc", "cc")) + " FROM h_rows",
+    **{f"h_{k + 1}": _squared(f"h_{k}") for k in range(10)},
+    "h_weights": """
+      SELECT a/(a+b+c) AS w_stockout, b/(a+b+c) AS w_overstock, c/(a+b+c) AS w_reliability
+      FROM (SELECT sqrt(aa) AS a, sqrt(bb) AS b, sqrt(cc) AS c FROM h_10)""",
+}
+
 EXTRA = {
     "o_health": f"""
       SELECT inventory_id, product_id, store_id, warehouse_id, location_type,
@@ -127,8 +153,9 @@ EXTRA = {
         {R('reliability', 3)} AS supplier_reliability, {R('score')} AS health_score,
         CASE WHEN score < 0.4 THEN 'Critical' WHEN score < 0.7 THEN 'At Risk' ELSE 'Healthy' END
           AS risk_label, over_flag AS overstock_flag
-      FROM (SELECT *, least(1.0::DOUBLE, greatest(0.0::DOUBLE, (1-risk)*0.5::DOUBLE
-          + (1-over_flag)*0.3::DOUBLE + reliability*0.2::DOUBLE)) AS score
+      FROM (SELECT *, least(1.0::DOUBLE, greatest(0.0::DOUBLE, (1-risk)*(SELECT w_stockout FROM h_weights)
+          + (1-over_flag)*(SELECT w_overstock FROM h_weights)
+          + reliability*(SELECT w_reliability FROM h_weights))) AS score
         FROM (SELECT *, 1.0::DOUBLE/(exp(least(700.0::DOUBLE,(cover-reorder_point)*0.2::DOUBLE))+1)
                 AS risk,
               CASE WHEN stock_qty > COALESCE(max_stock, 9999) THEN 1 ELSE 0 END AS over_flag
@@ -231,7 +258,7 @@ EXTRA = {
 
 
 def osql(body: str) -> str:
-    return sql(body, EXTRA)
+    return sql(body, {**EXTRA, **WEIGHTS})
 
 
 _Q = "(p - 0.5::DOUBLE)"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,25 +23,58 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def _prefixes(sets: list[np.ndarray], similarity: float) -> list[np.ndarray]:
+    """Of each set the items one of which any set of the similarity must share, too: all but
+    similarity times its size, rarest in the bucket first."""
+    sizes = np.array([len(s) for s in sets])
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), dtype=np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    return [np.sort(part)[:len(part) - math.ceil(similarity * len(part) - 1e-9) + 1]
+            for part in np.split(rank[place], np.cumsum(sizes)[:-1])]
+
+
 def _run_links(nodes: np.ndarray, sets: list[np.ndarray], similarity: float,
                near: np.ndarray | None, radius: int) -> Iterator[tuple[int, int]]:
-    """Links that span the components of one bucket: every pair that is not yet in one component,
-    and whose sizes and fingerprints allow it, is compared."""
-    label, size = np.arange(len(nodes)), np.array([len(s) for s in sets])
-    for i in range(1, len(nodes)):
-        fits = (np.minimum(size[:i], size[i]) >= similarity * np.maximum(size[:i], size[i]))
-        if near is not None:
-            fits &= np.bitwise_count(near[:i] ^ near[i]) <= radius
-        while True:
-            open_ = fits & (label[:i] != label[i])
-            j = int(open_.argmax())
-            if not open_[j]:
-                break
-            fits[j] = False
-            if jaccard(sets[j], sets[i]) >= similarity:
-                low, high = sorted((label[j], label[i]))
-                label[:i + 1][label[:i + 1] == high] = low
-    return ((int(nodes[label[i]]), int(nodes[i])) for i in range(len(nodes)) if label[i] != i)
+    """Links that span the components of one bucket.
+
+    Equal sets are linked at once. Of the others, a pair is compared if its sizes, fingerprints
+    and prefixes allow the similarity and it is not in one component yet; none is left out.
+    """
+    first: dict[bytes, int] = {}
+    kept: list[int] = []
+    for k, s in enumerate(sets):
+        same = first.setdefault(s.tobytes(), k)
+        if same == k:
+            kept.append(k)
+        else:
+            yield int(nodes[same]), int(nodes[k])
+    sets = [sets[k] for k in kept]
+    nodes = nodes[kept]
+    near = None if near is None else near[kept]
+    label, size = np.arange(len(sets)), np.array([len(s) for s in sets])
+    holders: dict[int, array] = {}
+    for i, prefix in enumerate(_prefixes(sets, similarity)):
+        found = [np.frombuffer(holders[r], dtype=np.int64) for r in prefix.tolist() if r in holders]
+        if found:
+            others = np.concatenate(found)
+            others = others[label[others] != label[i]]
+            fits = (np.minimum(size[others], size[i])
+                    >= similarity * np.maximum(size[others], size[i]) - 1e-9)
+            if near is not None:
+                fits &= np.bitwise_count(near[others] ^ near[i]) <= radius
+            others = np.unique(others[fits])
+            while len(others):
+                j, others = int(others[0]), others[1:]
+                if jaccard(sets[j], sets[i]) >= similarity:
+                    low, high = sorted((int(label[j]), int(label[i])))
+                    label[:i + 1][label[:i + 1] == high] = low
+                    others = others[label[others] != label[i]]
+        del found
+        for r in prefix.tolist():
+            holders.setdefault(r, array("q")).append(i)
+    for i in np.nonzero(label != np.arange(len(label)))[0]:
+        yield int(nodes[label[i]]), int(nodes[i])
 
 
 def verified_links(rows: DataFrame, similarity: float, radius: int = 64) -> DataFrame:

@@ -208,8 +208,18 @@ def daily_sales_lags(daily: DataFrame) -> DataFrame:
 
 
 def recent_demand(transactions: DataFrame, days: int = 30) -> DataFrame:
-    """Units per product since ``days`` days before the last date in the data."""
-    last = transactions.agg(F.max("transaction_date").alias("d")).scalar()
+    """Units per product since ``days`` days before the last date in the data.
+
+    Of a log laid out by ``sales_year`` only the folders of those days are read.
+    """
+    if "sales_year" in transactions.columns:
+        newest = transactions.agg(F.max("sales_year").alias("y")).scalar()
+        last = transactions.where(F.col("sales_year") == newest).agg(
+            F.max("transaction_date").alias("d")).scalar()
+        transactions = transactions.where(
+            F.col("sales_year") >= F.year(F.date_sub(last, days)))
+    else:
+        last = transactions.agg(F.max("transaction_date").alias("d")).scalar()
     return (transactions.where(F.col("transaction_date") >= F.date_sub(last, days))
             .groupBy("product_id").agg(F.sum("quantity").alias("recent_units")))
 

@@ -99,6 +99,7 @@ def dynamic_price(products: DataFrame, competitor_pricing: DataFrame, inventory:
     def percent(c: str) -> Column:
         return F.concat(half_up(F.col(c) * 100, 1).cast("string"), F.lit("%"))
 
+    # The sentences of the rationale.
     against = F.concat(F.lit(" (ratio "), percent("_ratio"), F.lit(" vs. population median "),
                        percent("_ratio0"), F.lit("). "))
     rationale = (
@@ -363,7 +364,7 @@ def assortment_candidates(orders: DataFrame, stores: DataFrame, products: DataFr
     missing = (elsewhere.where("NOT sold_here").join(peer, "region")
                .where(F.col("other_cents") > F.col("median")))
     adds = missing.select(
-        "region", "product_id", F.lit("add").alias("kind"),
+        "region", "product_id", F.lit("add").alias("kind"),  # fixed values: kinds and statuses
         half_up(F.col("other_cents") / 100.0 * 0.15, 2).alias("value"),
         F.lit("Not stocked in target region").alias("status"))
     median = exact_quantiles(here, "cents", {"median": 0.5}, ("region",))

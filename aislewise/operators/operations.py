@@ -242,6 +242,7 @@ def abc_slotting(inventory: DataFrame, movements: DataFrame) -> DataFrame:
     pct = F.when(F.col("total") > 0, F.col("running") / F.col("total") * 100).otherwise(100.0)
     cls = (F.when(F.col("total_movements") == 0, "C").when(pct <= 80.0, "A")
            .when(pct <= 95.0, "B").otherwise("C"))
+    # The zone names.
     zone = (F.when(F.col("abc_class") == "A", "Zone 1 (Golden Fast Pick)")
             .when(F.col("abc_class") == "B", "Zone 2 (Mid Distance)")
             .otherwise("Zone 3 (Far Bulk Storage)"))

@@ -16,7 +16,8 @@ KEYS = {
     "competitor_pricing": "comp_price_id", "customer_reviews": "review_id",
     "returns": "return_id", "promotions": "promo_id", "marketing_campaigns": "campaign_id",
     "shipments": "shipment_id"}
-# Event logs are laid out by year, so that a date filter prunes folders.
+# Event logs are laid out by year and sorted by date: a filter on the year prunes folders, one on
+# the date row groups.
 YEARLY = {"transactions": "transaction_date", "browsing_history": "timestamp",
           "orders": "order_date"}
 
@@ -35,7 +36,7 @@ def build(spark: SparkSession, raw_folder: str, folder: str) -> list[str]:
         cleaned = clean_table(S.load(spark, raw_folder, name), name)
         if name in YEARLY:
             cleaned = cleaned.withColumn("sales_year", F.year(YEARLY[name]))
-            S.save(cleaned, folder, name, ["sales_year"])
+            S.save(cleaned, folder, name, ["sales_year"], [YEARLY[name]])
         else:
             S.save(cleaned, folder, name)
 

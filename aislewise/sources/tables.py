@@ -41,16 +41,20 @@ def query(spark: SparkSession, text: str, tables: Mapping[str, DataFrame],
     return spark.sql(text, args=dict(params or {}), **tables)
 
 
-def save(df: DataFrame, folder: str, name: str, partition_by: Sequence[str] = ()) -> None:
+def save(df: DataFrame, folder: str, name: str, partition_by: Sequence[str] = (),
+         sort_by: Sequence[str] = ()) -> None:
     """Replace a table. Large logs are laid out by a low-cardinality column.
 
     The layout column is salted by the row's hash: a folder that holds a third of the
-    rows is still written by every task.
+    rows is still written by every task. ``sort_by`` orders the rows of each file, so that the
+    statistics of its row groups prune a filter on those columns.
     """
     writer = df.write.mode("overwrite")
     if partition_by:
         parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         df = df.repartition(*partition_by, F.pmod(F.xxhash64(*df.columns), F.lit(parts)))
+        if sort_by:
+            df = df.sortWithinPartitions(*partition_by, *sort_by)
         writer = df.write.mode("overwrite").partitionBy(*partition_by)
     writer.parquet(f"{folder}/{name}")
 

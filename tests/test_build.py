@@ -1,9 +1,11 @@
 """The whole batch build on a few raw rows per table."""
 
 import random
+import re
 
 from pyspark.sql import types as T
 
+from aislewise.operators import features as X
 from aislewise.plans.build import KEYS, build
 from aislewise.sources import tables as S
 from aislewise.sources.schemas import SCHEMAS
@@ -50,6 +52,11 @@ def test_build_writes_every_table(spark, tmp_path):
     assert counts["products"] == counts["feature_products"] == 2
     assert counts["transactions"] <= 8
     assert counts["feature_inventory_health"] == counts["inventory"]
+    demand = X.recent_demand(S.load(spark, out, "transactions"))
+    plan = demand._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*sales_year", plan)
+    plain = X.recent_demand(S.load(spark, out, "transactions").drop("sales_year"))
+    assert sorted(demand.collect()) == sorted(plain.collect())
     again = build(spark, raw, out)  # a second build replaces the first
     assert again == names
     assert S.load(spark, out, "customers").count() == 3

@@ -18,7 +18,7 @@ BITS = 64
 CHECK = 9             # planes between two looks at the ``over`` words
 COLUMNS = 16384       # fingerprints per block of a long run
 QUERIES = 64          # queries that go through a block together
-CELLS = 1 << 21       # bit cells unpacked at a time
+CELLS = 1 << 19       # bit cells unpacked at a time
 
 
 class Counter:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from aislewise.llm.common import map_batches, ship, text_or_empty
+from aislewise.llm.common import give_back, map_batches, ship, text_or_empty
 from aislewise.session import stored
 
 STATISTICS = [
@@ -215,7 +215,9 @@ def score_column(text: Column, model: Model) -> Column:
     def score(texts):
         import pandas as pd
         rows = np.array([statistics(raw) for raw in texts], dtype=float)
-        return pd.Series(model.score(rows.reshape(-1, len(STATISTICS))))
+        scores = pd.Series(model.score(rows.reshape(-1, len(STATISTICS))))
+        give_back()
+        return scores
 
     return score(text_or_empty(text).cast("binary"))
 

@@ -2,33 +2,38 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
+import ctypes
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from aislewise.session import ship as send_package
+
 #: A word is a run of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-_SHIPPED: set[str] = set()
+#: Rows of a batch between Spark and Python: texts are long, and both sides hold whole batches.
+BATCH_ROWS = "1000"
+_BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application, so that Python tasks import it."""
-    context = spark.sparkContext
-    if context.applicationId in _SHIPPED:
-        return
-    _SHIPPED.add(context.applicationId)
-    root = Path(__file__).resolve().parents[1]
-    bundle = Path(tempfile.mkdtemp(prefix="aislewise-")) / "aislewise-package.zip"
-    with zipfile.ZipFile(bundle, "w") as archive:
-        for source in sorted(root.rglob("*.py")):
-            archive.write(source, source.relative_to(root.parent))
-    context.addPyFile(str(bundle))
+    """Make ready for Python tasks: send them this package, and keep their batches small."""
+    send_package(spark)
+    if int(spark.conf.get(_BATCHES)) > int(BATCH_ROWS):
+        spark.conf.set(_BATCHES, BATCH_ROWS)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker outlives its task, and what it holds is
+    missing to the executor's JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -61,6 +66,7 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
         for batch in batches:
             for start in range(0, batch.num_rows, rows):
                 yield function(batch.slice(start, rows))
+        give_back()
 
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)

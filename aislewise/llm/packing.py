@@ -27,7 +27,7 @@ END_ID = 1           # ends every document
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024   # cost of a token, and of a pair of tokens of one piece
 GROUP = 30_000       # remainders packed together, about
 MOST = 65_536        # remainders packed together, at most
-WORDS, PIECES = 300_000, 600_000      # entries of a worker's caches, at most
+WORDS, PIECES = 200_000, 500_000      # entries of a worker's caches, at most
 
 #: Letters whose NFC form is themselves and whose lower case is one letter.
 _PLAIN = regex.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([^\s\p{L}\p{M}\p{N}]*)")

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from aislewise.llm.common import give_back
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -23,6 +25,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_BYTES = mixed(np.arange(1, 257, dtype=np.uint64))  # of each byte
+
+
 def word_spans(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """First byte and end of every word."""
     space = _SPACE[np.frombuffer(raw, np.uint8)]
@@ -34,13 +39,15 @@ def word_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word's bytes and length, wherever the word stands."""
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
-    data = mixed(np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1))
     # Sum of byte * base**(place in word): place counts from the word's first byte.
     sizes = ends - starts
-    inside = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    weights = _POWERS[inside % PART] + (inside // PART).astype(np.uint64)
-    letters = np.repeat(starts, sizes) + inside
-    sums = np.add.reduceat(data[letters] * weights, np.cumsum(sizes) - sizes)
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum()))
+    inside = place - np.repeat(first, sizes)
+    letters = np.frombuffer(raw, np.uint8)[place + np.repeat(starts - first, sizes)]
+    weights = _POWERS[inside] if int(sizes.max()) < PART else (
+        _POWERS[inside % PART] + (inside // PART).astype(np.uint64))
+    sums = np.add.reduceat(_BYTES[letters] * weights, first)
     return mixed(sums + sizes.astype(np.uint64))
 
 
@@ -67,7 +74,7 @@ def signed(values: np.ndarray) -> np.ndarray:
 
 
 def key_runs(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 1 << 17,
-             size: int = 32 << 20) -> Iterator[tuple[pa.Table, np.ndarray]]:
+             size: int = 16 << 20) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Batches sorted by their first ``keys`` columns to tables of whole runs of equal keys.
 
     Yields each table with the first row of every run and, last, its number of rows. A table holds
@@ -102,4 +109,7 @@ def key_runs(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 1 << 17,
                 held = table.to_batches()
     if held:
         table = pa.Table.from_batches(held).combine_chunks()
+        held = []
         yield table, edges(table)
+        del table
+    give_back()

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from aislewise.llm.bitslice import BITS, spanning_links
-from aislewise.llm.common import map_batches, ship, text_or_empty, unwrapped, wrapped
+from aislewise.llm.common import give_back, map_batches, ship, text_or_empty, unwrapped, wrapped
 from aislewise.llm.components import components
 from aislewise.llm.jaccard import verified_links
 from aislewise.llm.shingles import (key_runs, mixed, permutations, shingle_hashes, signed,
@@ -197,7 +197,9 @@ def set_node(text: Column, size: int = WORDS) -> Column:
 
     @F.pandas_udf("long")
     def named(texts):
-        return texts.map(lambda raw: _node(np.unique(_shingle_items(raw, size))))
+        nodes = texts.map(lambda raw: _node(np.unique(_shingle_items(raw, size))))
+        give_back()
+        return nodes
 
     return named(text_or_empty(text).cast("binary"))
 

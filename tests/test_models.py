@@ -77,7 +77,7 @@ def test_offer_weights_fall_back_and_learn(spark):
     cells = {(r["discount_pct"], r["ch_match"], r["label"]): r["weight"]
              for r in L.offer_conversions(promos, people, bought).collect()}
     assert cells == {(0.1, 0, 0.0): 20.0, (0.1, 1, 0.0): 19.0, (0.1, 1, 1.0): 1.0,
-                     (0.4, 1, 1.0): 30.0, (0.4, 1, 0.0): 10.0}
+                     (0.4, 0, 1.0): 30.0, (0.4, 0, 0.0): 10.0}  # a promotion for both is no match
     learned = L.nbo_weights(promos, people, bought).first()
     assert learned["learned"] and learned["discount_w"] + learned["channel_w"] == pytest.approx(
         65, abs=0.01)

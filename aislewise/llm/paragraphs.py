@@ -6,8 +6,14 @@ stands, also in the middle of a line. Each paragraph of at least ``WORDS`` words
 signature over its five-word shingles, in ``BANDS`` bands of ``ROWS``: paragraphs of similarity 0.8
 share a band with probability 0.98. Paragraphs that share a band and differ are verified by the
 exact Jaccard similarity of their shingles; links are closed to components. Of a component's
-paragraphs the first, by document and place, stays. Where at least ``PASSAGE`` words of
-neighbouring paragraphs of a document would go, that passage is a removal.
+paragraphs the first, by document and place, stays.
+
+Exact repeats do not depend on that cut: every run of ``RUN`` words that stands earlier in the corpus
+goes, wherever it begins. Of each ``RUN`` words the smallest hash of ``GRAM`` words is an anchor, so
+equal runs share one; only runs around an anchor that occurs twice are listed and compared.
+
+Where the words that would go are at least ``PASSAGE`` on end, they are a removal. A paragraph too
+short to be compared goes with its neighbour only if the kept text has the same one at that place.
 """
 
 from __future__ import annotations
@@ -21,8 +27,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from aislewise.llm.common import map_batches, ship, text_or_empty, unwrapped, wrapped
 from aislewise.llm.components import components
 from aislewise.llm.jaccard import verified_links
-from aislewise.llm.shingles import (key_runs, mixed, permutations, shingle_hashes, signed,
-                                    word_hashes, word_spans)
+from aislewise.llm.shingles import (key_runs, mixed, permutations, run_hashes, shingle_hashes,
+                                    signed, word_hashes, word_spans)
 from aislewise.session import stored
 
 WORDS = 8            # of a paragraph that is compared
@@ -30,6 +36,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 4, 2
 PASSAGE = 20         # words of a removal, at least
+RUN = 50             # words on end whose exact repeat goes, whatever the paragraphs
+GRAM = 25            # words of an anchor
 _ENDS = np.zeros(256, dtype=bool)
 _ENDS[list(b".!?")] = True
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -72,43 +80,146 @@ def _shingled(cut: Cut, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def paragraphs(docs: DataFrame, words: int = WORDS, bands: int = BANDS,
                rows: int = ROWS) -> DataFrame:
-    """(id, text) to its compared paragraphs: id, place, begin, end (characters), words, digest,
-    bands (array of long)."""
+    """(id, text) to all its paragraphs: id, place, first, stop (words), begin, end (characters),
+    digest, bands (array of long, empty for those below ``words``, which are not compared)."""
     factors, offsets = permutations(bands * rows)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        row, columns, keys = [], [[] for _ in range(5)], []
+        row, columns, keys, counts = [], [[] for _ in range(6)], [], []
         for k, raw in enumerate(batch.column(1).to_pylist()):
             cut = Cut(raw)
-            chosen = np.nonzero(cut.stop - cut.first >= words)[0]
-            if not len(chosen):
+            if not len(cut.first):
                 continue
-            shingles, starts = _shingled(cut, chosen)
-            band = np.zeros((len(chosen), bands), dtype=np.uint64)
-            for p in range(bands * rows):
-                low = np.minimum.reduceat(mixed(shingles * factors[p] + offsets[p]), starts)
-                band[:, p // rows] = mixed(band[:, p // rows] + low)
+            long = cut.stop - cut.first >= words
+            chosen = np.nonzero(long)[0]
+            if len(chosen):
+                shingles, starts = _shingled(cut, chosen)
+                band = np.zeros((len(chosen), bands), dtype=np.uint64)
+                for p in range(bands * rows):
+                    low = np.minimum.reduceat(mixed(shingles * factors[p] + offsets[p]), starts)
+                    band[:, p // rows] = mixed(band[:, p // rows] + low)
+                keys.append(signed(band).ravel())
             # Characters before a byte: bytes that do not continue a character.
             before = np.r_[0, np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)]
-            row.append(np.full(len(chosen), k))
-            for held, part in zip(columns, (np.arange(len(chosen)), before[cut.begin[chosen]],
-                                            before[cut.end[chosen]],
-                                            cut.stop[chosen] - cut.first[chosen],
-                                            cut.digest[chosen]), strict=True):
+            row.append(np.full(len(long), k))
+            counts.append(long * bands)
+            for held, part in zip(columns, (np.arange(len(long)), cut.first, cut.stop,
+                                            before[cut.begin], before[cut.end], cut.digest),
+                                  strict=True):
                 held.append(part)
-            keys.append(signed(band))
         flat = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in columns]
-        key = np.concatenate(keys) if keys else np.zeros((0, bands), np.int64)
+        key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+        ends = np.cumsum(np.concatenate(counts)) if counts else np.zeros(0, np.int64)
         ids = batch.column(0).take(pa.array(np.concatenate(row) if row else [], pa.int64()))
         return pa.RecordBatch.from_arrays(
             [ids, *(pa.array(c.astype(np.int64)) for c in flat), pa.ListArray.from_arrays(
-                pa.array(np.arange(len(key) + 1, dtype=np.int32) * bands), pa.array(key.ravel()))],
-            names=["id", "place", "begin", "end", "words", "digest", "bands"])
+                pa.array(np.r_[0, ends].astype(np.int32)), pa.array(key))],
+            names=["id", "place", "first", "stop", "begin", "end", "digest", "bands"])
 
     kind = docs.schema["id"].dataType.simpleString()
     return map_batches(docs.select("id", text_or_empty("text").cast("binary").alias("text")), run,
-                       f"id {kind}, place long, begin long, end long, words long, digest long, "
-                       "bands array<long>", 256)
+                       f"id {kind}, place long, first long, stop long, begin long, end long, "
+                       "digest long, bands array<long>", 256)
+
+
+def _sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
+    """``pick`` (minimum or maximum) over every ``width`` values on end."""
+    span = 1
+    while span * 2 <= width:
+        values, span = pick(values[:-span], values[span:]), span * 2
+    rest = width - span
+    return pick(values[:-rest], values[rest:]) if rest else values
+
+
+def anchors(hashes: np.ndarray, size: int = RUN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all grams of a text's words, and which of them are the smallest of some ``size``
+    words on end; none for a text below ``size`` words."""
+    if len(hashes) < size:
+        return np.zeros(0, np.uint64), np.zeros(0, bool)
+    grams, width = run_hashes(hashes, gram), size - gram + 1
+    pad = np.zeros(width - 1, np.uint64)
+    top = _sliding(np.r_[pad, _sliding(grams, width, np.minimum), pad], width, np.maximum)
+    return grams, grams == top
+
+
+def _hashed(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = raw.lower()
+    starts, ends = word_spans(raw)
+    return word_hashes(raw, starts, ends), starts, ends
+
+
+def exact_runs(docs: DataFrame, size: int = RUN, gram: int = GRAM) -> DataFrame:
+    """(id, text) to the runs of ``size`` words that stand earlier: id, first, stop (words), begin,
+    end (characters), run (its hash), kept_id. A run that overlaps its own first place stays."""
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def anchored(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = []
+        for raw in batch.column(1).to_pylist():
+            grams, chosen = anchors(_hashed(raw)[0], size, gram)
+            found.append(signed(grams[chosen]))
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.ListArray.from_arrays(
+                pa.array(np.r_[0, np.cumsum([len(f) for f in found])].astype(np.int32)),
+                pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))],
+            names=["id", "anchors"])
+
+    def listed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows, columns = [], [[] for _ in range(4)]
+        for k, (raw, known) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2),
+                                             strict=True)):
+            hashes, starts, ends = _hashed(raw)
+            if len(hashes) < size:
+                continue
+            hit = np.isin(signed(run_hashes(hashes, gram)), known.values.to_numpy())
+            upto = np.r_[0, np.cumsum(hit)]
+            width = size - gram + 1
+            at = np.nonzero(upto[width:] > upto[:-width])[0]
+            before = np.r_[0, np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)]
+            rows.append(np.full(len(at), k))
+            for held, part in zip(columns, (signed(run_hashes(hashes, size)[at]), at,
+                                            before[starts[at]], before[ends[at + size - 1]]),
+                                  strict=True):
+                held.append(part)
+        flat = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in columns]
+        ids = batch.column(0).take(pa.array(np.concatenate(rows) if rows else [], pa.int64()))
+        return pa.RecordBatch.from_arrays([ids, *(pa.array(c.astype(np.int64)) for c in flat)],
+                                          names=["id", "run", "first", "begin", "end"])
+
+    texts = docs.select("id", text_or_empty("text").cast("binary").alias("text"))
+    marks = stored(map_batches(texts, anchored, f"id {kind}, anchors array<long>", 256))
+    each = marks.select("id", F.explode("anchors").alias("anchor"))
+    twice = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    known = each.join(twice, "anchor", "left_semi").groupBy("id").agg(
+        F.collect_set("anchor").alias("known"))
+    again = texts.alias("d").join(known.alias("k"), F.col("d.id").eqNullSafe(F.col("k.id"))).select(
+        F.col("d.id").alias("id"), "text", "known")
+    runs = stored(map_batches(again, listed,
+                              f"id {kind}, run long, first long, begin long, end long", 256))
+    firsts = runs.groupBy("run").agg(F.count(F.lit(1)).alias("n"),
+                                     F.min(F.struct("id", "first")).alias("kept")).where("n > 1")
+    own = F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("first") < F.col("kept.first") + size)
+    return runs.join(firsts, "run").where(~own).select(
+        "id", "first", (F.col("first") + size).alias("stop"), "begin", "end", "run",
+        F.col("kept.id").alias("kept_id"))
+
+
+def _between(units: DataFrame, gone: DataFrame) -> DataFrame:
+    """Of the paragraphs that are not compared those that follow one of ``gone`` and stand in the
+    kept text at the same distance from its first; with the columns of ``gone``."""
+    short = units.where(F.size("bands") == 0)
+    last = F.last(F.when(F.col("class").isNotNull(), F.struct("place", "class", "kept_id",
+                                                              "kept_place")), True)
+    rows = short.drop("bands").unionByName(gone.drop("bands"), allowMissingColumns=True)
+    led = rows.withColumn("lead", last.over(Window.partitionBy("id").orderBy("place"))).where(
+        "class IS NULL AND lead IS NOT NULL").select(
+        "id", "place", "first", "stop", "begin", "end", "digest", F.col("lead.class").alias("class"),
+        F.col("lead.kept_id").alias("kept_id"),
+        (F.col("lead.kept_place") + F.col("place") - F.col("lead.place")).alias("kept_place"))
+    kept = short.select(F.col("id").alias("k_id"), F.col("place").alias("kept_place"), "digest"
+                        ).distinct()
+    return led.join(kept, (led.kept_place == kept.kept_place) & (led.digest == kept.digest)
+                    & led.kept_id.eqNullSafe(kept.k_id), "left_semi")
 
 
 def _colliding(units: DataFrame) -> DataFrame:
@@ -156,14 +267,16 @@ def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 
 def repeated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
              words: int = WORDS, similarity: float = SIMILARITY,
-             passage: int = PASSAGE) -> DataFrame:
+             passage: int = PASSAGE, run: int = RUN) -> DataFrame:
     """One row per removal: id, begin, end (characters of the text), words, kept_ids (documents
     that keep the passage's paragraphs) and classes (their components).
 
     Documents are read as lower case for A-Z. Null and empty texts have no paragraph. Of rows that
     repeat an id and a text one counts. A null id comes before any other. An empty table gives an
     empty result; other columns are ignored. Paragraphs below ``words`` words are not compared; one
-    that stands inside a removal goes with it.
+    beside a removal goes with it if the kept document has the same one there. ``run`` is the length
+    of exact repeats that are found wherever they begin. A removal that holds such repeats has the
+    smallest of their hashes among its classes.
     """
     named = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     units = stored(paragraphs(named, words))
@@ -177,23 +290,32 @@ def repeated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     sets = _shingle_sets(again, words).join(nodes, "node", "left_semi").dropDuplicates(["node"])
     links = verified_links(met.join(sets, "node"), similarity)
     roots = components(links)
-    classed = units.join(roots, units.digest == roots.node, "left").select(
-        "id", "place", "begin", "end", "words", F.coalesce("root", "digest").alias("class"))
+    classed = (units.where(F.size("bands") > 0).drop("bands")
+               .join(roots, units.digest == roots.node, "left")
+               .select("id", "place", "first", "stop", "begin", "end", "digest",
+                       F.coalesce("root", "digest").alias("class")))
     firsts = (classed.groupBy("class").agg(
-        F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "place")).alias("first"))
+        F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "place")).alias("kept"))
         .where("copies > 1"))
-    here = F.struct("id", "place")
-    gone = (classed.join(firsts, "class").where(~here.eqNullSafe(F.col("first")))
-            .groupBy("id", "place", "begin", "end", "words")
-            .agg(F.min("class").alias("class"), F.min("first.id").alias("kept_id")))
-    ordered = Window.partitionBy("id").orderBy("place")
-    runs = (gone.withColumn("run", F.col("place") - F.row_number().over(ordered))
-            .groupBy("id", "run").agg(
-                F.min("begin").alias("begin"), F.max("end").alias("end"),
-                F.sum("words").alias("words"),
-                F.sort_array(F.collect_set("kept_id")).alias("kept_ids"),
-                F.sort_array(F.collect_set("class")).alias("classes")))
-    return runs.where(F.col("words") >= passage).drop("run")
+    gone = stored(classed.join(firsts, "class").where(
+        ~F.struct("id", "place").eqNullSafe(F.col("kept"))).select(
+        *classed.columns, F.col("kept.id").alias("kept_id"), F.col("kept.place").alias("kept_place")))
+    parts = ["id", "first", "stop", "begin", "end", "class", "run", "kept_id"]
+    none = F.lit(None).cast("long")
+    every = (gone.unionByName(_between(units, gone)).withColumn("run", none).select(parts)
+             .unionByName(exact_runs(named, run, run // 2).withColumn("class", none).select(parts)))
+    ordered = Window.partitionBy("id").orderBy("first")
+    upto = F.max("stop").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.coalesce(F.col("first") > upto, F.lit(True)).cast("int")
+    joined = every.withColumn("apart", apart).withColumn("part", F.sum("apart").over(
+        ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    removals = joined.groupBy("id", "part").agg(
+        F.min("begin").alias("begin"), F.max("end").alias("end"),
+        (F.max("stop") - F.min("first")).alias("words"),
+        F.sort_array(F.collect_set("kept_id")).alias("kept_ids"),
+        F.sort_array(F.array_distinct(F.array_compact(F.concat(
+            F.collect_set("class"), F.array(F.min("run")))))).alias("classes"))
+    return removals.where(F.col("words") >= passage).drop("part")
 
 
 def remove(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",

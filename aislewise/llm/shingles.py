@@ -62,6 +62,19 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def run_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every run of ``size`` words, at a cost that does not grow with ``size``; none for
+    fewer words."""
+    n = len(words) - size + 1
+    if n < 1:
+        return np.zeros(0, dtype=np.uint64)
+    one = np.ones(1, dtype=np.uint64)
+    powers = np.cumprod(np.r_[one, np.full(len(words) - 1, _BASE)])
+    sums = np.r_[np.zeros(1, np.uint64), np.cumsum(words * powers)]
+    inverse = np.cumprod(np.r_[one, np.full(n - 1, _INVERSE)])
+    return mixed((sums[size:] - sums[:-size]) * inverse)
+
+
 def permutations(count: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Odd factors and offsets of ``count`` hash permutations."""
     rng = np.random.default_rng(seed)

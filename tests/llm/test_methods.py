@@ -339,6 +339,54 @@ def test_shared_passages_are_found_wherever_they_stand(spark):
     assert all(shorter[i] == t for i, t in rows if i >= 1000 or i % 10 == 0)
 
 
+def test_passages_cut_in_sentences_and_on_lines_are_found_whole(spark):
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), rng.integers(4, 9)))
+
+    def prose(words):
+        ends = np.cumsum(rng.integers(6, 40, words))
+        return [word() + ("." if k in ends else "") for k in range(words)]
+
+    rows, spans = [], {}
+    for k in range(40):
+        passage = prose(int(rng.integers(50, 61)))
+        for copy in range(3):
+            words, cut = prose(90), int(rng.integers(5, 85))
+            glue = "\n" if k % 2 else " "
+            head = " ".join(words[:cut]) + glue
+            rows.append((10 * k + copy, head + " ".join(passage) + glue + " ".join(words[cut:])))
+            if copy:
+                spans[10 * k + copy] = (len(head), len(head) + len(" ".join(passage)))
+    found = {}
+    for r in paragraphs.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found.setdefault(r.id, []).append((r.begin, r.end))
+    assert found.keys() == spans.keys()  # all of them
+    for i, (begin, end) in spans.items():  # and to their edges
+        assert min(b for b, _ in found[i]) <= begin and max(e for _, e in found[i]) >= end
+
+
+@given(st.lists(st.integers(0, 3), max_size=60), st.integers(4, 12))
+def test_equal_runs_share_an_anchor(words, size):
+    hashes = shingles.mixed(np.array(words, dtype=np.uint64))
+    grams, chosen = paragraphs.anchors(hashes, size, size // 2)
+    width = size - size // 2 + 1
+    for p in range(len(words) - size + 1):
+        low = grams[p:p + width].min()
+        assert chosen[p:p + width][grams[p:p + width] == low].all()
+    runs = shingles.run_hashes(hashes, size)
+    texts = [tuple(words[p:p + size]) for p in range(len(words) - size + 1)]
+    assert len(set(runs.tolist())) == len(set(texts))
+
+
+def test_a_repeated_text_stays_once(spark):
+    block = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, "x " * 200), (2, block + " middle " + block)]
+    shorter = {r.doc_id: r.text.split() for r in paragraphs.remove(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(shorter[1]) >= paragraphs.RUN
+    assert shorter[2] == (block + " middle").split()
+
+
 def test_near_paragraphs_against_all_pairs(spark):
     rng = np.random.default_rng(4)
     base = [[f"v{x}" for x in rng.integers(0, 10_000, 60)] for _ in range(10)]

@@ -8,10 +8,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from aislewise.llm.common import ship
 from aislewise.llm.shingles import key_runs
+from aislewise.session import stored
+
+LIMIT = 20_000   # nodes of a bucket compared in one task; of a larger one, pairs of blocks are
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -77,16 +80,49 @@ def _run_links(nodes: np.ndarray, sets: list[np.ndarray], similarity: float,
         yield int(nodes[label[i]]), int(nodes[i])
 
 
-def verified_links(rows: DataFrame, similarity: float, radius: int = 64) -> DataFrame:
-    """(place, bucket, node, items[, fp]) to links (a, b) of nodes of Jaccard ``similarity``.
+def paired(rows: DataFrame, large: DataFrame, limit: int) -> DataFrame:
+    """Rows of ``large`` buckets (place, bucket, n), with ``linked`` and a node, to one row for each
+    pair of blocks they are in: ``pair`` is added. Every two rows of a bucket meet in some pair,
+    unless both are ``linked``; a pair holds about ``limit`` rows.
+
+    A bucket of n rows is n / limit * 2 blocks, so its rows come as often as there are blocks of
+    rows that are not linked (or, for those, of all rows).
+    """
+    # Blocks are numbered from 0, those of the unlinked rows first.
+    sizes = (rows.groupBy("place", "bucket").agg(
+        F.count_if(~F.col("linked")).alias("free"), F.count_if("linked").alias("held")))
+    half = max(limit // 2, 1)
+    counted = rows.join(F.broadcast(large.select("place", "bucket")), ["place", "bucket"]).join(
+        F.broadcast(sizes.select("place", "bucket", F.ceil(F.col("free") / half).alias("free"),
+                                 F.ceil(F.col("held") / half).alias("held"))), ["place", "bucket"])
+    own = F.when(F.col("linked"), F.col("free") + F.pmod(F.xxhash64("node"), F.col("held"))
+                 ).otherwise(F.pmod(F.xxhash64("node"), F.col("free")))
+    # A linked row meets the unlinked blocks only.
+    last = F.when(F.col("linked"), F.col("free")).otherwise(F.col("free") + F.col("held"))
+    met = counted.withColumn("own", own).where(last > 0).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), last - 1)))
+    total = F.col("free") + F.col("held")
+    return met.withColumn("pair", F.least("own", "other") * total + F.greatest("own", "other")
+                          ).drop("own", "other", "free", "held")
+
+
+def verified_links(met: DataFrame, sets: DataFrame, similarity: float, radius: int = 64,
+                   limit: int = LIMIT) -> DataFrame:
+    """(place, bucket, node[, fp]) and (node, items) to links (a, b) of nodes of Jaccard
+    ``similarity``. ``met`` should be stored: it is read more than once.
 
     ``items`` are hashes, sorted and without repeats; a node may come more than once in a bucket.
     With ``fp``, pairs whose fingerprints differ in more than ``radius`` bits are passed over.
+
+    A bucket above ``limit`` nodes is never in one task. Each of its nodes is first compared with
+    the smallest one, by a join; then pairs of blocks are compared, but for pairs of nodes that are
+    both linked to the smallest. Nothing else is left out.
     """
-    fingerprinted = "fp" in rows.columns
+    fingerprinted = "fp" in met.columns
+    columns = ["place", "bucket", "node", *(["fp"] if fingerprinted else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in key_runs(batches, 2):
+        for table, starts in key_runs(batches, 3):
             node = table.column("node").to_numpy()
             fps = table.column("fp").to_numpy().view(np.uint64) if fingerprinted else None
             items = table.column("items").combine_chunks()
@@ -105,8 +141,36 @@ def verified_links(rows: DataFrame, similarity: float, radius: int = 64) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())],
                                                  names=["a", "b"])
 
-    ship(rows.sparkSession)
-    columns = ["place", "bucket", "node", "items", *(["fp"] if fingerprinted else [])]
-    ordered = (rows.select(columns).repartition("place", "bucket")
-               .sortWithinPartitions("place", "bucket"))
-    return ordered.mapInArrow(run, "a long, b long")
+    def compared(rows: DataFrame) -> DataFrame:
+        ordered = (rows.select("place", "bucket", "pair", *columns[2:], "items")
+                   .repartition("place", "bucket", "pair")
+                   .sortWithinPartitions("place", "bucket", "pair"))
+        return ordered.mapInArrow(run, "a long, b long")
+
+    ship(met.sparkSession)
+    # At most one bucket for every ``limit`` rows, so these tables are small.
+    large = stored(met.groupBy("place", "bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where(F.col("n") > limit))
+    zero = F.lit(0).cast("long").alias("pair")
+    if large.isEmpty():
+        return compared(met.join(sets, "node").select(*columns, "items", zero))
+    sets = stored(sets)
+    small = met.join(F.broadcast(large), ["place", "bucket"], "left_anti")
+    pivots = large.join(sets, large.pivot == sets.node).select(
+        "place", "bucket", "pivot", F.col("items").alias("pivot_items"))
+    if fingerprinted:
+        pivots = pivots.join(met.select("node", "fp").distinct(),
+                             F.col("pivot") == F.col("node")).select(
+            "place", "bucket", "pivot", "pivot_items", F.col("fp").alias("pivot_fp"))
+    both = F.size(F.array_intersect("items", "pivot_items"))
+    # The same floating-point division as in ``jaccard``; two empty sets are equal.
+    every = F.size("items") + F.size("pivot_items") - both
+    like = F.when(every == 0, F.lit(True)).otherwise(both / every >= similarity)
+    if fingerprinted:
+        like &= F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot_fp"))) <= radius
+    star = stored(met.select(columns).distinct().join(F.broadcast(pivots), ["place", "bucket"])
+                  .join(sets, "node").select(*columns, "pivot", like.alias("linked")))
+    rows = paired(star, large, limit).select(*columns, "pair").join(sets, "node")
+    return (compared(small.select(*columns, zero).join(sets, "node")).unionByName(compared(rows))
+            .unionByName(star.where("linked AND node <> pivot").select(
+                F.col("pivot").alias("a"), F.col("node").alias("b"))))

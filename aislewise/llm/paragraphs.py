@@ -236,7 +236,10 @@ def _colliding(units: DataFrame) -> DataFrame:
                 yield from table.take(pa.array(chosen)).to_batches()
 
     ship(units.sparkSession)
-    rows = units.select(F.posexplode("bands").alias("place", "bucket"), F.col("digest").alias("node"))
+    # Equal paragraphs become one before they are sent to their buckets.
+    distinct = (units.where(F.size("bands") > 0).groupBy(F.col("digest").alias("node"))
+                .agg(F.first("bands").alias("bands")))
+    rows = distinct.select(F.posexplode("bands").alias("place", "bucket"), "node")
     ordered = rows.repartition("place", "bucket").sortWithinPartitions("place", "bucket", "node")
     return ordered.mapInArrow(run, "place int, bucket long, node long")
 
@@ -288,7 +291,7 @@ def repeated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     again = named.alias("d").join(holders.alias("h"), F.col("d.id").eqNullSafe(F.col("h.id")),
                                   "left_semi")
     sets = _shingle_sets(again, words).join(nodes, "node", "left_semi").dropDuplicates(["node"])
-    links = verified_links(met.join(sets, "node"), similarity)
+    links = verified_links(met, sets, similarity)
     roots = components(links)
     classed = (units.where(F.size("bands") > 0).drop("bands")
                .join(roots, units.digest == roots.node, "left")

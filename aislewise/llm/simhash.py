@@ -294,7 +294,7 @@ def similar_sets(described: DataFrame, docs: DataFrame, similarity: float, size:
     sets = map_batches(
         again.select("id", text_or_empty("text").cast("binary").alias("text")), run,
         "node long, items array<long>").join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    return verified_links(met.join(sets, "node"), similarity, radius)
+    return verified_links(met, sets, similarity, radius, limit)
 
 
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",

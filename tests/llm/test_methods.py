@@ -99,6 +99,43 @@ def test_similar_documents_against_all_pairs(spark, limit):
     assert kept == set(closed(sets, links).values())
 
 
+@pytest.mark.parametrize("limit", [1000, 5])
+def test_large_buckets_link_as_all_pairs_do(spark, limit):
+    """One bucket: near copies of its smallest node, others like each other, and some like both."""
+    rng = np.random.default_rng(9)
+    sets = {}
+    for k in range(60):
+        base = np.arange(40) + 1000 * (k % 3)
+        sets[k] = np.unique(np.r_[base[rng.random(40) > 0.06 * (k % 4)], 10_000 + k])
+    sets |= {100 + k: np.arange(k, k + 40) for k in range(0, 12, 2)}
+    met = spark.createDataFrame([(0, 7, n) for n in sets], "place int, bucket long, node long")
+    items = spark.createDataFrame([(n, v.tolist()) for n, v in sets.items()],
+                                  "node long, items array<long>")
+    links = [(r.a, r.b) for r in jaccard.verified_links(met, items, 0.8, limit=limit).collect()]
+    brute = [(a, b) for a in sets for b in sets if a < b
+             and jaccard.jaccard(sets[a], sets[b]) >= 0.8]
+    assert closed(sets, links) == closed(sets, brute)
+
+
+def test_no_pair_of_blocks_holds_a_whole_bucket(spark):
+    rows = spark.createDataFrame([(0, 7, n, n % 4 > 0) for n in range(400)],
+                                 "place int, bucket long, node long, linked boolean")
+    large = spark.createDataFrame([(0, 7)], "place int, bucket long")
+    found = jaccard.paired(rows, large, 40).collect()
+    pairs = {}
+    for r in found:
+        pairs.setdefault(r.pair, set()).add(r.node)
+    assert max(map(len, pairs.values())) < 100
+    together = {(a, b) for p in pairs.values() for a in p for b in p}
+    assert all((a, b) in together for a in range(400) for b in range(400) if not a % 4)
+
+
+def test_equal_paragraphs_are_one_before_their_buckets(spark):
+    units = spark.createDataFrame([(5, [1, 2, 3, 4])] * 500 + [(6, [1, 9, 9, 9])],
+                                  "digest long, bands array<long>")
+    assert {tuple(r) for r in paragraphs._colliding(units).collect()} == {(0, 1, 5), (0, 1, 6)}
+
+
 def test_components_against_union_find(spark):
     rng = np.random.default_rng(2)
     links = [tuple(map(int, x)) for x in rng.integers(0, 400, (250, 2))]

@@ -12,7 +12,8 @@ many bits (45 for r = 3) that it holds at most 2**19 distinct fingerprints. No l
 mean a dozen differing bits, too many for blocks of bits. There a bucket holds the documents with
 the same minimum under one of ``SLOTS`` permutations of their shingles (0.8 is missed with
 probability 0.2 ** SLOTS). The same bit-sliced comparison, at a wide radius, abandons whoever has
-no neighbour; the rest is verified by exact Jaccard.
+no neighbour; the rest is verified by exact Jaccard. A bucket above the limit is cut into blocks,
+and all pairs of blocks are compared as separate tasks, so that the limit changes no result.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from aislewise.llm.bitslice import BITS, spanning_links
 from aislewise.llm.common import give_back, map_batches, ship, text_or_empty, unwrapped, wrapped
 from aislewise.llm.components import components
-from aislewise.llm.jaccard import verified_links
+from aislewise.llm.jaccard import paired, verified_links
 from aislewise.llm.shingles import (key_runs, mixed, permutations, shingle_hashes, signed,
                                     word_hashes, word_spans)
 from aislewise.session import stored
@@ -235,11 +236,11 @@ def _described(docs: DataFrame, size: int, slots: int) -> DataFrame:
 
 
 def _neighbours(dealt: DataFrame, radius: int, limit: int | None) -> DataFrame:
-    """(place, bucket, node, fp) of those with a neighbour in their bucket; with ``large`` set,
-    of all rows of buckets above the limit."""
+    """(place, bucket, pair, node, fp) of those with a neighbour of the same three keys; with
+    ``large`` set, of all rows of buckets above the limit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in key_runs(batches, 2):
+        for table, starts in key_runs(batches, 3):
             sizes = np.diff(starts)
             large = sizes > limit if limit else np.zeros(len(sizes), bool)
             rows = np.nonzero(np.repeat(~large, sizes))[0]
@@ -254,9 +255,11 @@ def _neighbours(dealt: DataFrame, radius: int, limit: int | None) -> DataFrame:
                     yield from part.to_batches()
 
     ship(dealt.sparkSession)
-    ordered = (dealt.select("place", "bucket", "node", "fp").repartition("place", "bucket")
-               .sortWithinPartitions("place", "bucket"))
-    return ordered.mapInArrow(run, "place int, bucket long, node long, fp long, large boolean")
+    ordered = (dealt.select("place", "bucket", "pair", "node", "fp")
+               .repartition("place", "bucket", "pair")
+               .sortWithinPartitions("place", "bucket", "pair"))
+    return ordered.mapInArrow(
+        run, "place int, bucket long, pair long, node long, fp long, large boolean")
 
 
 def similar_sets(described: DataFrame, docs: DataFrame, similarity: float, size: int,
@@ -265,17 +268,14 @@ def similar_sets(described: DataFrame, docs: DataFrame, similarity: float, size:
     again only for documents with a neighbour."""
     nodes = stored(described.groupBy("node").agg(F.min("fp").alias("fp"),
                                                  F.first("minima").alias("minima")))
-    dealt = nodes.select(F.posexplode("minima").alias("place", "bucket"), "node", "fp")
+    dealt = nodes.select(F.posexplode("minima").alias("place", "bucket"), "node", "fp",
+                         F.lit(0).cast("long").alias("pair"))
     first = stored(_neighbours(dealt, radius, limit))
-    # A bucket above the limit is dealt again by the documents' other minima.
-    slots = len(permutations(SLOTS)[0])
-    again = (first.where("large").drop("large").join(nodes.select("node", "minima"), "node")
-             .select(F.posexplode("minima").alias("other", "low"), "place", "bucket", "node", "fp")
-             .where("other <> place")
-             .select((F.col("place") * slots + F.col("other") + slots).cast("int").alias("place"),
-                     F.xxhash64("bucket", "low").alias("bucket"), "node", "fp"))
-    met = stored(first.where("NOT large").drop("large").unionByName(
-        _neighbours(again, radius, None).drop("large")))
+    # Of a bucket above the limit, all pairs of blocks are compared.
+    again = first.where("large").drop("large", "pair").withColumn("linked", F.lit(False))
+    blocks = paired(again, again.select("place", "bucket").distinct(), limit)
+    met = stored(first.where("NOT large").unionByName(_neighbours(blocks, radius, None)).select(
+        "place", "bucket", "node", "fp").distinct())
     wanted = met.select("node").distinct()
     holders = described.join(wanted, "node", "left_semi").groupBy("node").agg(
         F.min("id").alias("id")).select("id").distinct()

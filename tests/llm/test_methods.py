@@ -99,6 +99,31 @@ def test_similar_documents_against_all_pairs(spark, limit):
     assert kept == set(closed(sets, links).values())
 
 
+@pytest.mark.parametrize("limit", [simhash.LIMIT, 10])
+def test_pairs_that_agree_on_one_minimum_alone(spark, limit):
+    """All documents share a passage that holds a minimum; pairs are sparse, so no other link helps."""
+    factors, offsets = shingles.permutations(simhash.SLOTS)
+    minima = lambda text: [int(shingles.mixed(np.unique(simhash._shingle_items(
+        text.encode(), 5)) * f + o).min()) for f, o in zip(factors, offsets, strict=True)]
+    rng, pairs = np.random.default_rng(3), []
+    shared = " ".join(f"s{k}" for k in range(60))
+    while len(pairs) < 12:
+        base = [f"p{x}" for x in rng.integers(0, 10 ** 6, 90)]
+        a, b = list(base), list(base)
+        for place in rng.choice(85, 3, replace=False):
+            b[place] = f"q{rng.integers(0, 10 ** 6)}"
+        a, b = (shared + " " + " ".join(x) for x in (a, b))
+        sets = [set(zip(*(t.split()[k:] for k in range(5)))) for t in (a, b)]
+        agree = sum(x == y for x, y in zip(minima(a), minima(b), strict=True))
+        if agree == 1 and len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1]):
+            pairs.append((a, b))
+        elif len(pairs) == 0 and len(sets[0] & sets[1]) < 0.5 * len(sets[0]):
+            raise AssertionError("pairs are not similar")
+    rows = [(2 * k + j, t) for k, pair in enumerate(pairs) for j, t in enumerate(pair)]
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), limit=limit)
+    assert {r.doc_id for r in kept.collect()} == {2 * k for k in range(12)}
+
+
 @pytest.mark.parametrize("limit", [1000, 5])
 def test_large_buckets_link_as_all_pairs_do(spark, limit):
     """One bucket: near copies of its smallest node, others like each other, and some like both."""

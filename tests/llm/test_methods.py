@@ -440,6 +440,18 @@ def test_equal_runs_share_an_anchor(words, size):
     assert len(set(runs.tolist())) == len(set(texts))
 
 
+def test_unique_lines_between_repeats_stay(spark):
+    rng = np.random.default_rng(21)
+    sentence = lambda: " ".join(f"c{x}" for x in rng.integers(0, 10 ** 6, 10)) + "."
+    head, foot = (" ".join(sentence() for _ in range(8)) for _ in range(2))
+    rows = [(k, "\n".join([head, *(f"only{k}x{j}" for j in range(200)), foot])) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r.doc_id: r.text for r in paragraphs.remove(docs).collect()}
+    # A line may be part of a paragraph that is similar as a whole, at either edge of the list.
+    assert len(left) == 300 and all(f"only{k}x{j}" in left[k].split()
+                                    for k in range(300) for j in range(5, 195))
+
+
 def test_a_repeated_text_stays_once(spark):
     block = " ".join(f"w{k}" for k in range(60))
     rows = [(1, "x " * 200), (2, block + " middle " + block)]

@@ -1,8 +1,4 @@
-"""Learned operators over the given tables, at the operators' own settings but for the trees.
-
-The operator's 250 trees at a rate of 0.06 take three minutes here; the queries grow fewer, larger
-steps.
-"""
+"""Learned operators over the given tables, at the operators' own settings."""
 
 from __future__ import annotations
 
@@ -14,7 +10,6 @@ from aislewise.plans.shape import plain
 from aislewise.session import stored
 from aislewise.functions.scalars import half_up
 
-TREES, RATE = 20, 0.3
 STOP = ["the", "and", "of", "is", "in", "it", "on", "le", "la", "de", "und", "der", "die"]
 
 
@@ -40,13 +35,13 @@ def forecast_training(t):
 
 def forecast_model(t):
     training = _training(t)
-    return L.forecast_errors(training, L.fit_forecast_model(training, TREES, 5, RATE))
+    return L.forecast_errors(training, L.fit_forecast_model(training))
 
 
 def demand_forecast(t):
     daily = stored(_daily(t))
     training = _training(t, daily)
-    model = L.fit_forecast_model(training, TREES, 5, RATE)
+    model = L.fit_forecast_model(training)
     return plain(L.demand_forecast(daily, t.products, model,
                                    L.forecast_errors(training, model), horizon=7))
 

@@ -42,6 +42,21 @@ def test_forecast_beats_the_mean_and_covers_unsold(spark, sales):
     assert len({r["forecast_qty"] for r in unsold}) == 1
 
 
+def test_forecast_queries_fit_the_operators_defaults(spark, monkeypatch):
+    from aislewise.plans import models as P
+    fits = []
+    monkeypatch.setattr(P, "_training", lambda *_: None)
+    monkeypatch.setattr(P, "_daily", lambda *_: None)
+    monkeypatch.setattr(P, "stored", lambda x: x)
+    monkeypatch.setattr(P, "plain", lambda x, *_: x)
+    for name in ("forecast_errors", "demand_forecast"):
+        monkeypatch.setattr(P.L, name, lambda *_, **__: None)
+    monkeypatch.setattr(P.L, "fit_forecast_model", lambda *a, **k: fits.append((a[1:], k)))
+    P.forecast_model(None)
+    P.demand_forecast(type("T", (), {"products": None}))
+    assert fits == [((), {})] * 2
+
+
 def test_elbow_takes_the_first_small_drop():
     assert L._elbow([(3, 100.0), (4, 50.0), (5, 49.0), (6, 10.0)]) == 5
     assert L._elbow([(3, 100.0)]) == 8

@@ -268,20 +268,23 @@ def _elbow(costs: list[tuple[int, float]]) -> int:
 
 def audience_k(features: DataFrame, columns: Sequence[str] = AUDIENCE_COLUMNS, max_k: int = 12,
                seed: int = 42) -> tuple[DataFrame, int]:
-    """Clustering cost for k = 3..max_k, and the elbow."""
+    """Clustering cost for k = 3..max_k, and the elbow. A k above the number of rows is not fitted
+    and has a null cost; with none fitted the choice is 8."""
     spark = features.sparkSession
     scaled = _scaled_audience(features, columns).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         people = scaled.count()
         costs = []
-        for k in range(3, min(max_k + 1, people // 10 + 3)):
+        for k in range(3, min(max_k, people) + 1):
             model = KMeans(k=k, seed=seed, maxIter=100).fit(scaled)
             costs.append((k, float(model.summary.trainingCost)))
     finally:
         scaled.unpersist()
-    chosen = _elbow(costs) if costs and people >= 20 else 8
-    table = spark.createDataFrame([(k, cost, k == chosen) for k, cost in costs],
-                                  "k int, cost double, is_chosen boolean")
+    chosen = _elbow(costs) if costs else 8
+    known = dict(costs)
+    table = spark.createDataFrame([(k, known.get(k), k == chosen, k in known)
+                                   for k in range(3, max_k + 1)],
+                                  "k int, cost double, is_chosen boolean, fitted boolean")
     return table, chosen
 
 
@@ -376,9 +379,10 @@ CATEGORY_PHRASES = [
 
 
 class TicketModel:
-    """Category and priority classifiers over one TF-IDF representation."""
+    """Category and priority classifiers over one TF-IDF representation of all terms, or of the
+    ``max_features`` most used."""
 
-    def __init__(self, tickets: DataFrame, max_features: int = 500, iterations: int = 300,
+    def __init__(self, tickets: DataFrame, max_features: int | None = None, iterations: int = 300,
                  stop_words: Sequence[str] | None = None):
         stop_words = default_stop_words() if stop_words is None else list(stop_words)
         self._tokenize = RegexTokenizer(inputCol="description", outputCol="_words",
@@ -386,7 +390,7 @@ class TicketModel:
         self._stop = StopWordsRemover(inputCol="_words", outputCol="_terms", stopWords=stop_words)
         words = self._stop.transform(self._tokenize.transform(self._text(tickets)))
         self._count = CountVectorizer(inputCol="_terms", outputCol="_tf",
-                                      vocabSize=max_features).fit(words)
+                                      vocabSize=max_features or (1 << 31) - 1).fit(words)
         counted = self._count.transform(words)
         idf = IDF(inputCol="_tf", outputCol="_idf").fit(counted)
         # The library's idf lacks the + 1 of the smoothed form.

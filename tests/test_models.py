@@ -75,6 +75,23 @@ def test_audience_cost_falls_with_k(spark):
     assert len(set(labels)) == 3
 
 
+def test_small_audiences_try_the_same_k(spark):
+    rows = [(i, *[float((i * (j + 3)) % 17) for j in range(7)]) for i in range(6)]
+    frame = spark.createDataFrame(rows, "customer_id int, " + ", ".join(
+        f"{c} double" for c in L.AUDIENCE_COLUMNS))
+    table, _ = L.audience_k(frame, max_k=8)
+    assert {r["k"]: r["fitted"] for r in table.collect()} == {k: k <= 6 for k in range(3, 9)}
+    assert table.where("fitted AND cost IS NULL OR NOT fitted AND cost IS NOT NULL").count() == 0
+
+
+def test_tickets_use_all_terms(spark):
+    rows = [(i, " ".join(f"term{i}x{j}" for j in range(10)), "ab"[i % 2], "High")
+            for i in range(80)]
+    tickets = spark.createDataFrame(rows, "ticket_id int, description string, category string, "
+                                          "priority string")
+    assert len(L.TicketModel(tickets, iterations=1)._count.vocabulary) == 800
+
+
 def test_offer_weights_fall_back_and_learn(spark):
     people = spark.createDataFrame([(i, "s", "Online" if i % 2 else "Email") for i in range(40)],
                                    "customer_id int, segment string, preferred_channel string")

@@ -6,6 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 from uuid import uuid4
+from weakref import finalize
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +52,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 _LOCAL_FOLDERS: dict[str, str] = {}
 _OWN_FOLDERS: set[str] = set()
+_PATHS: dict[int, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -71,14 +73,17 @@ def own_folder(spark: SparkSession) -> str:
     folder = "/".join([shared_folder(spark), spark.sparkContext.applicationId])
     if folder not in _OWN_FOLDERS:
         _OWN_FOLDERS.add(folder)
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files, path = _file(spark, folder)
         files.mkdirs(path)
         files.deleteOnExit(path)
     return folder
 
 
+def _file(spark: SparkSession, name: str) -> tuple:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write an intermediate result once and read it back.
 
@@ -89,7 +94,19 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = "/".join([own_folder(spark), uuid4().hex])
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(back)] = path
+    finalize(back, _PATHS.pop, id(back), None)
+    return back
+
+
+def released(df: DataFrame) -> None:
+    """Delete the file behind a result of ``stored`` once nothing reads it any more: a later
+    ``stored`` result has replaced it. Other frames are left alone."""
+    path = _PATHS.pop(id(df), None)
+    if path:
+        files, at = _file(df.sparkSession, path)
+        files.delete(at, True)
 
 
 _SHIPPED: set[str] = set()

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from aislewise.llm import chat, classifier, exact, mixing, packing, paragraphs, pii, rules, simhash, warc
+from aislewise.llm import (chat, classifier, codes, exact, mixing, packing, paragraphs, pii, rules,
+                           simhash, warc, whitening)
 from aislewise.llm.common import table
 from aislewise.session import stored
 
@@ -71,6 +72,16 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
                              ).withColumnRenamed("id", "doc_id")
 
 
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    found = codes.encode(table(spark, folder, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), codes.code_string(F.col("codes")).alias("code"),
+                        "error", "label_error", "codebooks_sha256")
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_pii_surrogates": op2_pii_surrogates,
@@ -82,13 +93,56 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_packing": op9_packing,
     "op10_quality_classifier": op10_quality_classifier,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_whitening": op13_whitening,
 }
 
+
+
+def _lloyd(parts: int = codes.PARTS, entries: int = codes.ENTRIES,
+           rounds: int = codes.ROUNDS) -> str:
+    """Plain Lloyd rounds over the parts of the integer vectors, round by round."""
+    code = ["""v AS (SELECT vec_id, label,
+                 list_transform(embedding, c -> floor(1024 * c::DOUBLE)::BIGINT) AS x
+               FROM embeddings WHERE embedding IS NOT NULL
+               AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0)""",
+            f"""p AS MATERIALIZED (SELECT vec_id, label, part,
+                 x[part * len(x) // {parts} + 1 : (part + 1) * len(x) // {parts}]::DOUBLE[] AS x
+               FROM v, range({parts}) AS r(part))""",
+            f"""b0 AS (SELECT part, row_number() OVER w - 1 AS entry, x AS c FROM p
+               WINDOW w AS (PARTITION BY part ORDER BY vec_id) QUALIFY entry < {entries})"""]
+    for k in range(rounds + 1):
+        # Whole numbers below 2**53 are exact in doubles; the entry breaks ties of the distance.
+        code.append(f"""a{k} AS MATERIALIZED (SELECT vec_id, part, any_value(label) AS label,
+                 any_value(x) AS x, min((list_inner_product(x, x) - 2 * list_inner_product(x, c)
+                   + list_inner_product(c, c))::BIGINT * {entries} + entry) AS best
+               FROM p JOIN b{k} USING (part) GROUP BY vec_id, part)""")
+        if k < rounds:
+            code.append(f"""s{k} AS (SELECT part, best % {entries} AS entry, place,
+                     sum(x[place])::BIGINT AS s, count(*) AS n
+                   FROM a{k}, range(1, len(x) + 1) AS r(place) GROUP BY ALL)""")
+            code.append(f"""b{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(new, c) AS c
+                   FROM b{k} LEFT JOIN (SELECT part, entry, list(
+                     ((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY place) AS new
+                     FROM s{k} GROUP BY part, entry) AS q USING (part, entry))""")
+    last = f"a{rounds}"
+    return "WITH " + ",\n        ".join(code) + f""",
+        h AS (SELECT sha256(string_agg(list_aggregate(c::BIGINT[], 'string_agg', ','), ','
+                ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds}),
+        e AS (SELECT vec_id, any_value(label) AS label,
+                string_agg(printf('%02x', (best % {entries})::INT), '' ORDER BY part) AS code,
+                sum(best // {entries})::BIGINT AS error FROM {last} GROUP BY vec_id)
+        SELECT vec_id, code, error,
+               (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+        FROM e, h"""
+
+
 _ESCAPED = "regexp_replace({0}, '(<|\\[)(\\\\*)" + chat._REST + "', '\\1\\\\\\2\\3', 'g')"
 
 _SPACE = "[\\x20\\x09-\\x0D]"
 
 ORACLES = {
+    "op12_vector_codes": _lloyd(),
     "op4_warc": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes,
                           sha256(coalesce(html, '')) AS payload_digest FROM pages),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from aislewise.llm import (chat, classifier, codes, exact, mixing, packing, paragraphs, pii, rules,
-                           simhash, warc, whitening)
+                           simhash, toxicity, warc, whitening)
 from aislewise.llm.common import table
 from aislewise.session import stored
 
@@ -72,6 +72,11 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
                              ).withColumnRenamed("id", "doc_id")
 
 
+def op11_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.assess(table(spark, folder, "documents"), table(spark, folder, "labels")
+                           ).withColumnRenamed("id", "doc_id")
+
+
 def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     found = codes.encode(table(spark, folder, "embeddings"))
     return found.select(F.col("id").alias("vec_id"), codes.code_string(F.col("codes")).alias("code"),
@@ -93,6 +98,7 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_packing": op9_packing,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_toxicity": op11_toxicity,
     "op12_vector_codes": op12_vector_codes,
     "op13_whitening": op13_whitening,
 }
@@ -103,9 +109,9 @@ def _lloyd(parts: int = codes.PARTS, entries: int = codes.ENTRIES,
            rounds: int = codes.ROUNDS) -> str:
     """Plain Lloyd rounds over the parts of the integer vectors, round by round."""
     code = ["""v AS (SELECT vec_id, label,
-                 list_transform(embedding, c -> floor(1024 * c::DOUBLE)::BIGINT) AS x
+                 [floor(1024 * c::DOUBLE)::BIGINT for c in embedding] AS x
                FROM embeddings WHERE embedding IS NOT NULL
-               AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0)""",
+               AND len([c for c in embedding if c IS NULL OR NOT isfinite(c)]) = 0)""",
             f"""p AS MATERIALIZED (SELECT vec_id, label, part,
                  x[part * len(x) // {parts} + 1 : (part + 1) * len(x) // {parts}]::DOUBLE[] AS x
                FROM v, range({parts}) AS r(part))""",

@@ -36,7 +36,7 @@ def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, folder, "documents").select("doc_id", "text", "source"))
+    mixed = mixing.measure(table(spark, folder, "documents"))
     return mixed.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target",
                         (F.col("size") * F.col("copies")).alias("taken"))
 
@@ -176,10 +176,9 @@ ORACLES = {
                     '{_SPACE}+', ' ', 'g'), ' ') AS norm FROM raw
                   WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
         dup AS (SELECT k, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY k),
-        hosts AS (SELECT source, count(DISTINCT text) AS total FROM lines GROUP BY source),
         often AS (SELECT source, norm FROM (
                     SELECT source, norm, count(DISTINCT text) AS n FROM lines GROUP BY ALL) q
-                  JOIN hosts USING (source) WHERE n > 20 AND n > total * 0.1),
+                  WHERE n > 20),
         gone AS (SELECT k, sum(len(string_split(norm, ' ')))::BIGINT AS removed_words
                  FROM lines JOIN often USING (source, norm) GROUP BY k),
         r AS (SELECT doc_id, coalesce(n_words, 0) AS n_words,

@@ -1,9 +1,9 @@
 """Quality rules: counts within a document, and line frequency across a host's documents.
 
 Lines are normalised (words joined by one space, A-Z in lower case) and hashed. A line goes when
-more than ``DOCUMENTS`` distinct documents of its host hold it and they are more than ``SHARE`` of
-the host's documents; exact copies of a document count as one. A document that fails a base rule,
-or of whose words less than ``LEFT`` stand on the lines that stay, is rejected.
+more than ``DOCUMENTS`` distinct documents of its host hold it, however large the host is; exact
+copies of a document count as one. A document that fails a base rule, or of whose words less than
+``LEFT`` stand on the lines that stay, is rejected.
 """
 
 from __future__ import annotations
@@ -16,8 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from aislewise.llm.common import map_batches, ship, text_or_empty, unwrapped, wrapped
 from aislewise.session import stored
 
-DOCUMENTS = 20       # a line on more distinct documents of its host may go
-SHARE = 0.1          # ... if they are more than this share of the host's documents
+DOCUMENTS = 20       # a line on more distinct documents of its host goes
 LEFT = 0.5           # share of its words a document must keep
 MIN_WORDS = 50
 REPEATED = 50        # per cent of words in repeated windows, at most
@@ -95,20 +94,15 @@ def described(docs: DataFrame) -> DataFrame:
         + ", ".join(f"{c} long" for c in _BASE) + ", lines array<struct<h: long, words: long>>")
 
 
-def frequent_lines(lines: DataFrame, documents: int = DOCUMENTS,
-                   share: float = SHARE) -> DataFrame:
-    """(host, digest, h), one row per document and line, to the (host, h) above both limits."""
-    hosts = lines.select("host", "digest").distinct().groupBy("host").agg(
-        F.count(F.lit(1)).alias("host_documents"))
-    counted = (lines.select("host", "h", "digest").distinct().groupBy("host", "h")
-               .agg(F.count(F.lit(1)).alias("documents"))
-               .where(F.col("documents") > documents))
-    return (counted.alias("l").join(hosts.alias("h"), F.col("l.host").eqNullSafe(F.col("h.host")))
-            .where(F.col("documents") > F.col("host_documents") * share).select("l.host", "l.h"))
+def frequent_lines(lines: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
+    """(host, digest, h), one row per document and line, to the (host, h) above the limit."""
+    return (lines.select("host", "h", "digest").distinct().groupBy("host", "h")
+            .agg(F.count(F.lit(1)).alias("documents"))
+            .where(F.col("documents") > documents).select("host", "h"))
 
 
 def assess(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-           host_column: str = "source", documents: int = DOCUMENTS, share: float = SHARE,
+           host_column: str = "source", documents: int = DOCUMENTS,
            left: float = LEFT) -> DataFrame:
     """One row per document: id, the base counts, removed_words, base_failed, kept, and
     ``removed``, the hashes of its lines that go.
@@ -119,9 +113,15 @@ def assess(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     named = docs.select(F.col(id_column).alias("id"), F.col(host_column).alias("host"),
                         F.col(text_column).alias("text"))
     base = stored(described(named).withColumn("key", F.monotonically_increasing_id()))
+    return _judged(base, documents, left).select(
+        "id", *_BASE, "removed_words", "base_failed", "kept", "removed")
+
+
+def _judged(base: DataFrame, documents: int, left: float) -> DataFrame:
+    """Described documents, each with a ``key`` of its own, with the verdicts on them."""
     lines = base.select("key", "host", "digest", F.explode("lines").alias("line")).select(
         "key", "host", "digest", "line.h", "line.words")
-    frequent = stored(frequent_lines(lines, documents, share))
+    frequent = stored(frequent_lines(lines, documents))
     hit = (lines.alias("l").join(frequent.alias("f"), F.col("l.host").eqNullSafe(F.col("f.host"))
                                  & (F.col("l.h") == F.col("f.h")))
            .groupBy("key").agg(F.sum("words").alias("removed_words"),
@@ -131,18 +131,23 @@ def assess(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
             .withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
             .withColumn("base_failed", (n < MIN_WORDS) | (100 * F.col("n_repeat_words")
                                                           > REPEATED * n))
-            .withColumn("kept", ~failed & (n - F.col("removed_words") >= n * left))
-            .select("id", *_BASE, "removed_words", "base_failed", "kept", "removed"))
+            .withColumn("kept", ~failed & (n - F.col("removed_words") >= n * left)))
 
 
 def clean(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-          host_column: str = "source", **limits) -> DataFrame:
+          host_column: str = "source", documents: int = DOCUMENTS,
+          left: float = LEFT) -> DataFrame:
     """The kept documents without the lines that go; all columns as they were but the text.
 
-    Documents are matched by id, so the id must not repeat.
+    Verdicts are matched by host and text, so ids may repeat or be null: equal texts of a host have
+    equal verdicts, and every row is judged once.
     """
-    verdicts = assess(docs, id_column, text_column, host_column, **limits)
-    kept = verdicts.where("kept").select(F.col("id").alias("kept_id"), "removed")
+    named = docs.select(F.col(id_column).alias("id"), F.col(host_column).alias("host"),
+                        F.col(text_column).alias("text"))
+    # One row per text of a host; copies are judged alike, and count as one document anyway.
+    base = stored(described(named).drop("id").dropDuplicates(["host", "digest"])
+                  .withColumn("key", F.monotonically_increasing_id()))
+    verdicts = _judged(base, documents, left).where("kept").select("host", "digest", "removed")
     ship(docs.sparkSession)
 
     @F.pandas_udf("string")
@@ -155,10 +160,17 @@ def clean(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                                  if not gone or line_hash(x.encode()) not in gone))
         return pd.Series(out)
 
-    rows = wrapped(docs)
-    joined = rows.join(kept, F.col(f"row.`{id_column}`").eqNullSafe(F.col("kept_id")))
-    text = F.when(F.col("removed").isNull(), F.col(f"row.`{text_column}`")).otherwise(
-        without(text_or_empty(F.col(f"row.`{text_column}`")), F.col("removed")))
+    @F.pandas_udf("binary")
+    def digested(texts):
+        return texts.map(xxhash.xxh128_digest)
+
+    text = F.col(f"row.`{text_column}`")
+    rows = wrapped(docs).select("row", F.col(f"row.`{host_column}`").alias("host"),
+                                digested(text_or_empty(text).cast("binary")).alias("digest"))
+    joined = rows.alias("r").join(verdicts.alias("v"), F.col("r.host").eqNullSafe(F.col("v.host"))
+                                  & (F.col("r.digest") == F.col("v.digest")))
+    shorter = F.when(F.col("removed").isNull(), text).otherwise(
+        without(text_or_empty(text), F.col("removed")))
     changed = joined.withColumn("row", F.struct(*[
-        (text if c == text_column else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]))
+        (shorter if c == text_column else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]))
     return unwrapped(changed, docs.columns)

@@ -8,12 +8,7 @@ found among the rows that agree on some two blocks (about 26 bits for r = 3). In
 the same argument: of the bits left, cut into 2r blocks, r must agree. A second bucket shares so
 many bits (45 for r = 3) that it holds at most 2**19 distinct fingerprints. No link is dropped.
 
-``deduplicate`` removes documents whose shingle sets have a Jaccard similarity, which for 0.8 may
-mean a dozen differing bits, too many for blocks of bits. There a bucket holds the documents with
-the same minimum under one of ``SLOTS`` permutations of their shingles (0.8 is missed with
-probability 0.2 ** SLOTS). The same bit-sliced comparison, at a wide radius, abandons whoever has
-no neighbour; the rest is verified by exact Jaccard. A bucket above the limit is cut into blocks,
-and all pairs of blocks are compared as separate tasks, so that the limit changes no result.
+``deduplicate`` keeps one document of each component.
 """
 
 from __future__ import annotations
@@ -27,11 +22,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from aislewise.llm.bitslice import BITS, spanning_links
-from aislewise.llm.common import give_back, map_batches, ship, text_or_empty, unwrapped, wrapped
+from aislewise.llm.common import ship, text_or_empty, unwrapped, wrapped
 from aislewise.llm.components import components
-from aislewise.llm.jaccard import paired, verified_links
-from aislewise.llm.shingles import (key_runs, mixed, permutations, shingle_hashes, signed,
-                                    word_hashes, word_spans)
+from aislewise.llm.shingles import key_runs
 from aislewise.session import stored
 
 RADIUS = 3       # differing bits of a link, at most
@@ -39,10 +32,6 @@ SHINGLE = 3      # words
 SEED = 42
 LIMIT = 20_000   # rows of a bucket compared at once; larger ones are dealt again
 CHUNK = 1 << 15  # shingles hashed at a time
-SIMILARITY = 0.8  # Jaccard, of ``deduplicate``
-WORDS = 5         # of its shingles
-SLOTS = 5         # buckets of a document
-WIDE = 24         # differing bits up to which it verifies a pair
 
 
 def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
@@ -181,145 +170,27 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return tagged.join(found, "fp").select("id", "fp", "component_id")
 
 
-def _shingle_items(raw: bytes, size: int) -> np.ndarray:
-    """The hashes of a text's shingles in A-Z lower case, repeats included."""
-    raw = raw.lower()
-    starts, ends = word_spans(raw)
-    return shingle_hashes(word_hashes(raw, starts, ends), size)
-
-
-def _node(items: np.ndarray) -> int:
-    """A name for a set of hashes, which must be sorted and without repeats; zero for none."""
-    return int(signed(mixed(items).sum(dtype=np.uint64)[None])[0])
-
-
-def set_node(text: Column, size: int = WORDS) -> Column:
-    """The name of a text's shingle set; texts of equal sets share it."""
-
-    @F.pandas_udf("long")
-    def named(texts):
-        nodes = texts.map(lambda raw: _node(np.unique(_shingle_items(raw, size))))
-        give_back()
-        return nodes
-
-    return named(text_or_empty(text).cast("binary"))
-
-
-def _described(docs: DataFrame, size: int, slots: int) -> DataFrame:
-    """(id, text) to id, node, fp and the minima of the shingles under each permutation."""
-    factors, offsets = permutations(slots)
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        nodes, fps, minima = [], [], []
-        for raw in batch.column(1).to_pylist():
-            distinct = np.unique(_shingle_items(raw, size))
-            nodes.append(_node(distinct))
-            ones = np.zeros(BITS, dtype=np.int64)
-            for start in range(0, len(distinct), CHUNK):
-                part = distinct[start:start + CHUNK]
-                ones += np.add.reduce(np.unpackbits(
-                    part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0,
-                    dtype=np.uint32)
-            fps.append(np.packbits(ones * 2 > len(distinct), bitorder="little").view("<i8")[0])
-            minima.append([mixed(distinct * f + o).min() if len(distinct) else np.uint64(0)
-                           for f, o in zip(factors, offsets, strict=True)])
-        flat = signed(np.array(minima, dtype=np.uint64).reshape(-1))
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()),
-             pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32)
-                                               * slots), pa.array(flat))],
-            names=["id", "node", "fp", "minima"])
-
-    kind = docs.schema["id"].dataType.simpleString()
-    return map_batches(docs.select("id", text_or_empty("text").cast("binary").alias("text")), run,
-                       f"id {kind}, node long, fp long, minima array<long>")
-
-
-def _neighbours(dealt: DataFrame, radius: int, limit: int | None) -> DataFrame:
-    """(place, bucket, pair, node, fp) of those with a neighbour of the same three keys; with
-    ``large`` set, of all rows of buckets above the limit."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in key_runs(batches, 3):
-            sizes = np.diff(starts)
-            large = sizes > limit if limit else np.zeros(len(sizes), bool)
-            rows = np.nonzero(np.repeat(~large, sizes))[0]
-            fps = table.column("fp").to_numpy()[rows].view(np.uint64)
-            first, second = spanning_links(np.r_[0, np.cumsum(sizes[~large])].astype(np.int64),
-                                           fps, radius)
-            near = rows[np.unique(np.r_[first, second])]
-            for chosen, mark in ((near, False), (np.nonzero(np.repeat(large, sizes))[0], True)):
-                if len(chosen):
-                    part = table.take(pa.array(chosen)).append_column(
-                        "large", pa.array(np.full(len(chosen), mark)))
-                    yield from part.to_batches()
-
-    ship(dealt.sparkSession)
-    ordered = (dealt.select("place", "bucket", "pair", "node", "fp")
-               .repartition("place", "bucket", "pair")
-               .sortWithinPartitions("place", "bucket", "pair"))
-    return ordered.mapInArrow(
-        run, "place int, bucket long, pair long, node long, fp long, large boolean")
-
-
-def similar_sets(described: DataFrame, docs: DataFrame, similarity: float, size: int,
-                 radius: int, limit: int) -> DataFrame:
-    """Links between nodes of ``described`` whose sets have the similarity; (id, text) is read
-    again only for documents with a neighbour."""
-    nodes = stored(described.groupBy("node").agg(F.min("fp").alias("fp"),
-                                                 F.first("minima").alias("minima")))
-    dealt = nodes.select(F.posexplode("minima").alias("place", "bucket"), "node", "fp",
-                         F.lit(0).cast("long").alias("pair"))
-    first = stored(_neighbours(dealt, radius, limit))
-    # Of a bucket above the limit, all pairs of blocks are compared.
-    again = first.where("large").drop("large", "pair").withColumn("linked", F.lit(False))
-    blocks = paired(again, again.select("place", "bucket").distinct(), limit)
-    met = stored(first.where("NOT large").unionByName(_neighbours(blocks, radius, None)).select(
-        "place", "bucket", "node", "fp").distinct())
-    wanted = met.select("node").distinct()
-    holders = described.join(wanted, "node", "left_semi").groupBy("node").agg(
-        F.min("id").alias("id")).select("id").distinct()
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [np.unique(_shingle_items(raw, size)) for raw in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([_node(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(
-                pa.array(np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)),
-                pa.array(np.concatenate([np.sort(signed(s)) for s in sets])
-                         if sets else np.zeros(0, np.int64)))],
-            names=["node", "items"])
-
-    again = docs.alias("d").join(holders.alias("h"), F.col("d.id").eqNullSafe(F.col("h.id")),
-                                 "left_semi")
-    sets = map_batches(
-        again.select("id", text_or_empty("text").cast("binary").alias("text")), run,
-        "node long, items array<long>").join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    return verified_links(met, sets, similarity, radius, limit)
-
-
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-                similarity: float = SIMILARITY, words: int = WORDS, radius: int = WIDE,
-                limit: int = LIMIT) -> DataFrame:
-    """One row of each class of similar documents, with all its columns: that with the smallest id.
-
-    Two documents are linked when the sets of their shingles of ``words`` words, A-Z in lower
-    case, have that Jaccard similarity; a shorter text is one shingle, and all texts without a
-    word are equal. Of rows that repeat an id and a set, one stays. A null id loses against any
-    other. Null texts count as empty.
+                radius: int = RADIUS, shingle: int = SHINGLE, limit: int = LIMIT) -> DataFrame:
+    """One row of each component of ``near_duplicates``, with all its columns: that with the
+    smallest id.
+
+    A null id loses against any other. Of rows that repeat an id and a text, one stays; of other
+    rows that repeat the smallest id, the one with the smallest fingerprint, then text hash. Null
+    texts count as empty. Fingerprints are computed once; the rows meet the kept ones by id and a
+    hash of the text, so copies of a text are spread by their ids.
     """
-    named = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    described = stored(_described(named, words, SLOTS))
-    roots = components(similar_sets(described, named, similarity, words, radius, limit))
-    firsts = described.groupBy("node").agg(F.min("id").alias("first"))
-    rooted = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = stored(rooted.groupBy("root").agg(F.min(F.struct(
-        F.col("first").isNull().alias("none"), "first", "node")).alias("best"))
-        .select("best.node", F.col("best.first").alias("id")))
-    ship(docs.sparkSession)
+    text = text_or_empty(F.col(text_column))
+    named = docs.select(F.col(id_column).alias("id"), text.alias("text"))
+    tagged = stored(with_fingerprint(named.withColumn("h", F.xxhash64("text")), F.col("text"), "fp",
+                                     shingle).select("id", "fp", "h"))
+    best = F.struct(F.col("id").isNull().alias("none"), "id", "fp", "h")
+    kept = (tagged.join(classes(tagged.select("id", "fp"), radius, limit).select("fp", "root"), "fp")
+            .groupBy("root").agg(F.min(best).alias("best")).select("best.id", "best.h"))
     rows = wrapped(docs).select("row", F.col(f"row.`{id_column}`").alias("id"),
-                                set_node(F.col(f"row.`{text_column}`"), words).alias("node"))
-    mine = rows.alias("r").join(kept.alias("k"), (F.col("r.node") == F.col("k.node"))
+                                F.xxhash64(text_or_empty(F.col(f"row.`{text_column}`"))).alias("h"))
+    mine = rows.alias("r").join(kept.alias("k"), (F.col("r.h") == F.col("k.h"))
                                 & F.col("r.id").eqNullSafe(F.col("k.id")), "left_semi")
-    one = Window.partitionBy("node", "id").orderBy(F.lit(1))
+    one = Window.partitionBy("h", "id").orderBy(F.lit(1))
     return unwrapped(mine.withColumn("place", F.row_number().over(one)).where("place = 1"),
                      docs.columns)

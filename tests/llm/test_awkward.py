@@ -126,7 +126,27 @@ def test_rules_on_awkward_rows(docs):
     assert found[(2, 0)].base_failed and not found[(2, 0)].kept
     long = found[(5, 120_000)]
     assert long.base_failed == (100 * long.n_repeat_words > 50 * long.n_words)
-    assert rules.clean(docs.where("doc_id <> 8")).columns == docs.columns
+    assert rules.clean(docs).columns == docs.columns
+
+
+def test_rules_judge_every_row_by_its_own_text(spark):
+    """Ids repeat and are null; rows stay as many as ``assess`` keeps, each with its own text."""
+    body = "\n".join(f"line {k} " + " ".join(f"w{j}x{k}" for j in range(30)) for k in range(4))
+    rows = [(1, body), (1, body + "\nextra words here"), (1, body), (None, body + "\nno id"),
+            (None, "short"), (2, None)]
+    docs = spark.createDataFrame([(i, t, None if k == 3 else "h") for k, (i, t) in enumerate(rows)],
+                                 "doc_id long, text string, source string")
+    assert rules.assess(docs).where("kept").count() == 4
+    assert sorted(r.text for r in rules.clean(docs).collect()) == sorted(
+        t for _, t in rows if t and len(t) > 99)
+
+
+def test_a_line_on_a_small_share_of_a_large_host_goes(spark):
+    docs = spark.range(10_000).selectExpr(
+        "id AS doc_id", "concat_ws(' ', transform(sequence(1, 60), k -> concat('w', k, 'x', id)),"
+        " if(id % 11 = 0, '\nthe shared line', '\nanother ' || id)) AS text", "'h' AS source")
+    gone = rules.assess(docs).groupBy("removed_words").count().collect()
+    assert sorted(map(tuple, gone)) == [(0, 9090), (3, 910)]
 
 
 def test_paragraphs_and_pii_keep_columns(docs):

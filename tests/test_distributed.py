@@ -89,10 +89,10 @@ def brute_neighbours(signal, k):
     return out
 
 
-@pytest.mark.parametrize("hot_degree", [0, 10, 1000])
-def test_neighbours_with_a_product_everyone_holds(spark, monkeypatch, hot_degree):
+@pytest.mark.parametrize("budget", [0, 10, 40, 20_000])
+def test_neighbours_with_a_product_everyone_holds(spark, monkeypatch, budget):
     monkeypatch.setattr(similarity, "BLOCK", 16)
-    monkeypatch.setattr(similarity, "COLUMNS", 3)
+    monkeypatch.setattr(similarity, "CHUNK", 3)
     rng = random.Random(11)
     signal = {(c, rng.randint(1, 25)): float(rng.randint(1, 9)) for c in range(70)
               for _ in range(4)}
@@ -105,12 +105,66 @@ def test_neighbours_with_a_product_everyone_holds(spark, monkeypatch, hot_degree
     rows = [(c, p, w) for (c, p), w in signal.items()]
     df = spark.createDataFrame(rows, "customer_id long, product_id long, signal double")
     got = {}
-    for r in K.similar_customers(df, 5, hot_degree).orderBy("customer_id", "rank").collect():
+    for r in K.similar_customers(df, 5, budget).orderBy("customer_id", "rank").collect():
         got.setdefault(r["customer_id"], []).append(r["neighbour_id"])
     expected = {c: n for c, n in brute_neighbours(rows, 5).items() if n}
     assert got == expected
 
 
+def zipf_rows(seed, rows, per_row=8):
+    """(row, feature, weight) of unit rows; a feature's weight falls with its frequency, as idf's."""
+    rng = random.Random(seed)
+    out = []
+    for row in range(rows):
+        features = {min(int(rng.paretovariate(0.6)), 40 * rows) for _ in range(per_row)}
+        weights = {f: 1.0 if f > 3 else 0.05 * f for f in features}
+        norm = sum(w * w for w in weights.values()) ** 0.5
+        out += [(row, f, w / norm, 1.0) for f, w in weights.items()]
+    return out
+
+
+@pytest.mark.parametrize("budget, digits", [(0, 9), (30, 9), (30, None), (20_000, 9)])
+def test_index_finds_what_all_pairs_find(spark, budget, digits):
+    schema = "row long, feature long, weight double, norm double"
+    asked, known = zipf_rows(1, 60), zipf_rows(2, 150)
+    found = {}
+    for r in similarity.top_k(spark.createDataFrame(asked, schema), spark.createDataFrame(
+            known, schema), 4, False, digits, budget).collect():
+        found.setdefault(r["query"], []).append((-r["similarity"], r["match"]))
+    a, b = {}, {}
+    for rows, out in ((asked, a), (known, b)):
+        for row, f, w, _ in rows:
+            out.setdefault(row, {})[f] = w
+    for q, mine in a.items():
+        scored = []
+        for m, theirs in b.items():
+            dot = sum(w * theirs.get(f, 0.0) for f, w in mine.items())
+            if dot > 0:
+                scored.append((-(math.floor(dot * 1e9 + 0.5) / 1e9 if digits else dot), m))
+        got, best = sorted(found.get(q, [])), sorted(scored)[:4]
+        assert [s for s, _ in got] == pytest.approx([s for s, _ in best], abs=1e-12)
+        if digits:
+            assert got == best
+
+
+def test_bounds_spare_the_frequent_features(spark):
+    """Four times the rows: the products before the bound grow with the postings, not their square."""
+    schema = "row long, feature long, weight double, norm double"
+    pairs = []
+    for rows in (500, 2000):
+        df = spark.createDataFrame(zipf_rows(3, rows), schema)
+        r = similarity.work(df, df, budget=200).first()
+        pairs.append(r["pairs"] / r["postings"])
+    assert pairs[1] < 1.5 * pairs[0]
+
+
+def test_index_of_empty_tables(spark):
+    schema = "row long, feature long, weight double, norm double"
+    some, none = spark.createDataFrame(zipf_rows(1, 5), schema), spark.createDataFrame([], schema)
+    assert similarity.top_k(some, none, 3, False).count() == 0
+    assert similarity.top_k(none, some, 3, False).count() == 0
+
+
 def test_ranges_do_not_change_the_result(frame, monkeypatch):
     rows = [("g", i, (i * 37) % 101) for i in range(400)]
     df = frame("g string, id long, v long", *rows)

@@ -23,7 +23,8 @@ def _similar(t):
 
 def _candidates(t):
     signal = _signal(t)
-    return K.cf_candidates(signal, stored(K.similar_customers(signal)))
+    similar = stored(K.similar_customers(signal))
+    return K.cf_candidates(signal, similar), signal, similar
 
 
 def implicit_feedback(t):
@@ -39,20 +40,25 @@ def category_boost(t):
         "category", half_up("rate", 6).alias("rate"), half_up("boost", 6).alias("boost"))
 
 
-def cf_recommendations(t):
+def _boosted(t):
     boost = K.category_boost(t.transactions, t.browsing, t.products)
-    return plain(K.cf_recommendations(_candidates(t), t.products, t.customers, boost, 5))
+    return _candidates(t)[0], t.products, t.customers, boost
+
+
+def cf_recommendations(t):
+    return plain(K.recommendations(*_boosted(t), t.transactions, 5))
 
 
 def bestseller_fallback(t):
-    """Customers who never carted or wished for anything are the cold ones here."""
-    signal = t.carts.select("customer_id").unionByName(t.wishlist.select("customer_id"))
-    return plain(K.bestseller_fallback(t.transactions, t.products, t.customers, signal, 5))
+    """Customers to whom collaborative filtering recommends nothing."""
+    served = K.cf_recommendations(*_boosted(t), 5)
+    return plain(K.bestseller_fallback(t.transactions, t.products, t.customers, served, 5))
 
 
 def recommendation_reasons(t):
-    return plain(K.recommendation_reasons(_candidates(t), t.products, t.customers, t.reviews,
-                                          10))
+    candidates, signal, similar = _candidates(t)
+    return plain(K.recommendation_reasons(candidates, t.products, t.customers, t.reviews,
+                                          t.transactions, signal, similar, 10))
 
 
 def category_affinity(t):
@@ -154,6 +160,49 @@ EXTRA = {
       WHERE NOT EXISTS (SELECT 1 FROM c_signal o WHERE o.customer_id=g.customer_id
                         AND o.product_id=g.product_id)""",
     "c_ranked": "SELECT * FROM c_raw WHERE raw_score > 0",
+    "c_cf": f"""
+      SELECT customer_id, product_id, product_name, category, price, score, position,
+        CASE WHEN category=preferred_category
+             THEN 'Top choice matching your preferred style: ' || category
+             ELSE printf('Trending among similar shoppers (%s converts %.2fx avg)', category,
+                         boost) END AS reason
+      FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY score DESC, product_id)
+              AS position
+        FROM (SELECT r.customer_id, r.product_id, p.product_name, p.category, p.price,
+                {R('r.raw_score*COALESCE(b.boost,1)', 4)} AS score, b.boost,
+                c.preferred_category
+              FROM c_ranked r JOIN prod p ON r.product_id=p.product_id
+              LEFT JOIN c_boost b ON p.category=b.category
+              LEFT JOIN cust c ON r.customer_id=c.customer_id))
+      WHERE position <= 5""",
+    "c_wish": """
+      SELECT w.wish, p.product_id, p.product_name, p.category, p.brand, p.price, u.units,
+             row_number() OVER (PARTITION BY w.wish
+               ORDER BY CASE WHEN p.category=w.wish THEN 0 ELSE 1 END, u.units DESC,
+                        p.product_id) AS position
+      FROM prod p JOIN (SELECT product_id, CAST(SUM(quantity) AS BIGINT) AS units
+                        FROM txn GROUP BY 1) u ON p.product_id=u.product_id
+      CROSS JOIN (SELECT DISTINCT COALESCE(preferred_category,'') AS wish FROM cust) w""",
+    "c_rest": """
+      SELECT k.customer_id, l.product_id, l.product_name, l.category, l.price,
+        CAST(l.units AS DOUBLE) AS score, l.position,
+        CASE WHEN l.category=l.wish THEN 'Popular in ' || l.wish ELSE 'Trending bestseller' END
+          AS reason
+      FROM cust k JOIN c_wish l ON COALESCE(k.preferred_category,'')=l.wish
+      WHERE l.position <= 5 AND NOT EXISTS (
+        SELECT 1 FROM c_cf f WHERE f.customer_id=k.customer_id)""",
+    "c_rating": f"""
+      SELECT product_id, {R('AVG(rating)', 1)} AS a, COUNT(rating) AS n FROM rev GROUP BY 1""",
+    "c_seen": f"""
+      SELECT *, TRUE AS personal, '{K.PERSONAL}' AS algorithm FROM (
+        SELECT *, row_number() OVER (PARTITION BY customer_id
+                ORDER BY bought_by_similar DESC, avg_rating DESC, product_id) AS position
+        FROM (SELECT r.customer_id, r.product_id, p.product_name, p.category, p.brand, p.price,
+                COALESCE(v.a,0) AS avg_rating, COALESCE(v.n,0) AS review_count,
+                r.bought_by_similar
+              FROM c_ranked r JOIN prod p ON r.product_id=p.product_id
+              LEFT JOIN c_rating v ON r.product_id=v.product_id))
+      WHERE position <= 10""",
     "c_fallback": f"""
       SELECT (SELECT CAST(trunc(median(hour(timestamp))) AS BIGINT) FROM browse) AS fallback_hour,
              (SELECT CASE WHEN m < 0.05 THEN 0.05::DOUBLE WHEN m > 0.8 THEN 0.8::DOUBLE ELSE m END
@@ -228,54 +277,35 @@ ORACLES = {
                               "similarity, rank FROM c_similar"),
     "category_boost": csql(f"SELECT category, {R('rate', 6)} AS rate, {R('boost', 6)} AS boost "
                            "FROM c_boost"),
-    "cf_recommendations": csql(f"""
-      SELECT customer_id, product_id, product_name, category, price, score, position,
-        CASE WHEN category=preferred_category
-             THEN 'Top choice matching your preferred style: ' || category
-             ELSE printf('Trending among similar shoppers (%s converts %.2fx avg)', category,
-                         boost) END AS reason
-      FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY score DESC, product_id)
-              AS position
-        FROM (SELECT r.customer_id, r.product_id, p.product_name, p.category, p.price,
-                {R('r.raw_score*COALESCE(b.boost,1)', 4)} AS score, b.boost,
-                c.preferred_category
-              FROM c_ranked r JOIN prod p ON r.product_id=p.product_id
-              LEFT JOIN c_boost b ON p.category=b.category
-              LEFT JOIN cust c ON r.customer_id=c.customer_id))
-      WHERE position <= 5"""),
-    "bestseller_fallback": csql("""
-      SELECT customer_id, product_id, product_name, category, price, units AS score, position,
-        CASE WHEN category=wish THEN 'Popular in ' || wish ELSE 'Trending bestseller' END AS reason
-      FROM (SELECT k.customer_id, l.* FROM cust k JOIN (
-          SELECT w.wish, p.product_id, p.product_name, p.category, p.price, u.units,
-                 row_number() OVER (PARTITION BY w.wish
-                   ORDER BY CASE WHEN p.category=w.wish THEN 0 ELSE 1 END, u.units DESC,
-                            p.product_id) AS position
-          FROM prod p JOIN (SELECT product_id, CAST(SUM(quantity) AS BIGINT) AS units
-                            FROM txn GROUP BY 1) u ON p.product_id=u.product_id
-          CROSS JOIN (SELECT DISTINCT preferred_category AS wish FROM cust) w) l ON k.preferred_category=l.wish
-        WHERE l.position <= 5 AND NOT EXISTS (SELECT 1 FROM cart a
-                WHERE a.customer_id=k.customer_id)
-          AND NOT EXISTS (SELECT 1 FROM wish b WHERE b.customer_id=k.customer_id))"""),
+    "cf_recommendations": csql("""
+      SELECT * FROM c_cf UNION ALL SELECT * FROM c_rest"""),
+    "bestseller_fallback": csql("SELECT * FROM c_rest"),
     "recommendation_reasons": csql(f"""
-      SELECT customer_id, product_id, product_name, category, brand, avg_rating, review_count,
-        bought_by_similar, position,
-        'Bought by similar customers'
-        || CASE WHEN category=preferred_category
-                THEN '; Matches your preferred category (' || category || ')' ELSE '' END
-        || CASE WHEN avg_rating >= 4 AND review_count >= 5
-                THEN printf('; Highly rated (%.1f★, %d reviews)', avg_rating, review_count)
-                ELSE '' END AS reasons
-      FROM (SELECT *, row_number() OVER (PARTITION BY customer_id
-                ORDER BY bought_by_similar DESC, avg_rating DESC, product_id) AS position
-        FROM (SELECT r.customer_id, r.product_id, p.product_name, p.category, p.brand,
+      SELECT customer_id, product_id, product_name, category, brand, price, avg_rating,
+        review_count, bought_by_similar, position, CAST(personal AS BIGINT) AS is_personalized,
+        algorithm, concat_ws('; ', CASE WHEN personal THEN '{K.SIMILAR_TAG}' END,
+          CASE WHEN bought THEN '{K.HISTORY_TAG}' WHEN category=preferred_category
+               THEN '{K.PREFERRED_TAG}' || category || ')' END,
+          CASE WHEN avg_rating >= 4 AND review_count >= 5
+               THEN printf('{K.RATED_TAG}', avg_rating, review_count) END,
+          CASE WHEN NOT personal AND NOT bought AND category IS DISTINCT FROM preferred_category
+               AND NOT (avg_rating >= 4 AND review_count >= 5) THEN '{K.POPULAR_TAG}' END)
+          AS reasons
+      FROM (SELECT e.*, c.preferred_category, EXISTS (SELECT 1 FROM txn t
+              WHERE t.customer_id=e.customer_id AND t.product_id=e.product_id) AS bought
+            FROM (SELECT * FROM c_seen UNION ALL
+              SELECT k.customer_id, l.product_id, l.product_name, l.category, l.brand, l.price,
                 COALESCE(v.a,0) AS avg_rating, COALESCE(v.n,0) AS review_count,
-                r.bought_by_similar, c.preferred_category
-              FROM c_ranked r JOIN prod p ON r.product_id=p.product_id
-              LEFT JOIN (SELECT product_id, {R('AVG(rating)', 1)} AS a, COUNT(rating) AS n
-                         FROM rev GROUP BY 1) v ON r.product_id=v.product_id
-              LEFT JOIN cust c ON r.customer_id=c.customer_id))
-      WHERE position <= 10"""),
+                0 AS bought_by_similar, l.position, FALSE AS personal,
+                CASE WHEN NOT EXISTS (SELECT 1 FROM c_signal s WHERE s.customer_id=k.customer_id)
+                     THEN '{K.COLD_START}'
+                     WHEN NOT EXISTS (SELECT 1 FROM c_similar s WHERE s.customer_id=k.customer_id)
+                     THEN '{K.NO_NEIGHBOUR}' ELSE '{K.NO_CANDIDATE}' END AS algorithm
+              FROM cust k JOIN c_wish l ON COALESCE(k.preferred_category,'')=l.wish
+              LEFT JOIN c_rating v ON l.product_id=v.product_id
+              WHERE l.position <= 10 AND NOT EXISTS (
+                SELECT 1 FROM c_seen s WHERE s.customer_id=k.customer_id)) e
+            LEFT JOIN cust c ON e.customer_id=c.customer_id)"""),
     "category_affinity": csql(f"""
       SELECT customer_id, category, units_purchased,
         {R('units_purchased/SUM(units_purchased) OVER (PARTITION BY customer_id)*100', 1)}

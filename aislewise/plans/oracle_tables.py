@@ -144,15 +144,15 @@ TABLES: dict[str, str] = {
              {R('l_extendedprice/l_quantity')} AS price FROM lineitem""",
     "promo": f"""
       SELECT p_partkey AS promo_id, p_partkey AS product_id,
-             {pick(['Flat Discount', 'Bundle', 'Clearance'], 'p_partkey//10')} AS promo_type,
-             {pick(['Online', 'Offline', 'Both'], 'p_partkey//10')} AS channel,
-             {pick(SEGS, 'p_partkey//10')} AS target_segment,
-             (p_partkey//10 % 50 + 5)/100::DOUBLE AS discount_pct,
+             {pick(['Flat Discount', 'Bundle', 'Clearance'], 'p_partkey')} AS promo_type,
+             {pick(['Online', 'Offline', 'Both'], 'p_partkey')} AS channel,
+             {pick(SEGS, 'p_partkey')} AS target_segment,
+             (p_partkey % 50 + 5)/100::DOUBLE AS discount_pct,
              DATE '1996-01-01' + CAST(p_partkey*17 % 1500 AS INT) AS start_date,
-             DATE '1996-01-01' + CAST(p_partkey*17 % 1500 + p_partkey//10 % 120 + 30 AS INT)
+             DATE '1996-01-01' + CAST(p_partkey*17 % 1500 + p_partkey % 120 + 30 AS INT)
                AS end_date,
-             p_partkey//10 % 5 <> 0 AS is_active
-      FROM part WHERE p_partkey % 10 = 0""",
+             p_partkey % 5 <> 0 AS is_active
+      FROM part""",
     "camp": """
       SELECT user_id AS campaign_id,
              COUNT(*) FILTER (WHERE event_type IN ('view','click')) AS impressions,
@@ -187,7 +187,7 @@ TABLES: dict[str, str] = {
     "msg": """
       SELECT conv_id*1000 + turn AS message_id,
              conv_id % (SELECT COUNT(*) FROM customer) AS customer_id, text AS message
-      FROM conversations WHERE role = 'user'""",
+      FROM conversations""",
 }
 
 

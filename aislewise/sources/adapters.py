@@ -258,10 +258,10 @@ class DriverTables:
 
     @cached_property
     def promotions(self) -> DataFrame:
-        key = F.col("p_partkey")
-        nth = F.floor(key / 10)
+        """Every part is promoted once."""
+        key = nth = F.col("p_partkey")
         start = day_after("1996-01-01", F.pmod(key * 17, F.lit(1500)))
-        return self.raw("part").where(F.pmod(key, F.lit(10)) == 0).select(
+        return self.raw("part").select(
             key.alias("promo_id"), key.alias("product_id"),
             pick(PROMO_TYPES, nth).alias("promo_type"),
             pick(PROMO_CHANNELS, nth).alias("channel"),
@@ -321,7 +321,8 @@ class DriverTables:
 
     @cached_property
     def messages(self) -> DataFrame:
+        """Every turn of a conversation, whoever wrote it."""
         customers = self._rows("customer")
-        return self.raw("conversations").where("role = 'user'").select(
+        return self.raw("conversations").select(
             (F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"),
             F.pmod("conv_id", customers).alias("customer_id"), F.col("text").alias("message"))

@@ -3,6 +3,7 @@
 import datetime as dt
 import itertools
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -253,6 +254,59 @@ def test_request_extraction_and_search(frame):
     assert found == {1: ["p2"], 2: ["p3"], 3: ["p1"], 4: ["p3"]}
 
 
+def test_names_are_found_by_their_grams_as_by_containment(spark):
+    rng = random.Random(4)
+    letters = "abcé -#1"
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    names = [(k, word(rng.randint(1, 7))) for k in ("category", "brand") for _ in range(60)]
+    names += [("brand", "A.B*"), ("brand", "a.b*"), ("brand", None), ("category", "")]
+    texts = [word(rng.randint(0, 60)) for _ in range(80)] + [None, "", "xA.B*y", "line\nacb c"]
+    messages = spark.createDataFrame(list(enumerate(texts)), "message_id long, message string")
+    found = T.names_in(messages, spark.createDataFrame(names, "kind string, name string"),
+                       ("category", "brand")).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        for kind in ("category", "brand"):
+            held = [n for k, n in names if k == kind and n
+                    and n.lower() in (r["message"] or "").lower()]
+            assert r[kind] == min(held, key=lambda n: (-len(n), n), default=None)
+
+
+def test_a_hundred_thousand_brands_are_no_burden_to_a_message(spark):
+    products = spark.range(100_000).selectExpr(
+        "concat('Brand#', id) AS brand", "concat('Category ', id % 7) AS category")
+    messages = spark.createDataFrame([(1, "a brand#77777 please"), (2, "brand#"), (3, "category 3")],
+                                     "message_id long, message string")
+    asked = T.query_extraction(messages, products)
+    got = {r["message_id"]: (r["category"], r["brand"]) for r in asked.collect()}
+    assert got == {1: (None, "Brand#77777"), 2: (None, None), 3: ("Category 3", None)}
+    keys = T.name_index(products.select(F.lit("brand").alias("kind"), F.col("brand").alias("name")))
+    assert keys.groupBy("gram").count().agg({"count": "max"}).first()[0] < 1000
+
+
+def test_search_equals_a_scan_of_the_catalogue(spark):
+    rng = random.Random(9)
+    products = [(k, f"n{k}", rng.choice(["A", "B", None]), rng.choice(["x", "y|z", None]),
+                 float(rng.randint(0, 30)), rng.random() < 0.8) for k in range(300)]
+    products[5] = (5, "n5", "A", "x", None, True)
+    requests = [(k, rng.choice(["A", "B", "C", None]), rng.choice(["x", "y|z", None]),
+                 rng.choice([None, 0, 5, 12, 29, 40]), rng.choice([None, 0, 6, 20, 29]))
+                for k in range(150)]
+    found = {}
+    for r in T.catalogue_search(
+            spark.createDataFrame(requests, "message_id long, category string, brand string, "
+                                            "min_price long, max_price long"),
+            spark.createDataFrame(products, "product_id long, product_name string, category string,"
+                                            " brand string, price double, is_active boolean"),
+            4).orderBy("message_id", "position").collect():
+        found.setdefault(r["message_id"], []).append(r["product_id"])
+    for key, category, brand, low, high in requests:
+        fits = [(p[4], p[0]) for p in products if p[5] and p[4] is not None
+                and category in (None, p[2]) and brand in (None, p[3])
+                and (not low or p[4] >= low) and (not high or p[4] <= high)]
+        assert found.get(key, []) == [i for _, i in sorted(fits)[:4]]
+
+
 def test_review_aspect_order_and_sentiment(frame):
     reviews = frame("review_id int, product_id int, review_date date, review_text string, "
                     "rating int", (1, 1, day("2024-01-01"), "Late but good QUALITY", 4),

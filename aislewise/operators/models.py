@@ -5,14 +5,15 @@ Only model coefficients and one-row aggregates come to the driver.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import (IDF, PCA, CountVectorizer, ElementwiseProduct, Normalizer,
-                                RegexTokenizer, StandardScaler, StopWordsRemover, StringIndexer,
-                                VectorAssembler)
+from pyspark.ml.feature import (IDF, ElementwiseProduct, HashingTF, Normalizer, RegexTokenizer,
+                                StandardScaler, StopWordsRemover, StringIndexer, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
@@ -23,10 +24,11 @@ from aislewise.functions.scalars import contains_any, half_up
 from aislewise.operators.features import HOLIDAYS, holiday_name, sale_season
 from aislewise.operators.offers import month_bin
 from aislewise.operators.text import TOKEN, default_stop_words
-from aislewise.session import ensure_checkpoint_dir
+from aislewise.session import ensure_checkpoint_dir, stored
 
 # ── demand forecasting ──────────────────────────────────────────────────────
 
+# The names of the model's columns.
 FEATURES = ["lag_7", "lag_14", "rolling_7_mean", "rolling_30_mean", "dow_num", "month",
             "day_of_month", "week_number", "quarter", "is_holiday", "is_weekend",
             "is_sale_season", "product_avg_qty", "category_avg_qty"]
@@ -209,40 +211,68 @@ def offer_conversions(promotions: DataFrame, customers: DataFrame,
                  .alias("weight"))))).where("weight > 0")
 
 
+NEWTON_STEPS = 25  # far more than a logistic fit of two features takes
+
+
+def logistic_fit(cells: DataFrame, steps: int = NEWTON_STEPS) -> tuple[float, float, float]:
+    """Intercept and coefficients of a logistic regression of (label, weight, x1, x2), with half
+    the squared coefficients as penalty, by Newton steps.
+
+    Each step is one aggregate over the cells; nine sums reach the driver. It starts from the
+    plain rate, so the labels must not be all alike.
+    """
+    w, x1, x2 = F.col("weight"), F.col("x1"), F.col("x2")
+    n, yes = cells.agg(F.sum(w), F.sum(w * F.col("label"))).first()
+    b = np.array([math.log(yes / (n - yes)), 0.0, 0.0])
+    for _ in range(steps):
+        p = F.lit(1.0) / (F.exp(-(F.lit(float(b[0])) + x1 * float(b[1]) + x2 * float(b[2]))) + 1.0)
+        e, q = w * (F.col("label") - p), w * p * (F.lit(1.0) - p)
+        g0, g1, g2, h00, h01, h02, h11, h12, h22 = cells.agg(*[F.sum(c).alias(f"s{k}") for k, c in
+            enumerate((e, e * x1, e * x2, q, q * x1, q * x2, q * x1 * x1, q * x1 * x2,
+                       q * x2 * x2))]).first()
+        step = np.linalg.solve([[h00, h01, h02], [h01, h11 + 1, h12], [h02, h12, h22 + 1]],
+                               [g0, g1 - b[1], g2 - b[2]])
+        b = b + step
+        if np.abs(step).max() < 1e-13:
+            break
+    return tuple(b.tolist())
+
+
 def nbo_weights(promotions: DataFrame, customers: DataFrame,
                 transactions: DataFrame) -> DataFrame:
-    """Offer-score weights from a logistic regression of conversion; one row."""
+    """Offer-score weights from a logistic regression of conversion; one row, six decimals.
+
+    Where fewer than three people bought or did not, or 20 were asked, ``learned`` is false and the
+    weights are the default ones.
+    """
     spark = promotions.sparkSession
     schema = "discount_w double, channel_w double, recency_w double, learned boolean"
-    cells = offer_conversions(promotions, customers, transactions).persist(
-        StorageLevel.MEMORY_AND_DISK)  # one row per discount depth, match and label
-    try:
-        w, d, c = F.col("weight"), F.col("discount_pct"), F.col("ch_match")
-        s = cells.agg(F.sum(w).alias("n"), F.sum(w * F.col("label")).alias("yes"),
-                      (F.sum(w * d) / F.sum(w)).alias("dm"), (F.sum(w * c) / F.sum(w)).alias("cm"),
-                      (F.sum(w * d * d) / F.sum(w)).alias("dd"),
-                      (F.sum(w * c * c) / F.sum(w)).alias("cc")).first()
-        if not s["n"] or s["n"] < 20 or s["yes"] < 3 or s["n"] - s["yes"] < 3:
-            return spark.createDataFrame([(*DEFAULT_OFFER_WEIGHTS, False)], schema)
-
-        def unit(square: float, mean: float) -> float:
-            return max(square - mean * mean, 0.0) ** 0.5 or 1.0
-
-        scaled = cells.select(
-            "label", "weight", ((d - s["dm"]) / unit(s["dd"], s["dm"])).alias("x1"),
-            ((c - s["cm"]) / unit(s["cc"], s["cm"])).alias("x2"))
-        vectors = VectorAssembler(inputCols=["x1", "x2"], outputCol="features").transform(scaled)
-        model = LogisticRegression(weightCol="weight", regParam=1.0 / s["n"], maxIter=200,
-                                   standardization=False).fit(vectors)
-        first, second = (abs(float(x)) for x in model.coefficients)
-        scale = 65.0 / (first + second + 1e-6)
-        return spark.createDataFrame([(first * scale, second * scale, 10.0, True)], schema)
-    finally:
-        cells.unpersist()
+    # One row per discount depth, match and label.
+    cells = stored(offer_conversions(promotions, customers, transactions))
+    w, d, c = F.col("weight"), F.col("discount_pct"), F.col("ch_match")
+    s = cells.agg(F.sum(w).alias("n"), F.sum(w * F.col("label")).alias("yes"),
+                  (F.sum(w * d) / F.sum(w)).alias("dm"), (F.sum(w * c) / F.sum(w)).alias("cm"),
+                  (F.sum(w * d * d) / F.sum(w)).alias("dd"),
+                  (F.sum(w * c * c) / F.sum(w)).alias("cc")).first()
+    if not s["n"] or s["n"] < 20 or s["yes"] < 3 or s["n"] - s["yes"] < 3:
+        return spark.createDataFrame([(*DEFAULT_OFFER_WEIGHTS, False)], schema)
+
+    def unit(square: float, mean: float) -> float:
+        return max(square - mean * mean, 0.0) ** 0.5 or 1.0
+
+    scaled = cells.select(
+        "label", "weight", ((d - s["dm"]) / unit(s["dd"], s["dm"])).alias("x1"),
+        ((c - s["cm"]) / unit(s["cc"], s["cm"])).alias("x2"))
+    _, first, second = (abs(x) for x in logistic_fit(scaled))
+    scale = 65.0 / (first + second + 1e-6)
+    return spark.createDataFrame([(first * scale, second * scale, 10.0, True)], schema).select(
+        half_up("discount_w", 6).alias("discount_w"), half_up("channel_w", 6).alias("channel_w"),
+        "recency_w", "learned")
 
 
 # ── audience clusters ───────────────────────────────────────────────────────
 
+# The names of the columns that are clustered.
 AUDIENCE_COLUMNS = ["recency_days", "frequency", "monetary", "avg_order_val", "total_browses",
                     "wishlist_count", "cart_count"]
 
@@ -348,9 +378,14 @@ def health_weights(features: DataFrame, products: DataFrame, suppliers: DataFram
         F.coalesce(F.col(columns[0]).cast("double"), F.lit(0.0)).alias(columns[0]),
         F.coalesce(F.col(columns[1]).cast("double"), F.lit(0.0)).alias(columns[1]),
         F.coalesce(columns[2], F.lit(0.5)).alias(columns[2]))
-    vectors = VectorAssembler(inputCols=columns, outputCol="features").transform(rows)
-    loadings = [abs(float(x)) for x in
-                PCA(k=3, inputCol="features", outputCol="pc").fit(vectors).pc.toArray()[:, 0]]
+    # The covariance of three columns is one aggregate; its six numbers reach the driver.
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    found = rows.agg(*[F.coalesce(F.covar_pop(columns[i], columns[j]), F.lit(0.0)).alias(f"c{i}{j}")
+                       for i, j in pairs]).first()
+    covariance = np.zeros((3, 3))
+    for (i, j), value in zip(pairs, found, strict=True):
+        covariance[i, j] = covariance[j, i] = value
+    loadings = np.abs(np.linalg.eigh(covariance)[1][:, -1]).tolist()
     total = sum(loadings)
     return features.sparkSession.createDataFrame(
         [tuple(x / total for x in loadings)],
@@ -378,19 +413,25 @@ CATEGORY_PHRASES = [
     ("Account Issue", ["login", "password", "account locked", "profile"])]
 
 
+TERM_BUCKETS = 1 << 15  # of the hashed terms; coefficients are classes times this many
+
+
 class TicketModel:
-    """Category and priority classifiers over one TF-IDF representation of all terms, or of the
-    ``max_features`` most used."""
+    """Category and priority classifiers over one TF-IDF representation of all terms.
+
+    Terms are hashed into ``buckets``, so idf, coefficients and each step's gradient, which Spark
+    sums over the partitions, have that width whatever the vocabulary is. No term is left out; two
+    terms that share a bucket count as one.
+    """
 
-    def __init__(self, tickets: DataFrame, max_features: int | None = None, iterations: int = 300,
+    def __init__(self, tickets: DataFrame, buckets: int = TERM_BUCKETS, iterations: int = 300,
                  stop_words: Sequence[str] | None = None):
         stop_words = default_stop_words() if stop_words is None else list(stop_words)
         self._tokenize = RegexTokenizer(inputCol="description", outputCol="_words",
                                         pattern=TOKEN, gaps=False, toLowercase=True)
         self._stop = StopWordsRemover(inputCol="_words", outputCol="_terms", stopWords=stop_words)
         words = self._stop.transform(self._tokenize.transform(self._text(tickets)))
-        self._count = CountVectorizer(inputCol="_terms", outputCol="_tf",
-                                      vocabSize=max_features or (1 << 31) - 1).fit(words)
+        self._count = HashingTF(inputCol="_terms", outputCol="_tf", numFeatures=buckets)
         counted = self._count.transform(words)
         idf = IDF(inputCol="_tf", outputCol="_idf").fit(counted)
         # The library's idf lacks the + 1 of the smoothed form.

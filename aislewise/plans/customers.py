@@ -89,7 +89,11 @@ def uplift_trend(t):
 
 
 def next_best_offer(t):
-    return plain(P.next_best_offer(t.customers, t.promotions, t.products, t.transactions))
+    """Scored with the weights learnt from the promotions' own conversions."""
+    learnt = models.nbo_weights(t.promotions, t.customers, t.transactions).first()  # one row
+    return plain(P.next_best_offer(t.customers, t.promotions, t.products, t.transactions,
+                                   (learnt["discount_w"], learnt["channel_w"],
+                                    learnt["recency_w"])))
 
 
 def segment_offers(t):
@@ -121,7 +125,52 @@ QUERIES = {
 
 _CTR = "CAST(clicks AS DOUBLE)/NULLIF(CAST(impressions AS DOUBLE),0)"
 
+def _newton(steps: int = models.NEWTON_STEPS) -> dict[str, str]:
+    """The offer weights: Newton steps of a penalised logistic regression, one CTE a step."""
+    code = {
+        "n_people": """
+          SELECT m.discount_pct AS d, CASE WHEN m.channel=c.preferred_channel
+                   OR c.preferred_channel='Both' THEN 1 ELSE 0 END AS c,
+            EXISTS (SELECT 1 FROM txn t WHERE t.product_id=m.product_id
+                    AND t.customer_id=c.customer_id
+                    AND t.transaction_date BETWEEN m.start_date AND m.end_date) AS hit
+          FROM promo m JOIN cust c ON m.target_segment='All' OR m.target_segment=c.segment""",
+        "n_cells": """
+          SELECT d, c, CASE WHEN hit THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y,
+                 CAST(COUNT(*) AS DOUBLE) AS w FROM n_people GROUP BY ALL""",
+        "n_mean": """
+          SELECT SUM(w) AS n, SUM(w*y) AS yes, SUM(w*d)/SUM(w) AS dm, SUM(w*c)/SUM(w) AS cm,
+            sqrt(greatest(SUM(w*d*d)/SUM(w) - (SUM(w*d)/SUM(w))**2, 0)) AS ds,
+            sqrt(greatest(SUM(w*c*c)/SUM(w) - (SUM(w*c)/SUM(w))**2, 0)) AS cs FROM n_cells""",
+        "n_unit": """
+          SELECT y, w, (d-dm)/CASE WHEN ds=0 THEN 1 ELSE ds END AS x1,
+                 (c-cm)/CASE WHEN cs=0 THEN 1 ELSE cs END AS x2 FROM n_cells CROSS JOIN n_mean""",
+        "n_b0": "SELECT ln(yes/(n-yes)) AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2 FROM n_mean"}
+    for k in range(steps):
+        code[f"n_h{k}"] = f"""
+          SELECT any_value(b0) AS b0, any_value(b1) AS b1, any_value(b2) AS b2, SUM(e) AS g0,
+            SUM(e*x1) - any_value(b1) AS g1, SUM(e*x2) - any_value(b2) AS g2, SUM(q) AS h00,
+            SUM(q*x1) AS h01, SUM(q*x2) AS h02, SUM(q*x1*x1) + 1 AS h11, SUM(q*x1*x2) AS h12,
+            SUM(q*x2*x2) + 1 AS h22
+          FROM (SELECT *, w*(y-p) AS e, w*p*(1-p) AS q FROM (
+            SELECT *, 1/(exp(-(b0+b1*x1+b2*x2))+1) AS p FROM n_unit CROSS JOIN n_b{k}))"""
+        code[f"n_b{k + 1}"] = f"""
+          SELECT b0 + (g0*(h11*h22-h12*h12) - h01*(g1*h22-h12*g2) + h02*(g1*h12-h11*g2))/det AS b0,
+            b1 + (h00*(g1*h22-h12*g2) - g0*(h01*h22-h12*h02) + h02*(h01*g2-g1*h02))/det AS b1,
+            b2 + (h00*(h11*g2-g1*h12) - h01*(h01*g2-g1*h02) + g0*(h01*h12-h11*h02))/det AS b2
+          FROM (SELECT *, h00*(h11*h22-h12*h12) - h01*(h01*h22-h12*h02) + h02*(h01*h12-h11*h02)
+                  AS det FROM n_h{k})"""
+    code["n_weights"] = f"""
+      SELECT CASE WHEN few THEN 50.0::DOUBLE ELSE {R(f'abs(b1)*65/(abs(b1)+abs(b2)+1e-6)', 6)} END
+               AS discount_w,
+             CASE WHEN few THEN 15.0::DOUBLE ELSE {R(f'abs(b2)*65/(abs(b1)+abs(b2)+1e-6)', 6)} END
+               AS channel_w, 10.0::DOUBLE AS recency_w, CAST(NOT few AS BIGINT) AS learned
+      FROM n_b{steps} CROSS JOIN (SELECT n < 20 OR yes < 3 OR n-yes < 3 AS few FROM n_mean)"""
+    return code
+
+
 EXTRA = {
+    **_newton(),
     "c_signal": """
       SELECT customer_id, product_id, SUM(w) AS signal, MAX(b) AS bought FROM (
         SELECT customer_id, product_id, quantity*3.0::DOUBLE AS w, 1 AS b FROM txn
@@ -235,8 +284,9 @@ EXTRA = {
         floor((CASE WHEN a.category=f.preferred_category THEN 2.0::DOUBLE ELSE 0 END
           + CASE WHEN a.target_segment=f.segment THEN 1.5::DOUBLE
                  WHEN a.target_segment='All' THEN 0.5::DOUBLE ELSE 0 END
-          + a.discount_pct*50.0::DOUBLE
-          + CASE WHEN a.channel='Both' OR a.channel=f.preferred_channel THEN 15.0::DOUBLE
+          + a.discount_pct*(SELECT discount_w FROM n_weights)
+          + CASE WHEN a.channel='Both' OR a.channel=f.preferred_channel
+                 THEN (SELECT channel_w FROM n_weights)
                  ELSE 0 END)*1e9::DOUBLE+0.5::DOUBLE)/1e9::DOUBLE AS score
       FROM c_profile f CROSS JOIN c_active a""",
     "c_best": """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from aislewise.operators import features as X, models as L
+from aislewise.plans.customers import csql
 from aislewise.plans.features import calendar, sql
 from aislewise.plans.operations import WEIGHTS
 from aislewise.plans.oracle_tables import R
@@ -47,7 +48,7 @@ def demand_forecast(t):
 
 
 def nbo_weights(t):
-    return L.nbo_weights(t.promotions, t.customers, t.transactions)
+    return plain(L.nbo_weights(t.promotions, t.customers, t.transactions))
 
 
 def offer_conversions(t):
@@ -114,6 +115,7 @@ EXTRA = {
 }
 
 ORACLES = {
+    "nbo_weights": csql("SELECT * FROM n_weights"),
     "health_weights": sql("SELECT " + ", ".join(f"{R(c, 6)} AS {c}" for c in (
         "w_stockout", "w_overstock", "w_reliability")) + " FROM h_weights", WEIGHTS),
     "forecast_training": sql(f"""

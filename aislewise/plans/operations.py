@@ -15,9 +15,9 @@ from aislewise.session import stored
 
 def _health(t):
     """Scored with the weights learnt from the positions themselves."""
-    learnt = models.health_weights(_features(t), t.products, t.suppliers)
-    return O.inventory_health(t.inventory, t.transactions, t.products, t.suppliers, tuple(
-        learnt.select(c).scalar() for c in ("w_stockout", "w_overstock", "w_reliability")))
+    learnt = models.health_weights(_features(t), t.products, t.suppliers)  # one row, fitted once
+    return O.inventory_health(t.inventory, t.transactions, t.products, t.suppliers,
+                              tuple(learnt.first()))
 
 
 def _features(t):

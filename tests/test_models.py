@@ -84,12 +84,47 @@ def test_small_audiences_try_the_same_k(spark):
     assert table.where("fitted AND cost IS NULL OR NOT fitted AND cost IS NOT NULL").count() == 0
 
 
-def test_tickets_use_all_terms(spark):
+def test_ticket_features_have_a_fixed_width_and_lose_no_term(spark):
     rows = [(i, " ".join(f"term{i}x{j}" for j in range(10)), "ab"[i % 2], "High")
             for i in range(80)]
     tickets = spark.createDataFrame(rows, "ticket_id int, description string, category string, "
                                           "priority string")
-    assert len(L.TicketModel(tickets, iterations=1)._count.vocabulary) == 800
+    model = L.TicketModel(tickets, buckets=256, iterations=1)
+    assert model.models["category"].numFeatures == 256
+    vectors = model.vectors(tickets).select("features").collect()
+    assert all(r["features"].size == 256 and 0 < r["features"].numNonzeros() <= 10 for r in vectors)
+
+
+def test_hashed_terms_are_as_right_as_all_terms(spark):
+    """Within a point of a width at which no two terms meet."""
+    import random
+    rng = random.Random(2)
+    words = [f"w{k}" for k in range(3000)]
+    def text(label):
+        own = [f"{label}{rng.randint(0, 40)}" for _ in range(3)]
+        return " ".join(rng.sample(words, 12) + own)
+    labels = [("ab", "High"), ("cd", "Low"), ("ef", "Low")]
+    rows = [(i, text(label), label, priority) for i in range(600) for label, priority in
+            [labels[i % 3]]]
+    tickets = spark.createDataFrame(rows, "ticket_id int, description string, category string, "
+                                          "priority string")
+    right = [L.TicketModel(tickets, buckets=b, iterations=60, stop_words=[]).accuracy(tickets).where(
+        "target = 'category'").first()["accuracy"] for b in (L.TERM_BUCKETS, 1 << 20)]
+    assert abs(right[0] - right[1]) <= 0.011 and right[1] > 0.9
+
+
+def test_newton_steps_reach_the_logistic_optimum(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 2))
+    y = (rng.random(60) < 1 / (1 + np.exp(-(x @ [1.0, -2.0] - 0.5)))).astype(float)
+    w = rng.integers(1, 50, 60).astype(float)
+    cells = spark.createDataFrame([(*map(float, r),) for r in np.c_[y, w, x]],
+                                  "label double, weight double, x1 double, x2 double")
+    b = np.array(L.logistic_fit(cells))
+    p = 1 / (1 + np.exp(-(b[0] + x @ b[1:])))
+    gradient = np.r_[(w * (y - p)).sum(), x.T @ (w * (y - p)) - b[1:]]
+    assert np.abs(gradient).max() < 1e-8
 
 
 def test_offer_weights_fall_back_and_learn(spark):
@@ -132,7 +167,7 @@ def test_triage_learns_and_phrases_win(spark):
             for i in range(60) for c in [list(words)[i % 2]]]
     tickets = spark.createDataFrame(rows, "ticket_id int, description string, category string, "
                                           "priority string")
-    model = L.TicketModel(tickets, max_features=50, iterations=50)
+    model = L.TicketModel(tickets, buckets=1 << 12, iterations=50)
     assert model.accuracy(tickets).where("target = 'category'").first()["accuracy"] > 0.9
     asked = spark.createDataFrame([(900, "courier hub parcel", None, None),
                                    (901, "courier hub parcel PASSWORD", None, None)],

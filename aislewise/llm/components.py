@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from aislewise.session import stored
+from aislewise.session import released, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -34,7 +34,9 @@ def components(links: DataFrame) -> DataFrame:
         small = (large.join(lowest, "a").where("b <> m")
                  .select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(lowest.select("a", F.col("m").alias("b"))))
-        edges = stored(small.distinct())
+        replaced, edges = edges, stored(small.distinct())
+        released(replaced)
+        released(large)
         after = _state(edges)
         if after == before:
             break

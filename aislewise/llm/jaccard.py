@@ -92,9 +92,9 @@ def paired(rows: DataFrame, large: DataFrame, limit: int) -> DataFrame:
     sizes = (rows.groupBy("place", "bucket").agg(
         F.count_if(~F.col("linked")).alias("free"), F.count_if("linked").alias("held")))
     half = max(limit // 2, 1)
-    counted = rows.join(F.broadcast(large.select("place", "bucket")), ["place", "bucket"]).join(
-        F.broadcast(sizes.select("place", "bucket", F.ceil(F.col("free") / half).alias("free"),
-                                 F.ceil(F.col("held") / half).alias("held"))), ["place", "bucket"])
+    counted = rows.join(large.select("place", "bucket"), ["place", "bucket"]).join(
+        sizes.select("place", "bucket", F.ceil(F.col("free") / half).alias("free"),
+                     F.ceil(F.col("held") / half).alias("held")), ["place", "bucket"])
     own = F.when(F.col("linked"), F.col("free") + F.pmod(F.xxhash64("node"), F.col("held"))
                  ).otherwise(F.pmod(F.xxhash64("node"), F.col("free")))
     # A linked row meets the unlinked blocks only.
@@ -155,7 +155,7 @@ def verified_links(met: DataFrame, sets: DataFrame, similarity: float, radius: i
     if large.isEmpty():
         return compared(met.join(sets, "node").select(*columns, "items", zero))
     sets = stored(sets)
-    small = met.join(F.broadcast(large), ["place", "bucket"], "left_anti")
+    small = met.join(large, ["place", "bucket"], "left_anti")
     pivots = large.join(sets, large.pivot == sets.node).select(
         "place", "bucket", "pivot", F.col("items").alias("pivot_items"))
     if fingerprinted:
@@ -168,7 +168,7 @@ def verified_links(met: DataFrame, sets: DataFrame, similarity: float, radius: i
     like = F.when(every == 0, F.lit(True)).otherwise(both / every >= similarity)
     if fingerprinted:
         like &= F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot_fp"))) <= radius
-    star = stored(met.select(columns).distinct().join(F.broadcast(pivots), ["place", "bucket"])
+    star = stored(met.select(columns).distinct().join(pivots, ["place", "bucket"])
                   .join(sets, "node").select(*columns, "pivot", like.alias("linked")))
     rows = paired(star, large, limit).select(*columns, "pair").join(sets, "node")
     return (compared(small.select(*columns, zero).join(sets, "node")).unionByName(compared(rows))

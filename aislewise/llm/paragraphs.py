@@ -10,7 +10,7 @@ paragraphs the first, by document and place, stays.
 
 Exact repeats do not depend on that cut: every run of ``RUN`` words that stands earlier in the corpus
 goes, wherever it begins. Of each ``RUN`` words the smallest hash of ``GRAM`` words is an anchor, so
-equal runs share one; only runs around an anchor that occurs twice are listed and compared.
+equal runs share one. Anchors that occur twice are seeds, which are extended word by word.
 
 Where the words that would go are at least ``PASSAGE`` on end, they are a removal. A paragraph too
 short to be compared goes with its neighbour only if the kept text has the same one at that place.
@@ -22,14 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from aislewise.llm.common import map_batches, ship, text_or_empty, unwrapped, wrapped
 from aislewise.llm.components import components
 from aislewise.llm.jaccard import verified_links
 from aislewise.llm.shingles import (key_runs, mixed, permutations, run_hashes, shingle_hashes,
                                     signed, word_hashes, word_spans)
-from aislewise.session import stored
+from aislewise.session import released, stored
 
 WORDS = 8            # of a paragraph that is compared
 SHINGLE = 5
@@ -80,12 +80,12 @@ def _shingled(cut: Cut, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def paragraphs(docs: DataFrame, words: int = WORDS, bands: int = BANDS,
                rows: int = ROWS) -> DataFrame:
-    """(id, text) to all its paragraphs: id, place, first, stop (words), begin, end (characters),
-    digest, bands (array of long, empty for those below ``words``, which are not compared)."""
+    """(id, text) to all its paragraphs: id, place, first, stop (words), digest, bands (array of
+    long, empty for those below ``words``, which are not compared)."""
     factors, offsets = permutations(bands * rows)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        row, columns, keys, counts = [], [[] for _ in range(6)], [], []
+        row, columns, keys, counts = [], [[] for _ in range(4)], [], []
         for k, raw in enumerate(batch.column(1).to_pylist()):
             cut = Cut(raw)
             if not len(cut.first):
@@ -99,12 +99,9 @@ def paragraphs(docs: DataFrame, words: int = WORDS, bands: int = BANDS,
                     low = np.minimum.reduceat(mixed(shingles * factors[p] + offsets[p]), starts)
                     band[:, p // rows] = mixed(band[:, p // rows] + low)
                 keys.append(signed(band).ravel())
-            # Characters before a byte: bytes that do not continue a character.
-            before = np.r_[0, np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)]
             row.append(np.full(len(long), k))
             counts.append(long * bands)
-            for held, part in zip(columns, (np.arange(len(long)), cut.first, cut.stop,
-                                            before[cut.begin], before[cut.end], cut.digest),
+            for held, part in zip(columns, (np.arange(len(long)), cut.first, cut.stop, cut.digest),
                                   strict=True):
                 held.append(part)
         flat = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in columns]
@@ -114,12 +111,12 @@ def paragraphs(docs: DataFrame, words: int = WORDS, bands: int = BANDS,
         return pa.RecordBatch.from_arrays(
             [ids, *(pa.array(c.astype(np.int64)) for c in flat), pa.ListArray.from_arrays(
                 pa.array(np.r_[0, ends].astype(np.int32)), pa.array(key))],
-            names=["id", "place", "first", "stop", "begin", "end", "digest", "bands"])
+            names=["id", "place", "first", "stop", "digest", "bands"])
 
     kind = docs.schema["id"].dataType.simpleString()
     return map_batches(docs.select("id", text_or_empty("text").cast("binary").alias("text")), run,
-                       f"id {kind}, place long, first long, stop long, begin long, end long, "
-                       "digest long, bands array<long>", 256)
+                       f"id {kind}, place long, first long, stop long, digest long, "
+                       "bands array<long>", 256)
 
 
 def _sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
@@ -148,12 +145,13 @@ def _hashed(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word_hashes(raw, starts, ends), starts, ends
 
 
-def exact_runs(docs: DataFrame, size: int = RUN, gram: int = GRAM) -> DataFrame:
-    """(id, text) to the runs of ``size`` words that stand earlier: id, first, stop (words), begin,
-    end (characters), run (its hash), kept_id. A run that overlaps its own first place stays."""
-    kind = docs.schema["id"].dataType.simpleString()
+_WORD = np.uint64(48)  # of a word's hash its top 16 bits stand beside an anchor
 
-    def anchored(batch: pa.RecordBatch) -> pa.RecordBatch:
+
+def _anchored(docs: DataFrame, size: int, gram: int) -> DataFrame:
+    """(id, text) to the anchors of each text: id, anchors (array of long)."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = []
         for raw in batch.column(1).to_pylist():
             grams, chosen = anchors(_hashed(raw)[0], size, gram)
@@ -164,44 +162,154 @@ def exact_runs(docs: DataFrame, size: int = RUN, gram: int = GRAM) -> DataFrame:
                 pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))],
             names=["id", "anchors"])
 
-    def listed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, columns = [], [[] for _ in range(4)]
+    kind = docs.schema["id"].dataType.simpleString()
+    return map_batches(docs, run, f"id {kind}, anchors array<long>", 256)
+
+
+def _seeds(docs: DataFrame, size: int, gram: int) -> DataFrame:
+    """(id, text, known) to the places of the known anchors: anchor, id, at (its first word),
+    before and after: two bytes for each of the ``size - gram`` words on either side."""
+    reach = size - gram
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows, anchor, place, before, after = [], [], [], [], []
         for k, (raw, known) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2),
                                              strict=True)):
-            hashes, starts, ends = _hashed(raw)
-            if len(hashes) < size:
-                continue
-            hit = np.isin(signed(run_hashes(hashes, gram)), known.values.to_numpy())
-            upto = np.r_[0, np.cumsum(hit)]
-            width = size - gram + 1
-            at = np.nonzero(upto[width:] > upto[:-width])[0]
-            before = np.r_[0, np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)]
+            hashes = _hashed(raw)[0]
+            grams, chosen = anchors(hashes, size, gram)
+            at = np.nonzero(chosen & np.isin(signed(grams), known.values.to_numpy()))[0]
+            short = (hashes >> _WORD).astype("<u2").tobytes()
+            for i in at.tolist():
+                before.append(short[2 * max(0, i - reach):2 * i])
+                after.append(short[2 * (i + gram):2 * (i + size)])
             rows.append(np.full(len(at), k))
-            for held, part in zip(columns, (signed(run_hashes(hashes, size)[at]), at,
-                                            before[starts[at]], before[ends[at + size - 1]]),
-                                  strict=True):
-                held.append(part)
-        flat = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in columns]
-        ids = batch.column(0).take(pa.array(np.concatenate(rows) if rows else [], pa.int64()))
-        return pa.RecordBatch.from_arrays([ids, *(pa.array(c.astype(np.int64)) for c in flat)],
-                                          names=["id", "run", "first", "begin", "end"])
+            anchor.append(signed(grams[at]))
+            place.append(at)
+        flat = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        ids = batch.column(0).take(pa.array(flat(rows), pa.int64()))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(flat(anchor), pa.int64()), ids, pa.array(flat(place).astype(np.int32)),
+             pa.array(before, pa.binary()), pa.array(after, pa.binary())],
+            names=["anchor", "id", "at", "before", "after"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return map_batches(docs, run,
+                       f"anchor long, id {kind}, at int, before binary, after binary", 256)
 
+
+def _agreement(mine: bytes, other: bytes, backward: bool) -> tuple[int, int | None]:
+    """Words on which two runs of two-byte words agree from their common end on, and my next word
+    after those, if there is one."""
+    a, b = np.frombuffer(mine, "<u2"), np.frombuffer(other, "<u2")
+    if backward:
+        a, b = a[::-1], b[::-1]
+    n = min(len(a), len(b))
+    differ = np.nonzero(a[:n] != b[:n])[0]
+    equal = int(differ[0]) if len(differ) else n
+    return equal, int(a[equal]) if equal < len(a) else None
+
+
+def _extended(seeds: DataFrame) -> DataFrame:
+    """Seeds with another place of the same anchor (``kept``: id, at, before, after) to the numbers
+    of words around them that agree, and the seed's own next words: anchor, id, at, before, after,
+    kept_id, kept_at, left, right, left_word, right_word."""
+    kind = seeds.schema["id"].dataType.simpleString()
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        kept = batch.column(5)
+        found = []
+        for mine, name, backward in ((3, "before", True), (4, "after", False)):
+            pairs = [_agreement(a, b, backward) for a, b in zip(
+                batch.column(mine).to_pylist(), kept.field(name).to_pylist(), strict=True)]
+            found.append([pa.array([p[i] for p in pairs], pa.int32()) for i in range(2)])
+        (left, left_word), (right, right_word) = found
+        return pa.RecordBatch.from_arrays(
+            [*batch.columns[:5], kept.field("id"), kept.field("at"), left, right, left_word,
+             right_word], names=["anchor", "id", "at", "before", "after", "kept_id", "kept_at",
+                                 "left", "right", "left_word", "right_word"])
+
+    return map_batches(seeds.select("anchor", "id", "at", "before", "after", "kept"), run,
+                       f"anchor long, id {kind}, at int, before binary, after binary, "
+                       f"kept_id {kind}, kept_at int, left int, right int, left_word int, "
+                       "right_word int", 4096)
+
+
+def _windows(seeds: DataFrame, size: int, gram: int) -> DataFrame:
+    """Seeds to every run of ``size`` words around them: run (a hash of the anchor and the words
+    beside it), id, first."""
+    kind = seeds.schema["id"].dataType.simpleString()
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows, hashes, first = [], [], []
+        at, anchor = batch.column(2).to_numpy(), batch.column(0).to_numpy()
+        for k, (before, after) in enumerate(zip(batch.column(3).to_pylist(),
+                                                batch.column(4).to_pylist(), strict=True)):
+            words = np.frombuffer(before + after, "<u2").astype(np.uint64)
+            own, reach = len(before) // 2, size - gram
+            if len(words) < reach:
+                continue
+            runs = run_hashes(mixed(words), reach)  # of ``reach`` words beside the anchor
+            left = np.arange(len(runs))
+            left = left[(left <= own) & (left + reach >= own)]
+            # How many of the words stand before the anchor is part of the hash.
+            hashes.append(mixed(runs[left] ^ mixed(np.uint64(anchor[k].view(np.uint64))
+                                                   + (own - left).astype(np.uint64))))
+            first.append(at[k] - own + left)
+            rows.append(np.full(len(left), k))
+        flat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        ids = batch.column(1).take(pa.array(flat(rows, np.int64), pa.int64()))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(signed(flat(hashes, np.uint64))), ids,
+             pa.array(flat(first, np.int64).astype(np.int64))], names=["run", "id", "first"])
+
+    return map_batches(seeds.select("anchor", "id", "at", "before", "after"), run,
+                       f"run long, id {kind}, first long", 1024)
+
+
+def exact_runs(docs: DataFrame, size: int = RUN, gram: int = GRAM) -> DataFrame:
+    """(id, text) to stretches of ``size`` words or more that stand earlier: id, first, stop
+    (words), run (a hash), kept_id. A run that overlaps its own first place stays.
+
+    Anchors that occur twice are seeds. A seed is compared with the first place of its anchor, word
+    by word on both sides; where that gives ``size`` equal words, they are a stretch. A third place
+    can share more with the seed only if it leaves the first place at the same word and goes on
+    with the same next one; only such seeds list their runs one by one, to meet equal ones.
+    """
     texts = docs.select("id", text_or_empty("text").cast("binary").alias("text"))
-    marks = stored(map_batches(texts, anchored, f"id {kind}, anchors array<long>", 256))
+    marks = stored(_anchored(texts, size, gram))
     each = marks.select("id", F.explode("anchors").alias("anchor"))
     twice = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     known = each.join(twice, "anchor", "left_semi").groupBy("id").agg(
         F.collect_set("anchor").alias("known"))
-    again = texts.alias("d").join(known.alias("k"), F.col("d.id").eqNullSafe(F.col("k.id"))).select(
-        F.col("d.id").alias("id"), "text", "known")
-    runs = stored(map_batches(again, listed,
-                              f"id {kind}, run long, first long, begin long, end long", 256))
-    firsts = runs.groupBy("run").agg(F.count(F.lit(1)).alias("n"),
-                                     F.min(F.struct("id", "first")).alias("kept")).where("n > 1")
-    own = F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("first") < F.col("kept.first") + size)
-    return runs.join(firsts, "run").where(~own).select(
-        "id", "first", (F.col("first") + size).alias("stop"), "begin", "end", "run",
+    again = texts.join(known, "id").select("id", "text", "known")
+    seeds = stored(_seeds(again, size, gram))
+    released(marks)
+    firsts = seeds.groupBy("anchor").agg(
+        F.min(F.struct("id", "at", "before", "after")).alias("kept"))
+    later = seeds.join(firsts, "anchor").where(
+        (F.col("id") != F.col("kept.id")) | (F.col("at") != F.col("kept.at")))
+    met = stored(_extended(later))
+    released(seeds)
+    own = (F.col("id") == F.col("kept_id")) & (F.col("at") < F.col("kept_at") + size)
+    found = met.where((F.col("left") + F.col("right") + gram >= size) & ~own).select(
+        "id", (F.col("at") - F.col("left")).cast("long").alias("first"),
+        (F.col("at") + gram + F.col("right")).cast("long").alias("stop"),
+        F.col("anchor").alias("run"), "kept_id")
+    rest = []
+    for side in ("left", "right"):
+        key = ["anchor", side, f"{side}_word"]
+        shared = met.where(F.col(key[2]).isNotNull()).groupBy(*key).agg(
+            F.count(F.lit(1)).alias("n")).where("n > 1")
+        rest.append(met.join(shared, key, "left_semi").select("anchor", "id", "at", "before",
+                                                              "after"))
+    runs = stored(_windows(rest[0].unionByName(rest[1]).distinct(), size, gram).distinct())
+    kept = runs.groupBy("run").agg(F.count(F.lit(1)).alias("n"),
+                                   F.min(F.struct("id", "first")).alias("kept")).where("n > 1")
+    overlap = (F.col("id") == F.col("kept.id")) & (F.col("first") < F.col("kept.first") + size)
+    others = runs.join(kept, "run").where(~overlap).select(
+        "id", "first", (F.col("first") + size).alias("stop"), "run",
         F.col("kept.id").alias("kept_id"))
+    return found.unionByName(others)
 
 
 def _between(units: DataFrame, gone: DataFrame) -> DataFrame:
@@ -213,7 +321,7 @@ def _between(units: DataFrame, gone: DataFrame) -> DataFrame:
     rows = short.drop("bands").unionByName(gone.drop("bands"), allowMissingColumns=True)
     led = rows.withColumn("lead", last.over(Window.partitionBy("id").orderBy("place"))).where(
         "class IS NULL AND lead IS NOT NULL").select(
-        "id", "place", "first", "stop", "begin", "end", "digest", F.col("lead.class").alias("class"),
+        "id", "place", "first", "stop", "digest", F.col("lead.class").alias("class"),
         F.col("lead.kept_id").alias("kept_id"),
         (F.col("lead.kept_place") + F.col("place") - F.col("lead.place")).alias("kept_place"))
     kept = short.select(F.col("id").alias("k_id"), F.col("place").alias("kept_place"), "digest"
@@ -268,6 +376,39 @@ def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
                        "node long, items array<long>", 256)
 
 
+def _spans(docs: DataFrame, removals: DataFrame) -> DataFrame:
+    """Removals with the characters they begin and end at; texts are read for those alone."""
+    wanted = removals.groupBy("id").agg(F.collect_list(F.struct("first", "stop")).alias("runs"))
+    rows = docs.select("id", text_or_empty("text").cast("binary").alias("text")).join(
+        wanted, "id").select("id", "text", "runs")
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        row, columns = [], [[] for _ in range(4)]
+        for k, (raw, runs) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2),
+                                            strict=True)):
+            first, stop = (runs.values.field(i).to_numpy() for i in range(2))
+            starts, ends = word_spans(raw)
+            # Characters before a byte: bytes that do not continue a character.
+            before = np.r_[0, np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)]
+            row.append(np.full(len(first), k))
+            for held, part in zip(columns, (first, stop, before[starts[first]],
+                                            before[ends[stop - 1]]), strict=True):
+                held.append(part)
+        flat = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in columns]
+        ids = batch.column(0).take(pa.array(np.concatenate(row) if row else [], pa.int64()))
+        return pa.RecordBatch.from_arrays([ids, *(pa.array(c.astype(np.int64)) for c in flat)],
+                                          names=["id", "first", "stop", "begin", "end"])
+
+    found = map_batches(rows, run, f"id {kind}, first long, stop long, begin long, end long", 256)
+    return removals.join(found.distinct(), ["id", "first", "stop"])
+
+
+def _row_key(id_column: Column, text: Column) -> Column:
+    """What a row is known by inside: rows that share an id keep apart by their texts."""
+    return F.struct(id_column.alias("id"), F.xxhash64(id_column, text_or_empty(text)).alias("key"))
+
+
 def repeated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
              words: int = WORDS, similarity: float = SIMILARITY,
              passage: int = PASSAGE, run: int = RUN) -> DataFrame:
@@ -281,21 +422,34 @@ def repeated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     of exact repeats that are found wherever they begin. A removal that holds such repeats has the
     smallest of their hashes among its classes.
     """
-    named = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    named = docs.select(_row_key(F.col(id_column), F.col(text_column)).alias("id"),
+                        F.col(text_column).alias("text"))
+    removals = _removals(named, words, similarity, passage, run)
+    return _spans(named, removals).select(
+        F.col("id.id").alias("id"), "begin", "end", "words",
+        F.array_sort(F.array_distinct(F.transform("kept", lambda k: k["id"]))).alias("kept_ids"),
+        "classes")
+
+
+def _removals(named: DataFrame, words: int, similarity: float, passage: int,
+              run: int) -> DataFrame:
+    """(id, text) to id, first, stop (words), words, kept (ids) and classes."""
     units = stored(paragraphs(named, words))
     met = stored(_colliding(units))
     nodes = met.select("node").distinct()
     # One document that holds the paragraph is enough to read its shingles from.
     holders = (units.join(nodes, units.digest == nodes.node, "left_semi").groupBy("digest")
                .agg(F.min("id").alias("id")).select("id").distinct())
-    again = named.alias("d").join(holders.alias("h"), F.col("d.id").eqNullSafe(F.col("h.id")),
-                                  "left_semi")
-    sets = _shingle_sets(again, words).join(nodes, "node", "left_semi").dropDuplicates(["node"])
-    links = verified_links(met, sets, similarity)
+    again = named.join(holders, "id", "left_semi")
+    sets = stored(_shingle_sets(again, words).join(nodes, "node", "left_semi")
+                  .dropDuplicates(["node"]))
+    links = stored(verified_links(met, sets, similarity))
+    released(met)
+    released(sets)
     roots = components(links)
     classed = (units.where(F.size("bands") > 0).drop("bands")
                .join(roots, units.digest == roots.node, "left")
-               .select("id", "place", "first", "stop", "begin", "end", "digest",
+               .select("id", "place", "first", "stop", "digest",
                        F.coalesce("root", "digest").alias("class")))
     firsts = (classed.groupBy("class").agg(
         F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "place")).alias("kept"))
@@ -303,31 +457,39 @@ def repeated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     gone = stored(classed.join(firsts, "class").where(
         ~F.struct("id", "place").eqNullSafe(F.col("kept"))).select(
         *classed.columns, F.col("kept.id").alias("kept_id"), F.col("kept.place").alias("kept_place")))
-    parts = ["id", "first", "stop", "begin", "end", "class", "run", "kept_id"]
+    parts = ["id", "first", "stop", "class", "run", "kept_id"]
     none = F.lit(None).cast("long")
-    every = (gone.unionByName(_between(units, gone)).withColumn("run", none).select(parts)
-             .unionByName(exact_runs(named, run, run // 2).withColumn("class", none).select(parts)))
+    near = stored(gone.unionByName(_between(units, gone)).withColumn("run", none).select(parts))
+    for done in (gone, units, links):
+        released(done)
+    every = near.unionByName(
+        exact_runs(named, run, run // 2).withColumn("class", none).select(parts))
     ordered = Window.partitionBy("id").orderBy("first")
     upto = F.max("stop").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
     apart = F.coalesce(F.col("first") > upto, F.lit(True)).cast("int")
     joined = every.withColumn("apart", apart).withColumn("part", F.sum("apart").over(
         ordered.rowsBetween(Window.unboundedPreceding, 0)))
     removals = joined.groupBy("id", "part").agg(
-        F.min("begin").alias("begin"), F.max("end").alias("end"),
-        (F.max("stop") - F.min("first")).alias("words"),
-        F.sort_array(F.collect_set("kept_id")).alias("kept_ids"),
+        F.min("first").alias("first"), F.max("stop").alias("stop"),
+        F.collect_set("kept_id").alias("kept"),
         F.sort_array(F.array_distinct(F.array_compact(F.concat(
             F.collect_set("class"), F.array(F.min("run")))))).alias("classes"))
-    return removals.where(F.col("words") >= passage).drop("part")
+    return stored(removals.withColumn("words", F.col("stop") - F.col("first"))
+                  .where(F.col("words") >= passage).drop("part"))
 
 
 def remove(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-           **settings) -> DataFrame:
-    """The documents without their removals; other columns as they were. Ids must not repeat."""
-    spans = repeated(docs, id_column, text_column, **settings).groupBy("id").agg(
-        F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))
+           words: int = WORDS, similarity: float = SIMILARITY, passage: int = PASSAGE,
+           run: int = RUN) -> DataFrame:
+    """The documents without their removals; other columns as they were. Ids may repeat: every row
+    loses what ``repeated`` finds in its own text."""
+    key = lambda prefix: _row_key(F.col(f"{prefix}`{id_column}`"),
+                                  F.col(f"{prefix}`{text_column}`"))
+    named = docs.select(key("").alias("id"), F.col(f"`{text_column}`").alias("text"))
+    spans = _spans(named, _removals(named, words, similarity, passage, run)).groupBy("id").agg(
+        F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans"))
     text = F.col(f"row.`{text_column}`")
-    rows = wrapped(docs).join(spans, F.col(f"row.`{id_column}`").eqNullSafe(F.col("id")), "left")
+    rows = wrapped(docs).withColumn("id", key("row.")).join(spans, "id", "left")
     shorter = F.aggregate(F.reverse("spans"), text, lambda t, s: F.concat(
         F.substr(t, F.lit(1), s["begin"].cast("int")),
         F.substr(t, s["end"].cast("int") + 1)))

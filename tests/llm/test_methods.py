@@ -472,6 +472,44 @@ def test_a_repeated_text_stays_once(spark):
     assert shorter[2] == (block + " middle").split()
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_exact_runs_against_every_run(spark, seed):
+    """Texts spliced from shared pieces, so that a third text shares more than the first one does."""
+    rng = np.random.default_rng(seed)
+    pieces = [[f"p{k}w{j}" for j in range(int(n))] for k, n in enumerate(rng.integers(5, 30, 14))]
+    texts = []
+    for k in range(40):
+        words = []
+        for piece in rng.integers(0, 14, int(rng.integers(1, 9))):
+            words += pieces[piece] if rng.random() < 0.8 else [f"t{k}u{len(words)}"]
+        texts.append(words)
+    size = 20
+    first, wanted = {}, {}
+    for k, words in enumerate(texts):
+        for at in range(len(words) - size + 1):
+            run = tuple(words[at:at + size])
+            doc, place = first.setdefault(run, (k, at))
+            if doc != k or at >= place + size:
+                wanted.setdefault(k, set()).update(range(at, at + size))
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)],
+                                 "id long, text string")
+    found = {}
+    for r in paragraphs.exact_runs(docs, size, size // 2).collect():
+        assert r.stop - r.first >= size
+        mine, theirs = " ".join(texts[r.id][r.first:r.stop]), " ".join(texts[r.kept_id])
+        assert mine in theirs and (r.kept_id < r.id or r.kept_id == r.id)
+        found.setdefault(r.id, set()).update(range(r.first, r.stop))
+    assert found == wanted
+
+
+def test_rows_that_share_an_id_lose_their_own_repeats(spark):
+    block = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, "one " + block), (1, "two " + block), (None, "three " + block), (None, "four")]
+    shorter = paragraphs.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(shorter) == 4 and sum(block in r.text for r in shorter) == 1
+    assert sum(r.text == "four" for r in shorter) == 1
+
+
 def test_near_paragraphs_against_all_pairs(spark):
     rng = np.random.default_rng(4)
     base = [[f"v{x}" for x in rng.integers(0, 10_000, 60)] for _ in range(10)]

@@ -10,7 +10,7 @@ paragraphs the first, by document and place, stays.
 
 Exact repeats do not depend on that cut: every run of ``RUN`` words that stands earlier in the corpus
 goes, wherever it begins. Of each ``RUN`` words the smallest hash of ``GRAM`` words is an anchor, so
-equal runs share one. Anchors that occur twice are seeds, which are extended word by word.
+equal runs share one; only runs around an anchor that occurs twice are listed and compared.
 
 Where the words that would go are at least ``PASSAGE`` on end, they are a removal. A paragraph too
 short to be compared goes with its neighbour only if the kept text has the same one at that place.
@@ -145,9 +145,6 @@ def _hashed(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word_hashes(raw, starts, ends), starts, ends
 
 
-_WORD = np.uint64(48)  # of a word's hash its top 16 bits stand beside an anchor
-
-
 def _anchored(docs: DataFrame, size: int, gram: int) -> DataFrame:
     """(id, text) to the anchors of each text: id, anchors (array of long)."""
 
@@ -166,114 +163,77 @@ def _anchored(docs: DataFrame, size: int, gram: int) -> DataFrame:
     return map_batches(docs, run, f"id {kind}, anchors array<long>", 256)
 
 
-def _seeds(docs: DataFrame, size: int, gram: int) -> DataFrame:
-    """(id, text, known) to the places of the known anchors: anchor, id, at (its first word),
-    before and after: two bytes for each of the ``size - gram`` words on either side."""
-    reach = size - gram
+def _listed(docs: DataFrame, size: int, gram: int) -> DataFrame:
+    """(id, text, known) to every run of ``size`` words around a known anchor: run (its hash), id,
+    first (its first word)."""
+    width = size - gram + 1
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, anchor, place, before, after = [], [], [], [], []
+        rows, runs, first = [], [], []
         for k, (raw, known) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2),
                                              strict=True)):
             hashes = _hashed(raw)[0]
-            grams, chosen = anchors(hashes, size, gram)
-            at = np.nonzero(chosen & np.isin(signed(grams), known.values.to_numpy()))[0]
-            short = (hashes >> _WORD).astype("<u2").tobytes()
-            for i in at.tolist():
-                before.append(short[2 * max(0, i - reach):2 * i])
-                after.append(short[2 * (i + gram):2 * (i + size)])
+            if len(hashes) < size:
+                continue
+            hit = np.isin(signed(run_hashes(hashes, gram)), known.values.to_numpy())
+            upto = np.r_[0, np.cumsum(hit)]
+            at = np.nonzero(upto[width:] > upto[:-width])[0]
             rows.append(np.full(len(at), k))
-            anchor.append(signed(grams[at]))
-            place.append(at)
+            runs.append(signed(run_hashes(hashes, size)[at]))
+            first.append(at.astype(np.int32))
         flat = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
         ids = batch.column(0).take(pa.array(flat(rows), pa.int64()))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(flat(anchor), pa.int64()), ids, pa.array(flat(place).astype(np.int32)),
-             pa.array(before, pa.binary()), pa.array(after, pa.binary())],
-            names=["anchor", "id", "at", "before", "after"])
+        return pa.RecordBatch.from_arrays([pa.array(flat(runs), pa.int64()), ids,
+                                           pa.array(flat(first).astype(np.int32))],
+                                          names=["run", "id", "first"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return map_batches(docs, run,
-                       f"anchor long, id {kind}, at int, before binary, after binary", 256)
-
-
-def _agreement(mine: bytes, other: bytes, backward: bool) -> tuple[int, int | None]:
-    """Words on which two runs of two-byte words agree from their common end on, and my next word
-    after those, if there is one."""
-    a, b = np.frombuffer(mine, "<u2"), np.frombuffer(other, "<u2")
-    if backward:
-        a, b = a[::-1], b[::-1]
-    n = min(len(a), len(b))
-    differ = np.nonzero(a[:n] != b[:n])[0]
-    equal = int(differ[0]) if len(differ) else n
-    return equal, int(a[equal]) if equal < len(a) else None
-
-
-def _extended(seeds: DataFrame) -> DataFrame:
-    """Seeds with another place of the same anchor (``kept``: id, at, before, after) to the numbers
-    of words around them that agree, and the seed's own next words: anchor, id, at, before, after,
-    kept_id, kept_at, left, right, left_word, right_word."""
-    kind = seeds.schema["id"].dataType.simpleString()
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        kept = batch.column(5)
-        found = []
-        for mine, name, backward in ((3, "before", True), (4, "after", False)):
-            pairs = [_agreement(a, b, backward) for a, b in zip(
-                batch.column(mine).to_pylist(), kept.field(name).to_pylist(), strict=True)]
-            found.append([pa.array([p[i] for p in pairs], pa.int32()) for i in range(2)])
-        (left, left_word), (right, right_word) = found
-        return pa.RecordBatch.from_arrays(
-            [*batch.columns[:5], kept.field("id"), kept.field("at"), left, right, left_word,
-             right_word], names=["anchor", "id", "at", "before", "after", "kept_id", "kept_at",
-                                 "left", "right", "left_word", "right_word"])
+    return map_batches(docs, run, f"run long, id {kind}, first int", 256)
 
-    return map_batches(seeds.select("anchor", "id", "at", "before", "after", "kept"), run,
-                       f"anchor long, id {kind}, at int, before binary, after binary, "
-                       f"kept_id {kind}, kept_at int, left int, right int, left_word int, "
-                       "right_word int", 4096)
 
+def _later(runs: DataFrame, size: int) -> DataFrame:
+    """Runs that stand earlier, too: run, id, first, kept_id. A run that overlaps its own first
+    place stays. One shuffle; a task reads its runs in order and holds the current one's first."""
+    kind = runs.schema["id"].dataType.simpleString()
 
-def _windows(seeds: DataFrame, size: int, gram: int) -> DataFrame:
-    """Seeds to every run of ``size`` words around them: run (a hash of the anchor and the words
-    beside it), id, first."""
-    kind = seeds.schema["id"].dataType.simpleString()
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, hashes, first = [], [], []
-        at, anchor = batch.column(2).to_numpy(), batch.column(0).to_numpy()
-        for k, (before, after) in enumerate(zip(batch.column(3).to_pylist(),
-                                                batch.column(4).to_pylist(), strict=True)):
-            words = np.frombuffer(before + after, "<u2").astype(np.uint64)
-            own, reach = len(before) // 2, size - gram
-            if len(words) < reach:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # of the batch before: run, id and first word of its first place
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            runs = run_hashes(mixed(words), reach)  # of ``reach`` words beside the anchor
-            left = np.arange(len(runs))
-            left = left[(left <= own) & (left + reach >= own)]
-            # How many of the words stand before the anchor is part of the hash.
-            hashes.append(mixed(runs[left] ^ mixed(np.uint64(anchor[k].view(np.uint64))
-                                                   + (own - left).astype(np.uint64))))
-            first.append(at[k] - own + left)
-            rows.append(np.full(len(left), k))
-        flat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        ids = batch.column(1).take(pa.array(flat(rows, np.int64), pa.int64()))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(signed(flat(hashes, np.uint64))), ids,
-             pa.array(flat(first, np.int64).astype(np.int64))], names=["run", "id", "first"])
-
-    return map_batches(seeds.select("anchor", "id", "at", "before", "after"), run,
-                       f"run long, id {kind}, first long", 1024)
+            runs_, first = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            ids = batch.column(1)
+            new = np.r_[last is None or runs_[0] != last[0], runs_[1:] != runs_[:-1]]
+            head = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
+            heads = np.maximum(head, 0)
+            kept_first = np.where(head >= 0, first[heads], 0 if last is None else last[2])
+            carried = np.nonzero(head < 0)[0]  # the run began in an earlier batch
+            kept = ids.take(pa.array(heads))
+            if len(carried):
+                kept = pa.concat_arrays([pa.array([last[1]] * len(carried), ids.type),
+                                         kept.slice(len(carried))])
+            pairs = [np.asarray(x.field("key").to_numpy()) for x in (ids, kept)]
+            same = pairs[0] == pairs[1]
+            out = np.nonzero(~new & ~(same & (first < kept_first + size)))[0]
+            at = int(heads[-1])
+            last = (runs_[-1], last[1] if head[-1] < 0 else ids[at].as_py(), int(kept_first[-1]))
+            if len(out):
+                chosen = pa.array(out)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(chosen), ids.take(chosen), batch.column(2).take(chosen),
+                     kept.take(chosen)], names=["run", "id", "first", "kept_id"])
+
+    ordered = runs.repartition("run").sortWithinPartitions("run", "id", "first")
+    return ordered.mapInArrow(run, f"run long, id {kind}, first int, kept_id {kind}")
 
 
 def exact_runs(docs: DataFrame, size: int = RUN, gram: int = GRAM) -> DataFrame:
-    """(id, text) to stretches of ``size`` words or more that stand earlier: id, first, stop
-    (words), run (a hash), kept_id. A run that overlaps its own first place stays.
+    """(id, text) to stretches whose every run of ``size`` words stands earlier: id, first, stop
+    (words), run (the smallest hash), kept_ids. ``id`` is a struct with a field ``key`` that tells
+    texts apart. A run that overlaps its own first place stays.
 
-    Anchors that occur twice are seeds. A seed is compared with the first place of its anchor, word
-    by word on both sides; where that gives ``size`` equal words, they are a stretch. A third place
-    can share more with the seed only if it leaves the first place at the same word and goes on
-    with the same next one; only such seeds list their runs one by one, to meet equal ones.
+    Only runs around an anchor that occurs twice are listed. Those that stand earlier are gathered
+    by document as bare numbers, at most one a word, before they meet again.
     """
     texts = docs.select("id", text_or_empty("text").cast("binary").alias("text"))
     marks = stored(_anchored(texts, size, gram))
@@ -282,34 +242,29 @@ def exact_runs(docs: DataFrame, size: int = RUN, gram: int = GRAM) -> DataFrame:
     known = each.join(twice, "anchor", "left_semi").groupBy("id").agg(
         F.collect_set("anchor").alias("known"))
     again = texts.join(known, "id").select("id", "text", "known")
-    seeds = stored(_seeds(again, size, gram))
+    gone = stored(_later(_listed(again, size, gram), size).groupBy("id").agg(
+        F.collect_list("first").alias("firsts"), F.min("run").alias("run"),
+        F.collect_set("kept_id").alias("kept_ids")))
     released(marks)
-    firsts = seeds.groupBy("anchor").agg(
-        F.min(F.struct("id", "at", "before", "after")).alias("kept"))
-    later = seeds.join(firsts, "anchor").where(
-        (F.col("id") != F.col("kept.id")) | (F.col("at") != F.col("kept.at")))
-    met = stored(_extended(later))
-    released(seeds)
-    own = (F.col("id") == F.col("kept_id")) & (F.col("at") < F.col("kept_at") + size)
-    found = met.where((F.col("left") + F.col("right") + gram >= size) & ~own).select(
-        "id", (F.col("at") - F.col("left")).cast("long").alias("first"),
-        (F.col("at") + gram + F.col("right")).cast("long").alias("stop"),
-        F.col("anchor").alias("run"), "kept_id")
-    rest = []
-    for side in ("left", "right"):
-        key = ["anchor", side, f"{side}_word"]
-        shared = met.where(F.col(key[2]).isNotNull()).groupBy(*key).agg(
-            F.count(F.lit(1)).alias("n")).where("n > 1")
-        rest.append(met.join(shared, key, "left_semi").select("anchor", "id", "at", "before",
-                                                              "after"))
-    runs = stored(_windows(rest[0].unionByName(rest[1]).distinct(), size, gram).distinct())
-    kept = runs.groupBy("run").agg(F.count(F.lit(1)).alias("n"),
-                                   F.min(F.struct("id", "first")).alias("kept")).where("n > 1")
-    overlap = (F.col("id") == F.col("kept.id")) & (F.col("first") < F.col("kept.first") + size)
-    others = runs.join(kept, "run").where(~overlap).select(
-        "id", "first", (F.col("first") + size).alias("stop"), "run",
-        F.col("kept.id").alias("kept_id"))
-    return found.unionByName(others)
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows, first, stop = [], [], []
+        for k, places in enumerate(batch.column(1)):
+            at = np.unique(places.values.to_numpy()).astype(np.int64)
+            edge = np.nonzero(np.r_[True, at[1:] > at[:-1] + size])[0]
+            first.append(at[edge])
+            stop.append(at[np.r_[edge[1:], len(at)] - 1] + size)
+            rows.append(np.full(len(edge), k))
+        flat = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        take = pa.array(flat(rows), pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0).take(take), pa.array(flat(first)), pa.array(flat(stop)),
+             batch.column(2).take(take), batch.column(3).take(take)],
+            names=["id", "first", "stop", "run", "kept_ids"])
+
+    return map_batches(gone.select("id", "firsts", "run", "kept_ids"), run,
+                       f"id {kind}, first long, stop long, run long, kept_ids array<{kind}>", 1024)
 
 
 def _between(units: DataFrame, gone: DataFrame) -> DataFrame:
@@ -457,9 +412,10 @@ def _removals(named: DataFrame, words: int, similarity: float, passage: int,
     gone = stored(classed.join(firsts, "class").where(
         ~F.struct("id", "place").eqNullSafe(F.col("kept"))).select(
         *classed.columns, F.col("kept.id").alias("kept_id"), F.col("kept.place").alias("kept_place")))
-    parts = ["id", "first", "stop", "class", "run", "kept_id"]
+    parts = ["id", "first", "stop", "class", "run", "kept_ids"]
     none = F.lit(None).cast("long")
-    near = stored(gone.unionByName(_between(units, gone)).withColumn("run", none).select(parts))
+    near = stored(gone.unionByName(_between(units, gone)).withColumn("run", none).withColumn(
+        "kept_ids", F.array("kept_id")).select(parts))
     for done in (gone, units, links):
         released(done)
     every = near.unionByName(
@@ -471,7 +427,7 @@ def _removals(named: DataFrame, words: int, similarity: float, passage: int,
         ordered.rowsBetween(Window.unboundedPreceding, 0)))
     removals = joined.groupBy("id", "part").agg(
         F.min("first").alias("first"), F.max("stop").alias("stop"),
-        F.collect_set("kept_id").alias("kept"),
+        F.array_distinct(F.flatten(F.collect_list("kept_ids"))).alias("kept"),
         F.sort_array(F.array_distinct(F.array_compact(F.concat(
             F.collect_set("class"), F.array(F.min("run")))))).alias("classes"))
     return stored(removals.withColumn("words", F.col("stop") - F.col("first"))

@@ -315,6 +315,15 @@ def route_baseline(lanes: DataFrame, warehouses: DataFrame, stores: DataFrame) -
 EXACT_STOPS = 12
 
 
+def nearest_order(table: np.ndarray) -> list[int]:
+    """Stops 1..n by the nearest one not yet visited, from place 0; ties go to the smaller stop."""
+    order, left = [0], set(range(1, len(table)))
+    while left:
+        order.append(min(left, key=lambda stop: (table[order[-1], stop], stop)))
+        left.remove(order[-1])
+    return order[1:]
+
+
 def visiting_order(km: list[list[float]], exact_stops: int = EXACT_STOPS) -> list[int]:
     """Order of the stops 1..n of the shortest round trip from place 0 over a distance table.
 
@@ -327,11 +336,7 @@ def visiting_order(km: list[list[float]], exact_stops: int = EXACT_STOPS) -> lis
     if n < 2:
         return list(range(1, n + 1))
     if n > exact_stops:
-        order, left = [0], set(range(1, n + 1))
-        while left:
-            order.append(min(left, key=lambda stop: (table[order[-1], stop], stop)))
-            left.remove(order[-1])
-        order, better = [*order, 0], True
+        order, better = [0, *nearest_order(table), 0], True
         while better:
             better = False
             for i in range(1, n):
@@ -367,13 +372,18 @@ def delivery_tours(lanes: DataFrame, warehouses: DataFrame, stores: DataFrame,
     """Short round trip of every warehouse over all its stores, however many.
 
     One row per warehouse holds its distance table, and its order is found inside the row; see
-    ``visiting_order``. A warehouse with one store goes there and back.
+    ``visiting_order``. ``exact`` says whether the order is the best of all; beyond ``exact_stops``
+    it need not be. A warehouse with one store goes there and back. The nearest-neighbour tour's
+    length is given beside that of the stores in the order of their ids.
     """
     ship(lanes.sparkSession)
 
     def search(tables):
         import pandas as pd
-        return pd.Series([visiting_order(t, exact_stops) for t in tables])
+        return pd.DataFrame({
+            "best": [visiting_order(t, exact_stops) for t in tables],
+            "nearest": [nearest_order(np.array([list(r) for r in t], dtype=float))
+                        for t in tables]})
 
     per = _located(lanes, warehouses, stores).groupBy("warehouse_id", "wlat", "wlon").agg(
         F.array_sort(F.collect_list(F.struct("store_id", F.col("slat").alias("lat"),
@@ -386,7 +396,8 @@ def delivery_tours(lanes: DataFrame, warehouses: DataFrame, stores: DataFrame,
     per = pinned(per.withColumn("points", points), km=F.transform(
         "points", lambda a: F.transform("points", lambda b: haversine_km(
             a["lat"], a["lon"], b["lat"], b["lon"]))))
-    per = per.withColumn("order", F.pandas_udf(search, "array<int>")("km"))
+    per = per.withColumn("order", F.pandas_udf(
+        search, "best array<int>, nearest array<int>")("km"))
 
     def length(order: Column) -> Column:
         trip = F.aggregate(
@@ -396,13 +407,15 @@ def delivery_tours(lanes: DataFrame, warehouses: DataFrame, stores: DataFrame,
                 stop.alias("at")))
         return half_up(trip["sum"] + F.get(F.get("km", trip["at"]), F.lit(0)), 6)
 
-    best = F.struct(length(F.col("order")).alias("km"), F.col("order").alias("order"))
+    best = F.struct(length(F.col("order.best")).alias("km"), F.col("order.best").alias("order"),
+                    length(F.col("order.nearest")).alias("nearest"))
     names = F.array_join(F.transform("best.order", lambda i: F.get(
         "stops", i - 1)["store_id"].cast("string")), " > ")
     items = F.aggregate("stops", F.lit(0).cast("long"), lambda n, s: n + s["shipments"])
     tours = pinned(per, best=best).select(
         "warehouse_id", F.col("n").alias("stops_count"), names.alias("route_order"),
-        half_up("best.km", 2).alias("distance_km"),
+        half_up("best.km", 2).alias("distance_km"), (F.col("n") <= exact_stops).alias("exact"),
+        half_up("best.nearest", 2).alias("nearest_neighbour_distance_km"),
         half_up(F.col("best.km") / 50.0, 1).alias("estimated_time_hrs"),
         F.when(items == 0, 75).otherwise(items).alias("total_orders"))
     base = route_baseline(lanes, warehouses, stores).drop("stops")

@@ -226,10 +226,13 @@ EXTRA = {
     "o_tours": f"""
       SELECT p.warehouse_id, p.path, {R('p.len + k.km', 6)} AS km,
              row_number() OVER (PARTITION BY p.warehouse_id ORDER BY {R('p.len + k.km', 6)},
-                                p.path) AS r
+                                p.path) AS r,
+             row_number() OVER (PARTITION BY p.warehouse_id ORDER BY p.steps) AS nearest
       FROM (SELECT a.warehouse_id, a.n, """ + """
               [x1.t] || COALESCE(list_filter([x2.t,x3.t,x4.t,x5.t,x6.t], lambda v: v IS NOT NULL), [])
                 AS path,
+              list_filter([x1.km,x1.t,x2.km,x2.t,x3.km,x3.t,x4.km,x4.t,x5.km,x5.t,x6.km,x6.t],
+                lambda v: v IS NOT NULL) AS steps,
               ((((x1.km + COALESCE(x2.km,0)) + COALESCE(x3.km,0)) + COALESCE(x4.km,0))
                 + COALESCE(x5.km,0)) + COALESCE(x6.km,0) AS len,
               COALESCE(x6.t,x5.t,x4.t,x3.t,x2.t,x1.t) AS last
@@ -377,11 +380,13 @@ ORACLES = {
           AS saving_pct
       FROM (SELECT t.warehouse_id, len(t.path) AS stops_count,
           array_to_string(list_transform(t.path, lambda i: l.stores[i]), ' > ') AS route_order,
-          {R('t.km')} AS distance_km, {R('t.km/50', 1)} AS estimated_time_hrs,
+          {R('t.km')} AS distance_km, CAST(len(t.path) <= 12 AS BIGINT) AS exact,
+          {R('q.km')} AS nearest_neighbour_distance_km, {R('t.km/50', 1)} AS estimated_time_hrs,
           CASE WHEN l.items=0 THEN 75 ELSE l.items END AS total_orders, b.baseline_distance_km
         FROM o_tours t JOIN (SELECT warehouse_id, list(store_id ORDER BY store_id) AS stores,
                                CAST(SUM(shipments) AS BIGINT) AS items FROM o_lanes GROUP BY 1) l
           ON t.warehouse_id=l.warehouse_id
+        JOIN o_tours q ON t.warehouse_id=q.warehouse_id AND q.nearest=1
         JOIN o_base b ON t.warehouse_id=b.warehouse_id WHERE t.r=1)"""),
     "delivery_speed": osql(f"""
       SELECT COUNT(*) AS deliveries, CASE WHEN COUNT(*) > 10

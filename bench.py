@@ -16,7 +16,8 @@ HEADLINE = [
     "buying_intent", "clean_transactions", "similar_customers", "cf_recommendations",
     "next_best_offer", "send_time", "promo_performance", "price_elasticity", "dynamic_price",
     "competitor_gaps", "assortment_pareto", "inventory_health", "replenishment", "abc_slotting",
-    "delivery_tours", "tfidf", "review_summary"]
+    "delivery_tours", "tfidf", "review_summary", "similar_tickets", "query_extraction",
+    "catalogue_search", "promo_did", "nbo_weights", "recommendation_reasons"]
 
 
 def main() -> None:

@@ -182,6 +182,8 @@ def test_no_warehouse_is_lost_whatever_its_stops(frame, stops):
     assert tour["stops_count"] == stops
     assert sorted(map(int, tour["route_order"].split(" > "))) == list(range(1, stops + 1))
     assert tour["distance_km"] <= tour["baseline_distance_km"]
+    assert tour["distance_km"] <= tour["nearest_neighbour_distance_km"]
+    assert tour["exact"] == (stops <= O.EXACT_STOPS)
 
 
 def test_tour_is_the_best_of_all_orders():

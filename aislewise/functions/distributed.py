@@ -8,7 +8,6 @@ range totals are accumulated, and every range then adds its own offset.
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -16,24 +15,30 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from aislewise.functions.scalars import half_up, pinned
 from aislewise.session import stored
 
-MIN_FAN, MAX_FAN = 8, 32  # FAN * FAN key ranges per job: 64 to 1024
-PER_RANGE = 16            # keys looked at per range to choose the cut points
+MIN_FAN, MAX_FAN = 8, 32   # ranges of one level of the search
+ROWS = 1 << 20             # of a range, about; more rows take more ranges
+PER_RANGE = 16             # keys looked at per range to choose the cut points
 
 
-def _fan(df: DataFrame) -> int:
-    """Enough ranges to occupy the cluster's shuffle partitions."""
+def _shape(df: DataFrame) -> tuple[int, int]:
+    """Levels and fan: fan ** levels ranges occupy the cluster's shuffle partitions and hold about
+    ``ROWS`` rows each. A third level is for more than ``MAX_FAN ** 2`` ranges."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(MAX_FAN, max(MIN_FAN, math.isqrt(parts) + 1))
+    wanted = max(parts, -(-df.count() // ROWS))
+    levels = 2 if wanted <= MAX_FAN ** 2 else 3
+    fan = next((f for f in range(MIN_FAN, MAX_FAN) if f ** levels > wanted), MAX_FAN)
+    return levels, fan
 
 
 def _with_range(df: DataFrame, key: Column) -> DataFrame:
-    """Add ``_range``, the number of the key range a row falls in.
+    """Add ``_range``, the number of the key range a row falls in. ``df`` should be stored: it is
+    counted and read for its keys first.
 
-    The cut points come from the keys with the smallest hash: a bounded top-k that any re-run repeats exactly. They only balance the work; the
-    result does not depend on them.
+    The cut points come from the keys with the smallest hash: a bounded top-k that any re-run
+    repeats exactly. They only balance the work; the result does not depend on them.
     """
-    fan = _fan(df)
-    ranges = fan * fan
+    levels, fan = _shape(df)
+    ranges = fan ** levels
     picked = (df.select(key.alias("key"))
               .orderBy(F.xxhash64("key"), "key").limit(ranges * PER_RANGE)
               .agg(F.sort_array(F.collect_list("key")).alias("keys")))
@@ -41,17 +46,16 @@ def _with_range(df: DataFrame, key: Column) -> DataFrame:
         "keys", lambda k, i: i % PER_RANGE == PER_RANGE - 1), 1, ranges - 1)
         .alias("cuts")).scalar()
 
-    def passed(first, every: int) -> Column:
-        """How many of fan - 1 cuts the key has reached; past the end ``get`` is null."""
-        return reduce(lambda a, b: a + b, [
-            F.when(F.get("_cuts", first + every * n) <= F.col("_key"), 1).otherwise(0)
-            for n in range(fan - 1)])
-
-    # Two levels: every fan-th cut first, then the cuts in between.
-    searched = pinned(pinned(df, _cuts=cuts, _key=key), _coarse=passed(F.lit(fan - 1), fan))
-    fine = passed(F.col("_coarse") * fan, 1)
-    return searched.withColumn("_range", F.col("_coarse") * fan + fine).drop(
-        "_cuts", "_key", "_coarse")
+    searched = pinned(df, _cuts=cuts, _key=key, _level0=F.lit(0))
+    for level in range(levels):
+        step = fan ** (levels - 1 - level)
+        # How many of fan - 1 cuts the key has reached; past the end ``get`` is null.
+        passed = reduce(lambda a, b: a + b, [
+            F.when(F.get("_cuts", F.col(f"_level{level}") + step * (n + 1) - 1) <= F.col("_key"),
+                   step).otherwise(0) for n in range(fan - 1)])
+        searched = pinned(searched, **{f"_level{level + 1}": F.col(f"_level{level}") + passed})
+    return searched.withColumnRenamed(f"_level{levels}", "_range").drop(
+        "_cuts", "_key", *[f"_level{k}" for k in range(levels)])
 
 
 def running_total(df: DataFrame, order: list[Column], value: str,

@@ -175,3 +175,14 @@ def test_ranges_do_not_change_the_result(frame, monkeypatch):
     more = {r["id"]: r["running"] for r in
             running_total(df, [F.col("v"), F.col("id")], "v", ("g",)).collect()}
     assert few == more
+    # Ten rows a range: a third level of the search.
+    monkeypatch.setattr(distributed, "MIN_FAN", 2)
+    monkeypatch.setattr(distributed, "MAX_FAN", 4)
+    monkeypatch.setattr(distributed, "ROWS", 10)
+    stored = distributed.stored(df)
+    assert distributed._shape(stored) == (3, 4)
+    ranged = distributed._with_range(stored, F.struct("v", "id"))
+    assert ranged.groupBy("_range").count().agg({"count": "max"}).first()[0] <= 40
+    third = {r["id"]: r["running"] for r in
+             running_total(df, [F.col("v"), F.col("id")], "v", ("g",)).collect()}
+    assert third == few

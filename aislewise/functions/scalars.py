@@ -41,6 +41,11 @@ def money_mean(c) -> Column:
     return money_sum(c) / F.count(as_col(c))
 
 
+def rate_mean(c) -> Column:
+    """Mean of shares in whole millionths: exact like ``money_mean``, but 12.5 % stays 12.5 %."""
+    return F.sum(F.floor(as_col(c) * 1e6 + 0.5)) / F.lit(1e6) / F.count(as_col(c))
+
+
 def ratio(numerator, denominator, otherwise=None) -> Column:
     """Division that yields ``otherwise`` (default null) when the divisor is 0 or null."""
     numerator, denominator = as_col(numerator), as_col(denominator)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from aislewise.functions.distributed import exact_quantiles
 from aislewise.functions.scalars import (clip, cut, half_up, money_mean, money_sum, not_null,
-                                         one_row, pinned, quantile_bin, ratio)
+                                         one_row, pinned, quantile_bin, rate_mean, ratio)
 
 
 def rfm(transactions: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ def product_features(products: DataFrame, transactions: DataFrame, reviews: Data
     sales = not_null(transactions, "product_id").groupBy("product_id").agg(
         F.sum("quantity").alias("total_qty_sold"), money_sum("total_amount").alias("total_revenue"),
         money_mean("unit_price").alias("avg_sale_price"),
-        money_mean("discount_pct").alias("avg_discount"),
+        rate_mean("discount_pct").alias("avg_discount"),
         F.count(F.lit(1)).alias("n_transactions"),
         (F.count_if(F.col("channel") == online) / F.count(F.lit(1))).alias("online_share"))
     ratings = not_null(reviews, "product_id").groupBy("product_id").agg(

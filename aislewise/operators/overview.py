@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from aislewise.functions.scalars import half_up, money_mean, money_sum, ratio
+from aislewise.functions.scalars import half_up, money_mean, money_sum, rate_mean, ratio
 
 
 def margin() -> Column:
@@ -49,7 +49,7 @@ def estate(transactions: DataFrame, products: DataFrame, customers: DataFrame,
         F.min("transaction_date").alias("period_start"),
         F.max("transaction_date").alias("period_end"),
         F.coalesce(money_mean("total_amount"), F.lit(0.0)).alias("_basket"),
-        F.coalesce(money_mean("discount_pct"), F.lit(0.0)).alias("_discount"),
+        F.coalesce(rate_mean("discount_pct"), F.lit(0.0)).alias("_discount"),
         F.coalesce(money_sum(F.when(F.col("is_returned"), F.col("total_amount"))), F.lit(0.0))
         .alias("_returned"))
 

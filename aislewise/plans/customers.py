@@ -103,13 +103,16 @@ def segment_offers(t):
 def cluster_labels(t):
     """Labels for segments in the place of clusters: the same rules on group means."""
     from aislewise.operators import features
+    browses = t.browsing.where("customer_id IS NOT NULL").groupBy("customer_id").agg(
+        F.count(F.lit(1)).alias("browses"))
     means = (features.rfm(t.transactions)
              .join(t.customers.select("customer_id", "segment", "region"), "customer_id")
+             .join(browses, "customer_id", "left").fillna(0, ["browses"])
              .groupBy(F.concat_ws("/", "segment", "region").alias("cluster_id"))
              .agg(half_up(F.avg("recency_days"), 6).alias("avg_recency_days"),
                   half_up(F.avg("frequency"), 6).alias("avg_frequency"),
                   half_up(F.sum("monetary") / F.count(F.lit(1)), 2).alias("avg_monetary"),
-                  half_up(F.avg("customer_lifetime_days"), 6).alias("avg_browse_count")))
+                  half_up(F.sum("browses") / F.count(F.lit(1)), 6).alias("avg_browse_count")))
     return models.cluster_labels(means).select("cluster_id", "label")
 
 
@@ -300,8 +303,10 @@ EXTRA = {
       SELECT c.segment || '/' || c.region AS cluster_id,
              {R('AVG(recency_days)', 6)} AS rec, {R('AVG(frequency)', 6)} AS freq,
              {R('SUM(monetary)/COUNT(*)', 2)} AS mon,
-             {R('AVG(customer_lifetime_days)', 6)} AS br
-      FROM x_rfm r JOIN cust c ON r.customer_id=c.customer_id GROUP BY 1""",
+             {R('CAST(SUM(COALESCE(b.n, 0)) AS DOUBLE)/COUNT(*)', 6)} AS br
+      FROM x_rfm r JOIN cust c ON r.customer_id=c.customer_id
+      LEFT JOIN (SELECT customer_id, COUNT(*) AS n FROM browse GROUP BY 1) b
+        ON r.customer_id=b.customer_id GROUP BY 1""",
 }
 
 

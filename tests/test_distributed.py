@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from aislewise.functions import distributed, similarity
 from aislewise.functions.distributed import exact_quantiles, running_total
 from aislewise.functions.scalars import (clip, cut, half_up, haversine_km, normal_quantile,
-                                         quantile_bin)
+                                         quantile_bin, rate_mean)
 from aislewise.operators import customers as K
 
 
@@ -186,3 +186,8 @@ def test_ranges_do_not_change_the_result(frame, monkeypatch):
     third = {r["id"]: r["running"] for r in
              running_total(df, [F.col("v"), F.col("id")], "v", ("g",)).collect()}
     assert third == few
+
+
+def test_mean_of_rates_keeps_their_decimals(frame):
+    rates = frame("r double", (0.125,), (0.125,), (None,))
+    assert rates.agg(rate_mean("r")).first()[0] == 0.125

@@ -50,9 +50,9 @@ def cf_recommendations(t):
 
 
 def bestseller_fallback(t):
-    """Customers to whom collaborative filtering recommends nothing."""
-    served = K.cf_recommendations(*_boosted(t), 5)
-    return plain(K.bestseller_fallback(t.transactions, t.products, t.customers, served, 5))
+    """The list that each customer would fall back to; ``cf_recommendations`` uses it where it must."""
+    nobody = t.customers.where("false")
+    return plain(K.bestseller_fallback(t.transactions, t.products, t.customers, nobody, 5))
 
 
 def recommendation_reasons(t):
@@ -236,13 +236,15 @@ EXTRA = {
                         FROM txn GROUP BY 1) u ON p.product_id=u.product_id
       CROSS JOIN (SELECT DISTINCT COALESCE(preferred_category,'') AS wish FROM cust) w""",
     "c_rest": """
+      SELECT * FROM c_list k WHERE NOT EXISTS (
+        SELECT 1 FROM c_cf f WHERE f.customer_id=k.customer_id)""",
+    "c_list": """
       SELECT k.customer_id, l.product_id, l.product_name, l.category, l.price,
         CAST(l.units AS DOUBLE) AS score, l.position,
         CASE WHEN l.category=l.wish THEN 'Popular in ' || l.wish ELSE 'Trending bestseller' END
           AS reason
       FROM cust k JOIN c_wish l ON COALESCE(k.preferred_category,'')=l.wish
-      WHERE l.position <= 5 AND NOT EXISTS (
-        SELECT 1 FROM c_cf f WHERE f.customer_id=k.customer_id)""",
+      WHERE l.position <= 5""",
     "c_rating": f"""
       SELECT product_id, {R('AVG(rating)', 1)} AS a, COUNT(rating) AS n FROM rev GROUP BY 1""",
     "c_seen": f"""
@@ -334,7 +336,7 @@ ORACLES = {
                            "FROM c_boost"),
     "cf_recommendations": csql("""
       SELECT * FROM c_cf UNION ALL SELECT * FROM c_rest"""),
-    "bestseller_fallback": csql("SELECT * FROM c_rest"),
+    "bestseller_fallback": csql("SELECT * FROM c_list"),
     "recommendation_reasons": csql(f"""
       SELECT customer_id, product_id, product_name, category, brand, price, avg_rating,
         review_count, bought_by_similar, position, CAST(personal AS BIGINT) AS is_personalized,

@@ -7,24 +7,25 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import (IDF, ElementwiseProduct, HashingTF, Normalizer, RegexTokenizer,
-                                StandardScaler, StopWordsRemover, StringIndexer, VectorAssembler)
+                                StopWordsRemover, StringIndexer, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from aislewise.functions.distributed import exact_quantiles
-from aislewise.functions.scalars import contains_any, half_up
+from aislewise.functions.distributed import exact_quantiles, running_total
+from aislewise.functions.scalars import contains_any, half_up, money_mean
 from aislewise.operators.features import HOLIDAYS, holiday_name, sale_season
 from aislewise.operators.offers import month_bin
 from aislewise.operators.text import TOKEN, default_stop_words
-from aislewise.session import ensure_checkpoint_dir, stored
+from aislewise.session import ensure_checkpoint_dir, ship, stored
 
 # ── demand forecasting ──────────────────────────────────────────────────────
 
@@ -277,12 +278,132 @@ AUDIENCE_COLUMNS = ["recency_days", "frequency", "monetary", "avg_order_val", "t
                     "wishlist_count", "cart_count"]
 
 
-def _scaled_audience(features: DataFrame, columns: Sequence[str]) -> DataFrame:
-    filled = features.select("customer_id", *[
-        F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="_raw").transform(filled)
-    scaler = StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True)
-    return scaler.fit(vectors).transform(vectors).drop("_raw")
+AUDIENCE_UNITS = 1000  # of a standard deviation: coordinates are whole numbers of them
+AUDIENCE_STEPS = 100   # at most; a fit ends when no centre moves
+
+
+def _scaled_audience(features: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Every customer in whole thousandths of a standard deviation from the mean, stored.
+
+    Whole numbers make every later sum exact, so that a run repeats whatever the task order. Values
+    count in hundredths, null as 0; a column without spread is 0 throughout.
+    """
+    values = features.select("customer_id", *columns, *[
+        F.floor(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * 100.0 + 0.5).alias(f"_x{i}")
+        for i, c in enumerate(columns)])
+    values = stored(values)
+    moments = [F.count(F.lit(1))]
+    for i in range(len(columns)):
+        x = F.col(f"_x{i}").cast("decimal(19,0)")
+        moments += [F.sum(x), F.sum(x * x)]
+    n, *sums = values.agg(*moments).first()  # one row, two numbers a column
+    units = []
+    for i in range(len(columns)):
+        total, squares = (int(v or 0) for v in sums[2 * i:2 * i + 2])
+        spread = n * squares - total * total  # n (n - 1) times the variance
+        if spread <= 0:
+            units.append(F.lit(0).cast("long").alias(f"_z{i}"))
+            continue
+        deviation = math.sqrt(float(spread) / n / (n - 1))
+        units.append(F.floor((F.col(f"_x{i}") - total / n) / deviation * float(AUDIENCE_UNITS)
+                             + 0.5).alias(f"_z{i}"))
+    return (values.select("customer_id", *columns, *units),
+            [f"_z{i}" for i in range(len(columns))])
+
+
+def _nearest(rows: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the nearest centre of each row (the lower one of equals) and its squared distance."""
+    squares = np.stack([((rows - c) ** 2).sum(axis=1) for c in centres], axis=1)
+    nearest = squares.argmin(axis=1)
+    return nearest, squares[np.arange(len(rows)), nearest]
+
+
+def _group_sums(fits: dict[int, np.ndarray], schema: list[str]):
+    """One Lloyd step inside a task: rows, coordinates and squared distances of each centre, summed
+    over the whole task, so that a task hands on one row a centre."""
+    def run(batches):
+        held = {k: np.zeros((len(c), c.shape[1] + 2), dtype=np.int64) for k, c in fits.items()}
+        for batch in batches:
+            rows = batch.to_numpy(dtype=np.int64)
+            for k, centres in fits.items():
+                nearest, squares = _nearest(rows, centres)
+                np.add.at(held[k], nearest, np.column_stack(
+                    [np.ones(len(rows), dtype=np.int64), squares, rows]))
+        for k, sums in held.items():
+            yield pd.DataFrame(np.column_stack(
+                [np.full(len(sums), k), np.arange(len(sums)), sums]), columns=schema)
+    return run
+
+
+class AudienceModel:
+    """Lloyd fits of the audience for several numbers of clusters at once.
+
+    Customers are ranked by the sum of their coordinates (then by id) and cut into k equal parts,
+    whose means are the first centres. A step is one pass over the customers for all open k: each
+    joins its nearest centre (the lower one of equals), and a centre becomes the floor of its
+    members' mean; one without members stays. Only centres reach the driver, k rows a fit.
+    A k above the number of customers is not fitted.
+    """
+
+    def __init__(self, features: DataFrame, ks: Sequence[int],
+                 columns: Sequence[str] = AUDIENCE_COLUMNS, steps: int = AUDIENCE_STEPS):
+        self.columns = list(columns)
+        scaled, self._axes = _scaled_audience(features, columns)
+        score = reduce(lambda a, b: a + b, [F.col(z) for z in self._axes])
+        self._people = stored(running_total(
+            scaled.withColumns({"_score": score, "_one": F.lit(1)}),
+            [F.col("_score"), F.col("customer_id")], "_one"))
+        self.centres: dict[int, np.ndarray] = {}
+        self.cost: dict[int, float] = {}
+        self.steps: dict[int, int] = {}
+        self.converged: dict[int, bool] = {}
+        self._fit(ks, steps)
+
+    def _seeds(self, ks: Sequence[int]) -> dict[int, np.ndarray]:
+        parts = (self._people.withColumn("k", F.explode(F.lit(list(ks))))
+                 .where("k <= total")
+                 .groupBy("k", F.expr("(running - 1) * k div total").alias("part"))
+                 .agg(F.count(F.lit(1)).alias("n"), *[F.sum(z).alias(z) for z in self._axes]))
+        rows = parts.orderBy("k", "part").collect()  # k rows for each k
+        return {k: np.array([[r[z] // r["n"] for z in self._axes] for r in rows if r["k"] == k],
+                            dtype=np.int64) for k in {r["k"] for r in rows}}
+
+    def _fit(self, ks: Sequence[int], steps: int) -> None:
+        spark = self._people.sparkSession
+        ship(spark)
+        self.centres = self._seeds(ks)
+        coordinates = self._people.select(*self._axes)
+        names = ["k", "centre", "n", "squares", *self._axes]
+        schema = ", ".join(f"{c} long" for c in names)
+        open_fits = dict(self.centres)
+        for step in range(1, steps + 1):
+            if not open_fits:
+                break
+            sums = (coordinates.mapInPandas(_group_sums(open_fits, names), schema)
+                    .groupBy("k", "centre").agg(*[F.sum(c).alias(c) for c in names[2:]])
+                    .collect())  # one row a centre
+            for k, old in list(open_fits.items()):
+                new = old.copy()
+                own = [r for r in sums if r["k"] == k]
+                for r in own:
+                    if r["n"]:
+                        new[r["centre"]] = [r[z] // r["n"] for z in self._axes]
+                self.centres[k], self.steps[k] = new, step
+                self.cost[k] = sum(r["squares"] for r in own) / AUDIENCE_UNITS ** 2
+                self.converged[k] = bool((new == old).all())
+                if self.converged[k]:
+                    del open_fits[k]
+                else:
+                    open_fits[k] = new
+
+    def clusters(self, k: int) -> DataFrame:
+        """Cluster of every customer, 0 to k - 1; null where k was not fitted."""
+        offered = [F.struct(reduce(lambda a, b: a + b, [
+            (F.col(z) - F.lit(int(v))) * (F.col(z) - F.lit(int(v)))
+            for z, v in zip(self._axes, centre)]).alias("d"), F.lit(i).alias("i"))
+            for i, centre in enumerate(self.centres.get(k, []))]
+        cluster = F.array_min(F.array(*offered))["i"] if offered else F.lit(None).cast("int")
+        return self._people.select("customer_id", cluster.alias("cluster_id"), *self.columns)
 
 
 def _elbow(costs: list[tuple[int, float]]) -> int:
@@ -296,40 +417,35 @@ def _elbow(costs: list[tuple[int, float]]) -> int:
     return costs[-1][0]
 
 
-def audience_k(features: DataFrame, columns: Sequence[str] = AUDIENCE_COLUMNS, max_k: int = 12,
-               seed: int = 42) -> tuple[DataFrame, int]:
-    """Clustering cost for k = 3..max_k, and the elbow. A k above the number of rows is not fitted
-    and has a null cost; with none fitted the choice is 8."""
-    spark = features.sparkSession
-    scaled = _scaled_audience(features, columns).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        people = scaled.count()
-        costs = []
-        for k in range(3, min(max_k, people) + 1):
-            model = KMeans(k=k, seed=seed, maxIter=100).fit(scaled)
-            costs.append((k, float(model.summary.trainingCost)))
-    finally:
-        scaled.unpersist()
+def audience_table(model: AudienceModel, ks: Sequence[int]) -> tuple[DataFrame, int]:
+    """Cost of each k of ``ks`` with its steps, and the elbow. Where k is not fitted they are null;
+    with none fitted the choice is 8."""
+    costs = [(k, model.cost[k]) for k in ks if k in model.cost]
     chosen = _elbow(costs) if costs else 8
-    known = dict(costs)
-    table = spark.createDataFrame([(k, known.get(k), k == chosen, k in known)
-                                   for k in range(3, max_k + 1)],
-                                  "k int, cost double, is_chosen boolean, fitted boolean")
+    table = model._people.sparkSession.createDataFrame(
+        [(k, model.cost.get(k), model.steps.get(k), model.converged.get(k), k == chosen,
+          k in model.cost) for k in ks],
+        "k int, cost double, steps int, converged boolean, is_chosen boolean, fitted boolean")
     return table, chosen
 
 
-def audience_clusters(features: DataFrame, k: int, columns: Sequence[str] = AUDIENCE_COLUMNS,
-                      seed: int = 42) -> DataFrame:
+def audience_k(features: DataFrame, columns: Sequence[str] = AUDIENCE_COLUMNS,
+               max_k: int = 12) -> tuple[DataFrame, int]:
+    """Clustering cost for k = 3..max_k, and the elbow."""
+    ks = range(3, max_k + 1)
+    return audience_table(AudienceModel(features, ks, columns), ks)
+
+
+def audience_clusters(features: DataFrame, k: int,
+                      columns: Sequence[str] = AUDIENCE_COLUMNS) -> DataFrame:
     """Cluster of every customer for a given k."""
-    scaled = _scaled_audience(features, columns)
-    return KMeans(k=k, seed=seed, maxIter=100).fit(scaled).transform(scaled).select(
-        "customer_id", F.col("prediction").alias("cluster_id"), *columns)
+    return AudienceModel(features, [k], columns).clusters(k)
 
 
 def cluster_means(clusters: DataFrame) -> DataFrame:
     return clusters.groupBy("cluster_id").agg(
         F.count(F.lit(1)).alias("customers"), F.avg("recency_days").alias("avg_recency_days"),
-        F.avg("frequency").alias("avg_frequency"), F.avg("monetary").alias("avg_monetary"),
+        F.avg("frequency").alias("avg_frequency"), money_mean("monetary").alias("avg_monetary"),
         F.avg("total_browses").alias("avg_browse_count"))
 
 

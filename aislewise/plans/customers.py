@@ -316,6 +316,26 @@ def csql(body: str) -> str:
     return sql(body, EXTRA)
 
 
+def label_sql(means: str, more: str = "") -> str:
+    """Names of clusters from a table of their means; ``more`` columns of it are kept."""
+    return f"""
+      SELECT cluster_id, {more} CASE WHEN n=1 THEN base
+               ELSE base || ' ' || CAST(n-1 AS VARCHAR) END AS label
+      FROM (SELECT cluster_id, {more} base,
+                   row_number() OVER (PARTITION BY base ORDER BY cluster_id) AS n
+        FROM (SELECT cluster_id, {more} CASE
+            WHEN rec < 30 AND freq > mf AND mon > mm THEN 'Champions'
+            WHEN rec < 30 AND freq > mf THEN 'Loyal Customers'
+            WHEN rec < 30 AND mon > mm THEN 'Recent High-Value'
+            WHEN rec > 90 THEN 'Lapsed' WHEN rec > 60 THEN 'At Risk'
+            WHEN freq <= 1 THEN 'First-Time Buyers'
+            WHEN br > mb AND mon < mm THEN 'Window Shoppers'
+            WHEN mon > mm THEN 'Big Spenders' WHEN freq > mf THEN 'Frequent Buyers'
+            ELSE 'Occasional Buyers' END AS base
+          FROM {means} CROSS JOIN (SELECT median(freq) AS mf, median(mon) AS mm,
+                                          median(br) AS mb FROM {means})))"""
+
+
 def _mode(column: str) -> str:
     return (f"(SELECT segment, {column} FROM (SELECT segment, {column}, row_number() OVER "
             f"(PARTITION BY segment ORDER BY COUNT(*) DESC, {column}) AS r FROM cust "
@@ -437,20 +457,5 @@ ORACLES = {
         JOIN {_mode('preferred_category')} c ON s.segment=c.segment
         JOIN {_mode('preferred_channel')} h ON s.segment=h.segment
         CROSS JOIN c_active p) WHERE position <= 6"""),
-    "cluster_labels": csql("""
-      SELECT cluster_id, CASE WHEN n=1 THEN base ELSE base || ' ' || CAST(n-1 AS VARCHAR) END
-               AS label
-      FROM (SELECT cluster_id, base,
-                   row_number() OVER (PARTITION BY base ORDER BY cluster_id) AS n
-        FROM (SELECT cluster_id, CASE
-            WHEN rec < 30 AND freq > mf AND mon > mm THEN 'Champions'
-            WHEN rec < 30 AND freq > mf THEN 'Loyal Customers'
-            WHEN rec < 30 AND mon > mm THEN 'Recent High-Value'
-            WHEN rec > 90 THEN 'Lapsed' WHEN rec > 60 THEN 'At Risk'
-            WHEN freq <= 1 THEN 'First-Time Buyers'
-            WHEN br > mb AND mon < mm THEN 'Window Shoppers'
-            WHEN mon > mm THEN 'Big Spenders' WHEN freq > mf THEN 'Frequent Buyers'
-            ELSE 'Occasional Buyers' END AS base
-          FROM c_means CROSS JOIN (SELECT median(freq) AS mf, median(mon) AS mm, median(br) AS mb
-                                   FROM c_means)))"""),
+    "cluster_labels": csql(label_sql("c_means")),
 }

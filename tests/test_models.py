@@ -1,6 +1,7 @@
 """Properties of the learned operators on small frames."""
 
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,6 +76,68 @@ def test_audience_cost_falls_with_k(spark):
     assert len(set(labels)) == 3
 
 
+def _audience_rows(n):
+    rows = [(i, *[float((i * (j + 3)) % 17 + 40 * (i % 4 == j)) for j in range(6)], 5.0)
+            for i in range(n)]
+    return rows, "customer_id int, " + ", ".join(f"{c} double" for c in L.AUDIENCE_COLUMNS)
+
+
+def test_audience_fits_equal_a_plain_lloyd(spark):
+    """Same centres, cost and steps as one loop over whole numbers; a constant column counts as 0;
+    the result does not depend on the partitions."""
+    rows, schema = _audience_rows(90)
+    x = [[int(v * 100) for v in r[1:]] for r in rows]
+    n = len(x)
+    z = [[0] * 7 for _ in x]
+    for j in range(6):
+        total, squares = sum(r[j] for r in x), sum(r[j] ** 2 for r in x)
+        sd = math.sqrt(float(n * squares - total * total) / n / (n - 1))
+        for i, r in enumerate(x):
+            z[i][j] = math.floor((r[j] - total / n) / sd * 1000.0 + 0.5)
+    order = sorted(range(n), key=lambda i: (sum(z[i]), i))
+
+    def mean(members):
+        return [sum(z[i][j] for i in members) // len(members) for j in range(7)]
+
+    for parts in (1, 7):
+        frame = spark.createDataFrame(rows, schema).repartition(parts)
+        model = L.AudienceModel(frame, [3, 5])
+        for k in (3, 5):
+            centres = [mean([i for p, i in enumerate(order) if p * k // n == c])
+                       for c in range(k)]
+            steps = 0
+            while True:
+                steps += 1
+                near = [min((sum((a - b) ** 2 for a, b in zip(v, c)), c_no)
+                            for c_no, c in enumerate(centres)) for v in z]
+                new = [mean(m) if (m := [i for i in range(n) if near[i][1] == c]) else centres[c]
+                       for c in range(k)]
+                if new == centres:
+                    break
+                centres = new
+            assert model.centres[k].tolist() == centres
+            assert (model.steps[k], model.converged[k]) == (steps, True)
+            assert model.cost[k] == sum(d for d, _ in near) / 1e6
+            got = {r["customer_id"]: r["cluster_id"] for r in model.clusters(k).collect()}
+            assert got == {i: near[i][1] for i in range(n)}
+
+
+def test_audience_of_repeated_null_and_no_rows(spark):
+    _, schema = _audience_rows(0)
+    alike = spark.createDataFrame([(i, *[None] * 7) for i in range(6)], schema)
+    model = L.AudienceModel(alike, [3, 4])
+    assert model.cost == {3: 0.0, 4: 0.0} and model.clusters(3).count() == 6
+    none = L.AudienceModel(spark.createDataFrame([], schema), [3])
+    assert none.centres == {} and none.clusters(3).count() == 0
+    assert L.audience_table(none, [3])[1] == 8
+
+
+def test_audience_step_limit_is_reported(spark):
+    rows, schema = _audience_rows(90)
+    model = L.AudienceModel(spark.createDataFrame(rows, schema), [5], steps=1)
+    assert (model.steps[5], model.converged[5]) == (1, False)
+
+
 def test_small_audiences_try_the_same_k(spark):
     rows = [(i, *[float((i * (j + 3)) % 17) for j in range(7)]) for i in range(6)]
     frame = spark.createDataFrame(rows, "customer_id int, " + ", ".join(

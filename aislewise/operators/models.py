@@ -5,9 +5,11 @@ Only model coefficients and one-row aggregates come to the driver.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 from functools import reduce
+from uuid import uuid4
 
 import numpy as np
 import pandas as pd
@@ -25,7 +27,8 @@ from aislewise.functions.scalars import contains_any, half_up, money_mean
 from aislewise.operators.features import HOLIDAYS, holiday_name, sale_season
 from aislewise.operators.offers import month_bin
 from aislewise.operators.text import TOKEN, default_stop_words
-from aislewise.session import ensure_checkpoint_dir, ship, stored
+from aislewise.session import (ensure_checkpoint_dir, move_path, own_folder, path_exists, ship,
+                               stored)
 
 # ── demand forecasting ──────────────────────────────────────────────────────
 
@@ -85,6 +88,33 @@ def fit_forecast_model(training: DataFrame, trees: int = 250, depth: int = 5,
         rows.unpersist()
 
 
+def content_key(df: DataFrame) -> str:
+    """Key of a table's rows, whatever their order and partitions: their number and the exact sum
+    of their hashes, with the schema."""
+    row = df.agg(F.count(F.lit(1)).alias("n"),
+                 F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("h")).first()
+    text = f"{df.schema.json()}|{row['n']}|{row['h']}"
+    return hashlib.sha256(text.encode()).hexdigest()[:32]
+
+
+def saved_forecast_model(training: DataFrame, folder: str | None = None,
+                         **settings) -> GBTRegressionModel:
+    """The model of these rows and settings: read where it was written before, else fitted and
+    written, so that every caller shares one fit.
+
+    Models lie in ``folder``; unset, in the application's own folder, which goes when it ends. Other
+    rows or settings have another key. A model is renamed into place once whole.
+    """
+    spark = training.sparkSession
+    named = hashlib.sha256(repr(sorted(settings.items())).encode()).hexdigest()[:8]
+    path = f"{folder or own_folder(spark)}/forecast-{content_key(training)}-{named}"
+    if not path_exists(spark, path):
+        part = f"{path}-{uuid4().hex}"
+        fit_forecast_model(training, **settings).write().save(part)
+        move_path(spark, part, path)
+    return GBTRegressionModel.load(path)
+
+
 def forecast_errors(training: DataFrame, model: GBTRegressionModel,
                     min_rows: int = 5) -> DataFrame:
     """MAE and MAPE on the held-out days: overall (null id), and per product with enough rows."""

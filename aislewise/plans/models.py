@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from aislewise.operators import features as X, models as L
+from aislewise.operators import features as X, merchandising as M, models as L
 from aislewise.plans.customers import csql, label_sql
 from aislewise.plans.features import calendar, sql
 from aislewise.plans.operations import WEIGHTS
@@ -37,15 +37,28 @@ def forecast_training(t):
 
 def forecast_model(t):
     training = _training(t)
-    return L.forecast_errors(training, L.fit_forecast_model(training))
+    return L.forecast_errors(training, L.saved_forecast_model(training))
 
 
-def demand_forecast(t):
+def _demand(t):
     daily = stored(_daily(t))
     training = _training(t, daily)
-    model = L.fit_forecast_model(training)
-    return plain(L.demand_forecast(daily, t.products, model,
-                                   L.forecast_errors(training, model), horizon=7))
+    model = L.saved_forecast_model(training)
+    return L.demand_forecast(daily, t.products, model, L.forecast_errors(training, model),
+                             horizon=7)
+
+
+def demand_forecast(t):
+    return plain(_demand(t))
+
+
+def demand_band(t):
+    """The band around the fitted forecast, from the model's own held-out error."""
+    return plain(M.forecast_band(_demand(t)))
+
+
+def demand_totals(t):
+    return plain(M.forecast_totals(_demand(t)))
 
 
 def nbo_weights(t):
@@ -92,7 +105,8 @@ def ticket_triage(t):
 
 QUERIES = {
     "forecast_training": forecast_training, "forecast_model": forecast_model,
-    "demand_forecast": demand_forecast, "offer_conversions": offer_conversions,
+    "demand_forecast": demand_forecast, "demand_band": demand_band,
+    "demand_totals": demand_totals, "offer_conversions": offer_conversions,
     "nbo_weights": nbo_weights, "audience_k": audience_k, "audience_clusters": audience_clusters,
     "audience_members": audience_members,
     "health_weights": health_weights, "ticket_model": ticket_model,

@@ -84,6 +84,21 @@ def _file(spark: SparkSession, name: str) -> tuple:
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
+def path_exists(spark: SparkSession, name: str) -> bool:
+    files, path = _file(spark, name)
+    return files.exists(path)
+
+
+def move_path(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a file or folder; where the target appeared meanwhile, that one stays."""
+    files, path = _file(spark, source)
+    _, at = _file(spark, target)
+    if files.exists(at) or not files.rename(path, at):
+        if not files.exists(at):
+            raise OSError(f"could not rename {source} to {target}")
+        files.delete(path, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write an intermediate result once and read it back.
 

@@ -6,7 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from aislewise.operators import features as X, models as L
+from aislewise.operators import features as X, merchandising as M, models as L
 
 
 @pytest.fixture(scope="module")
@@ -52,12 +52,50 @@ def test_forecast_queries_fit_the_operators_defaults(spark, monkeypatch):
     monkeypatch.setattr(P, "plain", lambda x, *_: x)
     for name in ("forecast_errors", "demand_forecast"):
         monkeypatch.setattr(P.L, name, lambda *_, **__: None)
-    monkeypatch.setattr(P.L, "fit_forecast_model", lambda *a, **k: fits.append((a[1:], k)))
+    monkeypatch.setattr(P.L, "saved_forecast_model", lambda *a, **k: fits.append((a[1:], k)))
     P.forecast_model(None)
     P.demand_forecast(type("T", (), {"products": None}))
     assert fits == [((), {})] * 2
 
 
+def test_one_fit_serves_every_reader_of_the_same_rows(spark, sales, tmp_path, monkeypatch):
+    daily, products = sales
+    training = L.forecast_training(X.daily_sales_lags(daily), products).cache()
+    fits, fit = [], L.fit_forecast_model
+    monkeypatch.setattr(L, "fit_forecast_model",
+                        lambda rows, **k: fits.append(k) or fit(rows, **k))
+    few = {"trees": 2, "rate": 0.5}
+    first = L.saved_forecast_model(training, str(tmp_path), **few)
+    again = L.saved_forecast_model(training.repartition(5), str(tmp_path), **few)
+    assert fits == [few] and again.toDebugString == first.toDebugString
+    L.saved_forecast_model(training, str(tmp_path), trees=3, rate=0.5)
+    L.saved_forecast_model(training.where("product_id <> 1"), str(tmp_path), **few)
+    assert len(fits) == 3
+    assert len([f for f in tmp_path.iterdir() if f.is_dir()]) == 3  # nothing half-written stays
+
+
+def test_band_of_the_fitted_forecast(spark, sales):
+    daily, products = sales
+    training = L.forecast_training(X.daily_sales_lags(daily), products)
+    model = L.fit_forecast_model(training, trees=3, rate=0.5)
+    forecast = L.demand_forecast(daily, products, model, L.forecast_errors(training, model),
+                                 horizon=3).cache()
+    bands = M.forecast_band(forecast).collect()
+    assert len(bands) == 3 * products.count()
+    for r in bands:
+        error = max(r["mape"] / 100 * r["forecast_qty"], 0.5)
+        assert r["lower_bound"] == pytest.approx(max(0, r["forecast_qty"] - 1.96 * error), abs=0.051)
+        assert r["upper_bound"] == pytest.approx(r["forecast_qty"] + 1.96 * error, abs=0.051)
+    sums = {}
+    for r in forecast.collect():
+        sums.setdefault(r["product_id"], []).append(r["forecast_qty"])
+    for r in M.forecast_totals(forecast).collect():
+        own = sums.pop(r["product_id"])
+        assert (r["days"], r["total_forecast"]) == (3, pytest.approx(sum(own), abs=0.051))
+        assert r["avg_daily_demand"] == pytest.approx(sum(own) / 3, abs=0.0051)
+    assert not sums
+
+
 def test_elbow_takes_the_first_small_drop():
     assert L._elbow([(3, 100.0), (4, 50.0), (5, 49.0), (6, 10.0)]) == 5
     assert L._elbow([(3, 100.0)]) == 8

@@ -27,8 +27,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from aislewise.llm.common import map_batches, ship, text_or_empty, unwrapped, wrapped
 from aislewise.llm.components import components
 from aislewise.llm.jaccard import verified_links
-from aislewise.llm.shingles import (key_runs, mixed, permutations, run_hashes, shingle_hashes,
-                                    signed, word_hashes, word_spans)
+from aislewise.llm.shingles import (key_runs, mixed, permutations, run_hashes, signed,
+                                    word_hashes, word_spans)
 from aislewise.session import released, stored
 
 WORDS = 8            # of a paragraph that is compared
@@ -54,24 +54,29 @@ class Cut:
             self.first = self.stop = self.begin = self.end = self.digest = np.zeros(0, np.int64)
             return
         data = np.frombuffer(raw, np.uint8)
-        lines = np.cumsum(data == 10)
         closing = _ENDS[data[ends - 1]]
-        closing[:-1] |= lines[starts[1:]] != lines[ends[:-1] - 1]
+        before = np.searchsorted(starts, np.flatnonzero(data == 10))  # words before each line end
+        closing[before[before > 0] - 1] = True
         closing[-1] = True
-        sentence = np.r_[0, np.nonzero(closing)[0][:-1] + 1]   # first word of each sentence
+        last = np.flatnonzero(closing)
+        sentence = np.zeros_like(last)                 # first word of each sentence
+        sentence[1:] = last[:-1] + 1
         value = mixed(np.add.reduceat(self.hashes, sentence))
-        new = np.r_[True, value[:-1] > value[1:]]
+        new = np.ones(len(value), dtype=bool)
+        np.greater(value[:-1], value[1:], out=new[1:])
         self.first = sentence[new]
         self.stop = np.r_[self.first[1:], len(starts)]
         self.begin, self.end = starts[self.first], ends[self.stop - 1]
-        place = np.arange(len(starts)) - np.repeat(self.first, self.stop - self.first)
-        self.digest = signed(mixed(np.add.reduceat(
-            mixed(self.hashes + place.astype(np.uint64) * _STEP), self.first)))
+        place = np.arange(len(starts), dtype=np.uint64)
+        place -= np.repeat(self.first.astype(np.uint64), self.stop - self.first)
+        place *= _STEP
+        place += self.hashes
+        self.digest = signed(mixed(np.add.reduceat(mixed(place), self.first)))
 
 
 def _shingled(cut: Cut, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes inside the chosen paragraphs, one after another, and where each begins."""
-    every = shingle_hashes(cut.hashes, SHINGLE)
+    every = run_hashes(cut.hashes, SHINGLE)
     sizes = cut.stop[chosen] - cut.first[chosen] - SHINGLE + 1
     starts = np.cumsum(sizes) - sizes
     inside = np.arange(int(sizes.sum())) - np.repeat(starts, sizes)
@@ -94,11 +99,13 @@ def paragraphs(docs: DataFrame, words: int = WORDS, bands: int = BANDS,
             chosen = np.nonzero(long)[0]
             if len(chosen):
                 shingles, starts = _shingled(cut, chosen)
-                band = np.zeros((len(chosen), bands), dtype=np.uint64)
-                for p in range(bands * rows):
-                    low = np.minimum.reduceat(mixed(shingles * factors[p] + offsets[p]), starts)
-                    band[:, p // rows] = mixed(band[:, p // rows] + low)
-                keys.append(signed(band).ravel())
+                # The shingles are mixed, so a product and a sum order them anew.
+                low = np.stack([np.minimum.reduceat(shingles * f + o, starts)
+                                for f, o in zip(factors, offsets, strict=True)])
+                band = np.zeros((bands, len(chosen)), dtype=np.uint64)
+                for p in range(rows):
+                    band = mixed(band + low[p::rows])
+                keys.append(signed(np.ascontiguousarray(band.T)).ravel())
             row.append(np.full(len(long), k))
             counts.append(long * bands)
             for held, part in zip(columns, (np.arange(len(long)), cut.first, cut.stop, cut.digest),

@@ -12,17 +12,34 @@ from aislewise.llm.common import give_back
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
-PART = 1 << 16       # bytes whose powers are kept; longer texts are hashed word by word from these
-_POWERS = np.cumprod(np.r_[np.uint64(1), np.full(PART, _BASE, dtype=np.uint64)], dtype=np.uint64)
+_SPACE = bytes(c in b" \t\n\v\f\r" for c in range(256))
+PART = 1 << 16       # powers kept; those of longer texts are computed for each
+
+
+def _cumulative(base: np.uint64, count: int) -> np.ndarray:
+    return np.cumprod(np.r_[np.uint64(1), np.full(count - 1, base, dtype=np.uint64)],
+                      dtype=np.uint64)
+
+
+_POWERS, _INVERSES = _cumulative(_BASE, PART), _cumulative(_INVERSE, PART)
+
+
+def _powers(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``count`` powers of the base and of its inverse modulo 2**64."""
+    if count <= PART:
+        return _POWERS[:count], _INVERSES[:count]
+    return _cumulative(_BASE, count), _cumulative(_INVERSE, count)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit values; a bijection."""
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
+    y = x >> np.uint64(30)
+    y ^= x
+    y *= _M1
+    y ^= y >> np.uint64(27)
+    y *= _M2
+    y ^= y >> np.uint64(31)
+    return y
 
 
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64))  # of each byte
@@ -30,25 +47,27 @@ _BYTES = mixed(np.arange(1, 257, dtype=np.uint64))  # of each byte
 
 def word_spans(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """First byte and end of every word."""
-    space = _SPACE[np.frombuffer(raw, np.uint8)]
-    edge = np.diff(np.r_[True, space, True].astype(np.int8))
-    return np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0]
+    space = np.ones(len(raw) + 2, dtype=bool)
+    space[1:-1] = np.frombuffer(raw.translate(_SPACE), bool)
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    return edges[::2], edges[1::2]
 
 
 def word_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word's bytes and length, wherever the word stands."""
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
-    # Sum of byte * base**(place in word): place counts from the word's first byte.
-    sizes = ends - starts
-    first = np.cumsum(sizes) - sizes
-    place = np.arange(int(sizes.sum()))
-    inside = place - np.repeat(first, sizes)
-    letters = np.frombuffer(raw, np.uint8)[place + np.repeat(starts - first, sizes)]
-    weights = _POWERS[inside] if int(sizes.max()) < PART else (
-        _POWERS[inside % PART] + (inside // PART).astype(np.uint64))
-    sums = np.add.reduceat(_BYTES[letters] * weights, first)
-    return mixed(sums + sizes.astype(np.uint64))
+    # Sum of byte * base**(place in word), as a difference of sums over the whole text.
+    powers, inverses = _powers(len(raw))
+    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+    letters = _BYTES.take(np.frombuffer(raw, np.uint8))
+    letters *= powers
+    np.cumsum(letters, out=sums[1:])
+    found = sums[ends]
+    found -= sums[starts]
+    found *= inverses[starts]
+    found += (ends - starts).astype(np.uint64)
+    return mixed(found)
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
@@ -68,11 +87,10 @@ def run_hashes(words: np.ndarray, size: int) -> np.ndarray:
     n = len(words) - size + 1
     if n < 1:
         return np.zeros(0, dtype=np.uint64)
-    one = np.ones(1, dtype=np.uint64)
-    powers = np.cumprod(np.r_[one, np.full(len(words) - 1, _BASE)])
-    sums = np.r_[np.zeros(1, np.uint64), np.cumsum(words * powers)]
-    inverse = np.cumprod(np.r_[one, np.full(n - 1, _INVERSE)])
-    return mixed((sums[size:] - sums[:-size]) * inverse)
+    powers, inverses = _powers(len(words))
+    sums = np.zeros(len(words) + 1, dtype=np.uint64)
+    np.cumsum(words * powers, out=sums[1:])
+    return mixed((sums[size:] - sums[:-size]) * inverses[:n])
 
 
 def permutations(count: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:

@@ -210,7 +210,8 @@ DEFAULT_OFFER_WEIGHTS = (50.0, 15.0, 10.0)
 def offer_conversions(promotions: DataFrame, customers: DataFrame,
                       transactions: DataFrame) -> DataFrame:
     """(discount, ch_match, label, weight): every targeted customer of every promotion,
-    counted rather than listed. Buyers come from a range join on (product, 32-day bin)."""
+    counted rather than listed. Buyers come from a range join on (product, 32-day bin), a merge:
+    the exploded bins, which Spark takes for as small as their file, must not be broadcast."""
     match = ((F.col("channel") == F.col("preferred_channel"))
              | (F.col("preferred_channel") == "Both")).cast("int")
     people = customers.select("customer_id", "segment", "preferred_channel")
@@ -227,10 +228,10 @@ def offer_conversions(promotions: DataFrame, customers: DataFrame,
         "_bin", month_bin(F.col("day")))
     spread = promos.withColumn("_bin", F.explode(F.sequence(
         month_bin(F.col("start_date")), month_bin(F.col("end_date")))))
-    buyers = (spread.join(bought, ["product_id", "_bin"])
+    buyers = (spread.join(bought.hint("merge"), ["product_id", "_bin"])
               .where(F.col("day").between(F.col("start_date"), F.col("end_date")))
               .select("promo_id", "discount_pct", "channel", "target_segment", "customer_id")
-              .distinct().join(people, "customer_id")
+              .distinct().join(people.hint("merge"), "customer_id")
               .where((F.col("target_segment") == F.col("segment"))
                      | (F.col("target_segment") == "All"))
               .groupBy("discount_pct", match.alias("ch_match"))

@@ -27,14 +27,15 @@ def window_sums(windows: DataFrame, daily: DataFrame, key: str, row_id: str,
     """Sum daily figures over each row's date windows: a range join on (key, 32-day bin).
 
     A row meets only the bins its span touches, so the join stays an equi-join whose
-    keys spread one product over many tasks. ``measures`` are expressions of ``day``,
+    keys spread one product over many tasks. It is a merge: Spark takes the exploded spans
+    for as small as their file and would broadcast them. ``measures`` are expressions of ``day``,
     ``cents``, ``sales`` and the row's own columns, summed per row; 0 without sales.
     """
     spread = windows.withColumn("_bin", F.explode(F.sequence(month_bin(first), month_bin(last))))
     binned = daily.withColumn("_bin", month_bin(F.col("day")))
-    sums = (spread.join(binned, [key, "_bin"]).groupBy(row_id)
+    sums = (spread.join(binned.hint("merge"), [key, "_bin"]).groupBy(row_id)
             .agg(*[F.sum(m).alias(n) for n, m in measures.items()]))
-    return windows.join(sums, row_id, "left").fillna(0, subset=list(measures))
+    return windows.join(sums.hint("merge"), row_id, "left").fillna(0, subset=list(measures))
 
 
 def with_length(promotions: DataFrame) -> DataFrame:
@@ -83,7 +84,7 @@ def next_best_offer(customers: DataFrame, promotions: DataFrame, products: DataF
     """
     discount_w, channel_w, recency_w = weights
     active = (promotions.where("is_active")
-              .join(products.select("product_id", "category"), "product_id", "left"))
+              .join(products.select("product_id", "category").hint("merge"), "product_id", "left"))
     depth = F.col("discount_pct") if discount_w > 0 else F.lit(0.0)
     per_depth = (active.groupBy("category", "target_segment", "channel", depth.alias("depth"))
                  .agg(F.min("promo_id").alias("promo_id"), F.count(F.lit(1)).alias("offers")))
@@ -111,31 +112,33 @@ def next_best_offer(customers: DataFrame, promotions: DataFrame, products: DataF
                .groupBy(*profile)
                .agg(F.max(F.struct("top", "promo_id", "ties")).alias("w"))
                .select(*profile, "w.*").withColumn("_offers", offers))
+    uplift = stored(promo_uplift(promotions, transactions))  # read by the line and the lookup
+    line = one_row(uplift_trend(uplift), "slope", "intercept")
+    described = uplift.withColumn("_line", line).select(
+        "promo_id", "promo_type", "product_id",
+        F.concat((F.col("discount_pct") * 100).cast("long").cast("string"), F.lit("%"))
+        .alias("discount"),
+        half_up(F.when(F.col("control_revenue") > 0, clip("uplift_pct", 5.0, 95.0)).otherwise(
+            clip(F.col("_line")["intercept"] + F.col("_line")["slope"] * F.col("discount_pct"),
+                 5.0, 95.0)), 1).alias("uplift_pct"))
+    # One row per profile: the customers, most of them at a few promotions, never meet the others.
+    won = stored(winners.join(described, "promo_id"))
 
     last = transactions.groupBy("customer_id").agg(F.max("transaction_date").alias("last_seen"))
     newest = transactions.agg(F.max("transaction_date").alias("d")).scalar()
-    scored = (people.join(last, "customer_id", "left").join(winners, profile)
+    scored = (people.join(last, "customer_id", "left").join(won, profile)
               .withColumn("_newest", newest))
     idle = F.coalesce(F.datediff("_newest", "last_seen"), F.lit(90))
     loyalty = (F.when(F.col("loyalty_tier") == "Bronze", 0.0)
                .when(F.col("loyalty_tier") == "Gold", 0.67)
                .when(F.col("loyalty_tier") == "Platinum", 1.0).otherwise(0.33))
     recency = F.lit(1.0) / (F.greatest(idle, F.lit(0)) / 30.0 + 1.0)
-    chosen = scored.select(
-        "customer_id", "promo_id",
+    return scored.select(
+        "promo_id", "customer_id",
         half_up(F.col("top") + recency * recency_w + loyalty * 0.5, 4).alias("score"),
         half_up(clip((F.col("_offers") - F.col("ties")) / F.col("_offers") * 0.40 + 0.55,
-                     0.55, 0.95), 2).alias("confidence"))
-    uplift = stored(promo_uplift(promotions, transactions))  # read by the line and the lookup
-    line = one_row(uplift_trend(uplift), "slope", "intercept")
-    described = uplift.withColumn("_line", line).select(
-        "promo_id", "promo_type", "product_id",
-        F.concat((F.col("discount_pct") * 100).cast("long").cast("string"), F.lit("%"))
-        .alias("discount"),
-        half_up(F.when(F.col("control_revenue") > 0, clip("uplift_pct", 5.0, 95.0)).otherwise(
-            clip(F.col("_line")["intercept"] + F.col("_line")["slope"] * F.col("discount_pct"),
-                 5.0, 95.0)), 1).alias("uplift_pct"))
-    return chosen.join(described, "promo_id")
+                     0.55, 0.95), 2).alias("confidence"),
+        "promo_type", "product_id", "discount", "uplift_pct")
 
 
 def segment_offers(customers: DataFrame, promotions: DataFrame, products: DataFrame,
@@ -159,7 +162,7 @@ def segment_offers(customers: DataFrame, promotions: DataFrame, products: DataFr
     # One array entry per segment, an enumeration: each promotion is scored for each.
     profiles = profile.agg(F.collect_list(F.struct(*profile.columns)).alias("p")).scalar()
     active = (promotions.where("is_active")
-              .join(products.select("product_id", "category"), "product_id", "left")
+              .join(products.select("product_id", "category").hint("merge"), "product_id", "left")
               .withColumn("_profiles", profiles).withColumn("_p", F.explode("_profiles"))
               .select("*", "_p.*").drop("_profiles", "_p"))
     percent = F.col("discount_pct") * 100

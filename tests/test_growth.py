@@ -1,6 +1,9 @@
 """Plans whose joins must not broadcast a side that grows with the rows."""
 
-from aislewise.operators import text as T
+from datetime import date
+
+from aislewise.operators import models as L, offers as P, text as T
+from aislewise.session import stored
 
 
 def broadcast_parts(df):
@@ -25,3 +28,53 @@ def test_no_message_is_broadcast(spark):
     assert not any("message" in part for part in broadcast_parts(found))
     assert sorted((r.message_id, r.category, r.brand) for r in found.collect()) == [
         (1, "red", "fox"), (2, None, None), (3, None, "fox den")]
+
+
+def _offer_tables(spark):
+    day = lambda n: date(2024, 1, n)
+    promotions = spark.createDataFrame(
+        [(k, k, "Bundle", "Both", "All", 0.1 * k, day(10), day(20), True) for k in (1, 2)],
+        "promo_id long, product_id long, promo_type string, channel string, target_segment string, "
+        "discount_pct double, start_date date, end_date date, is_active boolean")
+    customers = spark.createDataFrame(
+        [(1, "A", "x", "Email", "Gold"), (2, "B", None, "Both", "Bronze")],
+        "customer_id long, segment string, preferred_category string, preferred_channel string, "
+        "loyalty_tier string")
+    products = spark.createDataFrame([(1, "x"), (2, None)], "product_id long, category string")
+    sales = spark.createDataFrame(
+        [(1, 1, day(12), 5.0), (2, 1, day(3), 4.0), (1, 2, day(15), 2.0)],
+        "customer_id long, product_id long, transaction_date date, total_amount double")
+    # Files, whose sizes Spark goes by.
+    return tuple(stored(df) for df in (promotions, customers, products, sales))
+
+
+def test_promotion_spans_are_not_broadcast(spark):
+    promotions, _, _, sales = _offer_tables(spark)
+    found = P.promo_uplift(promotions, sales)
+    assert not any("_bin" in part for part in broadcast_parts(found))
+    assert sorted((r.promo_id, r.treated_revenue, r.control_revenue) for r in found.collect()) == [
+        (1, 5.0, 4.0), (2, 2.0, 0.0)]
+
+
+def test_buyers_are_not_broadcast(spark):
+    promotions, customers, _, sales = _offer_tables(spark)
+    found = L.offer_conversions(promotions, customers, sales)
+    assert not any("_bin" in part for part in broadcast_parts(found))
+    assert sum(r.weight for r in found.collect() if r.label == 1.0) == 2
+
+
+def test_best_offers_are_described_before_customers_meet_them(spark):
+    promotions, customers, products, sales = _offer_tables(spark)
+    found = P.next_best_offer(customers, promotions, products, sales)
+    assert found.columns == ["promo_id", "customer_id", "score", "confidence", "promo_type",
+                             "product_id", "discount", "uplift_pct"]
+    assert sorted((r.customer_id, r.promo_id) for r in found.collect()) == [(1, 2), (2, 2)]
+    # The promotions come from the stored winners: none of their figures is computed beside them.
+    assert "control_revenue" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_catalogue_is_not_broadcast_to_segment_offers(spark):
+    promotions, customers, products, _ = _offer_tables(spark)
+    found = P.segment_offers(customers, promotions, products)
+    assert "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()
+    assert found.where("segment = 'A'").count() == 2

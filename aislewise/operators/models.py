@@ -40,8 +40,13 @@ FEATURES = ["lag_7", "lag_14", "rolling_7_mean", "rolling_30_mean", "dow_num", "
 
 def forecast_training(daily_lags: DataFrame, products: DataFrame,
                       train_share: float = 0.85) -> DataFrame:
-    """Model rows with both mean levels, split at a date: earlier days train."""
-    rows = daily_lags.join(products.select("product_id", "category"), "product_id", "left")
+    """Model rows with both mean levels, split at a date: earlier days train.
+
+    A category's level reaches the rows through its products, so the rows, of which a category
+    holds a large share, are dealt by product alone.
+    """
+    kinds = products.select("product_id", "category")
+    rows = daily_lags.join(kinds.hint("merge"), "product_id", "left")
 
     def flag(c: str) -> Column:
         return F.coalesce(F.col(c).cast("int"), F.lit(0))
@@ -51,9 +56,13 @@ def forecast_training(daily_lags: DataFrame, products: DataFrame,
         F.first("category").alias("category"))
     per_category = per_product.groupBy("category").agg(
         (F.sum("_q") / F.sum("_n")).alias("category_avg_qty"))
-    rows = (rows.join(per_product.select("product_id", (F.col("_q") / F.col("_n"))
-                                         .alias("product_avg_qty")), "product_id")
-            .join(per_category, "category", "left")
+    levelled = kinds.join(per_category, "category", "left").select(
+        "product_id", "category", "category_avg_qty")
+    rows = (daily_lags.join(levelled.hint("merge"), "product_id", "left")
+            .join(per_product.select("product_id", (F.col("_q") / F.col("_n"))
+                                     .alias("product_avg_qty")).hint("merge"), "product_id")
+            .select("category", "product_id", *[c for c in daily_lags.columns if c != "product_id"],
+                    "product_avg_qty", "category_avg_qty")
             .withColumns({"dow_num": F.weekday("transaction_date"),
                           **{c: flag(c) for c in ("is_holiday", "is_weekend", "is_sale_season")}})
             .dropna(subset=[*FEATURES, "daily_qty"]))

@@ -6,13 +6,13 @@ from aislewise.operators import models as L, offers as P, text as T
 from aislewise.session import stored
 
 
-def broadcast_parts(df):
-    """The text of every broadcast's subtree in the plan."""
+def broadcast_parts(df, operator="BroadcastExchange"):
+    """The text of every broadcast's (or another operator's) subtree in the plan."""
     lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
     depth = lambda line: len(line) - len(line.lstrip(" :+-"))
     parts = []
     for i, line in enumerate(lines):
-        if "BroadcastExchange" in line:
+        if operator in line:
             end = next((j for j in range(i + 1, len(lines)) if depth(lines[j]) <= depth(line)),
                        len(lines))
             parts.append("\n".join(lines[i + 1:end]))
@@ -78,3 +78,19 @@ def test_catalogue_is_not_broadcast_to_segment_offers(spark):
     found = P.segment_offers(customers, promotions, products)
     assert "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()
     assert found.where("segment = 'A'").count() == 2
+
+
+def test_model_rows_are_not_dealt_by_category(spark):
+    daily = stored(spark.createDataFrame(
+        [(k, date(2024, 1, d), 10 * k + d) for k in (1, 2, 3) for d in range(1, 21)],
+        "product_id long, transaction_date date, daily_qty long").selectExpr(
+        "*", "daily_qty - 7 AS lag_7", "daily_qty - 14 AS lag_14", "1.0D AS rolling_7_mean",
+        "2.0D AS rolling_30_mean", "1 AS month", "1 AS day_of_month", "1 AS week_number",
+        "1 AS quarter", "false AS is_holiday", "false AS is_weekend", "false AS is_sale_season"))
+    products = stored(spark.createDataFrame([(1, "x"), (2, "x"), (3, None)],
+                                            "product_id long, category string"))
+    found = L.forecast_training(daily, products)
+    assert not any("lag_7" in part for part in broadcast_parts(found, "Join [category"))
+    rows = found.collect()
+    assert {r.product_id for r in rows} == {1, 2}  # without a category there is no level
+    assert {r.category_avg_qty for r in rows} == {25.5} and len(rows) == 40

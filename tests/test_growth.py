@@ -2,7 +2,7 @@
 
 from datetime import date
 
-from aislewise.operators import models as L, offers as P, text as T
+from aislewise.operators import customers as K, models as L, offers as P, text as T
 from aislewise.session import stored
 
 
@@ -94,3 +94,41 @@ def test_model_rows_are_not_dealt_by_category(spark):
     rows = found.collect()
     assert {r.product_id for r in rows} == {1, 2}  # without a category there is no level
     assert {r.category_avg_qty for r in rows} == {25.5} and len(rows) == 40
+
+
+def test_candidates_are_listed_after_one_shuffle(spark):
+    """Products meet the signal, not the pairs: nothing joins or deals the pairs by product."""
+    signal = stored(spark.createDataFrame(
+        [(1, 10, 3.0, 1), (1, 11, None, 1), (2, 10, 6.0, 1), (2, 12, 2.0, 0), (2, 13, 4.0, 1),
+         (2, 14, None, 0), (3, 10, 1.0, 0), (3, 13, 1.0, 0)],
+        "customer_id long, product_id long, signal double, bought int"))
+    similar = stored(spark.createDataFrame(
+        [(1, 2, 0.5), (1, 3, 0.25), (2, 1, 0.5)],
+        "customer_id long, neighbour_id long, similarity double"))
+    levels = stored(spark.createDataFrame([(k, 2.0) for k in (10, 11, 12, 14)] + [(13, 5.0)],
+                                          "product_id long, level double"))
+    found = K.cf_candidates(signal, similar, levels)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any("similarity" in line and "product_id" in line.split("hashpartitioning")[-1]
+                   for line in plan.split("\n") if "hashpartitioning" in line)
+    assert plan.count("Join") == 1  # the lists beside the neighbours
+    got = {(r.customer_id, r.product_id): (r.raw_score, r.bought_by_similar, r.level)
+           for r in found.collect()}
+    assert got == {(1, 12): (1.333333, 0, 2.0), (1, 13): (3.0, 1, 5.0)}
+
+
+def test_a_product_that_comes_twice_is_two_recommendations(spark):
+    signal = spark.createDataFrame(
+        [(1, 10, 1.0, 1)] + [(2, k, 1.0, 1) for k in (10, 20, 21, 22)],
+        "customer_id long, product_id long, signal double, bought int")
+    similar = spark.createDataFrame([(1, 2, 0.5)],
+                                    "customer_id long, neighbour_id long, similarity double")
+    products = spark.createDataFrame(
+        [(10, "a", "x", 1.0), (20, "b", "x", 1.0), (21, "c", "x", 1.0), (21, "c", "y", 1.0),
+         (22, "d", "x", 1.0)],
+        "product_id long, product_name string, category string, price double")
+    customers = spark.createDataFrame([(1, "x")], "customer_id long, preferred_category string")
+    boost = spark.createDataFrame([("x", 1.0), ("y", 2.0)], "category string, boost double")
+    got = K.cf_recommendations(signal, similar, products, customers, boost, 3).collect()
+    assert sorted((r.position, r.product_id, r.category, r.score) for r in got) == [
+        (1, 21, "y", 2.0), (2, 20, "x", 1.0), (3, 21, "x", 1.0)]

@@ -74,6 +74,18 @@ def test_one_fit_serves_every_reader_of_the_same_rows(spark, sales, tmp_path, mo
     assert len([f for f in tmp_path.iterdir() if f.is_dir()]) == 3  # nothing half-written stays
 
 
+def test_trainer_gets_no_more_partitions_than_its_rows_ask_for(spark, sales, monkeypatch):
+    daily, products = sales
+    training = L.forecast_training(X.daily_sales_lags(daily), products).cache()
+    n, seen = training.where("is_train").count(), []
+    monkeypatch.setattr(L.GBTRegressor, "fit", lambda self, rows: seen.append(
+        (rows.rdd.getNumPartitions(), rows.count())))
+    for size in (n, -(-n // 2), 1):  # session: 4 shuffle partitions, no more than those
+        monkeypatch.setattr(L, "ROWS_A_TASK", size)
+        L.fit_forecast_model(training)
+    assert seen == [(1, n), (2, n), (4, n)]
+
+
 def test_band_of_the_fitted_forecast(spark, sales):
     daily, products = sales
     training = L.forecast_training(X.daily_sales_lags(daily), products)

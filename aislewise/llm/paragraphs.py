@@ -24,7 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from aislewise.llm.common import map_batches, ship, text_or_empty, unwrapped, wrapped
+from aislewise.llm.common import (give_back, joined_batches, map_batches, ship, text_or_empty,
+                                  unwrapped, wrapped)
 from aislewise.llm.components import components
 from aislewise.llm.jaccard import verified_links
 from aislewise.llm.shingles import (key_runs, mixed, permutations, run_hashes, signed,
@@ -38,6 +39,7 @@ BANDS, ROWS = 4, 2
 PASSAGE = 20         # words of a removal, at least
 RUN = 50             # words on end whose exact repeat goes, whatever the paragraphs
 GRAM = 25            # words of an anchor
+GATHERED = 1 << 19   # later runs that a task gathers by document at a time, about
 _ENDS = np.zeros(256, dtype=bool)
 _ENDS[list(b".!?")] = True
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -171,8 +173,8 @@ def _anchored(docs: DataFrame, size: int, gram: int) -> DataFrame:
 
 
 def _listed(docs: DataFrame, size: int, gram: int) -> DataFrame:
-    """(id, text, known) to every run of ``size`` words around a known anchor: run (its hash), id,
-    first (its first word)."""
+    """(id, text, known) to every run of ``size`` words around a known anchor: run (its hash), the
+    fields of its id (id0, id1, ...), first (its first word)."""
     width = size - gram + 1
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -189,49 +191,83 @@ def _listed(docs: DataFrame, size: int, gram: int) -> DataFrame:
             runs.append(signed(run_hashes(hashes, size)[at]))
             first.append(at.astype(np.int32))
         flat = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        ids = batch.column(0).take(pa.array(flat(rows), pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array(flat(runs), pa.int64()), ids,
+        ids = batch.column(0).take(pa.array(flat(rows), pa.int64())).flatten()
+        return pa.RecordBatch.from_arrays([pa.array(flat(runs), pa.int64()), *ids,
                                            pa.array(flat(first).astype(np.int32))],
-                                          names=["run", "id", "first"])
-
-    kind = docs.schema["id"].dataType.simpleString()
-    return map_batches(docs, run, f"run long, id {kind}, first int", 256)
-
-
-def _later(runs: DataFrame, size: int) -> DataFrame:
-    """Runs that stand earlier, too: run, id, first, kept_id. A run that overlaps its own first
-    place stays. One shuffle; a task reads its runs in order and holds the current one's first."""
-    kind = runs.schema["id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # of the batch before: run, id and first word of its first place
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            runs_, first = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            ids = batch.column(1)
+                                          names=["run", *parts, "first"])
+
+    fields = docs.schema["id"].dataType.fields
+    parts = [f"id{n}" for n in range(len(fields))]
+    kinds = ", ".join(f"{p} {f.dataType.simpleString()}" for p, f in zip(parts, fields, strict=True))
+    return map_batches(docs, run, f"run long, {kinds}, first int", 256)
+
+
+def _gathered(runs: np.ndarray, ids: pa.StructArray, first: np.ndarray,
+              kept: pa.StructArray) -> pa.RecordBatch:
+    """Later runs by document: id, firsts, run (the smallest), kept_ids."""
+    key, other = (x.field("key").to_numpy() for x in (ids, kept))
+    order = np.lexsort((other, key))
+    key, other = key[order], other[order]
+    new = np.r_[True, key[1:] != key[:-1]]
+    pair = np.flatnonzero(np.r_[True, other[1:] != other[:-1]] | new)
+    heads = np.flatnonzero(new)
+    lists = lambda starts, values: pa.ListArray.from_arrays(
+        pa.array(np.r_[starts, len(values)].astype(np.int32)), values)
+    return pa.RecordBatch.from_arrays(
+        [ids.take(pa.array(order[heads])), lists(heads, pa.array(first[order])),
+         pa.array(np.minimum.reduceat(runs[order], heads)),
+         lists(np.searchsorted(pair, heads), kept.take(pa.array(order[pair])))],
+        names=["id", "firsts", "run", "kept_ids"])
+
+
+def _later(runs: DataFrame, size: int, fields: list[str], kind: str) -> DataFrame:
+    """Runs that stand earlier, too, by document: id, firsts, run (the smallest), kept_ids; a document
+    has several rows. A run that overlaps its own first place stays. One shuffle; a task reads its
+    runs in order, holds the current one's first and gathers about ``GATHERED`` before it sends them
+    on."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        last = None  # of the rows before: run, id and first word of its first place
+        for part in joined_batches(batches):
+            runs_, first = part.column(0).to_numpy(), part.column(part.num_columns - 1).to_numpy()
+            ids = pa.StructArray.from_arrays(part.columns[1:-1], names=fields)
             new = np.r_[last is None or runs_[0] != last[0], runs_[1:] != runs_[:-1]]
             head = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
             heads = np.maximum(head, 0)
             kept_first = np.where(head >= 0, first[heads], 0 if last is None else last[2])
-            carried = np.nonzero(head < 0)[0]  # the run began in an earlier batch
+            carried = int(np.count_nonzero(head < 0))  # the run began in an earlier part
             kept = ids.take(pa.array(heads))
-            if len(carried):
-                kept = pa.concat_arrays([pa.array([last[1]] * len(carried), ids.type),
-                                         kept.slice(len(carried))])
-            pairs = [np.asarray(x.field("key").to_numpy()) for x in (ids, kept)]
-            same = pairs[0] == pairs[1]
-            out = np.nonzero(~new & ~(same & (first < kept_first + size)))[0]
+            if carried:
+                kept = pa.concat_arrays([pa.array([last[1]] * carried, ids.type),
+                                         kept.slice(carried)])
+            same = np.equal(*(x.field("key").to_numpy() for x in (ids, kept)))
+            out = np.flatnonzero(~new & ~(same & (first < kept_first + size)))
             at = int(heads[-1])
             last = (runs_[-1], last[1] if head[-1] < 0 else ids[at].as_py(), int(kept_first[-1]))
             if len(out):
                 chosen = pa.array(out)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(chosen), ids.take(chosen), batch.column(2).take(chosen),
-                     kept.take(chosen)], names=["run", "id", "first", "kept_id"])
+                yield runs_[out], ids.take(chosen), first[out], kept.take(chosen)
 
-    ordered = runs.repartition("run").sortWithinPartitions("run", "id", "first")
-    return ordered.mapInArrow(run, f"run long, id {kind}, first int, kept_id {kind}")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+
+        def out() -> pa.RecordBatch:
+            runs_, ids, first, kept = zip(*held, strict=True)
+            return _gathered(np.concatenate(runs_), pa.concat_arrays(ids), np.concatenate(first),
+                             pa.concat_arrays(kept))
+
+        for part in read(batches):
+            held.append(part)
+            count += len(part[0])
+            if count >= GATHERED:
+                yield out()
+                held, count = [], 0
+        if held:
+            yield out()
+        give_back()
+
+    ordered = runs.repartition("run").sortWithinPartitions(*runs.columns)
+    return ordered.mapInArrow(run, f"id {kind}, firsts array<int>, run long, kept_ids array<{kind}>")
 
 
 def exact_runs(docs: DataFrame, size: int = RUN, gram: int = GRAM) -> DataFrame:
@@ -240,7 +276,7 @@ def exact_runs(docs: DataFrame, size: int = RUN, gram: int = GRAM) -> DataFrame:
     texts apart. A run that overlaps its own first place stays.
 
     Only runs around an anchor that occurs twice are listed. Those that stand earlier are gathered
-    by document as bare numbers, at most one a word, before they meet again.
+    by document as bare numbers, at most one a word, already by the task that finds them.
     """
     texts = docs.select("id", text_or_empty("text").cast("binary").alias("text"))
     marks = stored(_anchored(texts, size, gram))
@@ -249,11 +285,12 @@ def exact_runs(docs: DataFrame, size: int = RUN, gram: int = GRAM) -> DataFrame:
     known = each.join(twice, "anchor", "left_semi").groupBy("id").agg(
         F.collect_set("anchor").alias("known"))
     again = texts.join(known, "id").select("id", "text", "known")
-    gone = stored(_later(_listed(again, size, gram), size).groupBy("id").agg(
-        F.collect_list("first").alias("firsts"), F.min("run").alias("run"),
-        F.collect_set("kept_id").alias("kept_ids")))
-    released(marks)
     kind = docs.schema["id"].dataType.simpleString()
+    fields = docs.schema["id"].dataType.names
+    gone = stored(_later(_listed(again, size, gram), size, fields, kind).groupBy("id").agg(
+        F.flatten(F.collect_list("firsts")).alias("firsts"), F.min("run").alias("run"),
+        F.array_distinct(F.flatten(F.collect_list("kept_ids"))).alias("kept_ids")))
+    released(marks)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, first, stop = [], [], []

@@ -500,6 +500,24 @@ def test_exact_runs_against_every_run(spark, seed):
     assert found == wanted
 
 
+def test_later_runs_are_gathered_by_document(spark):
+    """Where a run stands earlier, its document gets one row from a task, not one for every run."""
+    text = " ".join(f"w{n}" for n in range(40))
+    docs = spark.createDataFrame([(k, 10 * k, text, list(range(-3, 4))) for k in range(1, 6)],
+                                 "id long, key long, text string, known array<long>")
+    grams, _ = paragraphs.anchors(paragraphs._hashed(text.encode())[0], 8, 4)
+    known = docs.select(F.struct("id", "key").alias("id"), F.col("text").cast("binary").alias("text"),
+                        F.lit([int(g) for g in shingles.signed(grams)]).alias("known"))
+    listed = paragraphs._listed(known, 8, 4).repartition(1)
+    later = paragraphs._later(listed, 8, ["id", "key"], "struct<id:bigint,key:bigint>").collect()
+    parts = listed.repartition("run").rdd.getNumPartitions()
+    assert len(later) <= 4 * parts
+    firsts = {k: sorted(f for r in later if r.id.id == k for f in r.firsts) for k in range(1, 6)}
+    assert firsts == {1: []} | {k: list(range(33)) for k in range(2, 6)}
+    assert {(i.id, i.key) for r in later for i in r.kept_ids} == {(1, 10)}
+    assert min(r.run for r in later) == listed.agg(F.min("run")).first()[0]
+
+
 def test_rows_that_share_an_id_lose_their_own_repeats(spark):
     block = " ".join(f"w{k}" for k in range(60))
     rows = [(1, "one " + block), (1, "two " + block), (None, "three " + block), (None, "four")]

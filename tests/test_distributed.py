@@ -147,6 +147,25 @@ def test_index_finds_what_all_pairs_find(spark, budget, digits):
             assert got == best
 
 
+@pytest.mark.parametrize("cell, budget", [(64, 0), (64, 40), (1 << 20, 0)])
+def test_frequent_features_meet_in_cells(spark, monkeypatch, cell, budget):
+    """Of 120 x 150 pairs that share a feature none is listed, whatever the cells and the budget."""
+    monkeypatch.setattr(similarity, "CELL", cell)
+    schema = "row long, feature long, weight double, norm double"
+    hot = [(row, 99_999, 2.0, 1.0) for row in range(150)]
+    asked = spark.createDataFrame(zipf_rows(1, 120) + hot[:120], schema)
+    known = spark.createDataFrame(zipf_rows(2, 150) + hot, schema)
+    cells, blocks = similarity._cells(asked, known)
+    entries, features = known.count(), known.select("feature").distinct().count()
+    assert blocks == -(-entries // cell)
+    assert cells.count() <= features * blocks * -(-asked.count() // cell)
+    got = [tuple(r)[:2] + (r["similarity"],) for r in similarity.top_k(
+        asked, known, 3, False, 9, budget).orderBy("query", F.desc("similarity"), "match").collect()]
+    every = [tuple(r)[:2] + (r["similarity"],) for r in similarity.top_k(
+        asked, known, 3, False, 9, 1 << 40).orderBy("query", F.desc("similarity"), "match").collect()]
+    assert got == every and len(got) == 360
+
+
 def test_bounds_spare_the_frequent_features(spark):
     """Four times the rows: the products before the bound grow with the postings, not their square."""
     schema = "row long, feature long, weight double, norm double"

@@ -365,6 +365,19 @@ def _nearest(rows: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndar
     return nearest, squares[np.arange(len(rows)), nearest]
 
 
+def _by_centre(rows: np.ndarray, nearest: np.ndarray, squares: np.ndarray,
+               centres: int) -> np.ndarray:
+    """Rows, squared distances and coordinates of each centre. Short numbers are sorted by counting;
+    a centre's rows are then added up in one go."""
+    sums = np.zeros((centres, rows.shape[1] + 2), dtype=np.int64)
+    order = np.argsort(nearest.astype(np.min_scalar_type(centres)), kind="stable")
+    own, first, count = np.unique(nearest[order], return_index=True, return_counts=True)
+    if len(own):
+        sums[own, 0], sums[own, 1] = count, np.add.reduceat(squares[order], first)
+        sums[own, 2:] = np.add.reduceat(rows[order], first)
+    return sums
+
+
 def _group_sums(fits: dict[int, np.ndarray], schema: list[str]):
     """One Lloyd step inside a task: rows, coordinates and squared distances of each centre, summed
     over the whole task, so that a task hands on one row a centre."""
@@ -374,8 +387,7 @@ def _group_sums(fits: dict[int, np.ndarray], schema: list[str]):
             rows = batch.to_numpy(dtype=np.int64)
             for k, centres in fits.items():
                 nearest, squares = _nearest(rows, centres)
-                np.add.at(held[k], nearest, np.column_stack(
-                    [np.ones(len(rows), dtype=np.int64), squares, rows]))
+                held[k] += _by_centre(rows, nearest, squares, len(centres))
         for k, sums in held.items():
             yield pd.DataFrame(np.column_stack(
                 [np.full(len(sums), k), np.arange(len(sums)), sums]), columns=schema)

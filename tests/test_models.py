@@ -3,6 +3,8 @@
 import datetime as dt
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,6 +184,25 @@ def test_audience_of_repeated_null_and_no_rows(spark):
     assert L.audience_table(none, [3])[1] == 8
 
 
+def test_audience_step_sums_each_centre_once():
+    """A centre's rows are added up together, exactly, also for no rows and for equal centres."""
+    rng = np.random.default_rng(5)
+    rows = rng.integers(-3000, 3000, (5_000, 7))
+    rows[:4] = 750_000_000
+    fits = {k: rng.integers(-3000, 3000, (k, 7)) for k in (1, 3, 12, 300)}
+    fits[12][4] = fits[12][2]  # equal centres: the lower one has the rows
+    names = ["k", "centre", "n", "squares", *[f"_z{i}" for i in range(7)]]
+    batches = [pd.DataFrame(rows[i:i + 999]) for i in (*range(0, len(rows), 999), len(rows))]
+    for table, (k, centres) in zip(L._group_sums(fits, names)(iter(batches)), fits.items(),
+                                   strict=True):
+        nearest, squares = L._nearest(rows, centres)
+        every = [[(nearest == c).sum(), squares[nearest == c].sum(),
+                  *rows[nearest == c].sum(axis=0)] for c in range(k)]
+        assert L._by_centre(rows, nearest, squares, k).tolist() == every
+        assert table.to_numpy().tolist() == [[k, c, *row] for c, row in enumerate(every)]
+    assert not L._by_centre(rows[:0], nearest[:0], squares[:0], 300).any()
+
+
 def test_audience_step_limit_is_reported(spark):
     rows, schema = _audience_rows(90)
     model = L.AudienceModel(spark.createDataFrame(rows, schema), [5], steps=1)

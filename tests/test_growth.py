@@ -1,9 +1,16 @@
 """Plans whose joins must not broadcast a side that grows with the rows."""
 
+import math
+import tempfile
+import time
 from datetime import date
+from pathlib import Path
 
-from aislewise.operators import customers as K, models as L, offers as P, text as T
-from aislewise.session import stored
+from pyspark.sql import functions as F
+
+from aislewise.operators import (customers as K, merchandising as M, models as L, offers as P,
+                                 overview as V, text as T)
+from aislewise.session import setting, stored
 
 
 def broadcast_parts(df, operator="BroadcastExchange"):
@@ -132,3 +139,24 @@ def test_a_product_that_comes_twice_is_two_recommendations(spark):
     got = K.cf_recommendations(signal, similar, products, customers, boost, 3).collect()
     assert sorted((r.position, r.product_id, r.category, r.score) for r in got) == [
         (1, 21, "y", 2.0), (2, 20, "x", 1.0), (3, 21, "x", 1.0)]
+
+
+
+def test_top_movers_deals_texts_of_products_once(spark):
+    """Products meet the sales last: no text goes by customer, and the grouping needs no shuffle."""
+    sales = spark.createDataFrame([(1, 1, 2, 10.0, None, "x"), (1, 2, 1, 4.0, None, "x"),
+                                   (2, 1, 1, 5.0, None, "x"), (3, 9, 1, 1.0, None, "x")],
+                                  "product_id long, customer_id long, quantity long, "
+                                  "total_amount double, transaction_date date, channel string")
+    products = spark.createDataFrame([(k, f"p{k}", "c", "b", 1.0, 1.0, 7) for k in (1, 2, 3)],
+                                     "product_id long, product_name string, category string, "
+                                     "brand string, cost_price double, price double, "
+                                     "supplier_id long")
+    customers = spark.createDataFrame([(1, "r", "s"), (2, "r", "s")],
+                                      "customer_id long, region string, segment string")
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        found = V.top_movers(*map(stored, (sales, products, customers)))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 4
+        assert [(r.product_id, r.revenue, r.units, r.margin_pct) for r in found.collect()] == [
+            (1, 14.0, 3, 78.6), (2, 5.0, 1, 80.0)]

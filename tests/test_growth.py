@@ -160,3 +160,16 @@ def test_top_movers_deals_texts_of_products_once(spark):
         assert plan.count("Exchange hashpartitioning") == 4
         assert [(r.product_id, r.revenue, r.units, r.margin_pct) for r in found.collect()] == [
             (1, 14.0, 3, 78.6), (2, 5.0, 1, 80.0)]
+
+
+
+def test_what_was_shuffled_for_a_stored_result_is_deleted(spark):
+    folder = Path(spark.conf.get("spark.local.dir", None) or tempfile.gettempdir())
+    files = lambda: set(folder.glob("blockmgr-*/*/shuffle_*.data"))
+    before = files()
+    kept = stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and kept.count() == 7

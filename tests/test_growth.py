@@ -173,3 +173,26 @@ def test_what_was_shuffled_for_a_stored_result_is_deleted(spark):
             break
         time.sleep(0.1)
     assert not files() - before and kept.count() == 7
+
+
+
+def test_tfidf_deals_no_count_of_a_row(spark, monkeypatch):
+    """Texts are dealt by block, and pairs of block and term; ids may repeat or be null."""
+    plans = []
+    monkeypatch.setattr(T, "stored", lambda df: plans.append(
+        df._jdf.queryExecution().executedPlan().toString()) or stored(df))
+    docs = spark.createDataFrame([(1, "aa bb aa the"), (2, "cc aa"), (1, "bb dd"), (None, "aa ee"),
+                                  (None, None), (3, "")], "id long, text string")
+    got = {(r.row, r.term): r.weight for r in T.tfidf(docs, "id", "text", ["the"]).collect()}
+    dealt = [line.split("hashpartitioning")[1] for line in plans[-1].split("\n")
+             if "Exchange hashpartitioning" in line]
+    assert dealt and not any("row#" in line for line in dealt)
+    counts = {1: {"aa": 2, "bb": 2, "dd": 1}, 2: {"cc": 1, "aa": 1}, None: {"aa": 1, "ee": 1}}
+    df = {t: sum(t in c for c in counts.values()) for c in counts.values() for t in c}
+    expected = {}
+    for row, terms in counts.items():
+        w = {t: n * (math.log(7 / (df[t] + 1)) + 1) for t, n in terms.items()}
+        length = math.sqrt(sum(x * x for x in w.values()))
+        expected |= {(row, t): x / length for t, x in w.items()}
+    assert got.keys() == expected.keys()
+    assert all(abs(got[k] - v) < 1e-12 for k, v in expected.items())

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from aislewise.functions.distributed import exact_quantiles, running_total
 from aislewise.functions.scalars import (clip, half_up, money_mean, money_sum, not_null, one_row,
-                                         pinned, ratio)
+                                         pinned, ratio, spread)
 from aislewise.operators.offers import daily_revenue, window_sums, with_length
 from aislewise.session import stored
 
@@ -25,7 +25,10 @@ def price_elasticity(pricing_history: DataFrame, transactions: DataFrame) -> Dat
     several prices of one day as their mean, so a product's pass is bounded by its days.
     """
     order = Window.partitionBy("product_id").orderBy("effective_date")
-    prices = not_null(pricing_history, "product_id", "effective_date", "price").groupBy(
+    # Several sorts and windows share a task's memory: tasks are as many as asked for, not as few as
+    # the narrow rows would fit.
+    prices = spread(not_null(pricing_history, "product_id", "effective_date", "price").select(
+        "product_id", "effective_date", "price"), "product_id").groupBy(
         "product_id", "effective_date").agg(money_mean("price").alias("price")).select(
         "product_id", "effective_date", "price",
         F.row_number().over(order).alias("period"),
@@ -38,7 +41,7 @@ def price_elasticity(pricing_history: DataFrame, transactions: DataFrame) -> Dat
                      F.lit(None).cast("int").alias("period"), "units"))
     so_far = Window.partitionBy("product_id").orderBy("day", "k").rangeBetween(
         Window.unboundedPreceding, Window.currentRow)
-    units = (stacked.withColumn("period", F.max("period").over(so_far))
+    units = (spread(stacked, "product_id").withColumn("period", F.max("period").over(so_far))
              .where("period IS NOT NULL").groupBy("product_id", "period")
              .agg(F.sum("units").alias("units")))
     by_period = Window.partitionBy("product_id").orderBy("period")

@@ -196,3 +196,15 @@ def test_tfidf_deals_no_count_of_a_row(spark, monkeypatch):
         expected |= {(row, t): x / length for t, x in w.items()}
     assert got.keys() == expected.keys()
     assert all(abs(got[k] - v) < 1e-12 for k, v in expected.items())
+
+
+
+def test_elasticity_has_as_many_tasks_as_asked_for(spark):
+    prices = spark.createDataFrame([(1, "2024-01-01", 10.0), (1, "2024-02-01", 12.0)],
+                                   "product_id long, effective_date string, price double")
+    sales = spark.createDataFrame([(1, "2024-01-05", 3)],
+                                  "product_id long, transaction_date string, quantity long")
+    prices, sales = (df.withColumn(c, F.col(c).cast("date")) for df, c in (
+        (prices, "effective_date"), (sales, "transaction_date")))
+    plan = M.price_elasticity(prices, sales)._jdf.queryExecution().executedPlan().toString()
+    assert any("product_id" in line and "REPARTITION_BY_NUM" in line for line in plan.split("\n"))

@@ -88,6 +88,24 @@ def test_trainer_gets_no_more_partitions_than_its_rows_ask_for(spark, sales, mon
     assert seen == [(1, n), (2, n), (4, n)]
 
 
+def test_trainer_gets_a_partition_a_core_until_those_are_large(spark, sales, monkeypatch):
+    daily, products = sales
+    training = L.forecast_training(X.daily_sales_lags(daily), products).cache()
+    n, seen = training.where("is_train").count(), []
+    monkeypatch.setattr(L.GBTRegressor, "fit", lambda self, rows: seen.append(
+        (rows.rdd.getNumPartitions(), rows.count())))
+    monkeypatch.setattr(L, "ROWS_A_TASK", 1)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        for most in (n, -(-n // 16)):
+            monkeypatch.setattr(L, "MOST_ROWS", most)
+            L.fit_forecast_model(training)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen == [(spark.sparkContext.defaultParallelism, n), (16, n)]
+
+
 def test_band_of_the_fitted_forecast(spark, sales):
     daily, products = sales
     training = L.forecast_training(X.daily_sales_lags(daily), products)

@@ -166,6 +166,26 @@ def test_frequent_features_meet_in_cells(spark, monkeypatch, cell, budget):
     assert got == every and len(got) == 360
 
 
+@pytest.mark.parametrize("budget, passes", [(0, 3), (20_000, 4)])
+def test_queries_are_taken_in_slices(spark, monkeypatch, budget, passes):
+    """A slice holds no more products or cells than it may; together they find what one pass finds."""
+    schema = "row long, feature long, weight double, norm double"
+    asked = spark.createDataFrame(zipf_rows(1, 120), schema)
+    known = spark.createDataFrame(zipf_rows(2, 150), schema)
+
+    def found() -> list:
+        return sorted(similarity.top_k(asked, known, 3, False, 9, budget).select(
+            "query", "match", "similarity").collect())
+
+    whole, seen, once = found(), [], similarity.stored
+    for name, value in (("BLOCK", 4096), ("SLICE", 3 * 4096), ("CELL", 256), ("CELLS", 3)):
+        monkeypatch.setattr(similarity, name, value)
+    monkeypatch.setattr(similarity, "stored", lambda df: seen.append(df.columns) or once(df))
+    assert found() == whole and whole
+    # 37186 products of 3 blocks a slice; 3 blocks of queries, each beside 4 of the index.
+    assert len([c for c in seen if "similarity" in c]) == passes + (not budget)
+
+
 def test_bounds_spare_the_frequent_features(spark):
     """Four times the rows: the products before the bound grow with the postings, not their square."""
     schema = "row long, feature long, weight double, norm double"

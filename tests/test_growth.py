@@ -124,6 +124,27 @@ def test_candidates_are_listed_after_one_shuffle(spark):
     assert got == {(1, 12): (1.333333, 0, 2.0), (1, 13): (3.0, 1, 5.0)}
 
 
+def test_customers_are_taken_in_slices(spark, monkeypatch):
+    signal = stored(spark.createDataFrame(
+        [(c, (c * 7 + i * i) % 40, float(1 + i % 3), i % 2) for c in range(30) for i in range(6)],
+        "customer_id long, product_id long, signal double, bought int").dropDuplicates(
+        ["customer_id", "product_id"]))
+    similar = stored(spark.createDataFrame(
+        [(c, (c + d) % 30, 1.0 / d) for c in range(30) for d in (1, 4, 9)] + [(None, 1, 0.5)],
+        "customer_id long, neighbour_id long, similarity double"))
+    levels = stored(spark.createDataFrame([(k, float(k % 3)) for k in range(40)],
+                                          "product_id long, level double"))
+
+    def found() -> list:
+        return sorted(K.best_candidates(signal, similar, levels, 3, F.desc("raw_score")).collect())
+
+    whole, seen, once = found(), [], K.stored
+    monkeypatch.setattr(K, "PAIRS_AT_ONCE", 150)
+    monkeypatch.setattr(K, "stored", lambda df: seen.append(df.columns) or once(df))
+    assert found() == whole and len(whole) == 90
+    assert len([c for c in seen if "raw_score" in c]) == 4  # of about 500 pairs
+
+
 def test_a_product_that_comes_twice_is_two_recommendations(spark):
     signal = spark.createDataFrame(
         [(1, 10, 1.0, 1)] + [(2, k, 1.0, 1) for k in (10, 20, 21, 22)],

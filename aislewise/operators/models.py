@@ -619,7 +619,9 @@ class TicketModel:
         self._unit = Normalizer(inputCol="_tfidf", outputCol="features")
         self.labels: dict[str, list[str]] = {}
         self.models: dict[str, LogisticRegressionModel] = {}
-        rows = self.vectors(tickets).persist(StorageLevel.MEMORY_AND_DISK)
+        # The trainer's own blocks fill the executors' memory; rows for it, without texts, lie on disk.
+        rows = self.vectors(tickets).select("features", "is_train", "category", "priority").persist(
+            StorageLevel.DISK_ONLY)
         try:
             train = rows.where("is_train")
             n = max(train.count(), 1)

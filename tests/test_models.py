@@ -329,3 +329,16 @@ def test_triage_learns_and_phrases_win(spark):
     assert got[900]["recommended_team"] == "Logistics & Shipping Team"
     assert got[901]["predicted_category"] == "Account Issue"
     assert got[901]["category_confidence"] < 0.5
+
+
+def test_ticket_trainer_keeps_no_text_and_no_rows_in_memory(spark, monkeypatch):
+    tickets = spark.createDataFrame(
+        [(i, f"{'late parcel' if i % 2 else 'card payment'} {i}", "ab"[i % 2], "xy"[i % 2])
+         for i in range(40)], "ticket_id long, description string, category string, priority string")
+    kind, seen = type(tickets), []
+    once = kind.persist
+    monkeypatch.setattr(kind, "persist", lambda self, level: seen.append(
+        (sorted(self.columns), level)) or once(self, level))
+    model = L.TicketModel(tickets, iterations=5)
+    assert seen == [(["category", "features", "is_train", "priority"], L.StorageLevel.DISK_ONLY)]
+    assert {r.predicted_category == r.category for r in model.predict(tickets).collect()} == {True}
